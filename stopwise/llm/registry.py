@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from stopwise.llm import chat_format, exact_dedup, source_mix, url_filter
+from stopwise.llm import (
+    chat_format,
+    exact_dedup,
+    language_id,
+    packing,
+    simhash_dedup,
+    source_mix,
+    substring_dedup,
+    url_filter,
+)
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_source_mix": source_mix.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_chat_format": chat_format.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_best_fit_packing": packing.query,
+    "op9_language_id": language_id.query,
+    "op10_simhash_dedup": simhash_dedup.query,
 }
 ORACLES = {
     "op2_source_mix": source_mix.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
