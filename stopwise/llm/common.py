@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopwise.deploy import ship
+
 #: A word is a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +40,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     once (a tokenised corpus, fingerprints) is read by later jobs instead of being computed anew.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,3 +65,40 @@ def ascii_lower(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes on disk of the files ``df`` reads, as a check before a broadcast."""
+    spark = df.sparkSession
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+def split_crowded(
+    keyed: DataFrame, sample: DataFrame, item: str, block: int, share: int
+) -> list[DataFrame]:
+    """Cut groups of (key, item) rows that are too large for one task.
+
+    ``sample`` holds the rows of one item in ``share``. Keys that it shows to have more than ``block``
+    items are cut into parts of about that many, and every two parts meet under a key of their
+    own; every two items of a key still meet somewhere. The list's frames have the columns of ``keyed``.
+    """
+    crowded = stash(
+        sample.groupBy("key")
+        .count()
+        .where(F.col("count") * share > block)
+        .select("key", F.ceil(F.col("count") * share / block).cast("int").alias("parts")),
+        "crowded",
+    )
+    if crowded.isEmpty():
+        return [keyed]
+    hot = (
+        keyed.join(crowded, "key")
+        .withColumn("mine", F.pmod(F.xxhash64(item, F.lit(1)), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    )
+    return [keyed.join(crowded, "key", "left_anti"), hot.select(*keyed.columns)]

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stopwise.deploy import ship
 from stopwise.llm.common import table
 
 FOLDS = 5
@@ -147,6 +148,7 @@ def train(docs: DataFrame, per_language: int = 250, languages: int = 200, landma
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: doc_id) of every row, with lang_pred and score."""
+    ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 

@@ -6,6 +6,7 @@ from stopwise.llm import (
     chat_format,
     exact_dedup,
     language_id,
+    line_dedup,
     packing,
     simhash_dedup,
     source_mix,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
     "op5_chat_format": chat_format.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_best_fit_packing": packing.query,
     "op9_language_id": language_id.query,
     "op10_simhash_dedup": simhash_dedup.query,
