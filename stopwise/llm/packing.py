@@ -17,6 +17,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from stopwise.llm.common import stash, table
 
 CAPACITY = 2048
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 def default_vocabulary() -> str:
@@ -40,9 +41,12 @@ def default_vocabulary() -> str:
 
 
 class Tokens:
-    """Token ids of white-space separated words, through a cache of two generations of ``most`` words."""
+    """Token ids of white-space separated words, through a cache of at most ``most`` words.
 
-    def __init__(self, path: str, most: int = 300_000):
+    The cache is a number for each word, and the words' ids one after another. It is emptied when full.
+    """
+
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,60 +55,85 @@ class Tokens:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.most = most
-        self.new: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
-        ends = {i for t, i in self.encoder.get_vocab().items() if t.endswith("</w>")}
-        self.ends = np.zeros(max(ends) + 1, bool)
-        self.ends[list(ends)] = True
-
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words. Words of a-z alone are encoded many at once and told apart by their end marks."""
-        out: list[np.ndarray] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha() and w.islower()]
-        other = sorted(set(range(len(words))) - set(plain))
-        texts = [b" ".join([words[i] for i in plain[k : k + 1000]]).decode() for k in range(0, len(plain), 1000)]
-        for k, got in enumerate(self.encoder.encode_batch(texts, add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint32)
-            part = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            for i, x in zip(plain[1000 * k : 1000 * k + 1000], part, strict=True):
-                out[i] = x
-        got = self.encoder.encode_batch([words[i].decode() for i in other], add_special_tokens=False)
-        for i, x in zip(other, got):
-            out[i] = np.array(x.ids, np.uint32)
-        return out
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, np.ndarray]:
-        """Ids of words that are not in the cache; a last comma or stop is a token of its own."""
-        core = {}
-        for w in words:
-            if w.isalpha():
-                core[w] = (w.lower(), b"")
-            elif w[-1:] in (b",", b".") and w[:-1].isalpha():
-                core[w] = (w[:-1].lower(), w[-1:])
-            else:
-                core[w] = (w, b"")
-        need = sorted({p for pair in core.values() for p in pair if p and p not in self.new and p not in self.old})
-        known = dict(zip(need, self._encode(need)))
-        look = lambda p: known[p] if p in known else self.new.get(p, self.old.get(p))
-        return known | {w: np.concatenate((look(a), look(b))) if b else look(a) for w, (a, b) in core.items()}
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each word."""
-        if not words:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        found = {w: x for w in distinct if (x := self.new.get(w)) is not None or (x := self.old.get(w)) is not None}
-        found |= self._learn(distinct.keys() - found.keys())
-        if len(self.new) + len(found) > self.most:
-            self.old, self.new = self.new, {}
-        if len(found) <= self.most:
-            self.new.update(found)
-        ids = [found[w] for w in distinct]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = np.cumsum(size) - size
-        which = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-        n = size[which]
-        return np.concatenate(ids)[ranges(start[which], n)], n
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)  # one more than there are words
+        self.known = 0
+
+    def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        end = int(self.start[self.known])
+        if end + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[:end], np.empty(end + 2 * len(ids), np.uint32)))
+        if self.known + len(words) + 1 > len(self.start):
+            self.start = np.concatenate((self.start, np.zeros(self.known + 2 * len(words), np.int64)))
+        self.ids[end : end + len(ids)] = ids
+        self.start[self.known + 1 : self.known + 1 + len(words)] = end + np.cumsum(size)
+        self.number.update(zip(words, range(self.known, self.known + len(words))))
+        self.known += len(words)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words that are one run of lower-case letters are encoded many at once and told apart by their end marks."""
+        text = [w.decode() for w in words]
+        runs = [i for i, t in enumerate(text) if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)]
+        other = sorted(set(range(len(words))) - set(runs))
+        for k in range(0, len(runs), 1000):
+            part = runs[k : k + 1000]
+            ids = np.array(self.encoder.encode(" ".join([text[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part):
+                self._add([words[i] for i in part], ids, np.diff(last, prepend=-1))
+            else:  # the tokenizer takes some letter for something else
+                other += part
+        for k in range(0, len(other), 1000):
+            part = other[k : k + 1000]
+            got = [e.ids for e in self.encoder.encode_batch([text[i] for i in part], add_special_tokens=False)]
+            self._add([words[i] for i in part], np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(g) for g in got]))
+
+    def encode(self, words: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words[index[0]], words[index[1]], ..., and the number of ids of each. ``words`` are distinct."""
+        new = [w for w in words if w not in self.number]
+        if self.known and self.known + len(new) > self.most:
+            self._clear()
+            new = words
+        self._learn(new)
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[index]
+        size = np.diff(self.start[: self.known + 1])[which]
+        return self.ids[ranges(self.start[which], size)], size
+
+
+_KIND = np.zeros(256, np.uint8)  # 1: white space, 2: a-z, 3: comma and full stop
+_KIND[[0x20, 9, 10, 11, 12, 13]] = 1
+_KIND[97:123] = 2
+_KIND[[0x2C, 0x2E]] = 3
+
+
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of all texts, the word at each place, and how many each text has.
+
+    A-Z are lower-cased, as the tokenizer does, and a comma or full stop between a letter and white space
+    is made a word of its own, as it is a token of its own: words then recur more often.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    kind = _KIND[data]
+    black = kind != 1
+    mark = np.zeros(len(data), bool)
+    mark[1:-1] = (kind[1:-1] == 3) & (kind[:-2] == 2) & (kind[2:] == 1)
+    first = black.copy()
+    first[1:] &= ~black[:-1]
+    first |= mark
+    begins = np.flatnonzero(first[black])  # among bytes that are not white space
+    letters = data[black]
+    offsets = np.append(begins, len(letters)).astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    before = np.searchsorted(np.flatnonzero(first), ends)
+    return column.dictionary.to_pylist(), column.indices.to_numpy(), np.diff(before, prepend=0)
 
 
 @cache
@@ -119,9 +148,9 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def pieces_of(texts: list[bytes], path: str, capacity: int) -> tuple[np.ndarray, ...]:
     """For each piece: row, piece, start, length, crc32 of its ids."""
-    split = [t.split() for t in texts]
-    ids, n = tokens(path).encode(list(chain.from_iterable(split)))
-    ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.empty(0, np.int64)
+    words, index, count = words_of(texts)
+    ids, n = tokens(path).encode(words, index)
+    ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)]
     size = np.diff(np.concatenate(([0], ends))) + 1
     own = np.zeros(int(size.sum()), "<u4")  # each document's ids, then 0
     own[ranges(np.cumsum(size) - size, size - 1)] = ids
