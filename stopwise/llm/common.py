@@ -77,6 +77,15 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
+#: Tables that take no more than this on disk may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def checked_broadcast(stored: DataFrame) -> DataFrame:
+    """``stored`` (a table in files) with a broadcast hint if its size allows that."""
+    return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
+
+
 def split_crowded(
     keyed: DataFrame, sample: DataFrame, item: str, block: int, share: int
 ) -> list[DataFrame]:

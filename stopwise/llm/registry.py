@@ -7,6 +7,7 @@ from stopwise.llm import (
     exact_dedup,
     language_id,
     line_dedup,
+    media_store,
     packing,
     simhash_dedup,
     source_mix,
@@ -17,6 +18,7 @@ from stopwise.llm import (
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_source_mix": source_mix.query,
+    "op3_media_columns": media_store.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_chat_format": chat_format.query,
     "op6_exact_dedup": exact_dedup.query,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import stash, table
+from stopwise.llm.common import checked_broadcast, split_crowded, stash, table
 from stopwise.llm.graph import components
 
 WIDTHS = (22, 21, 21)
@@ -67,7 +67,8 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         found = np.fromiter((simhash((t.as_py() or b"").lower().split()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(found.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp"])
 
 
 @cache
@@ -194,42 +195,64 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    """doc_id, text_key, fp (the 64 bits as a signed long) of each row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(_fingerprint, f"doc_id {kind}, text_key long, fp long")
 
 
-def links_of(fps: DataFrame, block: int = 4096) -> DataFrame:
+def links_of(fps: DataFrame, block: int = 4096, share: int = 64) -> DataFrame:
     """``fps``: distinct fp. Links (a, b) that connect all fingerprints within MOST_BITS bits."""
-    schema = "key long, fp long"
-    keyed = fps.select("fp").mapInArrow(_keys, schema)
-    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(64)) == 0).select("fp").mapInArrow(_keys, schema)
-    crowded = stash(
-        sample.groupBy("key").count().where(F.col("count") * 64 > block).select("key", F.ceil(F.col("count") * 64 / block).cast("int").alias("parts")),
-        "simhash-crowded",
-    )
-    cold, sorted_by = keyed.join(crowded, "key", "left_anti"), ["key", "fp"]
-    out = cold.repartition("key").sortWithinPartitions(*sorted_by).mapInArrow(_link, "a long, b long")
-    if not crowded.isEmpty():
-        mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-        hot = keyed.join(crowded, "key").withColumn("mine", mine)
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        hot = hot.withColumn("other", other).select(
-            F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp"
-        )
-        out = out.unionByName(hot.repartition("key").sortWithinPartitions(*sorted_by).mapInArrow(_link, "a long, b long"))
+    keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").mapInArrow(_keys, "key long, fp long")
+    out = None
+    for part in split_crowded(keyed, sample, "fp", block, share):
+        links = part.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
+        out = links if out is None else out.unionByName(links)
     return out.distinct()
 
 
-def near_dups(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, fp), and (fp, root) for every distinct fingerprint."""
     rows = stash(fingerprints(docs), "simhash-fp")
-    nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = stash(rows.select("fp").distinct(), "simhash-nodes")
     roots = components(links_of(nodes))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rows, nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_dups(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
+    rows, named = classes(docs)
+    named = stash(named.join(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"), "simhash-named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
+    by_fp = stash(named.join(least, "root").select("fp", "component_id"), "simhash-components")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each class of near copies.
+
+    The smallest doc_id stays, null coming last; of several rows with that id, one.
+    """
+    rows, named = classes(docs)
+    named = stash(named, "simhash-roots")
+    classed = rows.join(named, "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("row"))
+    classed = stash(classed.groupBy("root", "row").agg(F.count(F.lit(1)).alias("times")), "simhash-rows")
+    first = classed.groupBy("root").agg(F.min("row").alias("first"), F.sum("times").alias("n")).where("n > 1").drop("n")
+    beaten = classed.join(stash(first, "simhash-first"), "root").where("row <> first OR times > 1")
+    beaten = stash(beaten.select("row.doc_id", "row.text_key", (F.col("row") == F.col("first")).alias("again")), "simhash-beaten")
+    name = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+
+    def joined(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        return df.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), how)
+
+    kept = joined(keyed, name(checked_broadcast(beaten)), "left_anti")
+    again = name(beaten.where("again"))
+    if not again.isEmpty():  # rows that occur several times and stay once
+        kept = kept.unionByName(joined(keyed, again, "left_semi").dropDuplicates(["doc_id", "_key"]))
+    return kept.drop("_key")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"))

@@ -71,7 +71,7 @@ def mix(
     seed: int = 7,
     slices: int = 1024,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
+    """One row per document: doc_id, text_key, size, source_size, target, taken, copies.
 
     ``quality``: (doc_id, quality weight), optional. ``taken`` is the number of words taken, whose
     sum over a source is the integer part of its target; only the document at the boundary is
@@ -116,6 +116,7 @@ def mix(
         .withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", left)))
         .select(
             "doc_id",
+            "text_key",
             "size",
             "source_size",
             "target",
@@ -131,7 +132,7 @@ def label_quality(labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), label_quality(table(spark, sf_dir, "labels")))
+    return mix(table(spark, sf_dir, "documents"), label_quality(table(spark, sf_dir, "labels"))).drop("text_key")
 
 
 ORACLE = r"""
