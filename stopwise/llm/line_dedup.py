@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import split_crowded, stash, stored_bytes, table
+from stopwise.llm.common import checked_broadcast, split_crowded, stash, table
 from stopwise.llm.graph import components
 
 EDITS = 2
@@ -40,7 +40,6 @@ U = np.uint64
 SLICE = 1 << 20
 #: A set of line hashes up to this size is broadcast; a larger one is joined.
 BROADCAST_LINES = 4_000_000
-BROADCAST_BYTES = 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,10 +52,27 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(x: int, n: int) -> np.ndarray:
-    out = np.full(n, x, U)
-    out[0] = 1
-    return np.cumprod(out)
+    """x ** 0 .. x ** (n - 1), kept for the next call."""
+    if n > len(_POWERS.get(x, ())):
+        out = np.full(n + (n >> 2), x, U)
+        out[0] = 1
+        _POWERS[x] = np.cumprod(out)
+    return _POWERS[x][:n]
+
+
+_MIXED = mix(np.arange(1, 0x10001, dtype=U))
+
+
+def coefficients(points: np.ndarray) -> np.ndarray:
+    out = _MIXED[np.minimum(points, 0xFFFF)]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        out[far] = mix(points[far].astype(U) + U(1))
+    return out
 
 
 class Lines:
@@ -73,7 +89,7 @@ class Lines:
         self.points, self.row, self.number = points, row[keep], number[keep]
         self.begin, self.size = begin[keep], (stops - begin)[keep]
         power, self.back = (powers(x, len(points) + 1) for x in (BASE, INVERSE))
-        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(points.astype(U) + U(1)) * power[:-1])))
+        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(coefficients(points) * power[:-1])))
         self.line = mix(self.hash(self.begin, self.size) + self.size.astype(U))
 
     def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -378,9 +394,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     """One row per input row: doc_id, the columns ``keep``, text (what stays), n_lines, n_removed."""
     names = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.xxhash64("text").alias("text_key"))
-    gone = stash(removed_lines(rows.select("doc_id", "text", "text_key"), edits, min_chars), "lines-removed")
-    if stored_bytes(gone) <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
+    gone = checked_broadcast(stash(removed_lines(rows.select("doc_id", "text", "text_key"), edits, min_chars), "lines-removed"))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "removed")
     # text_key decides with doc_id, which may be null
     wide = rows.join(gone, rows.doc_id.eqNullSafe(gone.d) & (rows.text_key == gone.t), "left").drop("d", "t", "text_key")
