@@ -11,8 +11,17 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the application once, by Spark's own file server."""
+    """Add the package's sources to the application once, by Spark's own file server.
+
+    Arrow batches are held to 4 MB unless the session sets a size: rows here may be whole texts or
+    lines of pixels, and a default batch of them takes a good part of an executor's memory.
+    """
+    if spark.conf.get(BATCH_BYTES, "") == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
