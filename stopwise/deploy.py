@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     Arrow batches are held to 4 MB unless the session sets a size: rows here may be whole texts or
     lines of pixels, and a default batch of them takes a good part of an executor's memory.
     """
-    if spark.conf.get(BATCH_BYTES, "") == "67108864b":
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":
         spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app in _sent:
