@@ -83,6 +83,10 @@ def counts(*pairs: tuple[Column, str]) -> Column:
     return F.concat_ws(",", *[F.when(n > 0, F.concat(F.lit(f"{name}:"), n.cast("string"))) for n, name in pairs])
 
 
+#: Means of round steps often end in a 5 at the seventh decimal; this settles which way all engines round it.
+NUDGE = 1e-9
+
+
 def r6(value: Column) -> Column:
     """Rounded to 6 decimals, without negative zero."""
-    return F.round(value, 6) + F.lit(0.0)
+    return F.round(value + F.lit(NUDGE), 6) + F.lit(0.0)

@@ -233,7 +233,23 @@ b5 AS (SELECT * FROM b4 WHERE blocker IS NULL QUALIFY row_number() OVER (PARTITI
 b6 AS (SELECT run_id, string_agg(blocker, ',' ORDER BY pos) AS listed FROM (SELECT run_id, blocker, min(cand) AS pos FROM b4 WHERE blocker IS NOT NULL GROUP BY ALL) GROUP BY run_id)"""
 )
 
-SQL: dict[str, str] = {
+def nudged(sql: str) -> str:
+    """Every round(.., 6) with the nudge that queries use."""
+    out, at = "", 0
+    while (i := sql.find("round(", at)) >= 0:
+        depth, j = 0, i + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            if depth == 0:
+                break
+            j += 1
+        inner = nudged(sql[i + 6 : j])
+        out += sql[at:i] + "round(" + (inner[:-3] + " + 1e-9, 6" if inner.endswith(", 6") else inner) + ")"
+        at = j + 1
+    return out + sql[at:]
+
+
+_SQL: dict[str, str] = {
     "acutance_patch": f"""WITH {BLUR} SELECT vec_id, round(CASE WHEN stddev_pop(v) <= 1e-6 OR stddev_pop(fine - coarse) <= 1e-6 THEN 0 ELSE stddev_pop(v - fine) / stddev_pop(fine - coarse) END, 6) AS acutance, round(CASE WHEN avg(v) <= 0 THEN 0 ELSE stddev_pop(v) / avg(v) END, 6) AS contrast, round(median(v), 6) AS luminance FROM f GROUP BY vec_id""",
     "gaussian_blur_patch": f"WITH {BLUR} SELECT vec_id, x::INT AS x, y::INT AS y, {r('fine', 'coarse')} FROM f",
     "median_luminance": f"WITH {PX} SELECT vec_id, round(median(v), 6) AS luminance FROM px GROUP BY vec_id",
@@ -323,3 +339,4 @@ SELECT doc_id, CASE WHEN dng THEN k > 0 END AS corrections_present, {names(("dng
 CASE WHEN doc_id % 7 = 0 THEN 'body lens ' || doc_id % 2 WHEN doc_id % 3 = 1 THEN 'lens ' || doc_id % 5 WHEN doc_id % 9 > 2 THEN 'catalogue lens ' || doc_id % 9 END AS lens_model,
 CASE WHEN doc_id % 10 > 1 THEN round((doc_id % 10) * 1.4e0, 6) END AS f_number, CASE WHEN doc_id % 4 = 0 THEN (doc_id % 5 + 1) * 100 ELSE (doc_id % 6 + 1) * 50 END AS iso, CASE WHEN NOT dng THEN 'unknown' WHEN k > 0 THEN 'present' ELSE 'absent' END AS provenance FROM f""",
 }
+SQL = {name: nudged(sql) for name, sql in _SQL.items()}

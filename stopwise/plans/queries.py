@@ -133,7 +133,7 @@ def lag_scores(spark: SparkSession, d: str) -> DataFrame:
     profile = lambda f, c: f(F.col(c), N, N)
     df = df.select("vec_id", *[profile(f, c).alias(f"{c}_{a}") for a, f in (("x", colour_shift.column_profile), ("y", colour_shift.row_profile)) for c in PAIRED])
     axes = F.array(*[F.struct(F.lit(a).alias("axis"), colour_shift.lag_scores(F.col(f"red_{a}"), F.col(f"blue_{a}"), N).alias("s")) for a in ("x", "y")])
-    return df.select("vec_id", F.explode(axes).alias("a")).select("vec_id", "a.axis", F.inline("a.s")).select("vec_id", "axis", "lag", F.round("score", 6).alias("score"))
+    return df.select("vec_id", F.explode(axes).alias("a")).select("vec_id", "a.axis", F.inline("a.s")).select("vec_id", "axis", "lag", r6(F.col("score")).alias("score"))
 
 
 def ca_shift(spark: SparkSession, d: str) -> DataFrame:
