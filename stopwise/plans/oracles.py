@@ -244,7 +244,7 @@ def nudged(sql: str) -> str:
                 break
             j += 1
         inner = nudged(sql[i + 6 : j])
-        out += sql[at:i] + "round(" + (inner[:-3] + " + 1e-9, 6" if inner.endswith(", 6") else inner) + ")"
+        out += sql[at:i] + "round(" + (inner[:-3] + " + 3.7e-10, 6" if inner.endswith(", 6") else inner) + ")"
         at = j + 1
     return out + sql[at:]
 
