@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import ascii_lower, table
+from stopwise.llm.common import ascii_lower, stash, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -54,6 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("doc_id", "hash", "sha")
         .agg(F.count(F.lit(1)).alias("times"))
     )
+    # Read from files, both sides of the join are plain shuffles, and a large group's rows can be split.
+    groups = stash(groups, "exact-groups")
     return (
         rows.join(groups, ["hash", "sha"])
         .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
