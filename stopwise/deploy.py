@@ -1,21 +1,55 @@
-"""Send this package to the Python workers of a running application."""
+"""What an application sets up once: the shared folder, this package on Python workers, batch sizes."""
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
 
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
+    machine, a local folder is chosen.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + os.path.join(tempfile.gettempdir(), "stopwise-shared")
+    return f"{base.rstrip('/')}/stopwise/{spark.sparkContext.applicationId}"
+
+
+def hadoop_path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder."""
+    fs, path = hadoop_path(spark, shared_dir(spark))
+    fs.delete(path, True)
+
+
+def sources() -> bytes:
+    """This package as a zip file."""
+    here, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.join("stopwise", os.path.relpath(file, here)))
+    return held.getvalue()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the application once, by Spark's own file server.
+    """Put the package's sources into the shared folder, once, for the application's Python workers.
 
     Arrow batches are held to 4 MB unless the session sets a size: rows here may be whole texts or
     lines of pixels, and a default batch of them takes a good part of an executor's memory.
@@ -26,12 +60,36 @@ def ship(spark: SparkSession) -> None:
     if app in _sent:
         return
     _sent.add(app)
-    here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="stopwise-"), "stopwise_sources.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(here):
-            for name in names:
-                if name.endswith(".py"):
-                    file = os.path.join(folder, name)
-                    out.write(file, os.path.join("stopwise", os.path.relpath(file, here)))
-    spark.sparkContext.addPyFile(path)
+    name = f"{shared_dir(spark)}/stopwise_sources.zip"
+    fs, path = hadoop_path(spark, name)
+    out = fs.create(path, True)
+    out.write(sources())
+    out.close()
+    spark.sparkContext.addPyFile(name)
+
+
+def tidied(work):
+    """``work`` on Arrow batches, after which the worker gives free memory back.
+
+    Workers stay for later tasks; what a library's allocator keeps for itself would add up over stages.
+    """
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
