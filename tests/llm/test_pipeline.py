@@ -59,3 +59,39 @@ def test_run(spark, sf_dir):
     for r in rows:
         used[r.sequence_id] += r.length
     assert rows and max(used.values()) <= 2048
+
+
+def test_stages_like_brute_force(spark, sf_dir, tmp_path):
+    """Each stage on what the one before kept, against definitions written out in other tests."""
+    import hashlib
+    from collections import Counter
+
+    from stopwise.llm import source_mix
+
+    from . import test_line_dedup, test_packing, test_simhash_dedup
+    from .helpers import duck
+
+    start = table(spark, sf_dir, "documents").where("length(text) < 3000").orderBy("doc_id").limit(60)
+    docs = docs_of(spark, [(r.doc_id, r.text, r.lang, r.source) for r in start.collect()])
+
+    lines = pipe.without_repeated_lines(spark, docs, sf_dir).collect()
+    want = {d: (gone, sha) for d, _, gone, sha in test_line_dedup.brute([(r.doc_id, r.text) for r in docs.collect()])}
+    got = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in lines}
+    assert all(want[d][1] == sha for d, sha in got.items())
+    blank = {hashlib.sha256(("\n" * k).encode()).hexdigest() for k in range(50)}
+    assert all(want[d][0] > 0 and want[d][1] in blank for d in want.keys() - got.keys())
+
+    docs = docs_of(spark, [(r.doc_id, r.text, r.lang, r.source) for r in lines])
+    near = pipe.without_near_copies(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in near} == {c for _, _, c in test_simhash_dedup.brute([(r.doc_id, r.text) for r in lines])}
+
+    docs = docs_of(spark, [(r.doc_id, r.text, r.lang, r.source) for r in near])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    names, rows = duck(source_mix.ORACLE, documents=f"{tmp_path}/documents.parquet/*.parquet", labels=f"{sf_dir}/labels.parquet")
+    copies = {r[names.index("doc_id")]: r[names.index("copies")] for r in rows if r[names.index("copies")]}
+    again = pipe.mixed(spark, docs, sf_dir).collect()
+    assert Counter(r.doc_id for r in again) == copies
+
+    docs = docs_of(spark, [(r.doc_id, r.text, r.lang, r.source) for r in again])
+    test_packing.check(spark, docs)
+    assert pipe.packed(spark, docs, sf_dir).count() >= len(again)
