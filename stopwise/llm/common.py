@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.deploy import ship
+from stopwise.deploy import hadoop_path, shared_dir, ship
 
 #: A word is a run of bytes other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,16 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local folder is chosen.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "stopwise-shared")
-    return f"{base.rstrip('/')}/stopwise/{spark.sparkContext.applicationId}"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -38,19 +27,29 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs tasks, not the table, and what has been computed
     once (a tokenised corpus, fingerprints) is read by later jobs instead of being computed anew.
+    The shuffle files of the write are freed as it ends.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_shared(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    before = spark.conf.get(CLEANUP, None)
+    if before == "false":
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before == "false":
+            spark.conf.set(CLEANUP, "false")
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables of ``stash`` that nothing reads any more."""
+    for df in stashed:
+        fs, path = hadoop_path(df.sparkSession, df._stashed)
+        fs.delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -67,14 +66,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes on disk of the files ``df`` reads, as a check before a broadcast."""
-    spark = df.sparkSession
-    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for name in df.inputFiles():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
+def stored_bytes(stashed: DataFrame) -> int:
+    """Bytes on disk of a table of ``stash``, as a check before a broadcast."""
+    fs, path = hadoop_path(stashed.sparkSession, stashed._stashed)
+    return fs.getContentSummary(path).getLength()
 
 
 #: Tables that take no more than this on disk may be broadcast; larger ones are joined by shuffle.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopwise.deploy import ship
+from stopwise.deploy import ship, tidied
 from stopwise.llm.common import table
 
 FOLDS = 5
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     plain = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
     schema = ", ".join(f"k{i} {plain.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    out = plain.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    out = plain.mapInArrow(tidied(score), f"{schema}, lang_pred string, score double")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 

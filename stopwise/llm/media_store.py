@@ -29,7 +29,8 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import shared_dir, stash, table
+from stopwise.deploy import shared_dir, tidied
+from stopwise.llm.common import stash, table
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -130,7 +131,7 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
                 shard.close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(write, f"doc_id {kind}, n_bytes long, digest binary, shard string, offset long, length long")
+    out = docs.select("doc_id", "text").mapInArrow(tidied(write), f"doc_id {kind}, n_bytes long, digest binary, shard string, offset long, length long")
     return stash(out, "media-rows")
 
 
@@ -162,7 +163,7 @@ def _read(found: DataFrame, size, schema: str, work) -> DataFrame:
     arrow = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
     names, kinds = zip(*((n, arrow[k]) for n, k in (f.split() for f in schema.split(", "))))
     old = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    return found.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(read, f"{old}, {schema}")
+    return found.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(tidied(read), f"{old}, {schema}")
 
 
 def probe(found: DataFrame) -> DataFrame:

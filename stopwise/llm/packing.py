@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopwise.deploy import tidied
 from stopwise.llm.common import stash, table
 
 CAPACITY = 2048
@@ -46,7 +47,7 @@ class Tokens:
     The cache is a number for each word, and the words' ids one after another. It is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,9 +59,9 @@ class Tokens:
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)  # one more than there are words
@@ -99,7 +100,7 @@ class Tokens:
         """Ids of words[index[0]], words[index[1]], ..., and the number of ids of each. ``words`` are distinct."""
         new = [w for w in words if w not in self.number]
         if self.known and self.known + len(new) > self.most:
-            self._clear()
+            self.clear()
             new = words
         self._learn(new)
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[index]
@@ -182,9 +183,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                         ["doc_id", "piece", "start", "length", "ids_crc32"],
                     )
                     held, size, first = [], 0, i + 1
+        tokens(path).clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(used: np.ndarray, capacity: int) -> list[list[int]]:
@@ -257,7 +259,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, car
     tasks = max(1, -(-todo.count() // per_task))
     while True:
         done = stash(
-            todo.select("used", "items").repartition(tasks).mapInArrow(round_of, f"used long, items {kind}, open boolean"), "packed"
+            todo.select("used", "items").repartition(tasks).mapInArrow(tidied(round_of), f"used long, items {kind}, open boolean"), "packed"
         )
         if tasks == 1:
             final.append(done)

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopwise.deploy import tidied
 from stopwise.llm.common import checked_broadcast, split_crowded, stash, table
 from stopwise.llm.graph import components
 
@@ -198,16 +199,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp (the 64 bits as a signed long) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(_fingerprint, f"doc_id {kind}, text_key long, fp long")
+    return rows.mapInArrow(tidied(_fingerprint), f"doc_id {kind}, text_key long, fp long")
 
 
 def links_of(fps: DataFrame, block: int = 4096, share: int = 64) -> DataFrame:
     """``fps``: distinct fp. Links (a, b) that connect all fingerprints within MOST_BITS bits."""
-    keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
-    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").mapInArrow(_keys, "key long, fp long")
+    keyed = fps.select("fp").mapInArrow(tidied(_keys), "key long, fp long")
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").mapInArrow(tidied(_keys), "key long, fp long")
     out = None
     for part in split_crowded(keyed, sample, "fp", block, share):
-        links = part.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
+        links = part.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidied(_link), "a long, b long")
         out = links if out is None else out.unionByName(links)
     return out.distinct()
 
