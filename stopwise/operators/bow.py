@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.functions.arrays import let, names
+from stopwise.functions.arrays import let, mean, names
 
 LEAST_CONTRAST = 0.15
 SIDE = 0.35
@@ -82,46 +82,48 @@ def trace_points(planes: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def fits(points: DataFrame) -> DataFrame:
-    """One row a trace: run_id, cand, orientation, n, contrast, gap, first, last, their minors, mean minor, c0, c1, c2, residual.
+    """One row a trace: run_id, cand, orientation, n, contrast, gap, first, last, their minors, mean minor, mid, c0, c1, c2, residual.
 
-    The fit is y = c0 + c1 u + c2 u^2 with u the distance from the mean major position. Fewer than three
-    positions give null coefficients; the caller raises if such a trace would be fitted.
+    The fit is y = c0 + c1 u + c2 u^2 with u the distance from the mean major position. A trace has at most
+    one point for each line of its plane, so it is one array, and all but its gathering is map-only. Fewer
+    than three positions give null coefficients; the caller raises if such a trace would be fitted.
     """
     key = ["run_id", "cand", "orientation"]
-    along = Window.partitionBy(*key).orderBy("major")
-    p = points.withColumn("gap", F.col("major") - F.lag("major").over(along) - 1)
-    stats = p.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("contrast").alias("contrast"),
-        F.coalesce(F.max("gap"), F.lit(0)).alias("gap"),
-        F.min("major").alias("first"),
-        F.max("major").alias("last"),
-        F.min_by("minor", "major").alias("first_minor"),
-        F.max_by("minor", "major").alias("last_minor"),
-        F.avg("minor").alias("mean_minor"),
-        F.avg("major").alias("mid"),
-    )
-    q = points.join(stats.select(*key, "mid"), key).withColumn("u", F.col("major") - F.col("mid"))
-    u, y = F.col("u"), F.col("minor")
-    sums = q.groupBy(*key).agg(
-        F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"),
-        F.sum(y).alias("t0"), F.sum(u * y).alias("t1"), F.sum(u * u * y).alias("t2"), F.count(F.lit(1)).cast("double").alias("s0"),
+    df = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("major", "minor", "contrast"))).alias("p"))
+    n, head, tail = F.size("p"), F.get("p", 0), F.element_at("p", -1)
+    steps = F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n - 1), lambda x, y: y["major"] - x["major"] - 1)
+    df = df.select(
+        *key, "p", n.cast("long").alias("n"), mean(F.transform("p", lambda x: x["contrast"])).alias("contrast"),
+        F.coalesce(F.when(n > 1, F.array_max(steps)), F.lit(0)).alias("gap"),
+        head["major"].alias("first"), tail["major"].alias("last"), head["minor"].alias("first_minor"), tail["minor"].alias("last_minor"),
+        mean(F.transform("p", lambda x: x["minor"])).alias("mean_minor"), mean(F.transform("p", lambda x: x["major"].cast("double"))).alias("mid"),
     )
-    s0, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s2", "s3", "s4", "t0", "t1", "t2"))
+    names_ = ("s2", "s3", "s4", "t0", "t1", "t2")
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in names_])
+
+    def add(s: Column, x: Column) -> Column:
+        u, y = x["major"] - F.col("mid"), x["minor"]
+        more = (u * u, u * u * u, u * u * u * u, y, u * y, u * u * y)
+        return F.struct(*[(s[c] + v).alias(c) for c, v in zip(names_, more)])
+
+    df = df.withColumn("s", F.aggregate("p", zero, add))
+    s2, s3, s4, t0, t1, t2 = (F.col(f"s.{c}") for c in names_)
+    s0 = F.col("n").cast("double")
     # The sum of u is zero, which leaves a 3 x 3 system that Cramer's rule solves.
-    det = s0 * (s2 * s4 - s3 * s3) - s2 * s2 * s2
-    sums = sums.withColumn("det", det).withColumn("ok", (s0 >= 3) & (F.abs("det") > 1e-9))
-    safe = F.when(F.col("ok"), F.col("det"))
-    sums = sums.select(
-        *key,
-        ((t0 * (s2 * s4 - s3 * s3) + s2 * (t1 * s3 - s2 * t2)) / safe).alias("c0"),
-        ((s0 * (t1 * s4 - s3 * t2) - s2 * (t1 * s2 - t0 * s3)) / safe).alias("c1"),
-        ((s0 * (s2 * t2 - t1 * s3) - s2 * s2 * t0) / safe).alias("c2"),
+    df = df.withColumn("det", s0 * (s2 * s4 - s3 * s3) - s2 * s2 * s2)
+    safe = F.when((s0 >= 3) & (F.abs("det") > 1e-9), F.col("det"))
+    df = (
+        df.withColumn("c0", (t0 * (s2 * s4 - s3 * s3) + s2 * (t1 * s3 - s2 * t2)) / safe)
+        .withColumn("c1", (s0 * (t1 * s4 - s3 * t2) - s2 * (t1 * s2 - t0 * s3)) / safe)
+        .withColumn("c2", (s0 * (s2 * t2 - t1 * s3) - s2 * s2 * t0) / safe)
     )
-    fitted = q.join(sums, key)
-    err = F.col("minor") - (F.col("c0") + F.col("c1") * u + F.col("c2") * u * u)
-    residual = fitted.groupBy(*key).agg(F.sqrt(F.avg(err * err)).alias("residual"))
-    return stats.join(sums, key).join(residual, key)
+
+    def error(x: Column) -> Column:
+        u = x["major"] - F.col("mid")
+        return x["minor"] - (F.col("c0") + F.col("c1") * u + F.col("c2") * u * u)
+
+    squares = F.aggregate("p", F.lit(0.0), lambda s, x: s + error(x) * error(x))
+    return df.withColumn("residual", F.sqrt(squares / s0)).drop("p", "s", "det")
 
 
 def candidates(points: DataFrame, width: int, height: int) -> DataFrame:
