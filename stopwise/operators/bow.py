@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions.arrays import let, mean, names
 
+# Fixed values.
 LEAST_CONTRAST = 0.15
 SIDE = 0.35
 MOST_SUPPORT = 0.75

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions.arrays import null_text, mean, total, upto, variance
 
+# Fixed values.
 LEAST_LENGTH = 5
 LEAST_ENERGY = 1e-8
 EPSILON = 1.1920929e-7

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions.arrays import upto
 
+# The sheet's measures in pixels.
 THUMB_W, THUMB_H, LABEL_H, PAD, MOST_COLUMNS = 96, 72, 12, 6, 4
 TILE_W, TILE_H = THUMB_W + 2 * PAD, THUMB_H + LABEL_H + 2 * PAD
 GLYPHS = THUMB_W // 4  # glyphs are 3 wide, with a gap of 1

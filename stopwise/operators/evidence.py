@@ -19,6 +19,7 @@ from stopwise.operators.repeats import best_subset
 KEYS = ["run_id", "lens_model", "focal_length_mm", "f_number"]
 CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
 SHORT = ("tl", "tr", "bl", "br")
+# Fixed values.
 TEXTURED = 0.15
 SCATTER_LIMIT, DRIFT_LIMIT = 0.10, 0.25
 SEARCH_FROM, SEARCH_TO = 3, 64

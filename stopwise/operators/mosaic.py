@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions.arrays import upto
 
+# Sensor patterns, their phases, and luma weights.
 PATTERNS = ("RGGB", "BGGR", "GBRG", "GRBG")
 #: Column and row of the first green, the red and the blue sample of a 2 x 2 cell.
 GREEN = {"RGGB": (1, 0), "BGGR": (1, 0), "GBRG": (0, 0), "GRBG": (0, 0)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions.arrays import blur_columns, blur_rows, mean, variance
 
+# Fixed values.
 FINE, COARSE = 1.0, 2.5
 LEAST_SIGNAL = 1e-6
 TEXTURED = 0.15
