@@ -24,6 +24,7 @@ document and keep the same lines; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopwise.deploy import tidied
 from stopwise.llm.common import checked_broadcast, split_crowded, stash, table
 from stopwise.llm.graph import components
 
@@ -38,8 +40,6 @@ EDITS = 2
 MIN_CHARS = 20
 U = np.uint64
 SLICE = 1 << 20
-#: A set of line hashes up to this size is broadcast; a larger one is joined.
-BROADCAST_LINES = 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,14 +131,15 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 
 def keys_of(edits: int, min_chars: int, share: int = 1):
-    """Rows (key, line) of texts; of one line hash in ``share``."""
+    """Rows (key, line) of texts; of one distinct line in ``share``, chosen by its CRC."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch):
+                if share > 1:
+                    texts = ["\n".join([x for x in t.split("\n") if zlib.crc32(x.encode()) % share == 0]) for t in texts]
                 lines = Lines(texts, min_chars)
                 first = np.unique(lines.line, return_index=True)[1]
-                first = first[lines.line[first] % U(share) == 0]
                 lines.begin, lines.size, lines.line = lines.begin[first], lines.size[first], lines.line[first]
                 key, who = lines.keys(edits, min_chars)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.line[who].view(np.int64))], ["key", "line"])
@@ -307,19 +308,14 @@ def places_of(min_chars: int):
     return places
 
 
-def texts_of(min_chars: int, wanted=None):
-    """(line, text), once for each slice; of the lines in the sorted array ``wanted`` if there is one."""
+def texts_of(min_chars: int):
+    """(line, text), once for each slice."""
 
     def texts_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch):
                 lines = Lines(texts, min_chars)
                 first = np.unique(lines.line, return_index=True)[1]
-                if wanted is not None:
-                    held = wanted.value
-                    mine = lines.line[first].view(np.int64)
-                    at = np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))
-                    first = first[held[at] == mine] if len(held) else first[:0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lines.line[first].view(np.int64)), pa.array([lines.text(i) for i in first.tolist()], pa.string())], ["line", "text"]
                 )
@@ -330,27 +326,23 @@ def texts_of(min_chars: int, wanted=None):
 def line_links(docs: DataFrame, edits: int, min_chars: int, block: int = 4096, share: int = 64) -> DataFrame:
     """Links (a, b) of line hashes that connect all lines within ``edits`` edits."""
     text = docs.select("text")
-    keyed = text.mapInArrow(keys_of(edits, min_chars), "key long, line long")
-    sample = text.mapInArrow(keys_of(edits, min_chars, share), "key long, line long").distinct()
+    keyed = text.mapInArrow(tidied(keys_of(edits, min_chars)), "key long, line long")
+    sample = text.mapInArrow(tidied(keys_of(edits, min_chars, share)), "key long, line long").distinct()
     parts = split_crowded(keyed, sample, "line", block, share)
     sets = None
     for part in parts:
-        got = part.repartition("key").sortWithinPartitions("key", "line").mapInArrow(sets_of, "set long, line long")
+        got = part.repartition("key").sortWithinPartitions("key", "line").mapInArrow(tidied(sets_of), "set long, line long")
         sets = got if sets is None else sets.unionByName(got)
     sets = stash(sets.distinct(), "line-sets")
-    wanted = stash(sets.select("line").distinct(), "lines-wanted")
-    if wanted.count() <= BROADCAST_LINES:
-        held = np.sort(np.array([r[0] for r in wanted.collect()], np.int64))
-        texts = text.mapInArrow(texts_of(min_chars, docs.sparkSession.sparkContext.broadcast(held)), "line long, text string")
-    else:
-        texts = text.mapInArrow(texts_of(min_chars), "line long, text string").join(wanted, "line", "left_semi")
+    wanted = checked_broadcast(stash(sets.select("line").distinct(), "lines-wanted"))
+    texts = text.mapInArrow(tidied(texts_of(min_chars)), "line long, text string").join(wanted, "line", "left_semi")
     texts = texts.groupBy("line").agg(F.min("text").alias("text"))
     return (
         sets.join(texts, "line")
         .select("set", "line", "text")
         .repartition("set")
         .sortWithinPartitions("set", "line")
-        .mapInArrow(links_of(edits), "a long, b long")
+        .mapInArrow(tidied(links_of(edits)), "a long, b long")
         .distinct()
     )
 
@@ -359,7 +351,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     """``docs``: doc_id, text, text_key. Returns doc_id, text_key, removed (line numbers) where there are any."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     roots = stash(components(line_links(docs, edits, min_chars)), "line-roots")
-    places = stash(docs.mapInArrow(places_of(min_chars), f"line long, doc_id {kind}, text_key long, number int"), "line-places")
+    places = stash(docs.mapInArrow(tidied(places_of(min_chars)), f"line long, doc_id {kind}, text_key long, number int"), "line-places")
     classed = places.join(roots, places.line == roots.node, "left").select(
         F.coalesce("root", "line").alias("class"),
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "number").alias("place"),
@@ -399,7 +391,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     # text_key decides with doc_id, which may be null
     wide = rows.join(gone, rows.doc_id.eqNullSafe(gone.d) & (rows.text_key == gone.t), "left").drop("d", "t", "text_key")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in wide.schema if f.name not in ("text", "removed")]
-    out = wide.mapInArrow(cut, ", ".join([*fields, "text string", "n_lines long", "n_removed long"]))
+    out = wide.mapInArrow(tidied(cut), ", ".join([*fields, "text string", "n_lines long", "n_removed long"]))
     return out.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "text", "n_lines", "n_removed")
 
 
