@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import stash, table
+from stopwise.deploy import tidied
+from stopwise.llm.common import discard, stash, table
 
 WINDOW = 50
 ROUNDS = 3
@@ -294,7 +295,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where("doc_id IS NOT NULL")
     parts = stash(
-        known.mapInArrow(_stretches, f"anchor long, stretch long, doc_id {kind}, text_key long, first int, last int"), "stretches"
+        known.mapInArrow(tidied(_stretches), f"anchor long, stretch long, doc_id {kind}, text_key long, first int, last int"), "stretches"
     )
     shared = (
         parts.groupBy("anchor")
@@ -302,9 +303,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
+    # Aggregates are written before they are joined: a join of two plain shuffles can split a crowded key.
+    # Each table goes when the next has been written, which holds disk to about twice the input.
+    shared = stash(shared, "anchors-shared")
     met = stash(parts.join(shared, "anchor"), "stretches-met")
-    first_doc = met.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first_doc"))
+    discard(parts, shared)
+    first_doc = stash(met.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first_doc")), "stretches-first")
     judged = stash(met.join(first_doc, ["anchor", "stretch"]).select("doc_id", "text_key", "first", "last", "mixed", "first_doc"), "stretches-judged")
+    discard(met, first_doc)
     later = judged.where("doc_id > first_doc").select("doc_id", "text_key", "first", "last")
     open_ = (
         judged.where("doc_id = first_doc AND mixed")
@@ -314,11 +320,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     singles = stash(
         known.join(open_, ["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "ranges")
-        .mapInArrow(_window_hashes, f"h1 long, h2 long, doc_id {kind}, text_key long, first int"),
+        .mapInArrow(tidied(_window_hashes), f"h1 long, h2 long, doc_id {kind}, text_key long, first int"),
         "windows",
     )
     least = singles.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    least = stash(least.drop("last_doc"), "windows-repeated")
     single = singles.join(least, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "text_key", "first", F.col("first").alias("last"))
+    single = stash(single, "windows-later")
+    discard(singles, least)
     return later.unionByName(single)
 
 
@@ -332,13 +341,13 @@ def with_ranges(docs: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words joined by one space)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_ranges(docs).mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return with_ranges(docs).mapInArrow(tidied(_cut), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_ranges(docs).mapInArrow(_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return with_ranges(docs).mapInArrow(tidied(_digest), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = r"""
