@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.deploy import shared_dir, tidied
-from stopwise.llm.common import stash, table
+from stopwise.llm.common import discard, stash, table
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -207,7 +207,10 @@ def features(found: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_bytes, the columns of ``features`` and ``probe``, shard, offset, length."""
     rows = store(docs, folder)
-    found = stash(features(stash(probe(entries(rows)), "media-probed")), "media-features")
+    addresses = entries(rows)
+    probed = stash(probe(addresses), "media-probed")
+    found = stash(features(probed), "media-features")
+    discard(addresses, probed)
     return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
         "width", "height", "bit_depth", "shard", "offset", "length",
