@@ -230,8 +230,8 @@ def near_dups(docs: DataFrame) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, less all but one of each class of near copies.
+def keep_one(docs: DataFrame, classes=classes) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each class of near copies that ``classes`` finds.
 
     The smallest doc_id stays, null coming last; of several rows with that id, one.
     """
