@@ -2,7 +2,8 @@
 
 Lines of at least ``min_chars`` characters are linked if they are at most ``edits`` edits
 (insertions, deletions, substitutions of code points) apart. Linked lines, directly or through others, and equal
-lines form a class, of which the corpus's first line, by doc_id and place, stays.
+lines form a class, of which the corpus's first line, by doc_id and place, stays. Shorter lines, unless blank, form
+classes with equal lines only.
 
 A line of length n is cut into ``edits`` + 1 even segments. Of two lines within ``edits`` edits the
 shorter has a segment that the longer holds unchanged, near its place. A line therefore has a key for
@@ -17,8 +18,8 @@ against lines not yet reached, not all pairs. Keys that a sample shows to be cro
 blocks. Removed line numbers go back to the texts as one row a document. Lines are told apart by a
 64-bit hash.
 
-Edge cases: a null or empty text has no lines of that length and stays as it is; shorter lines are
-never removed nor compared; rows with a null doc_id come last in the order; repeated rows are one
+Edge cases: a null or empty text has no lines to remove and stays as it is; blank lines (of the bytes that
+part words) under ``min_chars`` are never removed; rows with a null doc_id come last in the order; repeated rows are one
 document and keep the same lines; an empty table gives an empty result; other columns are not read.
 """
 
@@ -95,6 +96,11 @@ class Lines:
     def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (self.sums[at + n] - self.sums[at]) * self.back[at]
 
+    def blank(self) -> np.ndarray:
+        """Whether a line has no word."""
+        words = np.concatenate(([0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))))
+        return words[self.begin + self.size] == words[self.begin]
+
     def text(self, i: int) -> str:
         a = int(self.begin[i])
         return self.points[a : a + int(self.size[i])].tobytes().decode("utf-32-le", "surrogatepass")
@@ -293,15 +299,16 @@ def links_of(edits: int):
 
 
 def places_of(min_chars: int):
-    """Every line: its hash, doc_id, text_key and number in the document."""
+    """Every line but blank ones under ``min_chars``: its hash, doc_id, text_key and number in the document."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _slices(batch):
-                lines = Lines(texts, min_chars)
-                row = pa.array(first + lines.row)
+                lines = Lines(texts, 1)
+                at = np.flatnonzero((lines.size >= min_chars) | ~lines.blank())
+                row = pa.array(first + lines.row[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.line.view(np.int64)), batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number.astype(np.int32))],
+                    [pa.array(lines.line[at].view(np.int64)), batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number[at].astype(np.int32))],
                     ["line", "doc_id", "text_key", "number"],
                 )
 
