@@ -333,7 +333,7 @@ def metadata_inspect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contact_layout(spark: SparkSession, d: str) -> DataFrame:
-    f = tables.frames(spark, d).where("input_index < run_id % 9 + 1")
+    f = tables.frames(spark, d)
     n = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
     path = F.concat(F.lit("/shots/Frame é"), F.col("input_index").cast("string"), F.lit(".dng"))
     df = f.withColumn("n", n)
