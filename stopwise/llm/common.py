@@ -66,19 +66,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stored_bytes(stashed: DataFrame) -> int:
-    """Bytes on disk of a table of ``stash``, as a check before a broadcast."""
-    fs, path = hadoop_path(stashed.sparkSession, stashed._stashed)
-    return fs.getContentSummary(path).getLength()
+#: Tables whose rows take no more than this in memory may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-#: Tables that take no more than this on disk may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 8 << 20
+def row_bytes(stored: DataFrame) -> int:
+    """Bytes that all rows take in memory: a word for each field, and what strings, binaries and arrays of words hold."""
+    width = F.lit(8 + 16 * len(stored.columns)).cast("long")
+    for f in stored.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif kind == "array":
+            width += 8 * F.coalesce(F.size(F.col(f.name)), F.lit(0))
+    return stored.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
 def checked_broadcast(stored: DataFrame) -> DataFrame:
-    """``stored`` (a table in files) with a broadcast hint if its size allows that."""
-    return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
+    """``stored`` (a table in files) with a broadcast hint if the size of its rows allows that."""
+    return F.broadcast(stored) if row_bytes(stored) <= BROADCAST_BYTES else stored
+
+
+#: Of items of one key that a task holds.
+BLOCK_BYTES = 32 << 20
 
 
 def split_crowded(
@@ -87,14 +97,15 @@ def split_crowded(
     """Cut groups of (key, item) rows that are too large for one task.
 
     ``sample`` holds the rows of one item in ``share``. Keys that it shows to have more than ``block``
-    items are cut into parts of about that many, and every two parts meet under a key of their
-    own; every two items of a key still meet somewhere. The list's frames have the columns of ``keyed``.
+    items, or where it has a column ``bytes`` more than BLOCK_BYTES of them, are cut into parts of about that many,
+    and every two parts meet under a key of their own; every two items of a key still meet somewhere. The list's
+    frames have the columns of ``keyed``.
     """
+    load = F.count(F.lit(1)) / block
+    if "bytes" in sample.columns:
+        load = F.greatest(load, F.sum("bytes") / BLOCK_BYTES)
     crowded = stash(
-        sample.groupBy("key")
-        .count()
-        .where(F.col("count") * share > block)
-        .select("key", F.ceil(F.col("count") * share / block).cast("int").alias("parts")),
+        sample.groupBy("key").agg((load * share).alias("load")).where("load > 1").select("key", F.ceil("load").cast("int").alias("parts")),
         "crowded",
     )
     if crowded.isEmpty():

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import stash
+from stopwise.llm.common import discard, stash
 
 
 def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -31,7 +31,7 @@ def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links``: (a, b) of one orderable type. Returns (node, root) for every node with a link."""
+    """``links``: (a, b) of one orderable type. Returns (node, root) for every node with a link, a table in files."""
     now = stash(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
@@ -41,7 +41,9 @@ def components(links: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark = new
-        now = stash(_stars(_stars(now, True), False), "links")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+        before, now = now, stash(_stars(_stars(now, True), False), "links")
+        discard(before)
+    ends = F.array(F.col("a"), F.col("b"))
+    roots = stash(now.select(F.explode(ends).alias("node"), F.col("b").alias("root")).distinct(), "roots")
+    discard(now)
+    return roots

@@ -14,17 +14,20 @@ bit-parallel edit distance, after their common ends are cut off.
 
 Scale: texts do not travel with keys. A key names a set of lines; equal sets are met once, and only
 lines in sets of two or more have their text fetched. Under a set a spanning set of links is found
-against lines not yet reached, not all pairs. Keys that a sample shows to be crowded are cut into
-blocks. Removed line numbers go back to the texts as one row a document. Lines are told apart by a
-64-bit hash.
+against lines not yet reached, not all pairs. Keys that a sample shows to be crowded, by lines or by their length,
+are cut into blocks. Removed line numbers go back to the texts as one row a document. Equal lines are known by a
+128-bit digest of their bytes (BLAKE2b); the rolling 64-bit hashes only bring lines together, and what they bring
+together is compared as text.
 
 Edge cases: a null or empty text has no lines to remove and stays as it is; blank lines (of the bytes that
 part words) under ``min_chars`` are never removed; rows with a null doc_id come last in the order; repeated rows are one
-document and keep the same lines; an empty table gives an empty result; other columns are not read.
+document and keep the same lines; an empty table gives an empty result; other columns are not read unless named in
+``keep``, where names that the result has itself are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -34,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.deploy import tidied
-from stopwise.llm.common import checked_broadcast, split_crowded, stash, table
+from stopwise.llm.common import checked_broadcast, discard, split_crowded, stash, table
 from stopwise.llm.graph import components
 
 EDITS = 2
 MIN_CHARS = 20
 U = np.uint64
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,12 +60,15 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(x: int, n: int) -> np.ndarray:
-    """x ** 0 .. x ** (n - 1), kept for the next call."""
-    if n > len(_POWERS.get(x, ())):
-        out = np.full(n + (n >> 2), x, U)
+    """x ** 0 .. x ** (n - 1), kept for the next call unless they are many."""
+    kept = _POWERS.get(x, ())
+    if n > len(kept):
+        out = np.full(max(n, SLICE), x, U)
         out[0] = 1
-        _POWERS[x] = np.cumprod(out)
-    return _POWERS[x][:n]
+        kept = np.cumprod(out)
+        if n <= 2 * SLICE:
+            _POWERS[x] = kept
+    return kept[:n]
 
 
 _MIXED = mix(np.arange(1, 0x10001, dtype=U))
@@ -80,14 +86,15 @@ class Lines:
     """Lines of several texts as code points, with hashes of any stretch of them."""
 
     def __init__(self, texts: list[str], min_chars: int):
-        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.whole = "\n".join([*texts, ""])
+        points = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         stops = np.flatnonzero(points == 10)
         begin = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
         ends_text = np.cumsum([len(t) + 1 for t in texts])
         row = np.searchsorted(ends_text, begin, "right")
         number = np.arange(len(begin)) - np.searchsorted(begin, (ends_text - [len(t) + 1 for t in texts])[row]) if len(begin) else begin
         keep = stops - begin >= min_chars
-        self.points, self.row, self.number = points, row[keep], number[keep]
+        self.points, self.row, self.number, self.place = points, row[keep], number[keep], np.flatnonzero(keep)
         self.begin, self.size = begin[keep], (stops - begin)[keep]
         power, self.back = (powers(x, len(points) + 1) for x in (BASE, INVERSE))
         self.sums = np.concatenate((np.zeros(1, U), np.cumsum(coefficients(points) * power[:-1])))
@@ -101,9 +108,17 @@ class Lines:
         words = np.concatenate(([0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))))
         return words[self.begin + self.size] == words[self.begin]
 
-    def text(self, i: int) -> str:
-        a = int(self.begin[i])
-        return self.points[a : a + int(self.size[i])].tobytes().decode("utf-32-le", "surrogatepass")
+    def encoded(self) -> tuple[list[bytes], pa.Array]:
+        """Digest of every line, and all lines as binary values, also those too short to be kept."""
+        data = np.frombuffer(self.whole.encode("utf-8", "surrogatepass"), np.uint8)
+        stops = np.flatnonzero(data == 10)
+        ends = stops - np.arange(len(stops))  # without the line feeds
+        offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
+        every = pa.Array.from_buffers(pa.binary(), len(stops), [None, offsets, pa.py_buffer(data[data != 10])])
+        begin = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
+        view = memoryview(data)
+        spans = zip(begin[self.place].tolist(), stops[self.place].tolist())
+        return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans], every
 
     def keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
         """(key, index of the line): own segments come up as substrings of a line as long as itself."""
@@ -136,19 +151,22 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
             held, size, first = [], 0, i + 1
 
 
-def keys_of(edits: int, min_chars: int, share: int = 1):
-    """Rows (key, line) of texts; of one distinct line in ``share``, chosen by its CRC."""
+def keys_of(edits: int, min_chars: int, share: int = 0):
+    """Rows (key, line) of texts; with ``share``, (key, line, bytes) of one distinct line in so many, chosen by its CRC."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch):
-                if share > 1:
+                if share:
                     texts = ["\n".join([x for x in t.split("\n") if zlib.crc32(x.encode()) % share == 0]) for t in texts]
                 lines = Lines(texts, min_chars)
                 first = np.unique(lines.line, return_index=True)[1]
                 lines.begin, lines.size, lines.line = lines.begin[first], lines.size[first], lines.line[first]
                 key, who = lines.keys(edits, min_chars)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.line[who].view(np.int64))], ["key", "line"])
+                got = [pa.array(key.view(np.int64)), pa.array(lines.line[who].view(np.int64))]
+                if share:
+                    got.append(pa.array(lines.size[who]))
+                yield pa.RecordBatch.from_arrays(got, ["key", "line", "bytes"][: len(got)])
 
     return keys
 
@@ -275,17 +293,17 @@ def spanning_links(texts: list[str], edits: int) -> list[tuple[int, int]]:
 
 
 def links_of(edits: int):
-    """Rows (set, line, text) sorted by set to verified links (a, b)."""
+    """Rows (set, digest, text) sorted by set to verified links (a, b) of digests."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lines, texts = None, [], []
 
         def settle() -> pa.RecordBatch:
             found = spanning_links(texts, edits)
-            return pa.RecordBatch.from_arrays([pa.array([lines[j] for j in k], pa.int64()) for k in ([f[0] for f in found], [f[1] for f in found])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([lines[f[side]] for f in found], pa.binary()) for side in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for name, line, text in zip(*(batch.column(c).to_pylist() for c in ("set", "line", "text"))):
+            for name, line, text in zip(*(batch.column(c).to_pylist() for c in ("set", "digest", "text"))):
                 if name != now:
                     if len(texts) > 1:
                         yield settle()
@@ -299,7 +317,7 @@ def links_of(edits: int):
 
 
 def places_of(min_chars: int):
-    """Every line but blank ones under ``min_chars``: its hash, doc_id, text_key and number in the document."""
+    """Every line but blank ones under ``min_chars``: its digest, doc_id, text_key and number in the document."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,34 +325,37 @@ def places_of(min_chars: int):
                 lines = Lines(texts, 1)
                 at = np.flatnonzero((lines.size >= min_chars) | ~lines.blank())
                 row = pa.array(first + lines.row[at])
+                lines.place = lines.place[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.line[at].view(np.int64)), batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number[at].astype(np.int32))],
-                    ["line", "doc_id", "text_key", "number"],
+                    [pa.array(lines.encoded()[0], pa.binary()), batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number[at].astype(np.int32))],
+                    ["digest", "doc_id", "text_key", "number"],
                 )
 
     return places
 
 
 def texts_of(min_chars: int):
-    """(line, text), once for each slice."""
+    """(line, digest, text), once for each slice."""
 
     def texts_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch):
                 lines = Lines(texts, min_chars)
-                first = np.unique(lines.line, return_index=True)[1]
+                digests, every = lines.encoded()
+                once = {d: i for i, d in enumerate(digests)}
+                at = np.fromiter(once.values(), np.int64, len(once))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.line[first].view(np.int64)), pa.array([lines.text(i) for i in first.tolist()], pa.string())], ["line", "text"]
+                    [pa.array(lines.line[at].view(np.int64)), pa.array(list(once), pa.binary()), every.take(pa.array(lines.place[at])).cast(pa.string())], ["line", "digest", "text"]
                 )
 
     return texts_
 
 
 def line_links(docs: DataFrame, edits: int, min_chars: int, block: int = 4096, share: int = 64) -> DataFrame:
-    """Links (a, b) of line hashes that connect all lines within ``edits`` edits."""
+    """Links (a, b) of line digests that connect all lines within ``edits`` edits."""
     text = docs.select("text")
     keyed = text.mapInArrow(tidied(keys_of(edits, min_chars)), "key long, line long")
-    sample = text.mapInArrow(tidied(keys_of(edits, min_chars, share)), "key long, line long").distinct()
+    sample = text.mapInArrow(tidied(keys_of(edits, min_chars, share)), "key long, line long, bytes long").distinct()
     parts = split_crowded(keyed, sample, "line", block, share)
     sets = None
     for part in parts:
@@ -342,25 +363,30 @@ def line_links(docs: DataFrame, edits: int, min_chars: int, block: int = 4096, s
         sets = got if sets is None else sets.unionByName(got)
     sets = stash(sets.distinct(), "line-sets")
     wanted = checked_broadcast(stash(sets.select("line").distinct(), "lines-wanted"))
-    texts = text.mapInArrow(tidied(texts_of(min_chars)), "line long, text string").join(wanted, "line", "left_semi")
-    texts = texts.groupBy("line").agg(F.min("text").alias("text"))
-    return (
+    texts = text.mapInArrow(tidied(texts_of(min_chars)), "line long, digest binary, text string").join(wanted, "line", "left_semi")
+    texts = texts.groupBy("line", "digest").agg(F.min("text").alias("text"))
+    links = (
         sets.join(texts, "line")
-        .select("set", "line", "text")
+        .select("set", "digest", "text")
         .repartition("set")
-        .sortWithinPartitions("set", "line")
-        .mapInArrow(tidied(links_of(edits)), "a long, b long")
+        .sortWithinPartitions("set", "digest")
+        .mapInArrow(tidied(links_of(edits)), "a binary, b binary")
         .distinct()
     )
+    links = stash(links, "line-links")
+    discard(sets)
+    return links
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs``: doc_id, text, text_key. Returns doc_id, text_key, removed (line numbers) where there are any."""
+    """``docs``: doc_id, text, text_key. Returns doc_id, text_key, removed (line numbers) where there are any; a table in files."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    roots = stash(components(line_links(docs, edits, min_chars)), "line-roots")
-    places = stash(docs.mapInArrow(tidied(places_of(min_chars)), f"line long, doc_id {kind}, text_key long, number int"), "line-places")
-    classed = places.join(roots, places.line == roots.node, "left").select(
-        F.coalesce("root", "line").alias("class"),
+    links = line_links(docs, edits, min_chars)
+    roots = components(links)
+    discard(links)
+    places = stash(docs.mapInArrow(tidied(places_of(min_chars)), f"digest binary, doc_id {kind}, text_key long, number int"), "line-places")
+    classed = places.join(checked_broadcast(roots), places.digest == roots.node, "left").select(
+        F.coalesce("root", "digest").alias("class"),
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "number").alias("place"),
     )
     first = stash(
@@ -368,7 +394,9 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         "line-firsts",
     )
     gone = classed.join(first, "class").where("place <> first").select("place.*").distinct()
-    return gone.groupBy("doc_id", "text_key").agg(F.collect_list("number").alias("removed"))
+    gone = stash(gone.groupBy("doc_id", "text_key").agg(F.collect_list("number").alias("removed")), "lines-removed")
+    discard(roots, places, first)
+    return gone
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,9 +419,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, the columns ``keep``, text (what stays), n_lines, n_removed."""
-    names = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "text")]
+    names = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "n_lines", "n_removed")]
     rows = docs.select("doc_id", "text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.xxhash64("text").alias("text_key"))
-    gone = checked_broadcast(stash(removed_lines(rows.select("doc_id", "text", "text_key"), edits, min_chars), "lines-removed"))
+    gone = checked_broadcast(removed_lines(rows.select("doc_id", "text", "text_key"), edits, min_chars))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "removed")
     # text_key decides with doc_id, which may be null
     wide = rows.join(gone, rows.doc_id.eqNullSafe(gone.d) & (rows.text_key == gone.t), "left").drop("d", "t", "text_key")

@@ -2,14 +2,15 @@
 
 Documents are tokenised once, ended by id 0, and cut only where longer than a sequence. Pieces
 shorter than a sequence are packed in rounds: every task packs its share best-fit decreasing,
-nearly full bins are final, and underfull bins go on as items to a round with an eighth of the
-tasks. A task hands on at most its ``carry`` emptiest bins (two bins over half full never fit
-together, so fuller ones could at best take one of the few small bins left) and so each task
-of the next round holds at most eight times as many. Bins carry their pieces, at most ``capacity``
-of them, so no join is needed to find a piece's place.
+nearly full bins are final, and all underfull bins go on as items to a round with an eighth of the
+tasks, or with more where a task would else hold more than ``per_task`` bins. Items are dealt evenly, so that
+each task has a fair sample of sizes and small items meet large ones. Rounds end with a single task or, where the
+bins left are too many for one, when a round merged fewer than ``least_gain`` of them: no size that fits is left
+then. Bins carry their pieces, at most ``capacity`` of them, so no join is needed to find a piece's place.
 
 Tokenising: texts are cut at ASCII white space, which the tokenizer drops, and ids are looked up in a
-bounded cache by word; words not seen are encoded by the tokenizer itself.
+bounded cache by word; words not seen are encoded by the tokenizer itself. A task works on about half a MB of
+text at a time, or on one longer text.
 
 Edge cases: a null or empty text is the one id 0; repeated rows are packed each; an empty table
 gives an empty result; other columns are not read.
@@ -32,7 +33,7 @@ from stopwise.deploy import tidied
 from stopwise.llm.common import stash, table
 
 CAPACITY = 2048
-SLICE = 4 << 20
+SLICE = 1 << 19
 
 
 def default_vocabulary() -> str:
@@ -42,12 +43,12 @@ def default_vocabulary() -> str:
 
 
 class Tokens:
-    """Token ids of white-space separated words, through a cache of at most ``most`` words.
+    """Token ids of white-space separated words, through a cache of ``most`` words and ``most_bytes`` of text, about.
 
     The cache is a number for each word, and the words' ids one after another. It is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 50_000, most_bytes: int = 4 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,7 +56,7 @@ class Tokens:
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -65,7 +66,7 @@ class Tokens:
         self.number: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)  # one more than there are words
-        self.known = 0
+        self.known = self.bytes = 0
 
     def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         end = int(self.start[self.known])
@@ -77,6 +78,7 @@ class Tokens:
         self.start[self.known + 1 : self.known + 1 + len(words)] = end + np.cumsum(size)
         self.number.update(zip(words, range(self.known, self.known + len(words))))
         self.known += len(words)
+        self.bytes += sum(map(len, words))
 
     def _learn(self, words: list[bytes]) -> None:
         """Words that are one run of lower-case letters are encoded many at once and told apart by their end marks."""
@@ -99,7 +101,7 @@ class Tokens:
     def encode(self, words: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words[index[0]], words[index[1]], ..., and the number of ids of each. ``words`` are distinct."""
         new = [w for w in words if w not in self.number]
-        if self.known and self.known + len(new) > self.most:
+        if self.known and (self.known + len(new) > self.most or self.bytes > self.most_bytes):
             self.clear()
             new = words
         self._learn(new)
@@ -214,7 +216,7 @@ def best_fit(used: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _merge(table_: pa.Table, capacity: int, full: int, carry: int) -> pa.RecordBatch:
+def _merge(table_: pa.Table, capacity: int, full: int) -> pa.RecordBatch:
     """Pack the bins of a task into new ones; ``open``: whether a bin goes on to the next round."""
     used = table_.column("used").to_numpy().astype(np.int64)
     lists = table_.column("items").combine_chunks()
@@ -232,15 +234,12 @@ def _merge(table_: pa.Table, capacity: int, full: int, carry: int) -> pa.RecordB
     values = pa.StructArray.from_arrays([pa.array(place) if k == "offset" else values.field(k) for k in names], names)
     total = np.add.reduceat(used[order], last - n)
     ends = np.concatenate(([0], np.cumsum(size)[last - 1]))
-    open_ = total < full
-    ranked = np.flatnonzero(open_)[np.argsort(total[open_], kind="stable")]
-    open_[ranked[carry:]] = False
     return pa.RecordBatch.from_arrays(
-        [pa.array(total), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), pa.array(open_)], ["used", "items", "open"]
+        [pa.array(total), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), pa.array(total < full)], ["used", "items", "open"]
     )
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, carry: int = 4096, slack: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, slack: int = 8, least_gain: float = 0.005) -> DataFrame:
     """``items``: doc_id, piece, start, length, ids_crc32. Adds sequence_id and offset."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     single = items.select(
@@ -252,21 +251,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, car
     def round_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if rows:
-            yield _merge(pa.Table.from_batches(rows), capacity, capacity - slack, carry)
+            yield _merge(pa.Table.from_batches(rows), capacity, capacity - slack)
 
     final = [single.where(F.col("used") >= capacity)]
     todo = single.where(F.col("used") < capacity)
-    tasks = max(1, -(-todo.count() // per_task))
+    bins = todo.count()
+    tasks = max(1, -(-bins // per_task))
     while True:
         done = stash(
             todo.select("used", "items").repartition(tasks).mapInArrow(tidied(round_of), f"used long, items {kind}, open boolean"), "packed"
         )
-        if tasks == 1:
-            final.append(done)
-            break
         final.append(done.where("NOT open"))
         todo = done.where("open")
-        tasks = max(1, tasks // 8)
+        left, held = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+        if tasks == 1 or left > max(per_task, (1 - least_gain) * bins):
+            final.append(todo)
+            break
+        bins, tasks = left, max(1, -(-tasks // 8), -(-left // per_task), -(-held // (8 * per_task)))
     every = final[0]
     for more in final[1:]:
         every = every.unionByName(more.select("used", "items"))

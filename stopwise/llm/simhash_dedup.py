@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.deploy import tidied
-from stopwise.llm.common import checked_broadcast, split_crowded, stash, table
+from stopwise.llm.common import checked_broadcast, discard, split_crowded, stash, table
 from stopwise.llm.graph import components
 
 WIDTHS = (22, 21, 21)
 SHIFTS = (42, 21, 0)
 MOST_BITS = 4
+#: Fingerprints whose keys one task makes.
+PER_TASK = 10_000
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -204,7 +206,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def links_of(fps: DataFrame, block: int = 4096, share: int = 64) -> DataFrame:
     """``fps``: distinct fp. Links (a, b) that connect all fingerprints within MOST_BITS bits."""
-    keyed = fps.select("fp").mapInArrow(tidied(_keys), "key long, fp long")
+    # a fingerprint gives some 180 keys: tasks follow the number of rows, not the size of their files
+    fps = fps.select("fp").repartition(max(1, -(-fps.count() // PER_TASK)))
+    keyed = fps.mapInArrow(tidied(_keys), "key long, fp long")
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").mapInArrow(tidied(_keys), "key long, fp long")
     out = None
     for part in split_crowded(keyed, sample, "fp", block, share):
@@ -233,26 +237,30 @@ def near_dups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, classes=classes) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each class of near copies that ``classes`` finds.
 
-    The smallest doc_id stays, null coming last; of several rows with that id, one.
+    The smallest doc_id stays, null coming last; of several rows with that id, one. Columns may have any names.
     """
-    rows, named = classes(docs)
+    names = docs.columns
+    held = docs.toDF(*[f"k{i}" for i in range(len(names))])
+    doc, text = (f"k{names.index(c)}" for c in ("doc_id", "text"))
+    rows, named = classes(docs.select("doc_id", "text"))
     named = stash(named, "simhash-roots")
     classed = rows.join(named, "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("row"))
     classed = stash(classed.groupBy("root", "row").agg(F.count(F.lit(1)).alias("times")), "simhash-rows")
     first = classed.groupBy("root").agg(F.min("row").alias("first"), F.sum("times").alias("n")).where("n > 1").drop("n")
-    beaten = classed.join(stash(first, "simhash-first"), "root").where("row <> first OR times > 1")
-    beaten = stash(beaten.select("row.doc_id", "row.text_key", (F.col("row") == F.col("first")).alias("again")), "simhash-beaten")
-    name = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    first = stash(first, "simhash-first")
+    beaten = classed.join(first, "root").where("row <> first OR times > 1")
+    beaten = stash(beaten.select(F.col("row.doc_id").alias("d"), F.col("row.text_key").alias("t"), (F.col("row") == F.col("first")).alias("again")), "simhash-beaten")
+    discard(named, classed, first)
+    keyed = held.withColumn("key", F.xxhash64(text))
 
     def joined(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
-        return df.join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), how)
+        return df.join(other, F.col(doc).eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), how)
 
-    kept = joined(keyed, name(checked_broadcast(beaten)), "left_anti")
-    again = name(beaten.where("again"))
+    kept = joined(keyed, checked_broadcast(beaten).select("d", "t"), "left_anti")
+    again = beaten.where("again").select("d", "t")
     if not again.isEmpty():  # rows that occur several times and stay once
-        kept = kept.unionByName(joined(keyed, again, "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return kept.drop("_key")
+        kept = kept.unionByName(joined(keyed, again, "left_semi").dropDuplicates([doc, "key"]))
+    return kept.drop("key").toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

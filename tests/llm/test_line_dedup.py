@@ -49,8 +49,10 @@ def test_close_lines_share_a_key(a, changes):
 
 
 def brute(rows):
-    lines = [(d is None, d or 0, k, i, line) for d, t in rows for k in (0,) for i, line in enumerate((t or "").split("\n")) if len(line) >= 20]
-    distinct = sorted({x[-1] for x in lines})
+    """Classes of lines of 20 characters and more by all pairs; shorter ones, unless blank, by equality."""
+    counts = lambda x: len(x) >= 20 or x.strip(" \t\v\f\r")
+    lines = [(d is None, d or 0, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if counts(line)]
+    distinct = sorted({x[-1] for x in lines}, key=len)
     root = list(range(len(distinct)))
 
     def find(i):
@@ -59,16 +61,18 @@ def brute(rows):
         return i
 
     for i in range(len(distinct)):
-        for j in range(i):
-            if abs(len(distinct[i]) - len(distinct[j])) <= 2 and op.within(distinct[i], distinct[j], 2):
+        for j in range(i - 1, -1, -1):
+            if len(distinct[j]) < 20 or len(distinct[i]) - len(distinct[j]) > 2:
+                break
+            if op.sketch(distinct[i]).__xor__(op.sketch(distinct[j])).bit_count() <= 8 and op.within(distinct[i], distinct[j], 2):
                 root[find(i)] = find(j)
     of = {x: find(i) for i, x in enumerate(distinct)}
     first = {}
     for x in sorted(lines):
-        first.setdefault(of[x[-1]], x[:4])
+        first.setdefault(of[x[-1]], x[:3])
     out = []
     for d, t in rows:
-        kept = [x for i, x in enumerate((t or "").split("\n")) if len(x) < 20 or first[of[x]] == (d is None, d or 0, 0, i)]
+        kept = [x for i, x in enumerate((t or "").split("\n")) if not counts(x) or first[of[x]] == (d is None, d or 0, i)]
         n = len((t or "").split("\n"))
         out.append((d, n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
@@ -89,11 +93,40 @@ def test_hard_rows_and_empty_table(spark):
     assert [(r[0], r[2]) for r in only_null] == [(3, 0), (None, 1)]
 
 
-def test_some_documents_like_brute_force(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) < 3000").limit(70)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    df = docs_of(spark, rows)
-    assert found(df) == brute(rows)
+def test_whole_table_like_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    assert found(docs_of(spark, rows)) == brute(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", min_size=20, max_size=40), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("abc-+")), max_size=2))
+def test_sketch_allows_for_edits(a, changes):
+    b = list(a)
+    for at, c in changes:
+        b[at : at + (c != "+")] = [] if c == "-" else [c]
+    b = "".join(b)
+    assert op._plain(a, b) > 2 or (op.sketch(a) ^ op.sketch(b)).bit_count() <= 8
+
+
+def test_lines_with_one_rolling_hash_stay_apart(spark):
+    """Thue-Morse lines over a and b and their complements have equal polynomial hashes modulo 2 ** 64."""
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        rows += [(3 * k, one), (3 * k + 1, one.translate(str.maketrans("ab", "ba"))), (3 * k + 2, one)]
+    lines = op.Lines([t for _, t in rows], 20).line.tolist()
+    assert len(set(lines)) < 6
+    assert [(d, gone) for d, _, gone, _ in sorted(found(docs_of(spark, rows)))] == [(d, int(d % 3 == 2)) for d, _ in rows]
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    names = ("n_lines", "n_removed", "digest", "line", "text_key", "removed", "d", "t", "k0", "class", "place", "root", "set")
+    df = docs_of(spark, [(1, "a line that is long enough"), (2, "a line that is long enough")]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = op.line_dedup(df, keep=("lang", *names))
+    assert out.columns == ["doc_id", "lang", *names[2:], "text", "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.d) for r in out.collect()) == [(1, 1, 0, 6), (2, 1, 1, 6)]
 
 
 def test_crowded_keys(spark):

@@ -47,7 +47,7 @@ def test_small_sequences_and_rounds(spark):
     rng = np.random.default_rng(1)
     n = [int(x) for x in rng.integers(1, 100, 3000)]
     items = spark.createDataFrame([(i, 0, 0, x, i) for i, x in enumerate(n)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    rows = op.pack(items, 100, per_task=100, carry=16, slack=1).collect()
+    rows = op.pack(items, 100, per_task=100, slack=1).collect()
     used = defaultdict(int)
     for r in rows:
         assert r.length == n[r.doc_id]
@@ -63,3 +63,29 @@ def test_cache_overflow_keeps_ids_right():
         ids, n = t.encode(words, index)
         assert ids.tolist() == t.encoder.encode(text, add_special_tokens=False).ids
         assert n.sum() == len(ids) and count.sum() == len(index)
+
+
+def test_half_full_bins_meet_small_items(spark):
+    """Items over half a sequence and small ones, as many sequences as one task's best-fit decreasing but 2 %."""
+    rng = np.random.default_rng(2)
+    n = np.concatenate((rng.integers(1030, 1500, 50_000), rng.integers(100, 901, 50_000)))
+    items = spark.range(len(n)).selectExpr("id AS doc_id")
+    sizes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "doc_id long, length long")
+    items = items.join(sizes, "doc_id").selectExpr("doc_id", "0 AS piece", "0L AS start", "length", "0L AS ids_crc32")
+    one = len(op.best_fit(n, 2048))
+    for per_task in (50_000, 5_000):
+        rows = op.pack(items, 2048, per_task=per_task).select("sequence_id", "length").groupBy("sequence_id").sum("length").collect()
+        assert max(r[1] for r in rows) <= 2048 and sum(r[1] for r in rows) == n.sum()
+        assert len(rows) <= 1.02 * one
+
+
+def test_bins_that_cannot_merge_end_early(spark):
+    items = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1100L + id % 300 AS length", "0L AS ids_crc32")
+    assert op.pack(items, 2048, per_task=100).select("sequence_id").distinct().count() == 3000
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = docs_of(spark, [(1, "one two"), (1, "one two")]).select("*", *[F.lit(1).alias(c) for c in ("piece", "used", "items", "open", "sequence_id", "offset", "length", "start")])
+    assert sorted((r.doc_id, r.piece, r.length) for r in op.pack_documents(df).collect()) == [(1, 0, 3)] * 2

@@ -66,11 +66,30 @@ def test_crowded_keys_and_common_shingles(spark):
     head = "one passage that very many texts hold unchanged and that is no reason to link them".split()
     rows = [(i, " ".join(head + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 4))])) for i in range(200)]
     docs = docs_of(spark, rows)
-    from stopwise.llm.graph import components
-
-    shingles = op.Shingles([t.encode() for _, t in rows])
-    names = shingles.name.view("int64").tolist()
-    once = {x: (x, int(shingles.cut[i + 1] - shingles.cut[i]), bytes(h)) for i, (x, h) in enumerate(zip(names, shingles.sketches()))}
-    sketches = spark.createDataFrame(list(once.values()), "fp long, n long, sketch binary")
-    roots = {r.node: r.root for r in components(op.links_of(docs, sketches, block=16, share=1)).collect()}
-    assert len({roots.get(x, x) for x in names}) == len(brute(rows))
+    rows_, named = op.classes(docs, block=16, share=1)
+    roots = {r.fp: r.root for r in named.collect()}
+    assert len({roots[r.fp] for r in rows_.collect()}) == len(brute(rows))
+
+
+def test_groups_whose_least_member_is_not_near_all(spark):
+    """Chains of copies, each some words further: all are linked through others only."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for i in range(25):
+            rows.append((100 * g + i, " ".join(words)))
+            words = words[1:] + [f"g{g}n{rng.randrange(10**6)}"] if i % 2 else words[:30] + [f"g{g}m{i}"] + words[31:]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from stopwise.llm.simhash_dedup import keep_one
+
+    text = "one two three four five six seven"
+    names = ("_key", "_d", "_t", "key", "d", "t", "fp", "root", "k0", "text_key", "name")
+    df = docs_of(spark, [(2, text), (1, text), (3, None)]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = keep_one(df, op.classes)
+    assert out.columns == df.columns and sorted((r.doc_id, r._d, r.name) for r in out.collect()) == [(1, 1, 10), (3, 1, 10)]
