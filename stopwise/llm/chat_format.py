@@ -1,9 +1,14 @@
 r"""Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all turns before it are context, and its reply
-alone is trainable. An example is kept as a target turn plus the length of its prefix in the
-conversation's rendering, so that n turns give n rows, not n * n / 2 copies of text;
-``expand`` writes contexts out where a trainer wants them. Main path: DataFrame functions only.
+alone is trainable. Turns after the last reply make one more example without a target, so that no turn is lost.
+``prefix_targets`` and ``render`` keep an example as a target turn plus the length of its prefix in the
+conversation's rendering; ``expand`` explodes them into rows with context and target, and ``read_back`` gets turns and
+trained text from these rows alone. Main path: DataFrame functions only.
+
+Scale: one shuffle, by conversation. A conversation is one array and its rendering one string in one task, up to 2 GB
+of text; its examples are streamed and never held together, and what is kept of each is its reply. Copying contexts
+costs the square of the length of a conversation: ten thousand turns of 100 characters copy some 3 GB.
 
 Template: ``<role>`` newline, text, ``</turn>`` newline. In roles and texts ``\``, ``<`` and ``>``
 are written ``\b``, ``\l`` and ``\g``; no mark can then arise from a text, and every text is got
@@ -82,17 +87,40 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def expand(rendered: DataFrame) -> DataFrame:
-    """Written-out examples: conv_id, example, context, target (escaped reply with its end mark)."""
-    return rendered.select("conv_id", "formatted", F.posexplode("loss").alias("example", "span")).select(
+    """One row per example: conv_id, example, context, target (escaped reply with its end mark), trainable, last.
+
+    If turns follow the last reply, or there is none, the last example has all turns as context and an empty target.
+    """
+    n = F.char_length("formatted").cast("long")
+    done = F.coalesce(F.try_element_at("loss", F.lit(-1))["end"] + len(END), F.lit(0).cast("long"))
+    rest = F.array(F.struct(n.alias("begin"), n.alias("end")))
+    spans = F.transform("loss", lambda s: F.struct(s["begin"].alias("begin"), (s["end"] + len(END)).alias("end")))
+    spans = F.when(done < n, F.concat(spans, rest)).otherwise(spans)
+    rows = rendered.withColumn("spans", spans).select("conv_id", "formatted", F.size("spans").alias("n"), F.posexplode("spans").alias("example", "span"))
+    return rows.select(
         "conv_id",
         "example",
         F.expr("substring(formatted, 1, CAST(span.begin AS INT))").alias("context"),
-        F.expr(f"substring(formatted, CAST(span.begin AS INT) + 1, CAST(span.end - span.begin AS INT) + {len(END)})").alias("target"),
+        F.expr("substring(formatted, CAST(span.begin AS INT) + 1, CAST(span.end - span.begin AS INT))").alias("target"),
+        F.expr("span.begin < span.end").alias("trainable"),
+        (F.col("example") == F.col("n") - 1).alias("last"),
     )
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
-    """Turns and trained text, parsed from the rendering and its spans."""
+def read_back(examples: DataFrame) -> DataFrame:
+    """Per conversation: turns, parsed from its last example, and trained text, from the targets of all."""
+    reply = F.expr(f"substring(target, 1, char_length(target) - {len(END)})")
+    rows = examples.select(
+        "conv_id",
+        F.char_length("context").cast("long").alias("context"),
+        F.when(F.col("trainable"), F.struct("example", unescape(reply).alias("text"))).alias("reply"),
+        F.when(F.col("last"), F.concat("context", "target")).alias("formatted"),
+    )
+    rows = rows.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list("reply")).alias("replies"),
+        F.max("formatted").alias("formatted"),
+        F.sum(F.when(F.col("reply").isNotNull(), F.col("context"))).alias("context_chars"),
+    )
     pieces = F.filter(F.split("formatted", END, -1), lambda x: x != "")
     turn_text = F.array_join(
         F.transform(
@@ -104,16 +132,9 @@ def read_back(rendered: DataFrame) -> DataFrame:
         ),
         "",
     )
-    trained = F.array_join(
-        F.transform(
-            "loss",
-            lambda s: unescape(F.substring(F.col("formatted"), (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))),
-        ),
-        "",
-    )
     return (
-        rendered.withColumn("turn_text", turn_text)
-        .withColumn("trained", trained)
+        rows.withColumn("turn_text", turn_text)
+        .withColumn("trained", F.array_join(F.transform("replies", lambda x: x["text"]), ""))
         .select(
             "conv_id",
             F.size(pieces).cast("long").alias("n_turns"),
@@ -121,10 +142,17 @@ def read_back(rendered: DataFrame) -> DataFrame:
             F.char_length("trained").cast("long").alias("loss_chars"),
             F.sha2("trained", 256).alias("loss_sha256"),
             F.char_length("formatted").cast("long").alias("formatted_chars"),
+            F.size("replies").cast("long").alias("n_examples"),
+            F.coalesce("context_chars", F.lit(0).cast("long")).alias("context_chars"),
         )
     )
 
 
+def chat_format(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
+    """The examples of all conversations: conv_id, example, context, target, trainable, last."""
+    return expand(render(prefix_targets(conversations, trained_role)))
+
+
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The table plus conversation -7, whose texts hold the template's own marks."""
     probe = F.array(
@@ -135,7 +163,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(render(prefix_targets(with_probe(table(spark, sf_dir, "conversations")))))
+    return read_back(chat_format(with_probe(table(spark, sf_dir, "conversations"))))
 
 
 ORACLE = r"""
@@ -143,14 +171,17 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), o AS (
+), p AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n,
     length(role) + length(text) + 11 + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) AS chars
   FROM c
+), o AS (
+  SELECT *, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars
+  sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+  coalesce(sum(before + 12) FILTER (role = 'assistant'), 0)::BIGINT AS context_chars
 FROM o GROUP BY conv_id
 """

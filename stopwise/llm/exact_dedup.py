@@ -1,6 +1,7 @@
 """Exact dedup by 128-bit content hash with byte comparison inside groups.
 
-Main path: DataFrame functions only. Texts are grouped by (hash, bytes) with map-side combine, so
+Main path: DataFrame functions only. Hashes are counted first, 16 bytes a row, and only texts whose hash is met more than
+once travel, if a list of those hashes may be broadcast; else all do. They are grouped by (hash, bytes) with map-side combine, so
 a group of copies that holds a third of the corpus reaches a reducer as one row for each map
 partition, and the grouping itself compares the bytes: two texts with one hash are two groups.
 Rows then look up their group by (hash, SHA-256), 48 bytes a row instead of the text.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import ascii_lower, stash, table
+from stopwise.llm.common import BROADCAST_BYTES, ascii_lower, discard, row_bytes, stash, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -30,6 +31,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")
     )
     hashed = norm.withColumn("hash", F.unhex(F.md5("norm")))
+    every = stash(hashed.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
+    met = stash(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "exact-hashes")
+    if row_bytes(met) <= BROADCAST_BYTES:
+        hashed = hashed.join(F.broadcast(met), "hash", "left_semi")
     groups = (
         hashed.groupBy("hash", "norm")
         .agg(F.count(F.lit(1)).alias("group_size"), best("doc_id").alias("keep_id"))
@@ -49,15 +54,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         .drop("texts")
     )
-    rows = (
-        hashed.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("sha"))
-        .groupBy("doc_id", "hash", "sha")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    rows = every.groupBy("doc_id", "hash", "sha").agg(F.count(F.lit(1)).alias("times"))
     # Read from files, both sides of the join are plain shuffles, and a large group's rows can be split.
     groups = stash(groups, "exact-groups")
+    discard(met)
     return (
-        rows.join(groups, ["hash", "sha"])
+        rows.join(groups, ["hash", "sha"], "left")
+        .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
+        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
         .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         .select(
             "doc_id",

@@ -1,19 +1,19 @@
 """Language ID by string kernels: Nystroem landmarks and one-versus-rest kernel ridge regression.
 
 The kernel of two texts is the blended spectrum over n-gram presence: the number of distinct 1-, 2-
-and 3-grams of letters that both hold, over the geometric mean of their own numbers. Texts are
-lower-cased; anything but a letter reads as one space. Landmarks map a text to its kernel values
-with them, whitened by the landmarks' own kernel matrix; ridge regression with one target for each
-language is solved on the mapped sample.
+and 3-grams of code points that both hold, over the geometric mean of their own numbers. Texts are
+lower-cased; anything but a letter reads as one space. N-grams of any script are told apart by a hash of HASH_BITS bits.
+Landmarks map a text to its kernel values with them, whitened by the landmarks' own kernel matrix; ridge regression
+with one target for each language is solved on the mapped sample.
 
 Training takes at most ``per_language`` labelled documents of each of at most ``languages`` most
-frequent languages, chosen by a hash of the text, and at most ``landmarks`` of these as landmarks;
-those bounds are all that reaches the driver. Scoring is map-only: whole texts, one batched matrix
-product of presence with the landmarks and one with the weights.
+frequent languages, chosen by a hash of id and text, of at most TEXT_BYTES each and SAMPLE_BYTES a language; at most
+``landmarks`` of these are landmarks. Those bounds (200 MB for 200 languages) are all that reaches the driver.
+Scoring is map-only: whole texts, one batched matrix product of presence with the landmarks and one with the weights.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0; if no labelled row
-exists every text is ``und``; repeated rows are answered each; a null doc_id is never trained on
-and not held out; an empty table gives an empty result; other columns are not read.
+exists every text is ``und``; repeated rows are answered each and trained on once; a null doc_id is never trained on
+and not held out; an empty table gives an empty result; other columns are not read unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -28,43 +28,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopwise.deploy import ship, tidied
-from stopwise.llm.common import table
+from stopwise.llm.common import stash, table
 
 FOLDS = 5
-#: Letters are folded into this many symbols; 0 is the space.
-SYMBOLS = 64
-SPACE_OF_GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+HASH_BITS = 19
 ROWS = 64  # texts in one matrix product
+#: Bounds of the training sample: longest text, and all texts of a language.
+TEXT_BYTES, SAMPLE_BYTES = 64 << 10, 1 << 20
+U = np.uint64
+#: Odd multipliers of the n-gram hash.
+FACTORS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
+_LETTER: list[np.ndarray] = []
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point of the basic plane: a-z are 1-26, other letters share the rest by remainder."""
-    out = np.zeros(0x10000, np.int64)
-    for c in range(0x10000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
-    return out
-
-
-_TABLE: list[np.ndarray] = []
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
 
 
 def gram_codes(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of a text; runs of non-letters are one space, also at both ends."""
-    if not _TABLE:
-        _TABLE.append(_symbols())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    # letters beyond the basic plane share symbols with those in it
-    s = _TABLE[0][np.where(points < 0x10000, points, 0x4E00 + points % 0x5000)]
-    s = np.concatenate(([0], s, [0]))
+    """Hashes of all 1-, 2- and 3-grams of a text; runs of non-letters are one space, also at both ends."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.concatenate(([0], np.where(letters()[points], points, 0), [0])).astype(U)
     s = s[np.concatenate(([True], (s[1:] > 0) | (s[:-1] > 0)))]
     if len(s) < 3:
         return np.empty(0, np.int64)
-    two = s[:-1] * SYMBOLS + s[1:]
-    three = two[:-1] * SYMBOLS + s[2:]
-    return np.concatenate((s[s > 0], SYMBOLS + two, SYMBOLS + SYMBOLS**2 + three))
+    a, b, c = (s * f for f in FACTORS)
+    two = (a[:-1] ^ (b[1:] >> U(7))) + b[1:] + U(1)
+    three = (two[:-1] ^ (c[2:] >> U(11))) * FACTORS[1] + c[2:]
+    every = np.concatenate((a[s > 0], two * FACTORS[0], three * FACTORS[2]))
+    return (every >> U(64 - HASH_BITS)).astype(np.int64)
 
 
 def has_letters(text: str | None) -> bool:
@@ -83,11 +78,11 @@ class Model:
         """Presence of landmark grams by text; number of distinct grams of each text."""
         n = self.landmarks.shape[0]
         out, own = np.zeros((len(texts), n + 1), np.float32), np.zeros(len(texts))
-        seen = np.zeros(SPACE_OF_GRAMS, bool)
+        seen = np.zeros(1 << HASH_BITS, bool)
         for i, text in enumerate(texts):
-            seen[:] = False
             seen[gram_codes(text)] = True
             held = np.flatnonzero(seen)
+            seen[held] = False
             own[i] = len(held)
             out[i, self.column[held]] = 1
         return out[:, :n], own
@@ -111,7 +106,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float) -> Mod
     for k in range(len(names)):
         turn[y == k] = np.arange((y == k).sum())
     chosen = np.lexsort((y, turn))[:landmarks]
-    column = np.full(SPACE_OF_GRAMS, -1, np.int64)
+    column = np.full(1 << HASH_BITS, -1, np.int32)
     own = [np.unique(gram_codes(texts[i])) for i in chosen]
     grams = np.unique(np.concatenate(own))
     column[grams] = np.arange(len(grams))
@@ -136,14 +131,19 @@ def fold(doc_id) -> F.Column:
 
 def train(docs: DataFrame, per_language: int = 250, languages: int = 200, landmarks: int = 128, ridge: float = 0.1) -> Model | None:
     """A model from rows outside the held-out fold; None if there is no labelled text with letters."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
+    rows = docs.select("doc_id", "lang", "text")
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
+    usable = usable.where(F.octet_length("text") <= TEXT_BYTES).withColumn("pick", F.xxhash64("doc_id", "text"))
     frequent = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.where(F.col("lang").isin(frequent)).select("doc_id", "lang").withColumn("n", F.row_number().over(order))
-    ids = [r["doc_id"] for r in ids.where(F.col("n") <= per_language).collect()]  # at most per_language * languages
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").collect()
-    rows = sorted((zlib.crc32(r["text"].encode()), r["text"], r["lang"]) for r in rows if has_letters(r["text"]))
-    return fit([r[1] for r in rows], [r[2] for r in rows], landmarks, ridge) if rows else None
+    size = F.max(F.octet_length("text").cast("long")).alias("size")
+    once = usable.where(F.col("lang").isin(frequent)).groupBy("lang", "pick").agg(size)  # equal rows count once
+    order = Window.partitionBy("lang").orderBy("pick")
+    some = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    some = some.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= SAMPLE_BYTES)
+    chosen = stash(some.select("lang", "pick"), "language-sample")  # at most per_language * languages rows
+    got = usable.join(F.broadcast(chosen), ["lang", "pick"]).dropDuplicates(["lang", "pick"]).select("lang", "text").collect()
+    sample = sorted((zlib.crc32(r["text"].encode()), r["text"], r["lang"]) for r in got if has_letters(r["text"]))
+    return fit([r[1] for r in sample], [r[2] for r in sample], landmarks, ridge) if sample else None
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ image 64 samples wide, stored losslessly as PNG under the payload's SHA-256. Tas
 in the shared folder and return rows (digest, shard, offset, length); bytes never pass a shuffle.
 A shard holds a payload once, and of equal payloads in several shards one entry is the payload's
 address, so a text that a third of all rows share is stored at most once a shard and read once.
+Reads are dealt to tasks by ranges of (shard, offset) with some READ_BYTES behind each task's addresses.
 ``probe`` fills metadata columns from the first 33 bytes of each entry; ``features`` reads entries whole.
 
 Shards are written under fresh names, so a retried task leaves an unused file behind and never
@@ -36,6 +37,7 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and IHDR chunk
 SHARD_BYTES = 256 << 20
+READ_BYTES = 32 << 20
 
 
 def payload_of(text: bytes) -> bytes:
@@ -163,7 +165,9 @@ def _read(found: DataFrame, size, schema: str, work) -> DataFrame:
     arrow = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
     names, kinds = zip(*((n, arrow[k]) for n, k in (f.split() for f in schema.split(", "))))
     old = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    return found.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(tidied(read), f"{old}, {schema}")
+    stored = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = found.repartitionByRange(max(1, -(-stored // READ_BYTES)), "shard", "offset")
+    return dealt.sortWithinPartitions("shard", "offset").mapInArrow(tidied(read), f"{old}, {schema}")
 
 
 def probe(found: DataFrame) -> DataFrame:

@@ -1,17 +1,18 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws a key u ** (1 / quality) from a hash of its id, so reruns and retried tasks
-agree. Within a source documents go by falling key; the prefix sum of their sizes is held
+Each document draws an exponential key -ln(u) / quality, u being a hash of its id, so reruns and retried tasks
+agree. Within a source documents go by rising key; the prefix sum of their sizes is held
 against the token budget that is left once complete epochs have been taken. Main path: DataFrame
 functions only.
 
 Scale: sizes are counted once and written to the shared folder. The prefix sum has two levels:
-the key's range is cut into ``slices`` per source, rows are ordered only inside (source, slice),
-and slice totals (at most ``slices`` rows a source) supply the offsets, so that a source with a
-third of all rows is spread over many tasks. The target step works on one row per source.
+rows are dealt to tasks by ranges of (source, key), whose bounds Spark takes from a sample of the rows, so that parts
+are even whatever the qualities are and a source with a third of all rows is spread over many tasks; rows are ordered
+only inside (source, part), and the parts' totals supply the offsets. Sources are ranked in the same way, and the level
+of the targets is found by aggregations that bring two numbers to the driver each.
 
 Edge cases: a null or wordless text has size 0 and is taken 0 words; a null source is a source of
-its own, ranked last; repeated rows count each; a missing or non-positive quality counts as
+its own, ranked last; repeated rows count each; a missing, non-positive, infinite or NaN quality counts as
 ``default_quality``; an empty table gives an empty result; other columns are not read.
 """
 
@@ -32,32 +33,40 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def targets(totals: DataFrame, share: float, weights: tuple[int, ...], cap: float) -> DataFrame:
-    """Water-filling over one row per source (``src``, ``source_size``): adds weight and target.
+def source_key(src: Column) -> Column:
+    """Never null, and in the order of sources by code point, null last."""
+    return F.when(src.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), src))
 
-    Sources saturate in order of cap / weight; the level is the first at which those not yet
-    saturated can share what is left.
+
+def ranged(df: DataFrame, by: list[str], per_task: int, tag: str) -> DataFrame:
+    """``df`` in files, dealt to parts by ranges of the columns ``by``; adds ``part``, which rises with them."""
+    parts = max(1, -(-df.count() // per_task))
+    return stash(df.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), tag)
+
+
+def targets(totals: DataFrame, share: float, weights: tuple[int, ...], cap: float, per_task: int = 200_000) -> DataFrame:
+    """Water-filling over one row per source (``source_key``, ``source_size``): adds weight and target.
+
+    A source's target is level * weight, or ``cap`` times its size where that is less. The level rises
+    until no more sources are full; each step is one aggregation.
     """
-    order = Window.orderBy(F.col("src").isNull(), "src")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = totals.withColumn("weight", w).withColumn("most", F.col("source_size") * F.lit(cap))
-    whole = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.col("src").isNull(), "src")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    t = (
-        t.withColumn("budget", F.lit(share) * F.sum("source_size").over(whole))
-        .withColumn("filled", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("budget") - F.col("filled")) / F.col("open"))
-        .withColumn("fits", F.col("level") * F.col("weight") <= F.col("most"))
-        .withColumn("final", F.min(F.when(F.col("fits"), F.struct(F.col("most") / F.col("weight"), F.col("level").alias("level")))).over(whole)["level"])
-    )
-    return t.select(
-        "src",
-        "source_size",
-        "weight",
-        F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least("most", F.col("final") * F.col("weight"))).alias("target"),
-    )
+    rows = ranged(totals, ["source_key"], per_task, "mix-sources")
+    before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a part
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("source_key")) - 1 + F.col("before")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
+    rows = rows.join(before, "part").withColumn("weight", w).withColumn("most", F.col("source_size") * F.lit(cap))
+    rows = stash(rows.select("source_key", "source_size", "weight", "most"), "mix-weights")
+    total, level = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0
+    while True:
+        full = F.col("most") < F.col("weight") * F.lit(level)
+        filled, open_ = rows.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if open_ is None:  # all are full, or there is none
+            return rows.withColumn("target", F.col("most")).drop("most")
+        new = (share * total - (filled or 0.0)) / open_
+        if new == level:
+            return rows.withColumn("target", F.least("most", F.lit(level) * F.col("weight"))).drop("most")
+        level = new
 
 
 def mix(
@@ -69,7 +78,7 @@ def mix(
     cap: float = 2.0,
     default_quality: float = 0.5,
     seed: int = 7,
-    slices: int = 1024,
+    per_task: int = 200_000,
 ) -> DataFrame:
     """One row per document: doc_id, text_key, size, source_size, target, taken, copies.
 
@@ -83,45 +92,38 @@ def mix(
         sized = sized.join(best, "doc_id", "left")
     else:
         sized = sized.withColumn("q", F.lit(default_quality))
-    q = F.when(F.col("q") > 0, F.col("q").cast("double")).otherwise(F.lit(default_quality))
-    key = F.pow(uniform(seed, F.col("doc_id"), F.col("src")), 1.0 / q)
-    sized = stash(
-        sized.withColumn("key", key)
-        # Any falling function of the key is right here; this one spreads qualities from 1/4 to 1 evenly.
-        .withColumn("slice", F.floor((1 - F.pow("key", 0.3)) * slices).cast("int"))
-        .withColumn("source_key", F.when(F.col("src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "src")))
-        .drop("q"),
-        "mix-sized",
-    )
-    per_slice = sized.groupBy("source_key", "slice").agg(F.first("src").alias("src"), F.sum("size").alias("slice_size"))
-    totals = per_slice.groupBy("source_key").agg(F.first("src").alias("src"), F.sum("slice_size").alias("source_size"))
-    goal = targets(totals.select("src", "source_size"), share, weights, cap).withColumn(
-        "source_key", F.when(F.col("src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "src"))
-    )
-    earlier = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    q = F.col("q").cast("double")
+    q = F.when((q > 0) & (q < float("inf")), q).otherwise(F.lit(default_quality))
+    key = -F.log(uniform(seed, F.col("doc_id"), F.col("src"))) / q
+    sized = stash(sized.select("doc_id", "text_key", "size", source_key(F.col("src")).alias("source_key"), key.alias("key")), "mix-sized")
+    goal = stash(targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), share, weights, cap, per_task), "mix-targets")
+    rows = ranged(sized, ["source_key", "key"], per_task, "mix-ranged")
+    earlier = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        per_slice.withColumn("offset", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)))
-        .join(goal.drop("src"), "source_key")
-        .select("source_key", "slice", "offset", "source_size", "target")
+        rows.groupBy("source_key", "part")
+        .agg(F.sum("size").alias("part_size"))
+        .withColumn("offset", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
+        .join(goal, "source_key")
+        .select("source_key", "part", "offset", "source_size", "target")
     )
-    inside = Window.partitionBy("source_key", "slice").orderBy(F.desc("key"), "doc_id", "text_key", "size")
-    ranked = sized.withColumn(
+    inside = Window.partitionBy("source_key", "part").orderBy("key", "doc_id", "text_key", "size")
+    ranked = rows.withColumn(
         "within", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.floor("target").cast("long") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("within")
     return (
-        ranked.join(offsets, ["source_key", "slice"])
+        ranked.join(offsets, ["source_key", "part"])
         .withColumn("epochs", epochs)
-        .withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", left)))
+        .withColumn("fraction", F.greatest(F.lit(0).cast("long"), F.least("size", left)))
         .select(
             "doc_id",
             "text_key",
             "size",
             "source_size",
             "target",
-            (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
-            (F.col("epochs") + (F.col("part") > 0).cast("long")).alias("copies"),
+            (F.col("epochs") * F.col("size") + F.col("fraction")).alias("taken"),
+            (F.col("epochs") + (F.col("fraction") > 0).cast("long")).alias("copies"),
         )
     )
 

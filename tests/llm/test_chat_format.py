@@ -37,20 +37,32 @@ def brute(rows):
 
 def test_hard_rows_round_trip(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    got = op.read_back(op.render(op.prefix_targets(df))).collect()
+    got = op.read_back(op.chat_format(df)).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute(ROWS)
-    assert op.read_back(op.render(op.prefix_targets(spark.createDataFrame([], SCHEMA)))).count() == 0
+    assert op.read_back(op.chat_format(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
 def test_examples_have_all_turns_before_as_context(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     rendered = op.render(op.prefix_targets(df))
     whole = {r.conv_id: r.formatted for r in rendered.collect()}
-    rows = [r for r in op.expand(rendered).collect() if r.conv_id == 1]
-    assert [r.example for r in sorted(rows, key=lambda r: r.example)] == [0, 1, 2]
+    every = op.expand(rendered).collect()
+    rows = [r for r in every if r.conv_id == 1]
+    assert [(r.example, r.trainable, r.last) for r in sorted(rows, key=lambda r: r.example)] == [(0, True, False), (1, True, False), (2, True, True)]
     for r in rows:
         assert whole[1].startswith(r.context + r.target) and r.context.endswith("<assistant>\n") and r.target.endswith(op.END)
         assert "<" not in r.target.removesuffix(op.END)
+    for r in every:
+        if not r.trainable:
+            assert r.last and r.target == "" and r.context == whole[r.conv_id]
+    assert {r.conv_id for r in every if r.last} == set(whole)
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(ROWS, SCHEMA).select("*", *[F.lit(1).alias(c) for c in ("segment", "trainable", "position", "start", "loss", "context", "target", "last")])
+    assert sorted((tuple(r)[:5] for r in op.read_back(op.chat_format(df)).collect()), key=str) == brute(ROWS)
 
 
 def test_query_equals_sql(spark, sf_dir):

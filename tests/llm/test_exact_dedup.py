@@ -41,5 +41,10 @@ def test_empty_table_and_extra_columns(spark):
     assert found(df) == brute([r[:2] for r in HARD])
 
 
+def test_many_repeated_hashes_are_not_broadcast(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(op, "BROADCAST_BYTES", 0)
+    assert spark_rows(op.query(spark, sf_dir)) == duck(op.ORACLE, documents=f"{sf_dir}/documents.parquet")
+
+
 def test_query_equals_sql(spark, sf_dir):
     assert spark_rows(op.query(spark, sf_dir)) == duck(op.ORACLE, documents=f"{sf_dir}/documents.parquet")

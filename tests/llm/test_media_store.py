@@ -39,3 +39,16 @@ def test_whole_table(spark, sf_dir, tmp_path):
 def test_hard_rows_and_empty_table(spark, tmp_path):
     check(docs_of(spark, [*HARD, (90, "x" * 64), (91, "x" * 63), (92, "x" * 128)]), f"file://{tmp_path}/m")
     assert op.media_columns(docs_of(spark, []), f"file://{tmp_path}/e").count() == 0
+
+
+def test_reads_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "READ_BYTES", 4 << 10)
+    rows = [(i, "".join(chr(33 + (i * k * 7919 >> 3) % 90) for k in range(3000))) for i in range(40)]
+    check(docs_of(spark, rows), f"file://{tmp_path}/m")
+
+
+def test_clashing_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = docs_of(spark, HARD).select("*", *[F.lit(1).alias(c) for c in ("digest", "shard", "offset", "length", "n_bytes", "width", "feature")])
+    check(df, f"file://{tmp_path}/m")

@@ -78,3 +78,10 @@ def test_crowded_keys_are_cut_into_blocks_without_loss(spark):
     roots = {r.node: r.root for r in components(op.links_of(df, block=64)).collect()}
     assert len({roots[int(np.uint64(x).astype(np.int64))] for x in fps}) == 1
     assert len(links) < 40 * len(fps)
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = docs_of(spark, HARD).select("*", *[F.lit(1).alias(c) for c in ("fp", "text_key", "root", "component_id", "first", "key")])
+    assert found(df) == brute([r[:2] for r in HARD])

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,12 +58,35 @@ def test_targets(spark, lengths):
     check(mixed(docs_of(spark, rows)))
 
 
-def test_slices_do_not_matter_and_reruns_agree(spark, sf_dir):
+def test_parts_do_not_matter_and_reruns_agree(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    a, b, c = (sorted(map(str, op.mix(df, slices=n).collect())) for n in (1, 1024, 1024))
+    a, b, c = (sorted(map(str, op.mix(df, per_task=n).collect())) for n in (20, 1000, 1000))
     assert a == b == c
 
 
+@pytest.mark.parametrize("quality", [0.02, 1e-6, 1.0, 20.0])
+def test_parts_are_even_for_any_quality(spark, quality):
+    rows = spark.range(20_000).select(F.lit("s").alias("source_key"), (-F.log(op.uniform(7, F.col("id"))) / F.lit(quality)).alias("key"))
+    sizes = [r["count"] for r in op.ranged(rows, ["source_key", "key"], 1000, "test").groupBy("part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
+
+
+def test_many_sources_in_parts(spark):
+    rng = np.random.default_rng(3)
+    sizes = {f"s{i}": int(x) for i, x in enumerate(rng.integers(0, 900, 300))} | {None: 40}
+    totals = spark.createDataFrame([(s, n) for s, n in sizes.items()], "src string, source_size long").withColumn("source_key", op.source_key(F.col("src")))
+    got = {r.source_key: r.target for r in op.targets(totals.drop("src"), 1.5, (3, 1, 2), 2.0, per_task=25).collect()}
+    want = water(sizes)
+    assert len(got) == len(want) and all(got["t" if s is None else f"s{s}"] == pytest.approx(x) for s, x in want.items())
+
+
+def test_odd_qualities_and_clashing_names(spark):
+    df = docs_of(spark, [(i, "w w", "en", "s") for i in range(60)]).select("*", *[F.lit(1).alias(c) for c in ("q", "key", "part", "size", "src", "target", "text_key")])
+    odd = [float("nan"), float("inf"), 0.0, -1.0, None, 1e-300]
+    quality = spark.createDataFrame([(i, odd[i % 6]) for i in range(60)], "doc_id long, quality double")
+    assert sum(r.taken for r in op.mix(df, quality).collect()) == 180
+
+
 def test_better_documents_come_first(spark):
     df = docs_of(spark, [(i, "w w", "en", "s") for i in range(2000)])
     quality = df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.1).alias("quality"))

@@ -48,3 +48,11 @@ def test_equal_windows_pick_equal_anchors():
         at = len(d) - 230
         picked.append([(int(spot[p]) - p, int(anchor[p])) for p in range(at, at + 151)])
     assert picked[0] == picked[1] == picked[2]
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = docs_of(spark, HARD).select("*", *[F.lit(1).alias(c) for c in ("anchor", "stretch", "text_key", "ranges", "n_words", "first", "last")])
+    plain, more = (sorted(map(str, op.substring_dedup(d).collect())) for d in (docs_of(spark, HARD), df))
+    assert plain == more
