@@ -16,11 +16,13 @@ _sent: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local folder is chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+    machine, as in tests, a local folder is chosen.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "stopwise-shared")
     return f"{base.rstrip('/')}/stopwise/{spark.sparkContext.applicationId}"
 
