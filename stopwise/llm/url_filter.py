@@ -1,11 +1,12 @@
 """URL filters: logistic regression on hashed character n-grams of host and path, under rules.
 
 Main path: DataFrame functions only. The labelled table is small by contract (``max_train`` rows
-at most are fitted, chosen by hash). Training is full-batch gradient descent on the regularised
-logistic loss in its dual form, the weights being a combination of training rows: one SQL
-``aggregate`` over the Gram matrix of at most max_train squared numbers. The model that reaches the
+at most are fitted, chosen by hash; equal rows count as often as they occur). Training is full-batch gradient descent on
+the regularised logistic loss: one SQL ``aggregate`` whose steps go over the sample by rows and by n-grams. n-grams of host and of path are counts over
+the square root of their sum, each for itself, so that a long path doesn't hide a host. The model that reaches the
 plan is an array of ``buckets`` + 1 weights; scoring is one narrow projection of the url column,
-without shuffle.
+without shuffle. The built-in table has as many wanted as unwanted hosts and the same paths, subdomains and endings for both;
+``bad_weight`` makes up for what wanted hosts have in common with unwanted ones.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and is judged by the
 model's bias alone; an empty table gives an empty result; repeated rows are judged each; columns
@@ -14,9 +15,10 @@ other than id and url are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stopwise.llm import url_examples
 from stopwise.llm.common import UPPER, table
 
 RULES = (
@@ -27,29 +29,14 @@ RULES = (
     ("block", "org/es/"),
 )
 
-#: Labelled hosts and paths; every bad stem is met with and without subdomains.
-BAD_STEMS = (
-    "casino-win", "free-bets", "cheap-pills", "spam-farm", "adult-x", "ads-track", "casino-royal", "win-casino", "bets-online",
-    "free-pills", "pills-shop", "adult-video", "xxx-cams", "track-ads", "spam-offers", "poker-free", "viagra-cheap", "slots-win",
-    "click-ads", "hot-adult", "lotto-win", "payday-loans", "porn-free", "crack-keys",
-)
-GOOD_STEMS = (
-    "library", "thering", "therwh", "ththat", "tionble", "university", "weather", "therly", "museum", "ththnd", "tionsh", "therein",
-    "gardening", "history", "ththen", "recipes", "science", "theron", "ththre", "cityhall", "parliament", "ththou", "tiontion", "physics",
-)
+#: Of n-grams of the path beside those of the host.
+PATH_WEIGHT = 0.5
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table: (url, bad)."""
-    subs, tlds, langs, tails = ("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "de", "fr", "es"), (".html", "/", "", "?page=2&ref=x")
-    rows = []
-    for bad, stems in ((1, BAD_STEMS), (0, GOOD_STEMS)):
-        for i, stem in enumerate(stems):
-            # Everything but the stem is dealt to both classes alike.
-            for k in range(4):
-                url = f"https://{subs[(i + k) % 4]}{stem}.example.{tlds[(i + k) % 3]}/{langs[k]}/{i * 37 + k * 911 + 5}{tails[(i + 2 * k) % 4]}"
-                rows.append(f"('{url}', {bad})")
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(url, bad)")
+    """The built-in labelled table of ``url_examples``: (url, bad)."""
+    rows = ", ".join(f"('{url}', {bad})" for url, bad in url_examples.labelled())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, bad)")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -72,42 +59,50 @@ def ngrams(text: Column, sizes: tuple[int, ...], tag: str) -> Column:
 
 
 def features(host: Column, path: Column, buckets: int) -> Column:
-    """Bucket numbers, repeats included."""
-    grams = F.concat(ngrams(host, (3, 4, 5), "h"), ngrams(path, (2, 3, 4), "p"))
-    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
+    """(bucket, value) of every n-gram, repeats included."""
 
+    def part(grams: Column, weight: float) -> Column:
+        def of(held: Column) -> Column:  # the n-grams, made once
+            value = F.lit(weight) / F.sqrt(F.greatest(F.size(held), F.lit(1)).cast("double"))
+            return F.transform(held, lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int").alias("bucket"), value.alias("value")))
 
-def train(labelled: DataFrame, buckets: int, max_train: int, rounds: int, rate: float, decay: float) -> list[float]:
-    """``buckets`` weights and, last, the bias. Vectors are counts over the square root of their sum."""
+        return F.flatten(F.transform(F.array(grams), of))
+
+    return F.concat(part(ngrams(host, (3, 4, 5), "h"), 1.0), part(ngrams(path, (2, 3, 4), "p"), PATH_WEIGHT))
+
+
+def train(labelled: DataFrame, buckets: int, max_train: int, rounds: int, rate: float, decay: float, bad_weight: float) -> list[float]:
+    """``buckets`` weights and, last, the bias."""
+    order = Window.orderBy(F.xxhash64("url"), "url", "y")  # over at most max_train rows
     host, path = host_path(F.col("url"))
     rows = (
         labelled.where("url IS NOT NULL AND bad IS NOT NULL")
-        .select("url", F.col("bad").cast("double").alias("y"), host.alias("host"), path.alias("path"))
+        .select("url", F.col("bad").cast("double").alias("y"))
         .orderBy(F.xxhash64("url"), "url", "y")
         .limit(max_train)
-        .withColumn("b", features(F.col("host"), F.col("path"), buckets))
-        .withColumn("scale", 1 / F.sqrt(F.greatest(F.size("b"), F.lit(1)).cast("double")))
-    )
-    sparse = (
-        rows.select("url", "y", "scale", F.explode(F.concat("b", F.array(F.lit(buckets)))).alias("bucket"))
-        .groupBy("url", "y", "bucket")
-        .agg(F.sum(F.when(F.col("bucket") == buckets, 1.0).otherwise(F.col("scale"))).alias("v"))
-    )
-    other = sparse.select(F.col("url").alias("url2"), F.col("y").alias("y2"), "bucket", F.col("v").alias("v2"))
-    gram = (
-        sparse.join(other, "bucket")
-        .groupBy("url", "y", "url2", "y2")
-        .agg(F.sum(F.col("v") * F.col("v2")).alias("k"))
         .groupBy("url", "y")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("url2", "y2", "k"))), lambda x: x["k"]).alias("row"))
-        .agg(F.array_sort(F.collect_list(F.struct("url", "y", "row"))).alias("g"))
+        .agg(F.count(F.lit(1)).cast("double").alias("times"))
+        .withColumn("id", F.row_number().over(order) - 1)
+        .withColumn("f", features(host, path, buckets))
+    )
+    bias = F.array(F.struct(F.lit(buckets).alias("bucket"), F.lit(1.0).alias("value")))
+    sparse = rows.select("id", F.explode(F.concat("f", bias)).alias("x")).groupBy("id", F.col("x.bucket").alias("bucket")).agg(F.sum("x.value").alias("v"))
+    met = sparse.select("bucket").distinct().withColumn("pos", F.row_number().over(Window.orderBy("bucket")) - 1)  # at most buckets + 1
+    sparse = sparse.join(met, "bucket")
+    sample = rows.select("id", "y", "times", (F.col("times") * F.when(F.col("y") > 0, bad_weight).otherwise(1.0)).alias("m"))
+    by_row = sparse.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("f")).join(sample, "id")
+    by_row = by_row.agg(F.sort_array(F.collect_list(F.struct("id", "y", "m", "f"))).alias("rows"), F.sum("times").alias("n"), F.lit(1).alias("one"))
+    by_bucket = sparse.groupBy("pos", "bucket").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("c"))
+    by_bucket = by_bucket.agg(F.sort_array(F.collect_list(F.struct("pos", "bucket", "c"))).alias("cols"), F.lit(1).alias("one"))
+    miss = "transform(rows, e -> e.m * (e.y - 1D / (1D + exp(-aggregate(e.f, 0D, (s, x) -> s + w[x.pos] * x.v)))))"
+    step = f"transform(cols, (c, i) -> w[i] * {1 - rate * decay}D + {rate}D / n * aggregate(c.c, 0D, (s, x) -> s + r[x.id] * x.v))"
+    fitted = by_row.join(by_bucket, "one").select(
+        F.col("cols.bucket").alias("bucket"),
+        F.expr(f"aggregate(sequence(1, {rounds}), transform(cols, c -> 0D), (w, t) -> transform(array({miss}), r -> {step})[0])").alias("w"),
     )
-    step = f"""aggregate(sequence(1, {rounds}), transform(g, e -> 0D), (a, t) -> transform(g, (e, i) ->
-        a[i] * {1 - rate * decay}D + {rate}D / size(g) * (e.y - 1D / (1D + exp(-aggregate(zip_with(e.row, a, (k, x) -> k * x), 0D, (s, x) -> s + x))))))"""
-    alpha = gram.select(F.expr(f"inline(zip_with(g, {step}, (e, a) -> named_struct('url', e.url, 'y', e.y, 'a', a)))"))
-    weights = sparse.join(alpha, ["url", "y"]).groupBy("bucket").agg(F.sum(F.col("a") * F.col("v")).alias("w"))
-    got = {r["bucket"]: r["w"] for r in weights.collect()}  # at most buckets + 1 rows
-    return [float(got.get(i, 0.0)) for i in range(buckets + 1)]
+    got = fitted.first()  # at most buckets + 1 weights
+    known = dict(zip(got["bucket"], got["w"])) if got else {}
+    return [float(known.get(i, 0.0)) for i in range(buckets + 1)]
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -126,28 +121,27 @@ def url_filter(
     rules: tuple[tuple[str, str], ...] = RULES,
     *,
     id_col: str = "page_id",
-    buckets: int = 4096,
-    max_train: int = 400,
+    buckets: int = 1 << 14,
+    max_train: int = 800,
     rounds: int = 200,
     rate: float = 4.0,
-    decay: float = 1e-4,
+    decay: float = 1e-5,
+    bad_weight: float = 1.2,
     threshold: float = 0.5,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, score (probability of a bad url)."""
     spark = pages.sparkSession
-    w = train(labelled if labelled is not None else labelled_urls(spark), buckets, max_train, rounds, rate, decay)
+    w = train(labelled if labelled is not None else labelled_urls(spark), buckets, max_train, rounds, rate, decay, bad_weight)
     host, path = host_path(F.col("url"))
-    model = F.array(*[F.lit(x) for x in w[:-1]])
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    b = features(F.col("host"), F.col("path"), buckets)
-    rows = rows.withColumn("b", b)
-    margin = F.lit(w[-1]) + F.aggregate(F.col("b"), F.lit(0.0), lambda s, i: s + F.get(model, i)) / F.sqrt(
-        F.greatest(F.size("b"), F.lit(1)).cast("double")
-    )
-    rows = rows.withColumn("score", 1 / (1 + F.exp(-margin)))
+    # one literal that is folded to an array, instead of thousands
+    model = F.split(F.lit(" ".join(map(repr, w[:-1]))), " ").cast("array<double>")
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    margin = F.lit(w[-1]) + F.aggregate(features(F.col("host"), F.col("path"), buckets), F.lit(0.0), lambda s, x: s + F.get(model, x["bucket"]) * x["value"])
+    rows = rows.withColumn("margin", margin)
+    rows = rows.withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"), "score")
+    return rows.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def rule(host, path):
 
 
 def test_hosts_paths_and_rules(spark):
-    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(URLS)], "page_id long, url string, host int")
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(URLS)], "page_id long, url string, host int").withColumns({c: F.lit(1) for c in ("id", "path", "margin", "score", "rule")})
     got = {r.page_id: r for r in op.url_filter(df).collect()}
     for i, u in enumerate(URLS):
         host, path = parts(u)
@@ -38,27 +38,53 @@ def test_hosts_paths_and_rules(spark):
 
 
 def test_training_like_numpy(spark):
-    labelled = op.labelled_urls(spark)
+    labelled = op.labelled_urls(spark).limit(60)
+    labelled = labelled.unionByName(labelled.limit(7))  # equal rows count twice
     host, path = op.host_path(F.col("url"))
-    rows = labelled.select("url", "bad", op.features(host, path, 4096).alias("b")).collect()
-    x = np.zeros((len(rows), 4097))
+    rows = labelled.select("url", "bad", op.features(host, path, 512).alias("f")).collect()
+    x = np.zeros((len(rows), 513))
     for i, r in enumerate(rows):
-        for b in r.b:
-            x[i, b] += 1 / np.sqrt(len(r.b))
-        x[i, 4096] = 1
-    y, w = np.array([r.bad for r in rows], float), np.zeros(4097)
-    for _ in range(200):
-        w += 4.0 / len(rows) * x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 4e-4 * w
-    assert np.abs(w - op.train(labelled, 4096, 400, 200, 4.0, 1e-4)).max() < 1e-9
+        for f in r.f:
+            x[i, f.bucket] += f.value
+        x[i, 512] = 1
+        assert abs(sum(f.value**2 for f in r.f) - 1.25) < 1e-9
+    y, w = np.array([r.bad for r in rows], float), np.zeros(513)
+    for _ in range(50):
+        w += 4.0 / len(rows) * x.T @ (np.where(y > 0, 1.4, 1) * (y - 1 / (1 + np.exp(-x @ w)))) - 4e-4 * w
+    assert np.abs(w - op.train(labelled, 512, 400, 50, 4.0, 1e-4, 1.4)).max() < 1e-9
+
+
+#: Hosts that are not in the labelled table.
+WANTED = """wikipedia.org bbc.co.uk betterhomes.org winchester.ac.uk adultliteracy.org nytimes.com theguardian.com lemonde.fr stackoverflow.com
+python.org ox.ac.uk mit.edu cern.ch who.int europa.eu amazon.com apple.com microsoft.com openstreetmap.org npmjs.com imdb.com nhs.uk gov.uk loc.gov
+si.edu metmuseum.org tate.org.uk louvre.fr dwd.de sncf.fr renfe.es bahn.de quora.com medium.com tumblr.com flickr.com smithsonian.org
+nationalgeographic.com sussexbirds.org cheapsidebaths.org.uk hotelchocolat.com farmersweekly.co.uk trackcycling.org essexlibraries.org
+tutorial-site.org mycompany.net blog.smith-family.org""".split()
+UNWANTED = """gambling-jackpot.example.org online-casino-bonus.com best-pills-cheap.net xxx-adult-cams.org freepoker.net winbigslots.com crypto-giveaway.io
+cheapviagra.co buyseobacklinks.com adult-dating-hot.com paydayloansfast.com lotto-winner.net warez-keygen.org adserver-track.net popup-ads.com spamlinks.net
+sexcams.tv casinolive.tv betting-tips-free.com replica-fake.net hentai-free.org clickbait-farm.info poker-room.net bingo-bonus.co.uk nude-pics.com
+torrent-cracked.net cheapmeds.biz roulette-odds.com bet365x.com slots-jackpot.net""".split()
+
+
+def test_held_out_hosts(spark):
+    hosts = [(h, 0) for h in WANTED] + [(h, 1) for h in UNWANTED]
+    known = {op.url_examples.labelled()[i][0].split("/")[2] for i in range(len(op.url_examples.labelled()))}
+    assert not known & {h for h, _ in hosts}
+    df = spark.createDataFrame([(i, f"https://{h}/en/5", bad) for i, (h, bad) in enumerate(hosts)], "page_id long, url string, bad int")
+    got = {r.page_id: r.verdict == "block" for r in op.url_filter(df, rules=()).collect()}
+    hit = sum(got[i] and bad for i, (_, bad) in enumerate(hosts))
+    assert hit >= 0.9 * len(UNWANTED) and hit >= 0.9 * sum(got.values())
 
 
 def test_bad_hosts_of_pages(spark, sf_dir):
     rows = op.query(spark, sf_dir).where("rule IS NULL").collect()
     bad = re.compile("casino|bets|pills|spam|adult|ads-")
-    assert all((r.verdict == "block") == bool(bad.search(r.host)) for r in rows)
+    hit = sum(r.verdict == "block" and bool(bad.search(r.host)) for r in rows)
+    assert hit >= 0.9 * sum(bool(bad.search(r.host)) for r in rows)
+    assert hit >= 0.9 * sum(r.verdict == "block" for r in rows)
 
 
 def test_bounded_training_and_ties(spark):
     labelled = op.labelled_urls(spark)
     twice = labelled.unionByName(labelled).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS url, 1 AS bad"))
-    assert len(op.train(twice, 64, 10, 5, 1.0, 0.0)) == 65
+    assert len(op.train(twice, 64, 10, 5, 1.0, 0.0, 1.0)) == 65
