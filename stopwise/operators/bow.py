@@ -38,7 +38,11 @@ def lines(planes: DataFrame, width: int, height: int) -> DataFrame:
 
 def trace_points(planes: DataFrame, width: int, height: int) -> DataFrame:
     """Rows run_id, cand (0 to 11), orientation, major, minor, contrast: weighted centres of what a line crosses."""
-    rows = lines(planes, width, height)
+    return traces(lines(planes, width, height), width, height)
+
+
+def traces(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """``trace_points`` of lines: run_id, orientation, major, vals."""
     n = F.size("vals")
     side = {o: min(max(math.ceil(m * SIDE), 1), m) for o, m in (("horizontal", height), ("vertical", width))}
     reach = F.when(F.col("orientation") == "horizontal", side["horizontal"]).otherwise(side["vertical"])
@@ -156,10 +160,15 @@ def candidates(points: DataFrame, width: int, height: int) -> DataFrame:
 
 def plane_bows(planes: DataFrame, width: int, height: int) -> DataFrame:
     """One row a plane: run_id, method, orientation, side, bow, sagitta, span, residual, confidence, blockers."""
-    every = planes.select("run_id").distinct()
+    return line_bows(lines(planes, width, height), width, height)
+
+
+def line_bows(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """``plane_bows`` of lines."""
+    every = rows.select("run_id").distinct()
     if min(width, height) < 16:
         return every.select("run_id", *[F.lit(None).cast("string").alias(c) for c in ("method", "orientation", "side")], *[F.lit(None).cast("double").alias(c) for c in ("bow", "sagitta", "span", "residual", "confidence")], F.lit("profile_too_short").alias("blockers"))
-    c = candidates(trace_points(planes, width, height), width, height)
+    c = candidates(traces(rows, width, height), width, height)
     # Ranks are told apart at 9 decimals, ties go by trace order.
     rank = F.struct(F.col("eligible").cast("int").alias("e"), F.round("span", 9).alias("s"), F.round(F.abs("bow"), 9).alias("b"), (-F.col("cand")).alias("c"))
     best = c.groupBy("run_id").agg(

@@ -25,34 +25,12 @@ SCATTER_LIMIT, DRIFT_LIMIT = 0.10, 0.25
 SEARCH_FROM, SEARCH_TO = 3, 64
 
 
-def zone_values(frames: DataFrame) -> DataFrame:
-    """Adds per-corner acutance (ac_), contrast (co_) and falloff (fa_) columns, colour shifts and bow evidence."""
-    p, o = F.col("l_partkey"), F.col("l_orderkey")
-    df = frames.select(
-        *frames.columns,
-        (F.col("ac_corner") + F.col("d_top") / 2).alias("ac_tl"),
-        (F.col("ac_corner") - F.col("d_top") / 2).alias("ac_tr"),
-        (F.col("ac_corner") + F.col("d_bot") / 2).alias("ac_bl"),
-        (F.col("ac_corner") - F.col("d_bot") / 2).alias("ac_br"),
-        F.col("contrast_tl").alias("co_tl"),
-        *[F.lit(0.2).alias(f"co_{c}") for c in ("tr", "bl", "br", "centre")],
-        *[(F.col("fall") + F.col("bias_tr") if c == "tr" else F.col("fall")).alias(f"fa_{c}") for c in SHORT],
-        F.when(p % 31 == 0, "flat_profile").when(p % 37 == 0, "correlation_peak_not_found").alias("ca_blocker"),
-        *[(((p + 7 * k) % 9 - 4) / 4.0).alias(f"cx_{c}") for k, c in enumerate(SHORT)],
-        *[(((o + 5 * k) % 7 - 3) / 4.0).alias(f"cy_{c}") for k, c in enumerate(SHORT)],
-        F.when(p % 12 == 3, "no_straight_reference").when(p % 4 == 2, "line_discontinuous").alias("bow_blocker"),
-        (p % 4 != 1).alias("bow_measured"),
-        (((p + o) % 21 - 10) / 10.0).alias("bow"),
-    )
-    return df
-
-
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
 def groups(frames: DataFrame) -> DataFrame:
-    """``frames``: from ``zone_values``. One row a group with the sums every family needs."""
+    """``frames``: evidence of frames (``frames.analyse``). One row a group with the sums every family needs."""
     ok = F.col("eligible")
     top = (F.col("co_tl") >= TEXTURED) & (F.col("co_tr") >= TEXTURED)
     bottom = (F.col("co_bl") >= TEXTURED) & (F.col("co_br") >= TEXTURED)

@@ -1,4 +1,5 @@
-"""Patch sharpness for large patches, vectorised: the same quantities as ``sharpness`` without lambda expressions.
+"""Patch sharpness and colour shift for large patches, vectorised: the same quantities as ``sharpness`` and
+``colour_shift`` without lambda expressions.
 
 Patches of real frames have hundreds of thousands of samples, where array expressions are the slow path;
 one Arrow batch is blurred by NumPy at a time.
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from stopwise.functions.arrays import gaussian
+from stopwise.operators.colour_shift import EPSILON, LEAST_ENERGY, LEAST_LENGTH, window_of
 from stopwise.operators.sharpness import COARSE, FINE, LEAST_SIGNAL
 
 
@@ -40,6 +42,42 @@ def measure(plane: np.ndarray) -> tuple[float, float, float]:
     return float(acutance), float(plane.std() / plane.mean()) if plane.mean() > 0 else 0.0, median
 
 
+def correlation(red: np.ndarray, blue: np.ndarray, lag: int) -> float | None:
+    """Of red[i] with blue[i - lag], at 9 decimals; None for too few pairs or too little energy."""
+    a, b = red[max(0, lag) : len(red) + min(0, lag)], blue[max(0, -lag) : len(blue) + min(0, -lag)]
+    if len(a) < LEAST_LENGTH:
+        return None
+    a, b = a - a.mean(), b - b.mean()
+    xx, yy = (a * a).sum(), (b * b).sum()
+    return round(float((a * b).sum() / np.sqrt(xx * yy)), 9) if xx > LEAST_ENERGY and yy > LEAST_ENERGY else None
+
+
+def axis_shift(red: np.ndarray, blue: np.ndarray) -> tuple[float | None, str | None]:
+    """Shift between two profiles in samples, or what stands against it."""
+    if len(red) < LEAST_LENGTH:
+        return None, "profile_too_short"
+    if red.var() < LEAST_ENERGY or blue.var() < LEAST_ENERGY:
+        return None, "flat_profile"
+    most = window_of(len(red))
+    score = {lag: correlation(red, blue, lag) for lag in range(-most - 1, most + 2)}
+    known = [lag for lag in range(-most, most + 1) if score[lag] is not None]
+    if not known:
+        return None, "correlation_peak_not_found"
+    at = max(known, key=lambda lag: (score[lag], -abs(lag), -lag))
+    left, right = score[at - 1], score[at + 1]
+    if left is None or right is None or abs(curve := left - 2 * score[at] + right) <= EPSILON:
+        return float(at), None
+    return at + min(max(0.5 * (left - right) / curve, -0.5), 0.5), None
+
+
+def shift(red: np.ndarray, blue: np.ndarray) -> tuple[float | None, float | None, str | None]:
+    """Shift along x and y of two patches, and the first blocker."""
+    x, no_x = axis_shift(red.mean(0), blue.mean(0))
+    y, no_y = axis_shift(red.mean(1), blue.mean(1))
+    blocker = no_x or no_y
+    return (None, None, blocker) if blocker else (x, y, None)
+
+
 def patch_metrics(patches: DataFrame) -> DataFrame:
     """``patches``: id, width, samples. Returns id, acutance, contrast, luminance."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 PX = "px AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE + 1 AS v FROM embeddings)"
+#: Each sample and the two that follow it, around the end: i counts components.
+RGB = PX + ", rgb AS (SELECT a.vec_id, a.i * 3 + k AS i, b.v FROM px a, range(3) r(k), px b WHERE b.vec_id = a.vec_id AND b.i = (a.i + k) % 64)"
 BLUR = (
     PX
     + """, p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, v FROM px),
@@ -260,14 +262,14 @@ s AS (SELECT *, greatest(CASE WHEN x % 2 = px THEN x ELSE x + 1 END, px) AS ax,
 SELECT id, zone, pattern, ((ax - px) // 2)::INT AS gx, (ay // 2)::INT AS gy, ((x + w - 1 - ax) // 2 + 1)::INT AS gw, ((y + h - 1 - ay) // 2 + 1)::INT AS gh FROM s""",
     "green_extract": f"""WITH {PX}, q AS (SELECT *, {PATTERN} AS pattern, CASE WHEN vec_id % 4 < 2 THEN 1 ELSE 0 END AS ph, i % 8 AS x, i // 8 AS y FROM px)
 SELECT vec_id, pattern, ((x - ph) // 2)::INT AS x, (y // 2)::INT AS y, round((v - (0.25 + 0.01 * ph)::DOUBLE) / ((1.75 - 0.01 * ph)::DOUBLE - (0.25 + 0.01 * ph)::DOUBLE), 6) + 0 AS green FROM q WHERE x % 2 = ph AND y % 2 = 0""",
-    "luma_extract": f"WITH {PX} SELECT vec_id, (i // 3)::INT AS i, round(sum(v * CASE i % 3 WHEN 0 THEN 0.2126e0 WHEN 1 THEN 0.7152e0 ELSE 0.0722e0 END), 6) AS luma FROM px WHERE i < 63 GROUP BY ALL",
-    "rgb_split": f"WITH {PX} SELECT vec_id, (i // 3)::INT AS i, round(max(v) FILTER (i % 3 = 0), 6) AS red, round(max(v) FILTER (i % 3 = 2), 6) AS blue FROM px WHERE i < 63 GROUP BY ALL",
+    "luma_extract": f"WITH {RGB} SELECT vec_id, (i // 3)::INT AS i, round(sum(v * CASE i % 3 WHEN 0 THEN 0.2126e0 WHEN 1 THEN 0.7152e0 ELSE 0.0722e0 END), 6) AS luma FROM rgb GROUP BY ALL",
+    "rgb_split": f"WITH {RGB} SELECT vec_id, (i // 3)::INT AS i, round(max(v) FILTER (i % 3 = 0), 6) AS red, round(max(v) FILTER (i % 3 = 2), 6) AS blue FROM rgb GROUP BY ALL",
     "bayer_interpolate": f"""WITH {PX}, q AS (SELECT *, i % 8 AS x, i // 8 AS y, vec_id % 4 AS k FROM px),
 ph AS (SELECT * FROM (VALUES (0, 'red', 0, 0), (0, 'blue', 1, 1), (1, 'red', 1, 1), (1, 'blue', 0, 0), (2, 'red', 0, 1), (2, 'blue', 1, 0), (3, 'red', 1, 0), (3, 'blue', 0, 1)) t(k, colour, cx, cy)),
 o AS (SELECT a.vec_id, a.x, a.y, colour, cx, cy, avg(b.v) AS v FROM q a JOIN ph USING (k) JOIN q b ON b.vec_id = a.vec_id AND b.x % 2 = cx AND b.y % 2 = cy AND abs(b.x - a.x) = CASE WHEN a.x % 2 = cx THEN 0 ELSE 1 END AND abs(b.y - a.y) = CASE WHEN a.y % 2 = cy THEN 0 ELSE 1 END GROUP BY ALL),
 n AS (SELECT vec_id, x, y, colour, (v - (0.25 + 0.01 * (cy * 2 + cx))::DOUBLE) / ((1.75 - 0.01 * (cy * 2 + cx))::DOUBLE - (0.25 + 0.01 * (cy * 2 + cx))::DOUBLE) AS v FROM o)
 SELECT vec_id, x::INT AS x, y::INT AS y, round(max(v) FILTER (colour = 'red'), 6) + 0 AS red, round(max(v) FILTER (colour = 'blue'), 6) + 0 AS blue FROM n GROUP BY ALL""",
-    "level_normalise": f"WITH {PX} SELECT vec_id, i::INT AS i, round((v - (0.1 * (i % 3 + 1))::DOUBLE) / ((1.9 - 0.1 * (i % 3))::DOUBLE - (0.1 * (i % 3 + 1))::DOUBLE), 6) + 0 AS value FROM px WHERE i < 63",
+    "level_normalise": f"WITH {RGB} SELECT vec_id, i::INT AS i, round((v - (0.1 * (i % 3 + 1))::DOUBLE) / ((1.9 - 0.1 * (i % 3))::DOUBLE - (0.1 * (i % 3 + 1))::DOUBLE), 6) + 0 AS value FROM rgb",
     "row_col_profiles": f"WITH {PROFILES} SELECT vec_id, axis, j::INT AS i, round(m, 6) AS mean FROM pr",
     "profile_variance_gate": f"""WITH {PX.replace("unnest(embedding)::DOUBLE + 1 AS v", "CASE WHEN vec_id % 10 = 0 THEN 1 ELSE unnest(embedding)::DOUBLE + 1 END AS v")}, a AS (SELECT vec_id, i % 8 AS j, avg(v) AS m FROM px GROUP BY ALL), b AS (SELECT vec_id, i // 8 AS j, avg(v) AS m FROM px GROUP BY ALL),
 u AS (SELECT vec_id, var_pop(m) AS vx FROM a GROUP BY vec_id), w AS (SELECT vec_id, var_pop(m) AS vy FROM b GROUP BY vec_id)
@@ -329,9 +331,15 @@ CASE WHEN assessed THEN round(top_mean, 6) + 0 END AS top_mean, CASE WHEN assess
     "reshoot_actions": f"""WITH {VERDICT}, {RESHOOT}, ex AS (SELECT run_id, unnest(string_split(blockers, ',')) AS b, unnest(range(len(string_split(blockers, ',')))) AS pos FROM vd),
 ac AS (SELECT run_id, action, min(pos) AS pos FROM ex JOIN rs USING (b) GROUP BY ALL), al AS (SELECT run_id, string_agg(action, ',' ORDER BY pos) AS reshoot FROM ac GROUP BY run_id)
 SELECT run_id, blockers, coalesce(reshoot, '') AS reshoot FROM vd LEFT JOIN al USING (run_id)""",
-    "contact_layout": f"""WITH {FRAMES}, q AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n0 FROM fz WHERE input_index < run_id % 9 + 1)
+    "contact_layout": f"""WITH {FRAMES}, q AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n0 FROM fz)
 SELECT run_id, input_index, least(n0, 4) AS columns, ceil(n0 / least(n0, 4))::BIGINT AS rows, (input_index % least(n0, 4)) * 108 AS left, (input_index // least(n0, 4)) * 96 AS top, substr('frame ?' || input_index || CASE WHEN f_number IS NULL THEN '' ELSE ' f/' || format('{{:.1f}}', f_number) END, 1, 24) AS label FROM q""",
     "thumbnail_sample": f"""WITH {PX} SELECT vec_id, x::INT AS x, y::INT AS y, floor(least(greatest(v - 0.5, 0), 1) * 255 + 0.5)::INT AS byte FROM range(12) a(x), range(9) b(y), px WHERE i = (y * 8 // 9) * 8 + x * 8 // 12""",
+    "analyse_frames": """WITH s AS (SELECT s_suppkey // 4 AS run_id, s_suppkey % 4 AS input_index, CASE WHEN s_suppkey // 4 % 2 = 0 THEN 1 ELSE -1 END AS sign FROM supplier)
+SELECT run_id::BIGINT AS run_id, input_index::BIGINT AS input_index, ['vignetting', 'colour_shift', 'bow', 'courses'][input_index + 1] AS kind,
+CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_tl, CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_tr, CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_bl, CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_br,
+CASE input_index WHEN 1 THEN true END AS shift_tl, CASE input_index WHEN 1 THEN true END AS shift_tr, CASE input_index WHEN 1 THEN true END AS shift_bl, CASE input_index WHEN 1 THEN true END AS shift_br,
+CASE input_index WHEN 2 THEN true END AS bow_near, CASE input_index WHEN 2 THEN 'top' END AS bow_side,
+CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 'gated' ELSE 'passed' END END AS target, CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 20::DOUBLE ELSE 0::DOUBLE END END AS keystone FROM s""",
     "extension_dispatch": """WITH f AS (SELECT doc_id, 'frame_' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.dng' WHEN 1 THEN '.TIF' WHEN 2 THEN '.tiff' WHEN 3 THEN '.nef' WHEN 4 THEN '.jpg' ELSE '' END AS path FROM documents), e AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS extension FROM f)
 SELECT doc_id, path, extension, CASE WHEN extension IN ('tif', 'tiff') THEN 'tiff' WHEN extension IN ('dng', 'nef') THEN 'raw' ELSE 'unsupported' END AS decoder, extension IN ('dng', 'tif', 'tiff') AS in_folder FROM e""",
     "metadata_inspect": f"""WITH f AS (SELECT doc_id, doc_id % 6 = 0 AS dng, doc_id % 4 AS k FROM documents)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopwise.functions.arrays import mean, r6, variance
-from stopwise.operators import bow, capture, colour_shift, contact, evidence, mosaic, report, series, sharpness, target
+from stopwise.functions.arrays import let, mean, r6, variance
+from stopwise.operators import bow, capture, colour_shift, contact, evidence, frames, mosaic, report, series, sharpness, target
 from stopwise.sources import tables
 
 N = tables.SIDE
@@ -83,14 +83,20 @@ def green_extract(spark: SparkSession, d: str) -> DataFrame:
     return round_all(grid(flat(mosaics(spark, d).select("vec_id", "pattern", g.alias("g")), "g", "green"), N // 2))
 
 
+def pixels() -> Column:
+    """Each sample of a plane and the two that follow it, around the end, as the components of a pixel."""
+    s = F.col("samples")
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(N * N - 1)), lambda i: F.array(*[F.get(s, (i + k) % (N * N)) for k in range(3)])))
+
+
 def luma_extract(spark: SparkSession, d: str) -> DataFrame:
-    df = tables.patches(spark, d).select("vec_id", mosaic.luma(F.slice("samples", 1, 63), 3).alias("v"))
+    df = tables.patches(spark, d).select("vec_id", let(pixels(), lambda s: mosaic.luma(s, 3)).alias("v"))
     return round_all(flat(df, "v", "luma"))
 
 
 def rgb_split(spark: SparkSession, d: str) -> DataFrame:
-    s = F.slice("samples", 1, 63)
-    df = tables.patches(spark, d).select("vec_id", F.posexplode(F.arrays_zip(mosaic.channel(s, 0).alias("red"), mosaic.channel(s, 2).alias("blue"))).alias("i", "z"))
+    both = let(pixels(), lambda s: F.arrays_zip(mosaic.channel(s, 0).alias("red"), mosaic.channel(s, 2).alias("blue")))
+    df = tables.patches(spark, d).select("vec_id", F.posexplode(both).alias("i", "z"))
     return round_all(df.select("vec_id", "i", F.col("z.red").alias("red"), F.col("z.blue").alias("blue")))
 
 
@@ -102,7 +108,7 @@ def bayer_interpolate(spark: SparkSession, d: str) -> DataFrame:
 
 def level_normalise(spark: SparkSession, d: str) -> DataFrame:
     black, white = F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3)), F.array(F.lit(1.9), F.lit(1.8), F.lit(1.7))
-    df = tables.patches(spark, d).select("vec_id", mosaic.normalise(F.slice("samples", 1, 63), black, white).alias("v"))
+    df = tables.patches(spark, d).select("vec_id", let(pixels(), lambda s: mosaic.normalise(s, black, white)).alias("v"))
     return round_all(flat(df, "v", "value"))
 
 
@@ -171,11 +177,42 @@ def target_qa_frame(spark: SparkSession, d: str) -> DataFrame:
     return round_all(target.decide(target.keystones(target.runs(tables.courses(spark, d), 96))))
 
 
+# decoded files
+
+
+def painted(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of painted TIFF frames, beside what they are."""
+    files = tables.painted_frames(spark, d)
+    none = F.lit(None)
+    lens = (F.lit("lens").alias("lens_model"), F.lit(50.0).alias("focal_length_mm"), F.lit(8.0).alias("f_number"), none.cast("boolean").alias("corrections_present"))
+    return frames.analyse(files, files.select("path", "run_id", "input_index", *lens)).join(files.select("path", "kind", "sign"), "path")
+
+
+def analyse_frames(spark: SparkSession, d: str) -> DataFrame:
+    """What was found in each painted frame of what it was painted for: its falloff, shift, bow (within 0.8 % of the sagitta) and keystone."""
+    df = painted(spark, d)
+    is_ = lambda kind, value: F.when(F.col("kind") == kind, value)
+    near = F.abs(F.col("bow") - F.col("sign") * F.lit(5 / 70 * 100)) <= 0.8
+    return df.select(
+        "run_id", "input_index", "kind",
+        *[is_("vignetting", r6(F.col(f"fa_{c}"))).alias(f"falloff_{c}") for c in evidence.SHORT],
+        *[is_("colour_shift", F.abs(F.col(f"cx_{c}") - F.col("sign")) <= 0.25).alias(f"shift_{c}") for c in evidence.SHORT],
+        is_("bow", near & F.col("bow_measured")).alias("bow_near"), is_("bow", F.col("side")).alias("bow_side"),
+        is_("courses", F.col("target_status")).alias("target"), is_("courses", F.round("keystone_pct", 3)).alias("keystone"),
+    )
+
+
+def analyse_runs(spark: SparkSession, d: str) -> DataFrame:
+    """From TIFF files to verdicts."""
+    g = evidence.target_quality(evidence.groups(painted(spark, d)))
+    return round_all(series.copy_assessment(series.copy_candidates(g), series.field_curvature(g)))
+
+
 # frames and groups
 
 
 def zoned(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.zone_values(tables.frames(spark, d))
+    return tables.zone_values(tables.frames(spark, d))
 
 
 def falloff_stops(spark: SparkSession, d: str) -> DataFrame:

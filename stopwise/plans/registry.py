@@ -9,7 +9,7 @@ NAMES = (
     "acutance_patch", "gaussian_blur_patch", "median_luminance", "contrast_texture_gate", "zone_geometry", "zone_projection",
     "green_extract", "luma_extract", "rgb_split", "bayer_interpolate", "level_normalise", "row_col_profiles", "profile_variance_gate",
     "lag_scores", "ca_shift", "trace_points", "quadratic_fit", "distortion_frame", "target_runs", "keystone", "target_qa_frame",
-    "falloff_stops", "correction_gate", "group_frames", "decentring_pairs", "ca_group", "distortion_group", "target_quality_group",
+    "analyse_frames", "analyse_runs", "falloff_stops", "correction_gate", "group_frames", "decentring_pairs", "ca_group", "distortion_group", "target_quality_group",
     "vignetting_group", "stable_repeats", "fc_samples", "field_curvature", "vignetting_partitions", "vignetting_series_flags",
     "vignetting_optical_delta", "vignetting_symmetry", "copy_candidates", "copy_series_summary", "copy_assessment", "reshoot_actions",
     "run_report_json", "contact_layout", "thumbnail_sample", "extension_dispatch", "metadata_inspect",

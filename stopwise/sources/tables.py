@@ -73,6 +73,31 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+CORNER_NAMES = ("tl", "tr", "bl", "br")
+
+
+def zone_values(frames: DataFrame) -> DataFrame:
+    """Stand-in evidence of frames: adds per-corner acutance (ac_), contrast (co_) and falloff (fa_) columns, colour shifts and bow evidence."""
+    p, o = F.col("l_partkey"), F.col("l_orderkey")
+    df = frames.select(
+        *frames.columns,
+        (F.col("ac_corner") + F.col("d_top") / 2).alias("ac_tl"),
+        (F.col("ac_corner") - F.col("d_top") / 2).alias("ac_tr"),
+        (F.col("ac_corner") + F.col("d_bot") / 2).alias("ac_bl"),
+        (F.col("ac_corner") - F.col("d_bot") / 2).alias("ac_br"),
+        F.col("contrast_tl").alias("co_tl"),
+        *[F.lit(0.2).alias(f"co_{c}") for c in ("tr", "bl", "br", "centre")],
+        *[(F.col("fall") + F.col("bias_tr") if c == "tr" else F.col("fall")).alias(f"fa_{c}") for c in CORNER_NAMES],
+        F.when(p % 31 == 0, "flat_profile").when(p % 37 == 0, "correlation_peak_not_found").alias("ca_blocker"),
+        *[(((p + 7 * k) % 9 - 4) / 4.0).alias(f"cx_{c}") for k, c in enumerate(CORNER_NAMES)],
+        *[(((o + 5 * k) % 7 - 3) / 4.0).alias(f"cy_{c}") for k, c in enumerate(CORNER_NAMES)],
+        F.when(p % 12 == 3, "no_straight_reference").when(p % 4 == 2, "line_discontinuous").alias("bow_blocker"),
+        (p % 4 != 1).alias("bow_measured"),
+        (((p + o) % 21 - 10) / 10.0).alias("bow"),
+    )
+    return df
+
+
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names and tag values made of document ids."""
     d = F.col("doc_id")
@@ -129,3 +154,47 @@ def bowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_key() -> Column:
     return F.col("s_suppkey").cast("long")
+
+
+PAINTED = ("vignetting", "colour_shift", "bow", "courses")
+
+
+def painted(kind: str, sign: int):
+    """A plane of three 16-bit components with known truth."""
+    import numpy as np
+
+    if kind == "vignetting":  # corners at half the centre's level
+        image = np.full((100, 100), 30000)
+        image[43:56, 43:56] = 40000
+        for y in (slice(0, 20), slice(80, 100)):
+            for x in (slice(0, 20), slice(80, 100)):
+                image[y, x] = 20000
+        return np.repeat(image[:, :, None], 3, 2)
+    if kind == "colour_shift":  # red lies a pixel to the right or to the left of green and blue
+        y, x = np.indices((100, 100))
+        texture = lambda x: 10000 + (x * 40503 + 977) % 65521 * 24000 // 65521 + y * 60493 % 65521 * 16000 // 65521
+        return np.stack([texture(x - sign), texture(x), texture(x)], 2)
+    if kind == "bow":  # a dark line near the top, bent by 5 pixels
+        y, t = np.indices((70, 100))[0], np.arange(100) / 99
+        image = np.where(np.abs(y - (12 + 4 * -5 * sign * t * (1 - t))) <= 1, 2000, 50000)
+        return np.repeat(image[:, :, None], 3, 2)
+    y, x = np.indices((96, 96))  # dark courses that widen, or don't
+    image = np.where(y % np.where(y < 48, 12, 16 if sign > 0 else 12) < 3, 3000, 55000 + x % 3 * 600)
+    return np.repeat(image[:, :, None], 3, 2)
+
+
+def painted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TIFF files made of suppliers, four to a run: path, content, run_id, input_index, kind, sign."""
+    from stopwise.sources import tiff
+
+    def work(batches):
+        for pdf in batches:
+            yield pdf.assign(content=[tiff.encode(painted(k, s)) for k, s in zip(pdf["kind"], pdf["sign"])])
+
+    s = s_key()
+    kind = F.get(F.array(*[F.lit(k) for k in PAINTED]), (s % 4).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("/shots/frame_"), s.cast("string"), F.lit(".tif")).alias("path"), F.floor(s / 4).alias("run_id"), (s % 4).alias("input_index"),
+        kind.alias("kind"), F.when(F.floor(s / 4) % 2 == 0, 1).otherwise(-1).alias("sign"),
+    )
+    return rows.mapInPandas(work, "path string, run_id long, input_index long, kind string, sign int, content binary")
