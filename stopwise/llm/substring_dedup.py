@@ -8,18 +8,18 @@ these depend on nothing outside. Each symbol carries its extent, the words that
 
 Every window picks an anchor among the symbols whose extent it holds: of the highest level found,
 the one with the least hash, the leftmost of equals. The choice depends on the window's words
-alone, so two equal windows pick equal anchors at equal offsets. Consecutive windows of a document
-with one anchor form a stretch, named by its anchor and by a hash of its words.
+alone, so two equal windows pick equal anchors at equal offsets: symbols bring candidates together. Consecutive
+windows of a document with one anchor form a stretch. What is removed goes by the words themselves: stretches and windows are
+equal if the 128-bit digests (BLAKE2b) of their words' bytes are, so that no clash of names can remove text.
 
 1. Per anchor: number, least and greatest stretch name (map-side combined). Anchors met once end here.
 2. Per (anchor, stretch): the smallest document. All windows of a stretch are repeats in each
    later document that has it.
-3. First stretches of an anchor with several stretches are compared window by window, by 128-bit
-   hashes of their words.
+3. First stretches of an anchor with several stretches are compared window by window.
 
 Only step 3 handles single windows, and only around the edges of repeats, so that a passage or a
 group of copies with a third of all rows costs one row a stretch. Ranges go back to the texts in
-one join by document. Words are compared through 64-bit hashes in 128-bit window hashes.
+one join by document.
 
 Edge cases: a null or wordless text has no words and its digest is that of the empty text; texts
 with fewer than ``window`` words keep all; repeats within a document, or between rows of one
@@ -63,12 +63,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the documents in ``data`` (ending at ``ends``), and words per document."""
-    import xxhash
-
+def bounds_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word of the documents in ``data`` (ending at ``ends``), and which bytes are in words."""
     if not len(data):
-        return np.empty(0, U), np.zeros(len(ends), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     in_word = ~_SPACE[data]
     first, last = in_word.copy(), in_word.copy()
     first[1:] &= ~in_word[:-1]
@@ -76,7 +74,15 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begins = np.concatenate(([0], ends[:-1]))
     inner = begins[(begins > 0) & (begins < len(data))]
     first[inner], last[inner - 1] = in_word[inner], in_word[inner - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1, in_word
+
+
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the documents in ``data`` (ending at ``ends``), and words per document."""
+    import xxhash
+
+    begins = np.concatenate(([0], ends[:-1]))
+    s, e, _ = bounds_of(data, ends)
     n = e - s
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
@@ -94,6 +100,23 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(s, ends) - np.searchsorted(s, begins)
 
 
+class Joined:
+    """The words of documents, each followed by one space."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        s, e, in_word = bounds_of(data, ends)
+        n = e - s
+        self.start = np.concatenate(([0], np.cumsum(n + 1)))
+        text = np.full(self.start[-1], 32, np.uint8)
+        text[np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)] = data[in_word]
+        self.view = memoryview(text)
+
+    def digests(self, first: np.ndarray, n: np.ndarray, lead: np.ndarray) -> list[bytes]:
+        """Of the ``n`` words from ``first`` on, and of a number ``lead``."""
+        a, b = self.start[first].tolist(), self.start[first + n].tolist()
+        return [hashlib.blake2b(self.view[x:y], digest_size=16, salt=b"%d" % k).digest() for x, y, k in zip(a, b, lead.tolist())]
+
+
 def recompress(name, lo, hi, start, doc, edge, level):
     """One round on symbols with extents [lo, hi): runs, then pairs. ``edge``: (begin, end) words of each document."""
     # Runs. That a run is maximal shows in its neighbours; at a document's edge, beyond the document.
@@ -128,22 +151,6 @@ def recompress(name, lo, hi, start, doc, edge, level):
     return np.where(paired, join(name[at], name[nxt], 2 * level + 2), name[at]), new_lo, new_hi, start[at], doc[at]
 
 
-def span_hash(one: np.ndarray, length: int, salt: int) -> np.ndarray:
-    """Hash of the ``length`` words from each word on (wrong where fewer follow)."""
-    n, have, out, power, at = len(one), length, None, one, 0
-    size = 1
-    while have:
-        if have & 1:
-            part = power[np.minimum(np.arange(n) + at, n - 1)]
-            out = part if out is None else join(out, part, salt + size)
-            at += size
-        have >>= 1
-        if have:
-            power = join(power, power[np.minimum(np.arange(n) + size, n - 1)], salt + 64 + size)
-            size *= 2
-    return out
-
-
 def least_in(order: np.ndarray, i0: np.ndarray, i1: np.ndarray) -> np.ndarray:
     """Position of the leftmost least of order[i0:i1], by a sparse table."""
     longest = int((i1 - i0).max())
@@ -202,7 +209,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, n
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, stretch, doc_id, text_key, first and last window (word numbers within the document)."""
+    """anchor, digest, doc_id, text_key, first and last window (word numbers within the document)."""
     for batch in batches:
         for row, data, ends in slices(batch):
             word, count = words_of(data, ends)
@@ -215,16 +222,13 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut[1:] = (spot[1:] != spot[:-1]) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(cut)
             n = np.diff(np.append(at, len(starts)))
-            whole = span_hash(word, WINDOW, 11)[starts]
-            nth = np.arange(len(starts)) - np.repeat(at, n)
-            turn = mix(whole + nth.astype(U) * U(0x9E3779B97F4A7C15))
-            # where the anchor lies in the stretch belongs to the stretch's name
-            name = join(np.add.reduceat(turn, at), (spot[at] - starts[at]).astype(U), 5)
+            # where the anchor lies in the stretch belongs to its digest
+            digest = Joined(data, ends).digests(starts[at], n + WINDOW - 1, spot[at] - starts[at])
             first = starts[at] - (end - count)[doc[at]]
             rows = pa.array(row + doc[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[at].view(np.int64)), pa.array(name.view(np.int64)), batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(first.astype(np.int32)), pa.array((first + n - 1).astype(np.int32))],
-                ["anchor", "stretch", "doc_id", "text_key", "first", "last"],
+                [pa.array(anchor[at].view(np.int64)), pa.array(digest, pa.binary()), batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(first.astype(np.int32)), pa.array((first + n - 1).astype(np.int32))],
+                ["anchor", "digest", "doc_id", "text_key", "first", "last"],
             )
 
 
@@ -243,24 +247,24 @@ def expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows with ``ranges``: two hashes of each window in them, doc_id, text_key, window."""
+    """For rows with ``ranges``: the digest of each window in them, doc_id, text_key, window."""
     for batch in batches:
         for row, data, ends in slices(batch):
-            word, count = words_of(data, ends)
-            begin = np.cumsum(count) - count
+            words = bounds_of(data, ends)[0]
+            begin = np.searchsorted(words, np.concatenate(([0], ends[:-1])))
             at, who = [], []
-            for i in range(len(count)):
+            for i in range(len(ends)):
                 first, last = _ranges(batch.column("ranges"), row + i)
                 got = expand(first, last)
                 at.append(got + begin[i])
                 who.append(np.full(len(got), row + i))
             at, who = np.concatenate(at), pa.array(np.concatenate(who))
             if len(at):
-                one, two = (span_hash(word, WINDOW, salt)[at].view(np.int64) for salt in (1001, 2002))
+                digest = Joined(data, ends).digests(at, np.full(len(at), WINDOW), np.zeros(len(at), np.int64))
                 local = (at - begin[np.asarray(who) - row]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), batch.column("doc_id").take(who), batch.column("text_key").take(who), pa.array(local)],
-                    ["h1", "h2", "doc_id", "text_key", "first"],
+                    [pa.array(digest, pa.binary()), batch.column("doc_id").take(who), batch.column("text_key").take(who), pa.array(local)],
+                    ["digest", "doc_id", "text_key", "first"],
                 )
 
 
@@ -295,11 +299,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where("doc_id IS NOT NULL")
     parts = stash(
-        known.mapInArrow(tidied(_stretches), f"anchor long, stretch long, doc_id {kind}, text_key long, first int, last int"), "stretches"
+        known.mapInArrow(tidied(_stretches), f"anchor long, digest binary, doc_id {kind}, text_key long, first int, last int"), "stretches"
     )
     shared = (
         parts.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), (F.min("stretch") != F.max("stretch")).alias("mixed"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("mixed"))
         .where("n > 1")
         .drop("n")
     )
@@ -308,8 +312,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     shared = stash(shared, "anchors-shared")
     met = stash(parts.join(shared, "anchor"), "stretches-met")
     discard(parts, shared)
-    first_doc = stash(met.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first_doc")), "stretches-first")
-    judged = stash(met.join(first_doc, ["anchor", "stretch"]).select("doc_id", "text_key", "first", "last", "mixed", "first_doc"), "stretches-judged")
+    first_doc = stash(met.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first_doc")), "stretches-first")
+    judged = stash(met.join(first_doc, ["anchor", "digest"]).select("doc_id", "text_key", "first", "last", "mixed", "first_doc"), "stretches-judged")
     discard(met, first_doc)
     later = judged.where("doc_id > first_doc").select("doc_id", "text_key", "first", "last")
     open_ = (
@@ -320,12 +324,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     singles = stash(
         known.join(open_, ["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "ranges")
-        .mapInArrow(tidied(_window_hashes), f"h1 long, h2 long, doc_id {kind}, text_key long, first int"),
+        .mapInArrow(tidied(_window_hashes), f"digest binary, doc_id {kind}, text_key long, first int"),
         "windows",
     )
-    least = singles.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    least = singles.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     least = stash(least.drop("last_doc"), "windows-repeated")
-    single = singles.join(least, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "text_key", "first", F.col("first").alias("last"))
+    single = singles.join(least, "digest").where("doc_id > first_doc").select("doc_id", "text_key", "first", F.col("first").alias("last"))
     single = stash(single, "windows-later")
     discard(singles, least)
     return later.unionByName(single)

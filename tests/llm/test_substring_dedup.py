@@ -50,6 +50,17 @@ def test_equal_windows_pick_equal_anchors():
     assert picked[0] == picked[1] == picked[2]
 
 
+def test_digests_go_by_words(spark, tmp_path):
+    """Equal words have equal digests whatever parts them, others don't, nor do places of the anchor."""
+    one = " ".join(f"a{i}" for i in range(80))
+    rows = [(1, one), (2, " ".join(f"b{i}" for i in range(80))), (3, "x  " + one)]
+    data = np.frombuffer(" ".join(t for _, t in rows).encode(), np.uint8)
+    joined = op.Joined(data, np.array([len(data)]))
+    names = joined.digests(np.array([0, 80, 161, 0]), np.full(4, 60), np.array([0, 0, 0, 1]))
+    assert names[0] == names[2] != names[1] and names[3] != names[0]
+    compare(spark, docs_of(spark, rows), tmp_path)
+
+
 def test_clashing_names(spark):
     from pyspark.sql import functions as F
 
