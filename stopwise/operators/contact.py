@@ -11,12 +11,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.functions.arrays import upto
+from stopwise.functions.arrays import let, upto
+from stopwise.operators.glyphs import raster
 
 # The sheet's measures in pixels.
 THUMB_W, THUMB_H, LABEL_H, PAD, MOST_COLUMNS = 96, 72, 12, 6, 4
 TILE_W, TILE_H = THUMB_W + 2 * PAD, THUMB_H + LABEL_H + 2 * PAD
 GLYPHS = THUMB_W // 4  # glyphs are 3 wide, with a gap of 1
+LABEL_DROP = 3
+BACKGROUND, TILE_BACKGROUND, TEXT = (18, 20, 22), (34, 37, 40), (226, 230, 232)
 
 
 def to_byte(value: Column) -> Column:
@@ -51,29 +54,54 @@ def label(path: Column, f_number: Column) -> Column:
     return F.substring(F.lower(F.regexp_replace(text, "[^ -~]", "?")), 1, GLYPHS)
 
 
+def display(samples: Column, width: int, height: int, components: Column) -> Column:
+    """Thumbnail bytes of a plane (gray, 96 x 72) or, of three components, of a picture (red, green, blue together)."""
+
+    def part(k: int) -> Column:
+        return let(F.transform(upto(width * height), lambda i: F.get(samples, i * 3 + k)), lambda s: thumbnail(s, width, height))
+
+    zipped = F.zip_with(F.zip_with(part(0), part(1), lambda r, g: F.array(r, g)), part(2), lambda rg, b: F.concat(rg, F.array(b)))
+    return F.when(components == 3, F.flatten(zipped)).otherwise(thumbnail(samples, width, height))
+
+
+def draw(tiles: list[tuple[np.ndarray, str]]) -> np.ndarray:
+    """The sheet of thumbnails (gray or colour bytes) and their labels, in order."""
+    columns = min(len(tiles), MOST_COLUMNS)
+    image = np.empty((-(-len(tiles) // columns) * TILE_H, columns * TILE_W, 3), np.uint8)
+    image[:] = BACKGROUND
+    for i, (thumb, text) in enumerate(tiles):
+        y, x = i // columns * TILE_H, i % columns * TILE_W
+        image[y : y + TILE_H, x : x + TILE_W] = TILE_BACKGROUND
+        image[y + PAD : y + PAD + THUMB_H, x + PAD : x + PAD + THUMB_W] = thumb.reshape(THUMB_H, THUMB_W, -1)
+        letters = raster(text[:GLYPHS])
+        at = y + PAD + THUMB_H + LABEL_DROP
+        image[at : at + letters.shape[0], x + PAD : x + PAD + letters.shape[1]][letters] = TEXT
+    return image
+
+
 def sheets(tiles: DataFrame) -> DataFrame:
-    """``tiles``: run_id, input_index, thumb (bytes as ints, gray). One row a run: run_id, png."""
+    """``tiles``: run_id, input_index, thumb (bytes as ints, gray or colour), label. One row a run: run_id, png.
+
+    A run's tiles are drawn in one task, as its sheet is one picture.
+    """
 
-    def draw(key, pdf):
+    def work(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("input_index")
-        n = len(pdf)
-        columns = min(n, MOST_COLUMNS)
-        image = np.full((-(-n // columns) * TILE_H, columns * TILE_W), 255, np.uint8)
-        for i, thumb in enumerate(pdf["thumb"]):
-            y, x = i // columns * TILE_H + PAD, i % columns * TILE_W + PAD
-            image[y : y + THUMB_H, x : x + THUMB_W] = np.asarray(thumb, np.uint8).reshape(THUMB_H, THUMB_W)
-        return pd.DataFrame({"run_id": [key[0]], "png": [png(image)]})
+        rows = [(np.asarray(t, np.uint8), text or "") for t, text in zip(pdf["thumb"], pdf["label"])]
+        return pd.DataFrame({"run_id": [key[0]], "png": [png(draw(rows))]})
 
-    return tiles.groupBy("run_id").applyInPandas(draw, "run_id long, png binary")
+    return tiles.groupBy("run_id").applyInPandas(work, "run_id long, png binary")
 
 
 def png(image: np.ndarray) -> bytes:
+    """8 bits, gray (h, w) or colour (h, w, 3)."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.zeros((image.shape[0], image.shape[1] + 1), np.uint8)
-    rows[:, 1:] = image
-    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
+    h, w = image.shape[:2]
+    rows = np.zeros((h, image[0].size + 1), np.uint8)
+    rows[:, 1:] = image.reshape(h, -1)
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 

@@ -1,13 +1,14 @@
 """Baseline TIFF frames by Spark's binary file source and a vectorised decoder.
 
-Gray or RGB, 8 or 16 bits unsigned or 32 bits float, uncompressed strips, either byte order. Spark's
-own image source is not used: it gives 8 bits a sample.
+Gray or RGB, 8 or 16 bits unsigned or 32 bits float, in strips, either byte order; plain, PackBits, LZW or deflate,
+with or without horizontal differences. Spark's own image source is not used: it gives 8 bits a sample.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,52 @@ def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     return order, out
 
 
+def unpack_bits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends."""
+    start = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out, last = list(start), [], b""
+    held = bits = at = 0
+    width = 9
+    while True:
+        while bits < width:
+            if at == len(data):
+                return b"".join(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
+        code = held >> (bits - width) & (1 << width) - 1
+        bits -= width
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, last, width = list(start), b"", 9
+            continue
+        if code > len(table) or code == len(table) and not last:
+            raise ValueError("damaged LZW data")
+        now = table[code] if code < len(table) else last + last[:1]
+        out.append(now)
+        if last and len(table) < 4096:
+            table.append(last + now[:1])
+        last = now
+        width = min(max(9, (len(table) + 1).bit_length()), 12)
+
+
+#: By the number that a file gives its compression.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
 def info(data: bytes) -> dict:
     """Width, height, components, bits: nothing of the pixels is read."""
     _, t = tags(data)
@@ -51,23 +98,30 @@ def decode(data: bytes) -> tuple[dict, np.ndarray]:
     order, t = tags(data)
     i = info(data)
     kinds = {(8, 1): ("u1", 255), (16, 1): ("u2", 65535), (32, 3): ("f4", 1)}
-    if (i["bits"], i["format"]) not in kinds or t.get(259, (1,))[0] != 1 or i["components"] not in (1, 3):
+    packed, differences = t.get(259, (1,))[0], t.get(317, (1,))[0]
+    if (i["bits"], i["format"]) not in kinds or packed not in UNPACK or differences not in (1, 2) or i["components"] not in (1, 3):
         raise ValueError(f"unsupported TIFF: {i}")
+    if t.get(284, (1,))[0] != 1 or 273 not in t or differences == 2 and i["format"] != 1:
+        raise ValueError("unsupported TIFF: planes, tiles or differences of floats")
     kind, top = kinds[i["bits"], i["format"]]
-    raw = b"".join(data[a : a + n] for a, n in zip(t[273], t[279]))
-    samples = np.frombuffer(raw, order + kind).astype(float) / top
+    raw = b"".join(UNPACK[packed](data[a : a + n]) for a, n in zip(t[273], t[279]))
+    samples = np.frombuffer(raw, order + kind)
     if len(samples) != i["width"] * i["height"] * i["components"]:
         raise ValueError("sample count does not fit the size")
-    return i, samples
+    if differences == 2:
+        samples = np.cumsum(samples.reshape(i["height"], i["width"], i["components"]), axis=1, dtype=kind).ravel()
+    return i, samples.astype(float) / top
 
 
-def encode(samples: np.ndarray, bits: int = 16) -> bytes:
-    """A little-endian TIFF of an (h, w) or (h, w, 3) array of integers, for fixtures."""
+def encode(samples: np.ndarray, bits: int = 16, packed: int = 1, pack=bytes, differences: bool = False) -> bytes:
+    """A little-endian TIFF of an (h, w) or (h, w, 3) array of integers, for fixtures; ``pack`` makes the compression ``packed``."""
     image = np.ascontiguousarray(samples, "<u2" if bits == 16 else "u1")
     h, w = image.shape[:2]
     parts = 1 if image.ndim == 2 else image.shape[2]
-    body = image.tobytes()
-    entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1 if parts == 1 else 2), (273, 4, 1, 8), (277, 3, 1, parts), (278, 4, 1, h), (279, 4, 1, len(body)), (339, 3, 1, 1)]
+    if differences:
+        image = np.diff(image.reshape(h, w, parts), axis=1, prepend=image.dtype.type(0)).astype(image.dtype)
+    body = pack(image.tobytes())
+    entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, bits), (259, 3, 1, packed), (262, 3, 1, 1 if parts == 1 else 2), (273, 4, 1, 8), (277, 3, 1, parts), (278, 4, 1, h), (279, 4, 1, len(body)), (317, 3, 1, 2 if differences else 1), (339, 3, 1, 1)]
     table = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4)
     return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + table
 

@@ -109,7 +109,7 @@ def test_capture_metadata(spark):
 def test_contact_labels_and_png(spark, tmp_path):
     made = spark.range(1).select(contact.label(F.lit("/a/Blüte 7.dng"), F.lit(5.6)).alias("a"), contact.label(F.lit("x.tif"), F.lit(float("inf"))).alias("b"), contact.to_byte(F.lit(0.5)).alias("c")).first()
     assert tuple(made) == ("bl?te 7 f/5.6", "x", 128)
-    tiles = spark.createDataFrame([(1, i, [i * 40] * (96 * 72)) for i in range(5)], "run_id long, input_index int, thumb array<int>")
+    tiles = spark.createDataFrame([(1, i, [i * 40] * (96 * 72), f"f {i}") for i in range(4)] + [(1, 4, [9, 90, 200] * (96 * 72), None)], "run_id long, input_index int, thumb array<int>, label string")
     png = contact.sheets(tiles).first().png
     assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[16:24] == (4 * 108).to_bytes(4, "big") + (2 * 96).to_bytes(4, "big")
     out = tmp_path / "s.png"
@@ -120,3 +120,20 @@ def test_contact_labels_and_png(spark, tmp_path):
         contact.check_output(str(out), [str(out)])
     with pytest.raises(ValueError):
         contact.check_output(str(tmp_path), [])
+
+
+def test_sheets_have_labels_and_colour(spark):
+    import numpy as np
+
+    from stopwise.operators import glyphs
+
+    image = contact.draw([(np.full(96 * 72, 50, np.uint8), "a/1"), (np.tile(np.array([9, 90, 200], np.uint8), 96 * 72), "é")])
+    assert image.shape == (96, 216, 3) and image[0, 0].tolist() == [34, 37, 40]
+    assert image[6, 6].tolist() == [50] * 3 and image[6, 108 + 6].tolist() == [9, 90, 200]
+    band = (image[81:86, 6 : 6 + 12] == np.array([226, 230, 232])).all(2)
+    assert ["".join(".#"[int(v)] for v in row) for row in band] == [".#....#..#..", "#.#...#.##..", "###..#...#..", "#.#.#....#..", "#.#.#...###."]
+    assert (glyphs.raster("é") == glyphs.raster("?")).all() and glyphs.raster("").shape == (5, 0)
+    planes = spark.createDataFrame([(1, [float(v) / 12 for v in range(12)]), (3, [float(v) / 36 for v in range(36)])], "components int, s array<double>")
+    gray, colour = (r.t for r in planes.select(contact.display(F.col("s"), 4, 3, F.col("components")).alias("t")).collect())
+    assert len(gray) == 96 * 72 and len(colour) == 3 * 96 * 72
+    assert colour[:3] == [0, 7, 14] and colour[-3:] == [234, 241, 248] and gray[-1] == 234

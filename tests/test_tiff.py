@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -28,3 +30,52 @@ def test_rejects(tmp_path):
         tiff.preflight([str(tmp_path / "none.tif")])
     with pytest.raises(ValueError):
         tiff.preflight([str(tmp_path)])
+
+
+def lzw(data, most=4094):
+    """Textbook LZW with early change, for the fixture."""
+    out, table, now, width = "", {bytes([i]): i for i in range(256)}, b"", 9
+    size = 258
+    out += f"{256:09b}"
+    for b in data:
+        c = bytes([b])
+        if now + c in table:
+            now += c
+            continue
+        out += f"{table[now]:0{width}b}"
+        table[now + c] = size
+        size += 1
+        width = min(max(9, size.bit_length()), 12)
+        if size >= most:
+            out += f"{256:0{width}b}"
+            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
+        now = c
+    out += f"{table[now]:0{width}b}"
+    width = min(max(9, (size + 1).bit_length()), 12)
+    out += f"{257:0{width}b}"
+    out += "0" * (-len(out) % 8)
+    return int(out, 2).to_bytes(len(out) // 8, "big")
+
+
+def packbits(data):
+    out = b""
+    for i in range(0, len(data), 100):
+        part = data[i : i + 100]
+        out += bytes([257 - len(part), part[0]]) if len(set(part)) == 1 and len(part) > 1 else bytes([len(part) - 1]) + part
+    return out + b"\x80"
+
+
+@pytest.mark.parametrize(("packed", "pack"), [(5, lzw), (8, zlib.compress), (32946, zlib.compress), (32773, packbits)])
+@pytest.mark.parametrize("differences", [False, True])
+@pytest.mark.parametrize("bits", [8, 16])
+def test_compressed(packed, pack, differences, bits):
+    rng = np.random.default_rng(3)
+    for image in (rng.integers(0, 1 << bits, (40, 61)), np.full((30, 50, 3), 77), np.indices((64, 64, 3)).sum(0) * 3 % (1 << bits)):
+        found, samples = tiff.decode(tiff.encode(image, bits, packed, pack, differences))
+        assert (found["height"], found["width"]) == image.shape[:2]
+        assert np.array_equal(np.rint(samples * ((1 << bits) - 1)).astype(int), image.ravel())
+
+
+def test_unsupported_compression_is_rejected():
+    with pytest.raises(ValueError, match="unsupported"):
+        tiff.decode(tiff.encode(np.zeros((4, 4), int), packed=7))
