@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
@@ -38,6 +39,13 @@ def clear_shared(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, for plans that read it several times."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sources() -> bytes:
     """This package as a zip file."""
     here, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stopwise.deploy import kept
 from stopwise.functions.arrays import let, mean, r6, variance
 from stopwise.operators import bow, capture, colour_shift, contact, evidence, frames, mosaic, report, series, sharpness, target
 from stopwise.sources import tables
@@ -262,7 +263,7 @@ def target_quality_group(spark: SparkSession, d: str) -> DataFrame:
 
 def stable_groups(spark: SparkSession, d: str) -> DataFrame:
     z = zoned(spark, d)
-    return evidence.vignetting(z, evidence.groups(z))
+    return kept(evidence.vignetting(z, evidence.groups(z)), "stable-groups")
 
 
 def vignetting_group(spark: SparkSession, d: str) -> DataFrame:
@@ -342,11 +343,13 @@ def reshoot_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_report_json(spark: SparkSession, d: str) -> DataFrame:
-    z = zoned(spark, d)
-    g = evidence.groups(z)
+    z = kept(zoned(spark, d), "frames")
+    g = kept(evidence.groups(z), "groups")
     t = evidence.target_quality(g)
     fc = series.field_curvature(g)
-    return report.documents(series.copy_assessment(series.copy_candidates(t), fc), fc, series.vignetting_series(evidence.vignetting(z, g)), evidence.decentring(g))
+    v = kept(evidence.vignetting(z, g), "stable-groups")
+    verdict = series.copy_assessment(series.copy_candidates(t), fc)
+    return report.documents(verdict, fc, series.vignetting_series(v), evidence.decentring(g), evidence.colour_shift(z), evidence.bows(z), t, z)
 
 
 # files and sheets

@@ -39,10 +39,33 @@ def test_report_documents(spark, sf_dir):
     found = registry.QUERIES["run_report_json"](spark, sf_dir).collect()
     verdicts = {r.run_id: r for r in registry.QUERIES["copy_assessment"](spark, sf_dir).collect()}
     assert len(found) == len(verdicts)
+    # other queries, which have SQL
+    of = lambda name: registry.QUERIES[name](spark, sf_dir).collect()
+    corners = ("top_left", "top_right", "bottom_left", "bottom_right")
+    shifts = {}
+    for x in sorted(of("ca_group"), key=lambda x: corners.index(x.corner)):
+        shifts.setdefault((x.run_id, x.group_ord), []).append((x.corner, x.included, x.mean_x, [b for b in x.blockers.split(",") if b]))
+    bows = {(x.run_id, x.group_ord): (x.included, x.mean_bow) for x in of("distortion_group")}
+    quality = {(x.run_id, x.group_ord): (x.status, x.keystone) for x in of("target_quality_group")}
     for r in found:
         doc = json.loads(r.report)
-        assert list(doc) == ["schema_version", "field_curvature", "copy_assessment", "groups"]
+        assert list(doc) == ["schema_version", "tool_version", "inputs", "field_curvature", "copy_assessment", "groups"]
         assert doc["copy_assessment"]["state"] == verdicts[r.run_id].state
         assert ",".join(doc["copy_assessment"]["blockers"]) == verdicts[r.run_id].blockers
+        for gate, found in doc["copy_assessment"]["evidence_gates"].items():
+            assert ",".join(found["blockers"]) == verdicts[r.run_id][f"gate_{gate}"] and found["passed"] == (not found["blockers"])
         assert [g["group_ord"] for g in doc["groups"]] == sorted(g["group_ord"] for g in doc["groups"])
         assert "lens_model" in doc["copy_assessment"]  # nulls are written out
+        assert [i["index"] for i in doc["inputs"]] == list(range(len(doc["inputs"])))
+        assert sorted(f["index"] for g in doc["groups"] for f in g["frames"]) == list(range(len(doc["inputs"])))
+        for g in doc["groups"]:
+            key = (r.run_id, g["group_ord"])
+            assert len(g["frames"]) == g["frame_count"] and g["frames"][0]["index"] == g["group_ord"]
+            assert [(c["corner"], c["included_samples"], c["mean_x"], c["blockers"]) for c in g["ca_lateral"]] == shifts[key]
+            assert (g["distortion"]["included_samples"], g["distortion"]["mean_bow"]) == bows[key]
+            assert (g["target_quality"]["status"], g["target_quality"]["keystone"]) == quality[key]
+            for f in g["frames"]:
+                eligible = doc["inputs"][f["index"]]["aggregation_eligible"]
+                for z in f["sharpness"].values():
+                    assert z["confidence"] == float(eligible and z["texture_usable"])
+                assert f["distortion"]["confidence"] in (0.9, 0.4, None) and (f["distortion"]["confidence"] is None) == bool(f["distortion"]["blockers"])
