@@ -47,8 +47,8 @@ def test_like_plain_kernel_ridge_regression(spark, sf_dir):
     import numpy as np
 
     rows = table(spark, sf_dir, "documents").collect()
-    train = sorted((zlib.crc32(r.text.encode()), r.text, r.lang) for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5 and len(r.text.encode()) <= op.TEXT_BYTES)
-    train = sorted(set(train))
+    usable = {(r.doc_id, r.text, r.lang) for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5 and len(r.text.encode()) <= op.TEXT_BYTES}
+    train = sorted((zlib.crc32(t.encode()), t, lang) for _, t, lang in usable if any(map(str.isalpha, t)))
     sets = [grams(t) for _, t, _ in train]
     names = sorted({x for *_, x in train})
     turns, turn = {}, []
@@ -67,7 +67,7 @@ def test_like_plain_kernel_ridge_regression(spark, sf_dir):
     for r in rows:
         if any(c.isalpha() for c in r.text or ""):
             s = (k([grams(r.text)]) @ w)[0]
-            assert abs(np.clip(s.max(), 0, 1) - got[r.doc_id].score) < 0.1
+            assert abs(np.clip(s.max(), 0, 1) - got[r.doc_id].score) < 0.02
             near += names[int(s.argmax())] == got[r.doc_id].lang_pred
         else:
             near += got[r.doc_id].lang_pred == "und"
