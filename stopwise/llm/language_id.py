@@ -35,6 +35,7 @@ HASH_BITS = 19
 ROWS = 64  # texts in one matrix product
 #: Bounds of the training sample: longest text, and all texts of a language.
 TEXT_BYTES, SAMPLE_BYTES = 64 << 10, 1 << 20
+SPARE = 8
 U = np.uint64
 #: Odd multipliers of the n-gram hash.
 FACTORS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
@@ -134,9 +135,15 @@ def train(docs: DataFrame, per_language: int = 250, languages: int = 200, landma
     rows = docs.select("doc_id", "lang", "text")
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     usable = usable.where(F.octet_length("text") <= TEXT_BYTES).withColumn("pick", F.xxhash64("doc_id", "text"))
-    frequent = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not frequent:
+        return None
+    # Of a large language a part is enough, some SPARE times what is taken, so that no task ranks all its rows.
+    part = {r["lang"]: min(1.0, SPARE * per_language / r["count"]) for r in frequent}
+    most = F.create_map(*[F.lit(x) for lang, share in part.items() for x in (lang, int(share * (1 << 20)))])
+    usable = usable.where(F.pmod("pick", F.lit(1 << 20)) < F.try_element_at(most, F.col("lang")))
     size = F.max(F.octet_length("text").cast("long")).alias("size")
-    once = usable.where(F.col("lang").isin(frequent)).groupBy("lang", "pick").agg(size)  # equal rows count once
+    once = usable.groupBy("lang", "pick").agg(size)  # equal rows count once
     order = Window.partitionBy("lang").orderBy("pick")
     some = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     some = some.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= SAMPLE_BYTES)
