@@ -176,6 +176,13 @@ def decode(data: bytes) -> tuple[dict, np.ndarray]:
     return i, out
 
 
+def levels(info: dict) -> tuple[list[float], list[float]]:
+    """Black and white levels of the four places of a cell."""
+    top = float((1 << info["bits_per_sample"]) - 1)
+    four = lambda v: v * (4 // len(v)) if len(v) in (1, 2, 4) else v[:4]
+    return four(info["black_level"] or [0.0]), four(info["white_level"] or [top])
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """A flat folder's DNG files: path, content."""
     ship(spark)
@@ -207,7 +214,7 @@ def mosaics(found: DataFrame) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 i, plane = decode(content)
-                black, white = (v * (4 // len(v)) if v and 4 % len(v) == 0 else v or default for v, default in ((i["black_level"], [0.0] * 4), (i["white_level"], [float((1 << i["bits_per_sample"]) - 1)] * 4)))
+                black, white = levels(i)
                 for a in range(0, len(plane), 64):
                     some = plane[a : a + 64].astype(float)
                     n = len(some)

@@ -112,3 +112,41 @@ def test_files_to_green_planes(spark, tmp_path):
     for r in planes.select("path", op.green(F.col("s"), 10, 12, F.col("pattern"), F.col("black"), F.col("white")).alias("g")).collect():
         px, py = (1, 0) if "a.dng" in r.path else (0, 0)
         assert np.allclose(np.array(r.g).reshape(6, 5), (plane[py::2, px::2] - 64) / (16316 - 64))
+
+
+@pytest.mark.parametrize(("pattern", "cells"), [("RGGB", b"\0\1\1\2"), ("BGGR", b"\2\1\1\0"), ("GBRG", b"\1\2\0\1"), ("GRBG", b"\1\0\2\1")])
+def test_mosaic_like_the_expressions(spark, pattern, cells):
+    from pyspark.sql import functions as F
+
+    from stopwise.operators import frames
+    from stopwise.operators import mosaic as op
+
+    plane = np.random.default_rng(6).integers(64, 16316, (9, 12))
+    m = frames.Mosaic(make(plane, pattern=cells))
+    s, levels = F.array(*[F.lit(float(v)) for v in plane.ravel()]), (F.array(*[F.lit(64.0)] * 4), F.array(*[F.lit(16316.0)] * 4))
+    want = spark.range(1).select(*[op.interpolate(s, 12, 9, F.lit(pattern), *levels, t).alias(n) for n, t in (("red", op.RED), ("blue", op.BLUE))]).first()
+    for rect in ((0, 0, 12, 9), (3, 2, 5, 4), (7, 5, 5, 4)):
+        red, blue = m.colours(rect)
+        for got, all_ in ((red, want.red), (blue, want.blue)):
+            assert np.allclose(got, frames.cut(np.array(all_).reshape(9, 12), rect))
+    px, py = op.GREEN[pattern]
+    (x, w), (y, h) = op.project(F.lit(3), F.lit(5), F.lit(px)), op.project(F.lit(2), F.lit(4), F.lit(py))
+    assert m.project((3, 2, 5, 4)) == tuple(spark.range(1).select(x, y, w, h).first())
+
+
+def test_raw_frames_are_measured(spark, tmp_path):
+    """A mosaic with corners at half the centre's level, and one whose red lies two pixels aside."""
+    from stopwise.operators import frames
+    from stopwise.sources import tables
+
+    y, x = np.indices((200, 200))
+    dim = np.repeat(np.repeat(tables.painted("vignetting", 1)[:, :, 0], 2, 0), 2, 1) // 4
+    texture = lambda x, y: 4000 + (np.sin(0.37 * x) + np.cos(0.23 * y)) * 1500
+    moved = np.where((x % 2 == 0) & (y % 2 == 0), texture(x - 2, y), texture(x, y)).astype(int)
+    for name, plane in (("dim", dim), ("moved", moved)):
+        (tmp_path / f"{name}.dng").write_bytes(make(plane + 64, packed=7))
+    from stopwise.sources import dng as source
+
+    got = {r.path.rsplit("/", 1)[1]: r for r in frames.frame_evidence(source.files(spark, str(tmp_path))).collect()}
+    assert all(got["dim.dng"][f"fa_{c}"] == pytest.approx(-1, abs=1e-6) for c in ("tl", "tr", "bl", "br"))
+    assert all(got["moved.dng"][f"cx_{c}"] == pytest.approx(2, abs=0.5) for c in ("tl", "tr", "bl", "br"))
