@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
@@ -46,6 +47,17 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect garbage, after which they give back what their heaps don't need.
+
+    For jobs of several stages: a heap that shuffles have filled up to its bound keeps that memory, and a later stage whose work
+    is in Python workers finds too little beside it. Takes a task for each core and a full collection of each heap.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    collected = spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("x"))
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def sources() -> bytes:
     """This package as a zip file."""
     here, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()

@@ -2,7 +2,7 @@
 
 Null keys group together. A group's ordinal is the least input index of its frames. All families are
 aggregated in one shuffle with map-side combine; no list of frames is built, except for the bounded
-search among 3 to 64 unstable repeats.
+search among 3 to 63 unstable repeats.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ SHORT = ("tl", "tr", "bl", "br")
 # Fixed values.
 TEXTURED = 0.15
 SCATTER_LIMIT, DRIFT_LIMIT = 0.10, 0.25
-SEARCH_FROM, SEARCH_TO = 3, 64
+SEARCH_FROM, SEARCH_TO = 3, 63
 
 
 def count_if(cond: Column) -> Column:
@@ -188,7 +188,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def stable_repeats(samples: DataFrame, by: list[str]) -> DataFrame:
-    """``samples``: by.., pos, fa_tl.., lum, of groups with 3 to 64 repeats (bounded lists).
+    """``samples``: by.., pos, fa_tl.., lum, of groups with 3 to 63 repeats (bounded lists).
 
     Returns by.., sel_n, sel_scatter and means of the largest stable subset; all repeats if none is stable.
     """
