@@ -5,12 +5,10 @@ shorter than a sequence are packed in rounds: every task packs its share best-fi
 nearly full bins are final, and all underfull bins go on as items to a round with an eighth of the
 tasks, or with more where a task would else hold more than ``per_task`` bins. Items are dealt evenly, so that
 each task has a fair sample of sizes and small items meet large ones. Rounds end with a single task or, where the
-bins left are too many for one, when a round merged fewer than ``least_gain`` of them: no size that fits is left
-then. Bins carry their pieces, at most ``capacity`` of them, so no join is needed to find a piece's place.
+bins left are too many for one, when a round merged none of them. Bins carry their pieces, at most ``capacity`` of them, so no join is needed
+to find a piece's place.
 
-Tokenising: texts are cut at ASCII white space, which the tokenizer drops, and ids are looked up in a
-bounded cache by word; words not seen are encoded by the tokenizer itself. A task works on about 3 MB of
-text at a time, or on one longer text.
+Tokenising (``tokens``): a task works on about 3 MB of text at a time, or on one longer text.
 
 Edge cases: a null or empty text is the one id 0; repeated rows are packed each; an empty table
 gives an empty result; other columns are not read.
@@ -18,10 +16,8 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -31,147 +27,15 @@ from pyspark.sql import functions as F
 
 from stopwise.deploy import release, tidied
 from stopwise.llm.common import stash, table
+from stopwise.llm.tokens import default_vocabulary, ids_of, ranges, tokens, with_end
 
 CAPACITY = 2048
 SLICE = 3 << 20
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class Tokens:
-    """Token ids of white-space separated words, through a cache of ``most`` words and ``most_bytes`` of text, about.
-
-    The cache is a number for each word, and the words' ids one after another. When full it keeps the half of its words
-    that most slices had.
-    """
-
-    def __init__(self, path: str, most: int = 300_000, most_bytes: int = 12 << 20):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
-        self.most, self.most_bytes = most, most_bytes
-        vocabulary = self.encoder.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)  # one more than there are words
-        self.hits = np.zeros(1 << 14, np.int32)
-        self.known = self.bytes = 0
-
-    def _shrink(self) -> None:
-        keep = np.sort(np.argsort(-self.hits[: self.known], kind="stable")[: self.most // 2])
-        words, size = list(self.number), np.diff(self.start[: self.known + 1])
-        words = [words[i] for i in keep.tolist()]
-        ids, size, hits = self.ids[ranges(self.start[keep], size[keep])], size[keep], self.hits[keep]
-        self.clear()
-        if sum(map(len, words)) <= self.most_bytes // 2:
-            self._add(words, ids, size)
-            self.hits[: len(hits)] = hits // 2
-
-    def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
-        end = int(self.start[self.known])
-        if end + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids[:end], np.empty(end + 2 * len(ids), np.uint32)))
-        if self.known + len(words) + 1 > len(self.start):
-            self.start = np.concatenate((self.start, np.zeros(self.known + 2 * len(words), np.int64)))
-            self.hits = np.concatenate((self.hits, np.zeros(len(self.start) - len(self.hits), np.int32)))
-        self.ids[end : end + len(ids)] = ids
-        self.start[self.known + 1 : self.known + 1 + len(words)] = end + np.cumsum(size)
-        self.number.update(zip(words, range(self.known, self.known + len(words))))
-        self.known += len(words)
-        self.bytes += sum(map(len, words))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words that are one run of lower-case letters are encoded many at once and told apart by their end marks."""
-        text = [w.decode() for w in words]
-        runs = [i for i, t in enumerate(text) if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)]
-        other = sorted(set(range(len(words))) - set(runs))
-        for k in range(0, len(runs), 1000):
-            part = runs[k : k + 1000]
-            ids = np.array(self.encoder.encode(" ".join([text[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(part):
-                self._add([words[i] for i in part], ids, np.diff(last, prepend=-1))
-            else:  # the tokenizer takes some letter for something else
-                other += part
-        for k in range(0, len(other), 1000):
-            part = other[k : k + 1000]
-            got = [e.ids for e in self.encoder.encode_batch([text[i] for i in part], add_special_tokens=False)]
-            self._add([words[i] for i in part], np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(g) for g in got]))
-
-    def encode(self, words: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words[index[0]], words[index[1]], ..., and the number of ids of each. ``words`` are distinct."""
-        new = [w for w in words if w not in self.number]
-        if self.known and (self.known + len(new) > self.most or self.bytes > self.most_bytes):
-            self._shrink()
-            new = [w for w in words if w not in self.number]
-        self._learn(new)
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        self.hits[which] += 1
-        which = which[index]
-        size = np.diff(self.start[: self.known + 1])[which]
-        return self.ids[ranges(self.start[which], size)], size
-
-
-_KIND = np.zeros(256, np.uint8)  # 1: white space, 2: a-z, 3: comma and full stop
-_KIND[[0x20, 9, 10, 11, 12, 13]] = 1
-_KIND[97:123] = 2
-_KIND[[0x2C, 0x2E]] = 3
-
-
-def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of all texts, the word at each place, and how many each text has.
-
-    A-Z are lower-cased, as the tokenizer does, and a comma or full stop between a letter and white space
-    is made a word of its own, as it is a token of its own: words then recur more often.
-    """
-    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
-    kind = _KIND[data]
-    black = kind != 1
-    mark = np.zeros(len(data), bool)
-    mark[1:-1] = (kind[1:-1] == 3) & (kind[:-2] == 2) & (kind[2:] == 1)
-    first = black.copy()
-    first[1:] &= ~black[:-1]
-    first |= mark
-    begins = np.flatnonzero(first[black])  # among bytes that are not white space
-    letters = data[black]
-    offsets = np.append(begins, len(letters)).astype(np.int32)
-    column = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    before = np.searchsorted(np.flatnonzero(first), ends)
-    return column.dictionary.to_pylist(), column.indices.to_numpy(), np.diff(before, prepend=0)
-
-
-@cache
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
-
-
-def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def pieces_of(texts: list[bytes], path: str, capacity: int) -> tuple[np.ndarray, ...]:
     """For each piece: row, piece, start, length, crc32 of its ids."""
-    words, index, count = words_of(texts)
-    ids, n = tokens(path).encode(words, index)
-    ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)]
-    size = np.diff(np.concatenate(([0], ends))) + 1
-    own = np.zeros(int(size.sum()), "<u4")  # each document's ids, then 0
-    own[ranges(np.cumsum(size) - size, size - 1)] = ids
+    own, size = with_end(*ids_of(texts, path), 0)
     cuts = -(-size // capacity)
     row = np.repeat(np.arange(len(texts)), cuts)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -255,7 +119,7 @@ def _merge(table_: pa.Table, capacity: int, full: int) -> pa.RecordBatch:
     )
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, slack: int = 8, least_gain: float = 0.005) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, slack: int = 8) -> DataFrame:
     """``items``: doc_id, piece, start, length, ids_crc32. Adds sequence_id and offset."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     single = items.select(
@@ -280,7 +144,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, sla
         final.append(done.where("NOT open"))
         todo = done.where("open")
         left, held = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
-        if tasks == 1 or left > max(per_task, (1 - least_gain) * bins):
+        if tasks == 1 or left == bins:
             final.append(todo)
             break
         bins, tasks = left, max(1, -(-tasks // 8), -(-left // per_task), -(-held // (8 * per_task)))

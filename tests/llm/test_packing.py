@@ -5,14 +5,21 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from stopwise.llm import packing as op
+from stopwise.llm import tokens
 from stopwise.llm.common import table
 
 from .helpers import HARD, docs_of
 
 
+#: Special strings inside and between words, and letters whose composition and lower case don't commute.
+ODD = [
+    "a <|endoftext|> b", "foo<|endoftext|>Bar, x", "<|ENDOFTEXT|> <|StartOfText|> <|startoftext|>", "<|endoftext|>\u0301e A<B, C<D.",
+    "H\u0331 J\u030c T\u0308 W\u030a Y\u030a", "E\u0301cole. ECOLE, ÉCOLE, \u00c5 A\u030a \u212b", "\u1fbc\u0399 \u0130I i\u0307, ẞ SS", "x\u0085Y\u00a0Z, N\u3000M.",
+]
+
+
 def check(spark, docs, capacity=2048):
-    enc = Tokenizer.from_file(op.default_vocabulary())
-    enc.encode_special_tokens = True
+    enc = Tokenizer.from_file(tokens.default_vocabulary())
     want = []
     for r in docs.collect():
         ids = [*enc.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -39,7 +46,7 @@ def test_whole_table(spark, sf_dir):
 
 
 def test_hard_rows_and_empty_table(spark):
-    check(spark, docs_of(spark, [*HARD, (20, "don't İstanbul ΑΣ ΑΣ. 's <|endoftext|> naïve é ́x co-op", None, None)]))
+    check(spark, docs_of(spark, [*HARD, *[(30 + i, t) for i, t in enumerate(ODD)], (20, "don't İstanbul ΑΣ ΑΣ. 's <|endoftext|> naïve é ́x co-op", None, None)]))
     assert op.pack_documents(docs_of(spark, [])).count() == 0
 
 
@@ -57,9 +64,9 @@ def test_small_sequences_and_rounds(spark):
 
 
 def test_cache_overflow_keeps_ids_right():
-    t = op.Tokens(op.default_vocabulary(), most=5)
-    for text in ("one two three four five six seven", "one, TWO. eight nine-ten", "six six two, two. two", "É. é, a.. b., c ,d e.f \x00, .", ""):
-        words, index, count = op.words_of([text.encode()])
+    t = tokens.Tokens(tokens.default_vocabulary(), most=5)
+    for text in ("one two three four five six seven", "one, TWO. eight nine-ten", "six six two, two. two", "É. é, a.. b., c ,d e.f \x00, .", *ODD, ""):
+        words, index, count = tokens.words_of([text.encode()])
         ids, n = t.encode(words, index)
         assert ids.tolist() == t.encoder.encode(text, add_special_tokens=False).ids
         assert n.sum() == len(ids) and count.sum() == len(index)
