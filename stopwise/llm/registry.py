@@ -5,6 +5,7 @@ from __future__ import annotations
 from stopwise.llm import (
     chat_format,
     exact_dedup,
+    id_planes,
     language_id,
     line_dedup,
     media_store,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.query,
     "op9_language_id": language_id.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "op11_id_planes": id_planes.query,
 }
 ORACLES = {
     "op2_source_mix": source_mix.ORACLE,
