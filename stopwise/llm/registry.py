@@ -14,6 +14,7 @@ from stopwise.llm import (
     source_mix,
     substring_dedup,
     url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op11_id_planes": id_planes.query,
+    "op13_embedding_whitening": whitening.query,
 }
 ORACLES = {
     "op2_source_mix": source_mix.ORACLE,
