@@ -73,9 +73,9 @@ class Tokens:
         self.bytes += sum(map(len, words))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Words that are one run of lower-case letters are encoded many at once and told apart by their end marks."""
+        """Words that are one run of letters are encoded many at once and told apart by their end marks."""
         text = [w.decode() for w in words]
-        runs = [i for i, t in enumerate(text) if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)]
+        runs = [i for i, t in enumerate(text) if t.isalpha() and (t.isascii() or unicodedata.is_normalized("NFC", t))]
         other = sorted(set(range(len(words))) - set(runs))
         for k in range(0, len(runs), 1000):
             part = runs[k : k + 1000]
@@ -124,11 +124,12 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     kind = _KIND[data]
     black = kind != 1
-    mark = np.zeros(len(data), bool)
-    mark[1:-1] = (kind[1:-1] == 3) & (kind[:-2] == 2) & (kind[2:] == 1)
     first = black.copy()
     first[1:] &= ~black[:-1]
-    first |= mark
+    mark = np.flatnonzero(kind == 3)
+    mark = mark[(mark > 1) & (kind[np.minimum(mark + 1, len(data) - 1)] == 1)]
+    latin = (data[mark - 2] == 0xC3) & (data[mark - 1] >= 0x80) & (data[mark - 1] != 0x97) & (data[mark - 1] != 0xB7)  # letters of two bytes
+    first[mark[(kind[mark - 1] == 2) | latin]] = True
     begins = np.flatnonzero(first[black])  # among bytes that are not white space
     letters = data[black]
     offsets = np.append(begins, len(letters)).astype(np.int32)

@@ -14,7 +14,7 @@ from .helpers import HARD, docs_of
 #: Special strings inside and between words, and letters whose composition and lower case don't commute.
 ODD = [
     "a <|endoftext|> b", "foo<|endoftext|>Bar, x", "<|ENDOFTEXT|> <|StartOfText|> <|startoftext|>", "<|endoftext|>\u0301e A<B, C<D.",
-    "H\u0331 J\u030c T\u0308 W\u030a Y\u030a", "E\u0301cole. ECOLE, ÉCOLE, \u00c5 A\u030a \u212b", "\u1fbc\u0399 \u0130I i\u0307, ẞ SS", "x\u0085Y\u00a0Z, N\u3000M.",
+    "é, É. \u00d7, \u00f7. e\u0301, a\u0300. \u2014, Ãx, xÃ. \u00ff, a,, é,. é", "\u00c0. , . ,a", "H\u0331 J\u030c T\u0308 W\u030a Y\u030a", "E\u0301cole. ECOLE, ÉCOLE, \u00c5 A\u030a \u212b", "\u1fbc\u0399 \u0130I i\u0307, ẞ SS", "x\u0085Y\u00a0Z, N\u3000M.",
 ]
 
 
