@@ -49,11 +49,9 @@ def cut(plane: np.ndarray, rect: tuple[int, int, int, int]) -> np.ndarray:
 class Picture:
     """A decoded frame of three components or one: the plane that is measured, and patches of red and blue."""
 
-    def __init__(self, content: bytes):
-        info, samples = tiff.decode(content)
-        image = samples.reshape(info["height"], info["width"], info["components"])
-        self.size = info["width"], info["height"]
-        self.image = image if info["components"] == 3 else None
+    def __init__(self, image: np.ndarray):
+        self.size = image.shape[1], image.shape[0]
+        self.image = image if image.shape[2] == 3 else None
         self.plane = image[:, :, 0] if self.image is None else image @ np.array(LUMA)
 
     def project(self, rect: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
@@ -65,18 +63,22 @@ class Picture:
         return None if self.image is None else (cut(self.image[:, :, 0], rect), cut(self.image[:, :, 2], rect))
 
 
+def checked_levels(info: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Black levels, and what lies between black and white."""
+    black, white = map(np.array, dng.levels(info))
+    if not np.isfinite(black).all() or not (white > black).all():
+        raise ValueError("levels are not finite or not in order")
+    return black, white - black
+
+
 class Mosaic:
     """A decoded sensor mosaic; its plane is the first green phase."""
 
-    def __init__(self, content: bytes):
-        info, raw = dng.decode(content)
+    def __init__(self, info: dict, raw: np.ndarray):
         if info["cfa_pattern"] not in PATTERNS:
             raise ValueError(f"unsupported pattern: {info['cfa_pattern']}")
         self.size, self.raw, self.pattern = (info["width"], info["height"]), raw, info["cfa_pattern"]
-        black, white = dng.levels(info)
-        if not all(np.isfinite(black)) or not all(w > b for b, w in zip(black, white)):
-            raise ValueError("levels are not finite or not in order")
-        self.black, self.scale = (np.array(v).reshape(2, 2) for v in (black, [w - b for b, w in zip(black, white)]))
+        self.black, self.scale = (v.reshape(2, 2) for v in checked_levels(info))
         self.first = GREEN[self.pattern]
         x, y = self.first
         self.plane = (raw[y::2, x::2] - self.black[y, x]) / self.scale[y, x]
@@ -106,7 +108,14 @@ class Mosaic:
 
 
 def opened(path: str, content: bytes) -> Picture | Mosaic:
-    return Mosaic(content) if path.lower().endswith(".dng") else Picture(content)
+    if not path.lower().endswith(".dng"):
+        info, samples = tiff.decode(content)
+        return Picture(samples.reshape(info["height"], info["width"], info["components"]))
+    info, raw = dng.decode(content)
+    if info["source_kind"] == "cfa":
+        return Mosaic(info, raw)
+    black, scale = checked_levels(info)
+    return Picture((raw - black) / scale)
 
 
 def zone_rows(path: str, content: bytes) -> Iterator[tuple]:

@@ -1,14 +1,12 @@
-"""Camera-raw DNG frames: sensor mosaics and their metadata, uncompressed or lossless JPEG.
+"""Camera-raw DNG frames: sensor mosaics or linear colour and their metadata, uncompressed or lossless JPEG.
 
-A DNG is a TIFF whose main directory or one of whose sub-directories is a colour filter array. Samples keep their raw
-numbers; black and white levels go beside them to ``operators.mosaic``. Lossless JPEG (predictor 1, as cameras write it) is
-decoded code by code in Python, 0.8 million samples a second (0.7 million samples, this machine): frames are spread over tasks, one at a time.
-Other compressions and sensors without a 2 x 2 pattern are told apart by ``inspect`` and raise in ``decode``.
+A DNG is a TIFF whose main directory or one of whose sub-directories is a colour filter array or linear raw colour. Samples keep their raw
+numbers; black and white levels go beside them to ``operators.mosaic``. Lossless JPEG is decoded for all tiles at once (``ljpeg``). Other compressions are
+told apart by ``inspect`` and raise in ``decode``; of sensors without a 2 x 2 pattern the samples are decoded, and ``operators.frames`` doesn't measure them.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,44 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.deploy import ship
+from stopwise.sources import ljpeg
+from stopwise.sources.blocks import assemble
+from stopwise.sources.tags import BITS, COMPONENTS, COMPRESSION, HEIGHT, MAKE, MODEL, PHOTOMETRIC, WIDTH, directories
 
 # Tags of the format.
-SUB_IFDS, EXIF_IFD, MAKE, MODEL, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 330, 34665, 271, 272, 256, 257, 258, 259, 262
-STRIPS, STRIP_BYTES, TILES, TILE_BYTES, TILE_W, TILE_H = 273, 279, 324, 325, 322, 323
 PATTERN, BLACK, WHITE, OPCODES = 33422, 50714, 50717, (51008, 51009, 51022)
-F_NUMBER, EXPOSURE, FOCAL, ISO, LENS, UNIQUE_MODEL = 33437, 33434, 37386, 34855, 42036, 50708
-MOSAIC = 32803
-KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I"}
-
-
-def directory(data: bytes, at: int, order: str) -> dict[int, object]:
-    """Values of one directory by tag: numbers as tuples (rationals as floats), texts and opaque values as bytes."""
-    (n,) = struct.unpack_from(order + "H", data, at)
-    out = {}
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if kind not in KINDS:
-            continue
-        size = struct.calcsize("=" + KINDS[kind]) * count
-        place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-        if KINDS[kind] == "s":
-            out[tag] = bytes(data[place : place + count])
-            continue
-        got = struct.unpack_from(order + KINDS[kind] * count, data, place)
-        if kind in (5, 10):
-            got = tuple(a / b if b else float("nan") if a == 0 else float("inf") for a, b in zip(got[::2], got[1::2]))
-        out[tag] = got
-    return out
-
-
-def directories(data: bytes) -> tuple[str, list[dict]]:
-    """Byte order; the main directory, its sub-directories and that of the exposure."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF")
-    main = directory(data, struct.unpack_from(order + "I", data, 4)[0], order)
-    subs = [directory(data, at, order) for tag in (SUB_IFDS, EXIF_IFD) for at in main.get(tag, ())]
-    return order, [main, *subs]
+F_NUMBER, EXPOSURE, FOCAL, ISO, LENS, DNG_VERSION = 33437, 33434, 37386, 34855, 42036, 50706
+MOSAIC, LINEAR = 32803, 34892
 
 
 def text(value: object) -> str | None:
@@ -66,120 +34,53 @@ def number(value: object) -> float | None:
     return float(value[0]) if isinstance(value, tuple) and value and np.isfinite(value[0]) else None
 
 
-def info(data: bytes) -> dict:
-    """Metadata of a frame; nothing of the pixels is decoded."""
+def raw_directory(found: list):
+    """The directory of the sensor's samples; None if there is none."""
+    kinds = [d.get(PHOTOMETRIC, (0,))[0] for d in found]
+    return next((d for kind in (MOSAIC, LINEAR) for d, k in zip(found, kinds) if k == kind), None)
+
+
+def info(data) -> dict:
+    """Metadata of a frame, of bytes or ``tags.Ranged``; nothing of the pixels is read."""
     _, found = directories(data)
-    raw = next((d for d in found if d.get(PHOTOMETRIC, (0,))[0] == MOSAIC), None)
+    raw = raw_directory(found)
     of = lambda tag: next((d[tag] for d in found if tag in d), None)
     shown = raw or found[0]
     cells = shown.get(PATTERN)
     pattern = "".join("RGB"[c] if c < 3 else "?" for c in cells) if isinstance(cells, (bytes, tuple)) else None
     iso = of(ISO)
     return {
-        "source_kind": "cfa" if raw else "rgb",
+        "source_kind": "cfa" if raw and raw[PHOTOMETRIC][0] == MOSAIC else "rgb",
         "camera_make": text(of(MAKE)), "camera_model": text(of(MODEL)), "lens_model": text(of(LENS)),
-        "width": shown[WIDTH][0], "height": shown[HEIGHT][0], "bits_per_sample": shown.get(BITS, (1,))[0],
+        "width": shown[WIDTH][0], "height": shown[HEIGHT][0], "components": shown.get(COMPONENTS, (1,))[0], "bits_per_sample": shown.get(BITS, (1,))[0],
         "cfa_pattern": pattern, "compression": shown.get(COMPRESSION, (1,))[0],
         "black_level": [float(x) for x in shown.get(BLACK, ())] or None, "white_level": [float(x) for x in shown.get(WHITE, ())] or None,
         "focal_length_mm": number(of(FOCAL)), "f_number": number(of(F_NUMBER)), "exposure_time_s": number(of(EXPOSURE)),
-        "iso": int(iso[0]) if iso else None, "corrections": ",".join(f"OpcodeList{k}" for k, t in enumerate(OPCODES, 1) if of(t) is not None), "is_dng": of(50706) is not None,
+        "iso": int(iso[0]) if iso else None, "corrections": ",".join(f"OpcodeList{k}" for k, t in enumerate(OPCODES, 1) if any(t in d for d in found)), "is_dng": DNG_VERSION in found[0],
     }
 
 
-class Huffman:
-    """Codes of at most 16 bits: length and value for every 16 bits that may come."""
-
-    def __init__(self, counts: bytes, values: bytes):
-        self.size, self.value = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
-        code = at = 0
-        for length in range(1, 17):
-            for _ in range(counts[length - 1]):
-                span = slice(code << 16 - length, code + 1 << 16 - length)
-                self.size[span], self.value[span] = length, values[at]
-                code, at = code + 1, at + 1
-            code <<= 1
-        self.table = list(zip(self.size.tolist(), self.value.tolist()))
-
-
-def differences(data: bytes, tables: list[list[tuple[int, int]]], n: int) -> np.ndarray:
-    """``n`` coded differences, by the components' tables in turn."""
-    out, held, bits, at = np.zeros(n, np.int64), 0, 0, 0
-    turns = len(tables)
-    for i in range(n):
-        while bits < 32:
-            held, bits, at = (held << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\0"), "big")) & (1 << 64) - 1, bits + 32, at + 4
-        size, width = tables[i % turns][held >> bits - 16 & 0xFFFF]
-        if not size or at - bits // 8 > len(data) + 8:
-            raise ValueError("damaged JPEG data")
-        bits -= size
-        if width == 16:
-            out[i] = 32768
-        elif width:
-            bits -= width
-            v = held >> bits & (1 << width) - 1
-            out[i] = v if v >> width - 1 else v - (1 << width) + 1
-    return out
-
-
-def lossless_jpeg(data: bytes) -> np.ndarray:
-    """Rows of samples, components together."""
-    at, tables, frame = 2, {}, None
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG")
-    while True:
-        marker, length = struct.unpack_from(">HH", data, at)
-        body = data[at + 4 : at + 2 + length]
-        at += 2 + length
-        if marker == 0xFFC4:
-            while body:
-                n = sum(body[1:17])
-                tables[body[0] & 15] = Huffman(body[1:17], body[17 : 17 + n])
-                body = body[17 + n :]
-        elif marker == 0xFFC3:
-            precision, height, width, parts = struct.unpack_from(">BHHB", body)
-            frame = (precision, height, width, parts)
-        elif marker == 0xFFDA:
-            break
-        elif marker in (0xFFC0, 0xFFC1, 0xFFC2):
-            raise ValueError("not a lossless JPEG")
-    if frame is None or body[0] != frame[3] or body[1 + 2 * body[0]] != 1 or body[3 + 2 * body[0]] & 15:
-        raise ValueError("unsupported lossless JPEG")
-    precision, height, width, parts = frame
-    use = [tables[body[2 + 2 * k] >> 4].table for k in range(parts)]
-    end = data.rfind(b"\xff\xd9")
-    d = differences(data[at : end if end > at else len(data)].replace(b"\xff\0", b"\xff"), use, height * width * parts).reshape(height, width, parts)
-    d[0, 0] += 1 << precision - 1
-    d[:, 0] = np.cumsum(d[:, 0], axis=0)  # the first sample of a row goes by the one above
-    return (np.cumsum(d, axis=1) & 0xFFFF).reshape(height, width * parts)
-
-
 def decode(data: bytes) -> tuple[dict, np.ndarray]:
-    """Metadata and the mosaic's raw numbers, (height, width)."""
+    """Metadata and the raw numbers: a mosaic's as (height, width), linear colour's as (height, width, 3)."""
     i = info(data)
     order, found = directories(data)
-    raw = next((d for d in found if d.get(PHOTOMETRIC, (0,))[0] == MOSAIC), None)
-    if raw is None or i["compression"] not in (1, 7) or i["bits_per_sample"] > 16 or i["compression"] == 1 and i["bits_per_sample"] not in (8, 16):
+    raw = raw_directory(found)
+    bits, packed = i["bits_per_sample"], i["compression"]
+    if raw is None or packed not in (1, 7) or bits > 16 or packed == 1 and bits not in (8, 16) or i["components"] != (1 if i["source_kind"] == "cfa" else 3):
         raise ValueError(f"unsupported DNG: {i}")
-    out = np.zeros((i["height"], i["width"]), np.uint16)
-    tiled = TILES in raw
-    places, sizes = (raw[TILES], raw[TILE_BYTES]) if tiled else (raw[STRIPS], raw[STRIP_BYTES])
-    w, h = (raw[TILE_W][0], raw[TILE_H][0]) if tiled else (i["width"], raw.get(278, (i["height"],))[0])
-    across = -(-i["width"] // w)
-    for k, (a, n) in enumerate(zip(places, sizes)):
-        y, x = k // across * h, k % across * w
-        if i["compression"] == 7:
-            part = lossless_jpeg(data[a : a + n])
-        else:
-            part = np.frombuffer(data[a : a + n], order + "u2" if i["bits_per_sample"] == 16 else "u1").reshape(-1, w)
-        part = part[: i["height"] - y, : i["width"] - x]
-        out[y : y + part.shape[0], x : x + part.shape[1]] = part
-    return i, out
+
+    def samples(found: list[tuple]) -> list[np.ndarray]:
+        parts = [data[a : a + n] for *_, a, n in found]
+        return ljpeg.decode(parts) if packed == 7 else [np.frombuffer(p, order + "u2" if bits == 16 else "u1") for p in parts]
+
+    out = assemble(raw, np.uint16, samples)
+    return i, out[:, :, 0] if i["components"] == 1 else out
 
 
 def levels(info: dict) -> tuple[list[float], list[float]]:
-    """Black and white levels of the four places of a cell."""
-    top = float((1 << info["bits_per_sample"]) - 1)
-    four = lambda v: v * (4 // len(v)) if len(v) in (1, 2, 4) else v[:4]
+    """Black and white levels of the four places of a cell, or of three components."""
+    top, n = float((1 << info["bits_per_sample"]) - 1), 3 if info["components"] == 3 else 4
+    four = lambda v: v * (n // len(v)) if n % len(v) == 0 else v[:n]
     return four(info["black_level"] or [0.0]), four(info["white_level"] or [top])
 
 
@@ -190,7 +91,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SCHEMA = (
-    "source_kind string, camera_make string, camera_model string, lens_model string, width int, height int, bits_per_sample int, cfa_pattern string,"
+    "source_kind string, camera_make string, camera_model string, lens_model string, width int, height int, components int, bits_per_sample int, cfa_pattern string,"
     " compression int, black_level array<double>, white_level array<double>, focal_length_mm double, f_number double, exposure_time_s double, iso int, corrections string, is_dng boolean"
 )
 

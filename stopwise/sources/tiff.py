@@ -1,7 +1,7 @@
 """Baseline TIFF frames by Spark's binary file source and a vectorised decoder.
 
-Gray or RGB, 8 or 16 bits unsigned or 32 bits float, in strips, either byte order; plain, PackBits, LZW or deflate,
-with or without horizontal differences. Spark's own image source is not used: it gives 8 bits a sample.
+Gray or RGB, 8 or 16 bits unsigned or 32 bits float, in strips or tiles, components together or apart, either byte order; plain, PackBits,
+LZW or deflate, with or without horizontal differences. Spark's own image source is not used: it gives 8 bits a sample.
 """
 
 from __future__ import annotations
@@ -17,29 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.deploy import ship
-
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8}
-CODES = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d"}
-
-
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the first directory's numeric tags."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF")
-    (at,) = struct.unpack(order + "I", data[4:8])
-    (n,) = struct.unpack(order + "H", data[at : at + 2])
-    out = {}
-    for i in range(n):
-        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, count = struct.unpack(order + "HHI", entry[:8])
-        if kind not in CODES:
-            continue
-        size = SIZES[kind] * count
-        raw = entry[8 : 8 + size] if size <= 4 else data[(p := struct.unpack(order + "I", entry[8:12])[0]) : p + size]
-        out[tag] = struct.unpack(f"{order}{count}{CODES[kind]}", raw)
-    return order, out
-
+from stopwise.sources import tags
+from stopwise.sources.blocks import assemble
 
 def unpack_bits(data: bytes) -> bytes:
     out, at = bytearray(), 0
@@ -87,43 +66,68 @@ def unpack_lzw(data: bytes) -> bytes:
 UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
-def info(data: bytes) -> dict:
+def info(data) -> dict:
     """Width, height, components, bits: nothing of the pixels is read."""
-    _, t = tags(data)
-    return {"width": t[256][0], "height": t[257][0], "components": t.get(277, (1,))[0], "bits": t.get(258, (1,))[0], "format": t.get(339, (1,))[0]}
+    t = tags.directories(data)[1][0]
+    get = lambda tag: t.get(tag, (1,))[0]
+    return {"width": t[tags.WIDTH][0], "height": t[tags.HEIGHT][0], "components": get(tags.COMPONENTS), "bits": get(tags.BITS), "format": get(tags.FORMAT)}
 
 
 def decode(data: bytes) -> tuple[dict, np.ndarray]:
     """Information, and samples as doubles in 0..1 for integers, row-major with components together."""
-    order, t = tags(data)
+    order, (t, *_) = tags.directories(data)
     i = info(data)
     kinds = {(8, 1): ("u1", 255), (16, 1): ("u2", 65535), (32, 3): ("f4", 1)}
-    packed, differences = t.get(259, (1,))[0], t.get(317, (1,))[0]
+    packed, differences = t.get(tags.COMPRESSION, (1,))[0], t.get(tags.PREDICTOR, (1,))[0]
     if (i["bits"], i["format"]) not in kinds or packed not in UNPACK or differences not in (1, 2) or i["components"] not in (1, 3):
         raise ValueError(f"unsupported TIFF: {i}")
-    if t.get(284, (1,))[0] != 1 or 273 not in t or differences == 2 and i["format"] != 1:
-        raise ValueError("unsupported TIFF: planes, tiles or differences of floats")
+    if differences == 2 and i["format"] != 1:
+        raise ValueError("unsupported TIFF: differences of floats")
     kind, top = kinds[i["bits"], i["format"]]
-    raw = b"".join(UNPACK[packed](data[a : a + n]) for a, n in zip(t[273], t[279]))
-    samples = np.frombuffer(raw, order + kind)
-    if len(samples) != i["width"] * i["height"] * i["components"]:
-        raise ValueError("sample count does not fit the size")
-    if differences == 2:
-        samples = np.cumsum(samples.reshape(i["height"], i["width"], i["components"]), axis=1, dtype=kind).ravel()
-    return i, samples.astype(float) / top
 
+    def samples(found: list[tuple]) -> list[np.ndarray]:
+        out = []
+        for _, _, _, rows, columns, a, n in found:
+            block = np.frombuffer(UNPACK[packed](data[a : a + n]), order + kind)
+            if differences == 2:
+                block = np.cumsum(block.reshape(rows, columns, -1), axis=1, dtype=kind)
+            out.append(block)
+        return out
+
+    return i, assemble(t, kind, samples).ravel().astype(float) / top
+
+
+def encode(samples: np.ndarray, bits: int = 16, packed: int = 1, pack=bytes, differences: bool = False, tile: tuple[int, int] | None = None, planar: bool = False) -> bytes:
+    """A little-endian TIFF of an (h, w) or (h, w, 3) array of integers, for fixtures; ``pack`` makes the compression ``packed``.
 
-def encode(samples: np.ndarray, bits: int = 16, packed: int = 1, pack=bytes, differences: bool = False) -> bytes:
-    """A little-endian TIFF of an (h, w) or (h, w, 3) array of integers, for fixtures; ``pack`` makes the compression ``packed``."""
+    One strip, or tiles of (rows, columns); with ``planar`` components lie apart.
+    """
     image = np.ascontiguousarray(samples, "<u2" if bits == 16 else "u1")
     h, w = image.shape[:2]
-    parts = 1 if image.ndim == 2 else image.shape[2]
-    if differences:
-        image = np.diff(image.reshape(h, w, parts), axis=1, prepend=image.dtype.type(0)).astype(image.dtype)
-    body = pack(image.tobytes())
-    entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, bits), (259, 3, 1, packed), (262, 3, 1, 1 if parts == 1 else 2), (273, 4, 1, 8), (277, 3, 1, parts), (278, 4, 1, h), (279, 4, 1, len(body)), (317, 3, 1, 2 if differences else 1), (339, 3, 1, 1)]
-    table = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4)
-    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + table
+    image = image.reshape(h, w, -1)
+    parts = image.shape[2]
+    rows, columns = tile or (h, w)
+    image = np.pad(image, ((0, -h % rows), (0, -w % columns), (0, 0)), mode="edge")
+    bodies = []
+    for plane in [image[:, :, k : k + 1] for k in range(parts)] if planar else [image]:
+        for y in range(0, h, rows):
+            for x in range(0, w, columns):
+                block = plane[y : y + rows, x : x + columns]
+                if differences:
+                    block = np.diff(block, axis=1, prepend=block.dtype.type(0)).astype(block.dtype)
+                bodies.append(pack(np.ascontiguousarray(block).tobytes()))
+    at = [8 + sum(map(len, bodies[:k])) for k in range(len(bodies))]
+    values = {256: [w], 257: [h], 258: [bits], 259: [packed], 262: [1 if parts == 1 else 2], 277: [parts], 284: [2 if planar else 1], 317: [2 if differences else 1], 339: [1]}
+    values |= {322: [columns], 323: [rows], 324: at, 325: [len(b) for b in bodies]} if tile else {273: at, 278: [h], 279: [len(b) for b in bodies]}
+    body = b"".join(bodies)
+    body += bytes(len(body) % 2)
+    free = 8 + len(body) + 6 + 12 * len(values)
+    table, extra = struct.pack("<H", len(values)), b""
+    for tag, v in sorted(values.items()):
+        raw = struct.pack(f"<{len(v)}I", *v)
+        table += struct.pack("<HHI", tag, 4, len(v)) + (raw if len(v) == 1 else struct.pack("<I", free + len(extra)))
+        extra += raw if len(v) > 1 else b""
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + table + bytes(4) + extra
 
 
 def preflight(paths: list[str]) -> None:

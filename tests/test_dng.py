@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from stopwise.sources import dng
+from stopwise.sources import ljpeg as ljpeg_
 
 SIZES = (*range(15), 15, 16)
 
@@ -89,10 +90,10 @@ def test_rejects():
     with pytest.raises(ValueError, match="unsupported"):
         dng.decode(make(plane, packed=34892))
     with pytest.raises(ValueError, match="not a JPEG"):
-        dng.lossless_jpeg(b"no")
+        ljpeg_.decode([b"no"])
     whole = ljpeg(np.random.default_rng(1).integers(0, 65536, (40, 40)), 2)
     with pytest.raises(Exception):
-        dng.lossless_jpeg(whole[:200])
+        ljpeg_.decode([whole[:200]])
 
 
 def test_files_to_green_planes(spark, tmp_path):
@@ -122,7 +123,7 @@ def test_mosaic_like_the_expressions(spark, pattern, cells):
     from stopwise.operators import mosaic as op
 
     plane = np.random.default_rng(6).integers(64, 16316, (9, 12))
-    m = frames.Mosaic(make(plane, pattern=cells))
+    m = frames.Mosaic(*dng.decode(make(plane, pattern=cells)))
     s, levels = F.array(*[F.lit(float(v)) for v in plane.ravel()]), (F.array(*[F.lit(64.0)] * 4), F.array(*[F.lit(16316.0)] * 4))
     want = spark.range(1).select(*[op.interpolate(s, 12, 9, F.lit(pattern), *levels, t).alias(n) for n, t in (("red", op.RED), ("blue", op.BLUE))]).first()
     for rect in ((0, 0, 12, 9), (3, 2, 5, 4), (7, 5, 5, 4)):
