@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stopwise.llm import (
     chat_format,
+    collocations,
     exact_dedup,
     id_planes,
     language_id,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op11_id_planes": id_planes.query,
+    "op12_collocations": collocations.query,
     "op13_embedding_whitening": whitening.query,
 }
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
