@@ -120,39 +120,43 @@ def target_quality(g: DataFrame) -> DataFrame:
     return g.withColumn("t_status", status).withColumn("t_keystone", F.coalesce("t_gated", "t_passed")).withColumn("t_blockers", listed)
 
 
+#: What can stand against a corner's colour shift, in the order in which it is listed.
+SHIFT_BLOCKERS = ("low_texture", "flat_profile", "correlation_peak_not_found", "profile_too_short", "unsupported_colour_channels")
+
+
 def colour_shift(frames: DataFrame) -> DataFrame:
-    """Four rows a group: corner, included, means, scatter, blockers, exclusions."""
+    """Four rows a group: corner, included, excluded, means, scatter, blockers, exclusions.
+
+    ``frames`` have for each corner cx_, cy_ and cb_, a comma-separated list of blockers that is null where there is a shift. Frames that aren't eligible count as unknown corrections,
+    and of their blockers only unsupported channels are listed, without being counted.
+    """
     ok = F.col("eligible")
-    shift = F.col("ca_blocker").isNull()
     aggs = [F.min("input_index").alias("group_ord"), count_if(~ok).alias("unknown")]
-    for b in ("flat_profile", "correlation_peak_not_found"):
-        aggs.append(count_if(ok & (F.col("ca_blocker") == b)).alias(b))
     for c in SHORT:
+        blocked, listed = F.col(f"cb_{c}").isNotNull(), F.split(f"cb_{c}", ",")
         for a in ("x", "y"):
-            v = F.when(ok & shift, F.col(f"c{a}_{c}"))
-            aggs += [F.avg(v).alias(f"m{a}_{c}"), F.stddev_samp(v).alias(f"s{a}_{c}"), F.count(v).alias(f"n{a}_{c}")]
+            v = F.when(ok & ~blocked, F.col(f"c{a}_{c}"))
+            aggs += [F.avg(v).alias(f"m{a}_{c}"), F.stddev_samp(v).alias(f"s{a}_{c}")]
+        aggs += [count_if(ok & ~blocked).alias(f"n_{c}"), count_if(F.array_contains(listed, SHIFT_BLOCKERS[-1])).alias(f"any_{c}")]
+        aggs += [count_if(ok & F.array_contains(listed, b)).alias(f"{b}_{c}") for b in SHIFT_BLOCKERS]
     g = frames.groupBy(*KEYS).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(corner).alias("corner"),
-                F.col(f"nx_{c}").alias("included"),
-                F.col(f"mx_{c}").alias("mean_x"),
-                F.col(f"my_{c}").alias("mean_y"),
-                F.hypot(f"mx_{c}", f"my_{c}").alias("magnitude"),
-                F.hypot(f"sx_{c}", f"sy_{c}").alias("scatter"),
-                names(
-                    (F.col(f"nx_{c}") < 2, "insufficient_samples"),
-                    (F.col("unknown") > 0, "unknown_corrections"),
-                    (F.col("flat_profile") > 0, "flat_profile"),
-                    (F.col("correlation_peak_not_found") > 0, "correlation_peak_not_found"),
-                ).alias("blockers"),
-            )
-            for corner, c in zip(CORNERS, SHORT)
-        ]
-    )
-    reasons = counts(*[(F.col(c), n) for c, n in (("unknown", "unknown_corrections"), ("flat_profile", "flat_profile"), ("correlation_peak_not_found", "correlation_peak_not_found"))])
-    return g.withColumn("z", F.explode(rows)).select("run_id", "group_ord", "f_number", "z.*", reasons.alias("reasons"))
+
+    def corner(name: str, c: str) -> Column:
+        found = [(F.col("unknown"), "unknown_corrections"), *[(F.col(f"{b}_{c}"), b) for b in SHIFT_BLOCKERS]]
+        shown = [(n > 0, b) for n, b in found[:-1]] + [(F.col(f"any_{c}") > 0, SHIFT_BLOCKERS[-1])]
+        return F.struct(
+            F.lit(name).alias("corner"),
+            F.col(f"n_{c}").alias("included"),
+            sum((n for n, _ in found[1:]), found[0][0]).alias("excluded"),
+            F.col(f"mx_{c}").alias("mean_x"),
+            F.col(f"my_{c}").alias("mean_y"),
+            F.hypot(f"mx_{c}", f"my_{c}").alias("magnitude"),
+            F.hypot(f"sx_{c}", f"sy_{c}").alias("scatter"),
+            names((F.col(f"n_{c}") < 2, "insufficient_samples"), *shown).alias("blockers"),
+            counts(*found).alias("reasons"),
+        )
+
+    return g.withColumn("z", F.explode(F.array(*[corner(n, c) for n, c in zip(CORNERS, SHORT)]))).select("run_id", "group_ord", "f_number", "z.*")
 
 
 def bows(frames: DataFrame) -> DataFrame:

@@ -235,6 +235,9 @@ b5 AS (SELECT * FROM b4 WHERE blocker IS NULL QUALIFY row_number() OVER (PARTITI
 b6 AS (SELECT run_id, string_agg(blocker, ',' ORDER BY pos) AS listed FROM (SELECT run_id, blocker, min(cand) AS pos FROM b4 WHERE blocker IS NOT NULL GROUP BY ALL) GROUP BY run_id)"""
 )
 
+SHIFT_BLOCKERS = ("low_texture", "flat_profile", "correlation_peak_not_found", "profile_too_short", "unsupported_colour_channels")
+
+
 def nudged(sql: str) -> str:
     """Every round(.., 6) with the nudge that queries use."""
     out, at = "", 0
@@ -299,9 +302,13 @@ CASE WHEN n > 0 AND NOT amb THEN '' WHEN amb THEN 'ambiguous_tilt_axis' WHEN b2
     "group_frames": f"WITH {FRAMES} SELECT run_id, min(input_index) AS group_ord, lens_model, focal_length_mm, f_number, count(*) AS frames FROM fr GROUP BY {KEYS}",
     "decentring_pairs": f"""WITH {GROUPS} SELECT run_id, group_ord, f_number, 'top_pair' AS pair, top_n AS included, n_unknown + top_low AS excluded, round(top_mean, 6) + 0 AS mean_delta, round(top_scatter, 6) AS scatter, {names(("top_n < 2", "insufficient_samples"))} AS blockers, {counts(("n_unknown", "unknown_corrections"), ("top_low", "low_texture"))} AS reasons FROM g
 UNION ALL SELECT run_id, group_ord, f_number, 'bottom_pair', bottom_n, n_unknown, round(bottom_mean, 6) + 0, round(bottom_scatter, 6), {names(("bottom_n < 2", "insufficient_samples"))}, {counts(("n_unknown", "unknown_corrections"))} FROM g""",
-    "ca_group": f"""WITH {FRAMES}, q AS (SELECT *, CASE WHEN p % 31 = 0 THEN 'f' WHEN p % 37 = 0 THEN 'c' END AS b FROM fz), z AS (SELECT q.*, corner, ((p + 7 * k) % 9 - 4) / 4e0 AS cx, ((o + 5 * k) % 7 - 3) / 4e0 AS cy FROM q, (VALUES (0, 'top_left'), (1, 'top_right'), (2, 'bottom_left'), (3, 'bottom_right')) c(k, corner)),
-s AS (SELECT {KEYS}, corner, min(input_index) AS group_ord, count(*) FILTER (ok AND b IS NULL) AS n, avg(cx) FILTER (ok AND b IS NULL) AS mx, avg(cy) FILTER (ok AND b IS NULL) AS my, stddev_samp(cx) FILTER (ok AND b IS NULL) AS sx, stddev_samp(cy) FILTER (ok AND b IS NULL) AS sy, count(*) FILTER (NOT ok) AS nu, count(*) FILTER (ok AND b = 'f') AS nf, count(*) FILTER (ok AND b = 'c') AS nc FROM z GROUP BY ALL)
-SELECT run_id, group_ord, f_number, corner, n AS included, round(mx, 6) + 0 AS mean_x, round(my, 6) + 0 AS mean_y, round(sqrt(mx * mx + my * my), 6) AS magnitude, round(sqrt(sx * sx + sy * sy), 6) AS scatter, {names(("n < 2", "insufficient_samples"), ("nu > 0", "unknown_corrections"), ("nf > 0", "flat_profile"), ("nc > 0", "correlation_peak_not_found"))} AS blockers, {counts(("nu", "unknown_corrections"), ("nf", "flat_profile"), ("nc", "correlation_peak_not_found"))} AS reasons FROM s""",
+    "ca_group": f"""WITH {FRAMES}, z AS (SELECT fz.*, corner, ((p + 7 * k) % 9 - 4) / 4e0 AS cx, ((o + 5 * k) % 7 - 3) / 4e0 AS cy,
+  CASE WHEN p % 31 = 0 THEN ['flat_profile'] WHEN (p + 3 * k) % 37 = 0 THEN ['correlation_peak_not_found'] WHEN (o + k) % 41 = 0 THEN ['profile_too_short', 'low_texture'] WHEN (p + o + k) % 43 = 0 THEN ['unsupported_colour_channels'] WHEN (p + 5 * k) % 29 = 0 THEN ['low_texture'] END AS b
+  FROM fz, (VALUES (0, 'top_left'), (1, 'top_right'), (2, 'bottom_left'), (3, 'bottom_right')) c(k, corner)),
+s AS (SELECT {KEYS}, corner, min(input_index) AS group_ord, count(*) FILTER (ok AND b IS NULL) AS n, avg(cx) FILTER (ok AND b IS NULL) AS mx, avg(cy) FILTER (ok AND b IS NULL) AS my, stddev_samp(cx) FILTER (ok AND b IS NULL) AS sx, stddev_samp(cy) FILTER (ok AND b IS NULL) AS sy, count(*) FILTER (NOT ok) AS nu,
+  {", ".join(f"count(*) FILTER (ok AND list_contains(b, '{x}')) AS n{i}" for i, x in enumerate(SHIFT_BLOCKERS))}, count(*) FILTER (list_contains(b, 'unsupported_colour_channels')) AS na FROM z GROUP BY ALL)
+SELECT run_id, group_ord, f_number, corner, n AS included, nu + n0 + n1 + n2 + n3 + n4 AS excluded, round(mx, 6) + 0 AS mean_x, round(my, 6) + 0 AS mean_y, round(sqrt(mx * mx + my * my), 6) AS magnitude, round(sqrt(sx * sx + sy * sy), 6) AS scatter,
+  {names(("n < 2", "insufficient_samples"), ("nu > 0", "unknown_corrections"), *[(f"n{i} > 0", x) for i, x in enumerate(SHIFT_BLOCKERS[:4])], ("na > 0", SHIFT_BLOCKERS[4]))} AS blockers, {counts(("nu", "unknown_corrections"), *[(f"n{i}", x) for i, x in enumerate(SHIFT_BLOCKERS)])} AS reasons FROM s""",
     "distortion_group": f"""WITH {FRAMES}, q AS (SELECT *, CASE WHEN p % 12 = 3 THEN 'n' WHEN p % 4 = 2 THEN 'l' WHEN p % 4 = 1 THEN 'w' ELSE 'm' END AS k, ((p + o) % 21 - 10) / 10e0 AS bow FROM fz),
 s AS (SELECT {KEYS}, min(input_index) AS group_ord, count(*) FILTER (ok AND k = 'm') AS included, avg(bow) FILTER (ok AND k = 'm') AS mean_bow, stddev_samp(bow) FILTER (ok AND k = 'm') AS scatter, count(*) FILTER (NOT ok) AS nu, count(*) FILTER (ok AND k = 'n') AS nn, count(*) FILTER (ok AND k = 'w') AS nw, count(*) FILTER (ok AND k = 'l') AS nl FROM q GROUP BY ALL)
 SELECT run_id, group_ord, f_number, included, {r("mean_bow", "scatter")}, {names(("included < 2", "insufficient_samples"), ("nu > 0", "unknown_corrections"), ("nn > 0", "no_straight_reference"), ("nw > 0", "weak_reference_geometry"), ("nl > 0", "line_discontinuous"))} AS blockers, {counts(("nu", "unknown_corrections"), ("nn", "no_straight_reference"), ("nw", "weak_reference_geometry"), ("nl", "line_discontinuous"))} AS reasons FROM s""",
@@ -340,6 +347,13 @@ CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_tl, CASE input_index WHEN
 CASE input_index WHEN 1 THEN true END AS shift_tl, CASE input_index WHEN 1 THEN true END AS shift_tr, CASE input_index WHEN 1 THEN true END AS shift_bl, CASE input_index WHEN 1 THEN true END AS shift_br,
 CASE input_index WHEN 2 THEN true END AS bow_near, CASE input_index WHEN 2 THEN 'top' END AS bow_side,
 CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 'gated' ELSE 'passed' END END AS target, CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 20::DOUBLE ELSE 0::DOUBLE END END AS keystone FROM s""",
+    "inspect_files": r"""WITH f AS (SELECT doc_id AS d, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 2 THEN 3 ELSE 1 END AS parts, octet_length(encode(coalesce(text, ''))) AS size FROM documents WHERE doc_id IS NOT NULL)
+SELECT d AS doc_id, ['dng', 'tif', 'tiff'][kind + 1] AS extension, CASE kind WHEN 0 THEN 'cfa' ELSE 'rgb' END AS source_kind, CASE kind WHEN 0 THEN 'maker' END AS camera_make, CASE WHEN kind = 0 AND d % 5 > 0 THEN 'lens ' || d % 5 END AS lens_model,
+ 16::INT AS width, greatest(2, (size + 32 * parts - 1) // (32 * parts))::INT AS height, parts::INT AS components, 16::INT AS bits_per_sample, CASE kind WHEN 0 THEN ['RGGB', 'BGGR', 'GBRG', 'GRBG'][d // 3 % 4 + 1] END AS cfa_pattern,
+ CASE kind WHEN 0 THEN 0::DOUBLE END AS black, CASE kind WHEN 0 THEN 60000::DOUBLE END AS white, CASE kind WHEN 0 THEN (24 + d % 5)::DOUBLE END AS focal_length_mm, CASE WHEN kind = 0 AND d % 10 > 1 THEN round(d % 10 * 14 / 10e0, 6) END AS f_number,
+ CASE kind WHEN 0 THEN round(1e0 / (d % 7 + 1), 6) END AS exposure_time_s, CASE kind WHEN 0 THEN 50 * (d % 6 + 1) END::INT AS iso, CASE kind WHEN 0 THEN ['', 'OpcodeList1', 'OpcodeList1,OpcodeList2', 'OpcodeList1,OpcodeList2,OpcodeList3'][d % 4 + 1] ELSE '' END AS corrections, CASE kind WHEN 0 THEN d % 4 > 0 END AS corrections_present, true AS ranged FROM f""",
+    "folder_inputs": """WITH f AS (SELECT doc_id, '/shots/' || doc_id // 16 || '/' AS folder, '/shots/' || doc_id // 16 || '/frame_' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.dng' WHEN 1 THEN '.TIF' WHEN 2 THEN '.tiff' END AS path FROM documents WHERE doc_id % 6 < 3)
+SELECT doc_id, path, folder, (row_number() OVER (PARTITION BY folder ORDER BY path) - 1)::INT AS input_index, CASE WHEN doc_id % 6 = 0 AND doc_id % 4 < 2 THEN 'cfa' ELSE 'rgb' END AS source_kind FROM f""",
     "extension_dispatch": """WITH f AS (SELECT doc_id, 'frame_' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.dng' WHEN 1 THEN '.TIF' WHEN 2 THEN '.tiff' WHEN 3 THEN '.nef' WHEN 4 THEN '.jpg' ELSE '' END AS path FROM documents), e AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS extension FROM f)
 SELECT doc_id, path, extension, CASE WHEN extension IN ('tif', 'tiff') THEN 'tiff' WHEN extension IN ('dng', 'nef') THEN 'raw' ELSE 'unsupported' END AS decoder, extension IN ('dng', 'tif', 'tiff') AS in_folder FROM e""",
     "metadata_inspect": f"""WITH f AS (SELECT doc_id, doc_id % 6 = 0 AS dng, doc_id % 4 AS k FROM documents)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stopwise.deploy import kept
 from stopwise.functions.arrays import let, mean, r6, variance
 from stopwise.operators import bow, capture, colour_shift, contact, evidence, frames, mosaic, report, series, sharpness, target
-from stopwise.sources import tables
+from stopwise.sources import frame_source, tables
 
 N = tables.SIDE
 PAIRED = ("red", "blue")
@@ -355,6 +355,28 @@ def run_report_json(spark: SparkSession, d: str) -> DataFrame:
 # files and sheets
 
 
+def inspect_files(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of a file of each document, by the scan; ``ranged``: of a large file less than its bytes were fetched."""
+    f = frame_source.frames(spark, tables.written_frames(spark, d))
+    level = lambda c: F.when(F.col("source_kind") == "cfa", F.get(c, 0)).alias(c.split("_")[0])
+    return round_all(
+        f.select(
+            F.regexp_extract("path", r"frame_(-?\d+)\.[^.]*$", 1).cast("long").alias("doc_id"), "extension", "source_kind", "camera_make", "lens_model", "width", "height", "components", "bits_per_sample",
+            "cfa_pattern", level("black_level"), level("white_level"), "focal_length_mm", "f_number", "exposure_time_s", "iso", "corrections", "corrections_present",
+            ((F.col("file_bytes") < 20_000) | (F.col("fetched_bytes") < F.col("file_bytes"))).alias("ranged"),
+        )
+    )
+
+
+def folder_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of flat folders, numbered in each by path, and what kind of source each is."""
+    f = tables.capture_files(spark, d)
+    f = f.withColumn("path", F.concat(F.lit("/shots/"), F.floor(F.col("doc_id") / 16).cast("string"), F.lit("/"), "path"))
+    _, decoder = capture.dispatch(F.col("path"))
+    parts = F.when(F.col("doc_id") % 4 < 2, 1).otherwise(3)
+    return capture.folder_members(f).select("doc_id", "path", "folder", "input_index", capture.source_kind(decoder, parts).alias("source_kind"))
+
+
 def extension_dispatch(spark: SparkSession, d: str) -> DataFrame:
     ext, decoder = capture.dispatch(F.col("path"))
     return tables.capture_files(spark, d).select("doc_id", "path", ext.alias("extension"), decoder.alias("decoder"), ext.isin("dng", *capture.TIFF).alias("in_folder"))

@@ -12,7 +12,7 @@ NAMES = (
     "analyse_frames", "analyse_runs", "falloff_stops", "correction_gate", "group_frames", "decentring_pairs", "ca_group", "distortion_group", "target_quality_group",
     "vignetting_group", "stable_repeats", "fc_samples", "field_curvature", "vignetting_partitions", "vignetting_series_flags",
     "vignetting_optical_delta", "vignetting_symmetry", "copy_candidates", "copy_series_summary", "copy_assessment", "reshoot_actions",
-    "run_report_json", "contact_layout", "thumbnail_sample", "extension_dispatch", "metadata_inspect",
+    "run_report_json", "contact_layout", "thumbnail_sample", "inspect_files", "folder_inputs", "extension_dispatch", "metadata_inspect",
 )
 QUERIES = {n: getattr(queries, n) for n in NAMES}
 ORACLES: dict[str, str] = oracles.SQL

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.deploy import ship
-from stopwise.sources import ljpeg
+from stopwise.sources import ljpeg, tags
 from stopwise.sources.blocks import assemble
 from stopwise.sources.tags import BITS, COMPONENTS, COMPRESSION, HEIGHT, MAKE, MODEL, PHOTOMETRIC, WIDTH, directories
 
@@ -77,6 +77,19 @@ def decode(data: bytes) -> tuple[dict, np.ndarray]:
     return i, out[:, :, 0] if i["components"] == 1 else out
 
 
+def encode(samples: np.ndarray, pattern: str = "RGGB", black: int = 0, white: int = 65535, lens: str = "", f_number: tuple[int, int] = (8, 1), focal: int = 50, exposure: tuple[int, int] = (1, 60), iso: int = 100, opcodes: int = 0) -> bytes:
+    """A plain 16-bit DNG of a mosaic (h, w) or of linear colour (h, w, 3), for fixtures; ``opcodes``: how many of the opcode lists it has."""
+    h, w = samples.shape[:2]
+    parts = 1 if samples.ndim == 2 else 3
+    raw = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [16]), (COMPRESSION, 3, [1]), (PHOTOMETRIC, 3, [MOSAIC if parts == 1 else LINEAR]), (COMPONENTS, 3, [parts])]
+    raw += [(tags.STRIPS, 4, None), (tags.STRIP_BYTES, 4, None), (tags.ROWS, 4, [h]), (BLACK, 4, [black]), (WHITE, 4, [white])]
+    raw += [(PATTERN, 1, bytes("RGB".index(c) for c in pattern))] if parts == 1 else []
+    raw += [(t, 7, b"list") for t in OPCODES[:opcodes]]
+    exif = [(F_NUMBER, 5, f_number), (FOCAL, 5, (focal, 1)), (EXPOSURE, 5, exposure), (ISO, 3, [iso]), (LENS, 2, lens.encode() + b"\0")]
+    main = [(WIDTH, 4, [1]), (HEIGHT, 4, [1]), (PHOTOMETRIC, 3, [2]), (MAKE, 2, b"maker\0"), (DNG_VERSION, 1, b"\1\4\0\0")]
+    return tags.encode([np.ascontiguousarray(samples, "<u2").tobytes()], main, raw, exif)
+
+
 def levels(info: dict) -> tuple[list[float], list[float]]:
     """Black and white levels of the four places of a cell, or of three components."""
     top, n = float((1 << info["bits_per_sample"]) - 1), 3 if info["components"] == 3 else 4

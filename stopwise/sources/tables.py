@@ -76,6 +76,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORNER_NAMES = ("tl", "tr", "bl", "br")
 
 
+def corner_blockers(p: Column, o: Column, k: int) -> Column:
+    """What stands against a corner's colour shift, comma-separated; null where nothing does."""
+    return (
+        F.when(p % 31 == 0, "flat_profile")
+        .when((p + 3 * k) % 37 == 0, "correlation_peak_not_found")
+        .when((o + k) % 41 == 0, "profile_too_short,low_texture")
+        .when((p + o + k) % 43 == 0, "unsupported_colour_channels")
+        .when((p + 5 * k) % 29 == 0, "low_texture")
+    )
+
+
 def zone_values(frames: DataFrame) -> DataFrame:
     """Stand-in evidence of frames: adds per-corner acutance (ac_), contrast (co_) and falloff (fa_) columns, colour shifts and bow evidence."""
     p, o = F.col("l_partkey"), F.col("l_orderkey")
@@ -88,7 +99,7 @@ def zone_values(frames: DataFrame) -> DataFrame:
         F.col("contrast_tl").alias("co_tl"),
         *[F.lit(0.2).alias(f"co_{c}") for c in ("tr", "bl", "br", "centre")],
         *[(F.col("fall") + F.col("bias_tr") if c == "tr" else F.col("fall")).alias(f"fa_{c}") for c in CORNER_NAMES],
-        F.when(p % 31 == 0, "flat_profile").when(p % 37 == 0, "correlation_peak_not_found").alias("ca_blocker"),
+        *[corner_blockers(p, o, k).alias(f"cb_{c}") for k, c in enumerate(CORNER_NAMES)],
         *[(((p + 7 * k) % 9 - 4) / 4.0).alias(f"cx_{c}") for k, c in enumerate(CORNER_NAMES)],
         *[(((o + 5 * k) % 7 - 3) / 4.0).alias(f"cy_{c}") for k, c in enumerate(CORNER_NAMES)],
         F.when(p % 12 == 3, "no_straight_reference").when(p % 4 == 2, "line_discontinuous").alias("bow_blocker"),
@@ -198,3 +209,48 @@ def painted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("kind"), F.when(F.floor(s / 4) % 2 == 0, 1).otherwise(-1).alias("sign"),
     )
     return rows.mapInPandas(work, "path string, run_id long, input_index long, kind string, sign int, content binary")
+
+
+def written_frames(spark: SparkSession, sf_dir: str) -> str:
+    """A file of each document, in a new shared folder, which is returned: a mosaic, a gray or a colour picture whose samples are the text's bytes.
+
+    Files have 16 columns and as many rows as the text needs; metadata go by the document's id.
+    """
+    import uuid
+
+    from stopwise.deploy import shared_dir
+
+    folder = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        from stopwise.sources import dng, tiff
+
+        fs, base = FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                data, parts = (t or "").encode(), 3 if d % 3 == 2 else 1
+                rows = max(2, -(-len(data) // (32 * parts)))
+                samples = np.frombuffer(data.ljust(rows * 32 * parts, b"\0"), "<u2").reshape(rows, 16, parts)
+                if d % 3:
+                    content = tiff.encode(samples)
+                else:
+                    stop = {0: (1, 0), 1: (0, 0)}.get(d % 10, (d % 10 * 14, 10))
+                    lens = "" if d % 5 == 0 else f" lens {d % 5} "
+                    content = dng.encode(samples[:, :, 0], dng_pattern(d // 3 % 4), d % 3, 60000 + d % 3, lens, stop, 24 + d % 5, (1, d % 7 + 1), 50 * (d % 6 + 1), d % 4)
+                with fs.open_output_stream(f"{base}/frame_{d}{('.dng', '.tif', '.TIFF')[d % 3]}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(work, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def dng_pattern(k: int) -> str:
+    from stopwise.operators.mosaic import PATTERNS
+
+    return tuple(PATTERNS)[k]

@@ -82,3 +82,35 @@ def directories(data) -> tuple[str, list[Directory]]:
     main = Directory(data, struct.unpack_from(order + "I", head, 4)[0], order)
     subs = [Directory(data, at, order) for tag in (SUB_IFDS, EXIF_IFD) for at in main.get(tag, ())]
     return order, [main, *subs]
+
+
+def encode(bodies: list[bytes], main: list[tuple], sub: list[tuple] | None = None, exif: list[tuple] | None = None, order: str = "<") -> bytes:
+    """A file of blocks of samples and directories of (tag, kind, values), for fixtures; rationals are pairs, texts bytes.
+
+    The blocks' places and sizes go to the sub-directory, or to the main one if there is none, under the tags that have None for values.
+    """
+    at, body = [], b""
+    for b in bodies:
+        at.append(8 + len(body))
+        body += b + bytes(len(b) % 2)
+    filled = {STRIPS: at, TILES: at, STRIP_BYTES: [len(b) for b in bodies], TILE_BYTES: [len(b) for b in bodies]}
+
+    def written(entries: list[tuple], place: int) -> bytes:
+        head, extra = struct.pack(order + "H", len(entries)), b""
+        free = place + 6 + 12 * len(entries)
+        for tag, kind, values in sorted(entries, key=lambda e: e[0]):
+            values = filled[tag] if values is None else values
+            code = KINDS[kind]
+            raw = values if code == "s" or isinstance(values, bytes) else b"".join(struct.pack(order + code[0], v) for v in values)
+            field = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", free + len(extra))
+            extra += raw + bytes(len(raw) % 2) if len(raw) > 4 else b""
+            head += struct.pack(order + "HHI", tag, kind, len(values) // len(code)) + field
+        return head + bytes(4) + extra
+
+    place, parts = 8 + len(body), b""
+    for tag, entries in ((SUB_IFDS, sub), (EXIF_IFD, exif)):
+        if entries is not None:
+            main = [*main, (tag, 4, [place + len(parts)])]
+            parts += written(entries, place + len(parts))
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, place + len(parts))
+    return head + body + parts + written(main, place + len(parts))
