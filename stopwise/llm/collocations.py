@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -224,7 +225,7 @@ def _steps(known: DataFrame, files: DataFrame, work) -> DataFrame:
     heads = files.select("shard", F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(-1).cast("long").alias("id"), "uri")
     rows = known.select("shard", "at", "n", "id", F.lit(None).cast("string").alias("uri")).unionByName(heads)
     parts = max(1, files.count())  # the work goes by words of the shard and not by bytes of the rows
-    return stash(rows.repartition(parts, "shard").groupBy("shard").applyInArrow(work, STEP), "phrase-steps")
+    return stash(rows.repartition(parts, "shard").groupBy("shard").applyInArrow(work, STEP), "phrase-steps", "zstd")
 
 
 def numbered(df: DataFrame, tag: str) -> DataFrame:
@@ -248,16 +249,17 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     if not 2 <= longest <= DEPTH - 1:
         raise ValueError(f"phrases have 2 to {DEPTH - 1} words")
     folder = f"{shared_dir(docs.sparkSession)}/phrases-{uuid.uuid4().hex}"
-    parts = stash(shards(docs, folder, shard_bytes), "phrase-shards")
+    parts = stash(shards(docs, f"{folder}/words", shard_bytes), "phrase-shards")
     words = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     totals = stash(parts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v)).alias("n")), "phrase-totals")
     frequent = numbered(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-words")
     none = F.array().cast("array<bigint>")
     minus = F.lit(-1).cast("long")
     levels = [frequent.select("id", minus.alias("p"), minus.alias("s"), F.col("id").alias("w"), "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "a", none.alias("l"), none.alias("r"))]
-    known = words.join(checked_broadcast(frequent).select("lang", "word", "id"), ["lang", "word"])
+    known = words.join(checked_broadcast(frequent).select("lang", "word", "id"), ["lang", "word"], "left")  # a word without a name is rare
 
     def build(group: pa.Table) -> pa.Table:
+        group = group.filter(pc.is_valid(group.column("id")))
         shard, uri, word, _, ident = _sorted(group)
         (found,) = get(uri, 1)
         names = np.zeros(int(found.max(initial=0)) + 1, np.int32)
@@ -270,7 +272,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
         index = Index.of(found)
         n = np.bincount(found, minlength=len(word) + 1)
         at, count, parent, symbol = index.extended(np.cumsum(n)[:-1], n[1:])
-        return _answer(shard, at, count, ident[parent], ident[symbol - 1], put(folder, index.bwt, ident))
+        return _answer(shard, at, count, ident[parent], ident[symbol - 1], put(f"{folder}/indexes", index.bwt, ident))
 
     def extend(group: pa.Table) -> pa.Table:
         shard, uri, at, count, ident = _sorted(group)
@@ -280,6 +282,8 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
 
     steps = _steps(known, parts, build)
     discard(parts)
+    fs, path = hadoop_path(docs.sparkSession, folder)
+    fs.delete(hadoop_path(docs.sparkSession, f"{folder}/words")[1], True)
     for k in range(2, longest + 1):
         made = steps.where(F.col("uri").isNull())
         counted = numbered(made.groupBy("p", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-counts")
@@ -291,7 +295,6 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
             steps = more
         discard(counted)
     discard(steps)
-    fs, path = hadoop_path(docs.sparkSession, folder)
     fs.delete(path, True)
     return levels, totals
 

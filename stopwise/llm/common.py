@@ -22,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, packed: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs tasks, not the table, and what has been computed
     once (a tokenised corpus, fingerprints) is read by later jobs instead of being computed anew.
-    The shuffle files of the write are freed as it ends.
+    The shuffle files of the write are freed as it ends. ``packed``: a compression other than the session's.
     """
     spark = df.sparkSession
     ship(spark)
@@ -36,7 +36,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     if before == "false":
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=packed)
     finally:
         if before == "false":
             spark.conf.set(CLEANUP, "false")
