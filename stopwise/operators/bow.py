@@ -1,99 +1,43 @@
 """Straight-line bow of a plane: traces, quadratic fits and the choice of the best candidate.
 
-Planes come as rows (run_id, y, samples). Lines along either axis are arrays, so that tracing is map-only
-once columns have been gathered; fits aggregate a trace's points, at most one for each line.
+Traces come from ``planes``, as points in a column of each plane; fits aggregate a trace's points, at most one for each line.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.functions.arrays import let, mean, names
+from stopwise.functions.arrays import mean, names
+from stopwise.operators.planes import LEAST_CONTRAST, SIDE, gathered
 
 # Fixed values.
-LEAST_CONTRAST = 0.15
-SIDE = 0.35
-MOST_SUPPORT = 0.75
-LEVEL = 0.45
 MOST_GAP = 0.08
 LEAST_SPAN, MEASURED_SPAN = 0.25, 0.72
 MOST_RESIDUAL = 1.0
+LEAST_SIZE = 16
 BLOCKERS = ("low_contrast", "line_discontinuous", "profile_too_short", "fit_residual_too_high")
 
 
-def lines(planes: DataFrame, width: int, height: int) -> DataFrame:
-    """Rows run_id, orientation, major, vals: the samples across each line."""
-    down = planes.select("run_id", F.lit("vertical").alias("orientation"), F.col("y").alias("major"), F.col("samples").alias("vals"))
-    across = (
-        planes.select("run_id", "y", F.posexplode("samples").alias("major", "v"))
-        .groupBy("run_id", "major")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda p: p["v"]).alias("vals"))
-        .select("run_id", F.lit("horizontal").alias("orientation"), "major", "vals")
-    )
-    return across.unionByName(down)
-
-
-def trace_points(planes: DataFrame, width: int, height: int) -> DataFrame:
-    """Rows run_id, cand (0 to 11), orientation, major, minor, contrast: weighted centres of what a line crosses."""
-    return traces(lines(planes, width, height), width, height)
-
-
-def traces(rows: DataFrame, width: int, height: int) -> DataFrame:
-    """``trace_points`` of lines: run_id, orientation, major, vals."""
-    n = F.size("vals")
-    side = {o: min(max(math.ceil(m * SIDE), 1), m) for o, m in (("horizontal", height), ("vertical", width))}
-    reach = F.when(F.col("orientation") == "horizontal", side["horizontal"]).otherwise(side["vertical"])
-    base = F.when(F.col("orientation") == "horizontal", 0).otherwise(6)
-    bands = ((F.lit(0), reach), (n - reach, n), (F.lit(0), n))
-    options = [
-        F.struct((base + 2 * k + d).alias("cand"), a.alias("a"), b.alias("b"), F.lit(d == 0).alias("dark"))
-        for k, (a, b) in enumerate(bands)
-        for d in (0, 1)
-    ]
-    rows = rows.withColumn("o", F.explode(F.array(*options)))
-
-    # Each step is bound once; a filter over derived columns would be pushed down and repeat them.
-    def sums(part: Column, low: Column, contrast: Column, dark: Column, first: Column) -> Column:
-        level = F.when(dark, low + contrast * LEVEL).otherwise(low + contrast - contrast * LEVEL)
-
-        def step(s: Column, v: Column, at: Column) -> Column:
-            w = F.when(dark, at - v).otherwise(v - at)
-            on = w >= 0
-            return F.struct(
-                (s["w"] + F.when(on, w).otherwise(0.0)).alias("w"),
-                (s["iw"] + F.when(on, (s["i"] + first) * w).otherwise(0.0)).alias("iw"),
-                (s["n"] + F.when(on, 1).otherwise(0)).alias("n"),
-                (s["i"] + 1).alias("i"),
-            )
-
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("iw"), F.lit(0).alias("n"), F.lit(0).alias("i"))
-        return let(level, lambda at: F.aggregate(part, zero, lambda s, v: step(s, v, at)))
-
-    def point(o: Column, part: Column) -> Column:
-        def measured(m: Column) -> Column:
-            found = sums(part, m["low"], m["high"] - m["low"], o["dark"], o["a"])
-            made = let(found, lambda s: F.struct((s["iw"] / F.when(s["w"] > 0, s["w"])).alias("minor"), (m["high"] - m["low"]).alias("contrast"), (s["n"] / (o["b"] - o["a"])).alias("support")))
-            return F.when(m["high"] - m["low"] >= LEAST_CONTRAST, made)
-
-        return let(F.struct(F.array_min(part).alias("low"), F.array_max(part).alias("high")), measured)
-
-    o = F.col("o")
-    made = let(F.slice("vals", o["a"] + 1, o["b"] - o["a"]), lambda part: point(o, part))
-    kept = F.filter(F.array(made), lambda x: x.isNotNull() & x["minor"].isNotNull() & (x["support"] <= MOST_SUPPORT))
-    return rows.select("run_id", "o.cand", "orientation", "major", F.explode(kept).alias("x")).select("run_id", "cand", "orientation", "major", "x.minor", "x.contrast")
+def exploded(found: DataFrame) -> DataFrame:
+    """Rows run_id, width, height, cand (0 to 11), orientation, major, minor, contrast of planes with ``points``."""
+    rows = found.select("run_id", "width", "height", F.inline("points"))
+    return rows.withColumn("orientation", F.when(F.col("cand") < 6, "horizontal").otherwise("vertical"))
+
+
+def trace_points(rows: DataFrame) -> DataFrame:
+    """``exploded`` points of planes given as rows (run_id, y, samples): weighted centres of what a line crosses."""
+    return exploded(gathered(rows))
 
 
 def fits(points: DataFrame) -> DataFrame:
-    """One row a trace: run_id, cand, orientation, n, contrast, gap, first, last, their minors, mean minor, mid, c0, c1, c2, residual.
+    """One row a trace: run_id, width, height, cand, orientation, n, contrast, gap, first, last, their minors, mean minor, mid, c0, c1, c2, residual.
 
     The fit is y = c0 + c1 u + c2 u^2 with u the distance from the mean major position. A trace has at most
     one point for each line of its plane, so it is one array, and all but its gathering is map-only. Fewer
     than three positions give null coefficients; the caller raises if such a trace would be fitted.
     """
-    key = ["run_id", "cand", "orientation"]
+    key = ["run_id", "width", "height", "cand", "orientation"]
     df = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("major", "minor", "contrast"))).alias("p"))
     n, head, tail = F.size("p"), F.get("p", 0), F.element_at("p", -1)
     steps = F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n - 1), lambda x, y: y["major"] - x["major"] - 1)
@@ -131,10 +75,10 @@ def fits(points: DataFrame) -> DataFrame:
     return df.withColumn("residual", F.sqrt(squares / s0)).drop("p", "s", "det")
 
 
-def candidates(points: DataFrame, width: int, height: int) -> DataFrame:
+def candidates(points: DataFrame) -> DataFrame:
     """Adds to each trace's fit: span, bow (percent), sagitta, side, eligible, blocker."""
     horizontal = F.col("orientation") == "horizontal"
-    major, minor = F.when(horizontal, width).otherwise(height), F.when(horizontal, height).otherwise(width)
+    major, minor = F.when(horizontal, F.col("width")).otherwise(F.col("height")), F.when(horizontal, F.col("height")).otherwise(F.col("width"))
     df = fits(points).withColumn("major_len", major).withColumn("minor_len", minor)
     df = df.withColumn("span", (F.col("last") - F.col("first") + 1) / F.col("major_len"))
     most = F.greatest(F.ceil(F.col("major_len") * MOST_GAP), F.lit(1))
@@ -158,17 +102,16 @@ def candidates(points: DataFrame, width: int, height: int) -> DataFrame:
     return df.withColumn("eligible", F.col("blocker").isNull() & (F.col("span") >= MEASURED_SPAN) & F.col("side").isNotNull())
 
 
-def plane_bows(planes: DataFrame, width: int, height: int) -> DataFrame:
-    """One row a plane: run_id, method, orientation, side, bow, sagitta, span, residual, confidence, blockers."""
-    return line_bows(lines(planes, width, height), width, height)
+def plane_bows(rows: DataFrame) -> DataFrame:
+    """One row a plane: run_id, method, orientation, side, bow, sagitta, span, residual, confidence, blockers; planes as rows (run_id, y, samples)."""
+    return point_bows(gathered(rows))
 
 
-def line_bows(rows: DataFrame, width: int, height: int) -> DataFrame:
-    """``plane_bows`` of lines."""
-    every = rows.select("run_id").distinct()
-    if min(width, height) < 16:
-        return every.select("run_id", *[F.lit(None).cast("string").alias(c) for c in ("method", "orientation", "side")], *[F.lit(None).cast("double").alias(c) for c in ("bow", "sagitta", "span", "residual", "confidence")], F.lit("profile_too_short").alias("blockers"))
-    c = candidates(traces(rows, width, height), width, height)
+def point_bows(found: DataFrame) -> DataFrame:
+    """``plane_bows`` of planes with their size and ``points``; those with fewer than 16 rows or columns are too short."""
+    short = F.least("width", "height") < LEAST_SIZE
+    every = found.select("run_id", short.alias("short"))
+    c = candidates(exploded(found.where(~short)))
     # Ranks are told apart at 9 decimals, ties go by trace order.
     rank = F.struct(F.col("eligible").cast("int").alias("e"), F.round("span", 9).alias("s"), F.round(F.abs("bow"), 9).alias("b"), (-F.col("cand")).alias("c"))
     best = c.groupBy("run_id").agg(
@@ -187,5 +130,5 @@ def line_bows(rows: DataFrame, width: int, height: int) -> DataFrame:
         F.when(found, F.when(eligible, "measured_straight_line_bow").otherwise("inferred_weak_reference_bow")).alias("method"),
         *[get(n).alias(n) for n in ("orientation", "side", "bow", "sagitta", "span", "residual")],
         F.when(found, F.when(eligible, 0.9).otherwise(0.4)).alias("confidence"),
-        F.when(found, names((~eligible, "weak_reference_geometry"))).otherwise(F.when(listed == "", "no_straight_reference").otherwise(listed)).alias("blockers"),
+        F.when(found, names((~eligible, "weak_reference_geometry"))).otherwise(F.when(F.col("short"), "profile_too_short").when(listed == "", "no_straight_reference").otherwise(listed)).alias("blockers"),
     )

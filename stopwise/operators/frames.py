@@ -1,12 +1,12 @@
 """From decoded frames to per-frame evidence: five zone patches, colour shift, falloff, bow and target squareness.
 
 Frames are rows (path, content) of TIFF or DNG files. Of a mosaic the first green phase is measured, at half size, and red and
-blue are filled in from their neighbours for the colour shift, only where a zone needs them. A task decodes one frame at a time and measures its zones with the NumPy
-kernels; for bow and target it hands on the plane's rows and columns as lines, so that no pixel is a row of its own and
-nothing needs to be transposed by a shuffle. A frame of 40 million samples takes about 1 GB in its task.
+blue are filled in from their neighbours for the colour shift, only where a zone needs them. Each file is decoded once, one at a time in a task, and gives one
+row: its metadata, what its zones measure, points of its candidate traces, and means of its rows and columns. That table is written, and all that
+follows reads it. A frame of 40 million samples takes about 1 GB in its task.
 
 Edge cases: a frame of one component has no colour shift (``unsupported_colour_channels``); a patch outside its plane, a
-median that is not positive and an unreadable file raise; an empty folder gives no rows.
+median that is not positive, an unreadable file and, in ``analyse``, corrections that are known to be there raise; an empty folder gives no rows.
 """
 
 from __future__ import annotations
@@ -14,19 +14,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from stopwise.operators import bow, kernels, target
+from stopwise.deploy import kept, tidied
+from stopwise.operators import bow, capture, kernels, planes, target
 from stopwise.operators.evidence import CORNERS, SHORT
 from stopwise.operators.mosaic import BLUE, GREEN, LUMA, PATTERNS, RED
 from stopwise.sources import dng, tiff
 
-#: Lines of a plane that go to Spark at once.
-LINES = 64
 ZONES = ("centre", *CORNERS)
-NAMES = dict(zip(ZONES, ("centre", *SHORT)))
 
 
 def zone_rects(width: int, height: int) -> dict[str, tuple[int, int, int, int]]:
@@ -118,78 +118,61 @@ def opened(path: str, content: bytes) -> Picture | Mosaic:
     return Picture((raw - black) / scale)
 
 
-def zone_rows(path: str, content: bytes) -> Iterator[tuple]:
-    frame = opened(path, content)
-    for zone, rect in zone_rects(*frame.size).items():
-        measured = kernels.measure(cut(frame.plane, frame.project(rect)))
-        moved = (None, None, None)
+#: Metadata of a frame that go with its evidence.
+KNOWN = ("source_kind", "lens_model", "focal_length_mm", "f_number", "corrections_present", "corrections")
+SHORTS = ("centre", *SHORT)
+MEASURED = (
+    "path string, source_kind string, lens_model string, focal_length_mm double, f_number double, corrections_present boolean, corrections string, width int, height int, "
+    + ", ".join(f"{v}_{c} double" for v in ("ac", "co", "lum") for c in SHORTS)
+    + ", " + ", ".join(f"{v}_{c} {'string' if v == 'cb' else 'double'}" for v in ("cx", "cy", "cb") for c in SHORT)
+    + f", points array<{planes.POINT_DDL}>, row_means array<double>, column_means array<double>"
+)
+
+
+def measured_row(path: str, content: bytes) -> dict:
+    """One frame's row of MEASURED, but for its lists."""
+    frame, info = opened(path, content), dng.info(content)
+    row = {"path": path, "width": frame.plane.shape[1], "height": frame.plane.shape[0], **{k: info.get(k) for k in KNOWN}}
+    row["corrections_present"] = info["corrections"] != "" if info["is_dng"] else None
+    for c, (zone, rect) in zip(SHORTS, zone_rects(*frame.size).items()):
+        row[f"ac_{c}"], row[f"co_{c}"], row[f"lum_{c}"] = kernels.measure(cut(frame.plane, frame.project(rect)))
         if zone != "centre":
             pair = frame.colours(rect)
-            moved = kernels.shift(*pair) if pair is not None else (None, None, "unsupported_colour_channels")
-        yield (path, zone, *measured, *moved)
+            row[f"cx_{c}"], row[f"cy_{c}"], row[f"cb_{c}"] = kernels.shift(*pair) if pair is not None else (None, None, "unsupported_colour_channels")
+    return row | {"points": planes.points(frame.plane), "row_means": pa.array(frame.plane.mean(1)), "column_means": pa.array(frame.plane.mean(0))}
 
 
-def zones(files: DataFrame) -> DataFrame:
-    """path, zone, acutance, contrast, luminance, shift_x, shift_y, ca_blocker."""
-    names = ["path", "zone", "acutance", "contrast", "luminance", "shift_x", "shift_y", "ca_blocker"]
+def measured(files: DataFrame) -> DataFrame:
+    """A row of MEASURED for each file; every file is decoded once."""
+    lists = ("points", "row_means", "column_means")
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(MEASURED)])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(list(zone_rows(path, content)), columns=names).astype({"shift_x": float, "shift_y": float})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                row = measured_row(path, content.as_py())
+                yield pa.RecordBatch.from_arrays([planes.listed([row[f.name]]) if f.name in lists else pa.array([row[f.name]], f.type) for f in schema], [f.name for f in schema])
 
-    kinds = "path string, zone string, acutance double, contrast double, luminance double, shift_x double, shift_y double, ca_blocker string"
-    out = files.select("path", "content").mapInPandas(work, kinds)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("shift_x", "shift_y")})
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """run_id (the path), width, height, orientation, major, vals: each plane's rows (vertical) and columns (horizontal)."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                plane = opened(path, content).plane
-                for orientation, across in (("vertical", plane), ("horizontal", plane.T)):
-                    for a in range(0, len(across), LINES):
-                        some = across[a : a + LINES]
-                        yield pd.DataFrame(
-                            {"run_id": path, "width": np.int32(plane.shape[1]), "height": np.int32(plane.shape[0]), "orientation": orientation, "major": np.arange(a, a + len(some), dtype=np.int32), "vals": list(np.ascontiguousarray(some))}
-                        )
-
-    return files.select("path", "content").mapInPandas(work, "run_id string, width int, height int, orientation string, major int, vals array<double>")
+    return files.select("path", "content").mapInArrow(tidied(work), MEASURED)
 
 
 def frame_evidence(files: DataFrame) -> DataFrame:
-    """One row a frame: path and what group evidence needs of it.
+    """One row a frame: path, its metadata (KNOWN) and what group evidence needs of it.
 
-    ac_, co_ (centre and corners), lum_centre, fa_ and cx_, cy_ (corners), ca_blocker, bow, bow_measured, bow_blocker, target_status, keystone_pct.
+    ac_, co_ (centre and corners), lum_centre, fa_, cx_, cy_ and cb_ (corners), bow, bow_measured, bow_blocker, side, orientation, target_status, keystone_pct, target_axis, target_blockers.
     """
-    z = zones(files)
-    at = lambda zone, value: F.max(F.when(F.col("zone") == zone, F.col(value)))
-    first = F.min(F.when(F.col("ca_blocker").isNotNull(), F.struct("zone", "ca_blocker")))["ca_blocker"]
-    wide = z.groupBy("path").agg(
-        *[at(zone, v).alias(f"{short}_{NAMES[zone]}") for v, short in (("acutance", "ac"), ("contrast", "co"), ("luminance", "lum")) for zone in ZONES],
-        *[at(zone, v).alias(f"{short}_{NAMES[zone]}") for v, short in (("shift_x", "cx"), ("shift_y", "cy")) for zone in CORNERS],
-        first.alias("ca_blocker"),
-    )  # medians are positive, or their patch has raised
-    wide = wide.withColumns({f"fa_{c}": F.log2(F.col(f"lum_{c}") / F.col("lum_centre")) for c in SHORT}).drop(*[f"lum_{c}" for c in SHORT])
-    found = lines(files)
-    bent = None
-    for w, h in sorted(tuple(r) for r in found.select("width", "height").distinct().collect()):  # a size for each kind of camera
-        some = bow.line_bows(found.where((F.col("width") == w) & (F.col("height") == h)).drop("width", "height"), w, h)
-        bent = some if bent is None else bent.unionByName(some)
-    if bent is None:
-        bent = bow.line_bows(found.drop("width", "height"), 16, 16)
-    listed = F.split(F.col("blockers"), ",")
-    broken = F.array_contains(listed, "line_discontinuous")
+    m = kept(measured(files), "frames")
+    whole = [c for c in m.columns if c not in ("width", "height", "points", "row_means", "column_means") and not c.startswith("lum_")]
+    wide = m.select(*whole, "lum_centre", *[F.log2(F.col(f"lum_{c}") / F.col("lum_centre")).alias(f"fa_{c}") for c in SHORT])  # medians are positive, or their patch has raised
+    bent = bow.point_bows(m.select(F.col("path").alias("run_id"), "width", "height", "points"))
+    broken = F.array_contains(F.split("blockers", ","), "line_discontinuous")
     bent = bent.select(
         F.col("run_id").alias("path"), "bow", (F.col("method") == "measured_straight_line_bow").alias("bow_measured"), "side", "orientation",
         F.when(F.col("method").isNull(), F.when(broken, "line_discontinuous").otherwise("no_straight_reference")).alias("bow_blocker"),
     )
-    square = target.decide(target.keystones(target.line_runs(found)))
-    square = square.select(F.col("run_id").alias("path"), F.col("status").alias("target_status"), F.col("keystone").alias("keystone_pct"), F.col("axis").alias("target_axis"))
-    return wide.join(bent, "path", "left").join(square, "path", "left")
+    square = target.decide(target.keystones(target.profile_runs(target.profiles(m.select(F.col("path").alias("run_id"), "width", "height", "row_means", "column_means")))))
+    square = square.select(F.col("run_id").alias("path"), F.col("status").alias("target_status"), F.col("keystone").alias("keystone_pct"), F.col("axis").alias("target_axis"), F.col("blockers").alias("target_blockers"))
+    return wide.join(bent, "path").join(square, "path")
 
 
 def analyse(files: DataFrame, captures: DataFrame) -> DataFrame:
@@ -197,8 +180,13 @@ def analyse(files: DataFrame, captures: DataFrame) -> DataFrame:
 
     ``captures``: path, run_id, input_index, lens_model, focal_length_mm, f_number, corrections_present (null where unknown; true raises).
     """
-    from stopwise.operators import capture
-
     status = capture.status(F.col("corrections_present"))
     known = captures.select("path", "run_id", "input_index", "lens_model", "focal_length_mm", "f_number", (status == "confirmed_uncorrected").alias("eligible"))
-    return known.join(frame_evidence(files), "path")
+    return known.join(frame_evidence(files).drop(*KNOWN), "path")
+
+
+def analyse_files(files: DataFrame) -> DataFrame:
+    """``analyse`` with what the files say of themselves; ``files``: path, content, run_id, input_index."""
+    found = frame_evidence(files)
+    status = capture.status(F.col("corrections_present"))
+    return found.withColumn("eligible", status == "confirmed_uncorrected").join(files.select("path", "run_id", "input_index"), "path")

@@ -347,6 +347,12 @@ CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_tl, CASE input_index WHEN
 CASE input_index WHEN 1 THEN true END AS shift_tl, CASE input_index WHEN 1 THEN true END AS shift_tr, CASE input_index WHEN 1 THEN true END AS shift_bl, CASE input_index WHEN 1 THEN true END AS shift_br,
 CASE input_index WHEN 2 THEN true END AS bow_near, CASE input_index WHEN 2 THEN 'top' END AS bow_side,
 CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 'gated' ELSE 'passed' END END AS target, CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 20::DOUBLE ELSE 0::DOUBLE END END AS keystone FROM s""",
+    "analyse_runs": """WITH k AS (SELECT s_suppkey::BIGINT AS run_id, s_suppkey % 4 AS kind FROM supplier)
+SELECT run_id, CASE kind WHEN 0 THEN 'supports_centred' WHEN 1 THEN 'supports_decentred' ELSE 'inconclusive' END AS state, CASE kind WHEN 2 THEN 'missing_lens_focal_identity' WHEN 3 THEN 'target_quality_not_passed,insufficient_aperture_series' ELSE '' END AS blockers,
+CASE WHEN kind <> 2 THEN 'bench lens' END AS lens_model, CASE WHEN kind <> 2 THEN 50::DOUBLE END AS focal_length_mm, CASE WHEN kind < 2 THEN '4.0,5.6,8.0,11.0' ELSE '' END AS included,
+CASE kind WHEN 2 THEN 'no_controlled_target_series' WHEN 3 THEN 'target_quality_not_passed' ELSE '' END AS gate_target_quality, CASE kind WHEN 2 THEN 'no_controlled_target_series' ELSE '' END AS gate_correction_provenance,
+CASE kind WHEN 2 THEN 'no_controlled_target_series' WHEN 3 THEN 'insufficient_aperture_series' ELSE '' END AS gate_aperture_series, CASE kind WHEN 2 THEN 'no_controlled_target_series' ELSE '' END AS gate_left_right_consistency,
+CASE kind WHEN 2 THEN 'no_controlled_target_series' ELSE '' END AS gate_field_curvature, CASE kind WHEN 3 THEN 'improve_target_alignment,add_aperture_ladder' ELSE '' END AS reshoot FROM k""",
     "inspect_files": r"""WITH f AS (SELECT doc_id AS d, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 2 THEN 3 ELSE 1 END AS parts, octet_length(encode(coalesce(text, ''))) AS size FROM documents WHERE doc_id IS NOT NULL)
 SELECT d AS doc_id, ['dng', 'tif', 'tiff'][kind + 1] AS extension, CASE kind WHEN 0 THEN 'cfa' ELSE 'rgb' END AS source_kind, CASE kind WHEN 0 THEN 'maker' END AS camera_make, CASE WHEN kind = 0 AND d % 5 > 0 THEN 'lens ' || d % 5 END AS lens_model,
  16::INT AS width, greatest(2, (size + 32 * parts - 1) // (32 * parts))::INT AS height, parts::INT AS components, 16::INT AS bits_per_sample, CASE kind WHEN 0 THEN ['RGGB', 'BGGR', 'GBRG', 'GRBG'][d // 3 % 4 + 1] END AS cfa_pattern,

@@ -152,46 +152,41 @@ def ca_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trace_points(spark: SparkSession, d: str) -> DataFrame:
-    return round_all(bow.trace_points(tables.bowed_lines(spark, d), 80, 50))
+    return round_all(bow.trace_points(tables.bowed_lines(spark, d)).drop("width", "height"))
 
 
 def quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
-    f = bow.fits(bow.trace_points(tables.bowed_lines(spark, d), 80, 50))
+    f = bow.fits(bow.trace_points(tables.bowed_lines(spark, d)))
     return round_all(f.select("run_id", "cand", "n", "gap", "first", "last", "mean_minor", "c0", "c1", "c2", "residual"))
 
 
 def distortion_frame(spark: SparkSession, d: str) -> DataFrame:
-    return round_all(bow.plane_bows(tables.bowed_lines(spark, d), 80, 50))
+    return round_all(bow.plane_bows(tables.bowed_lines(spark, d)))
 
 
 def target_runs(spark: SparkSession, d: str) -> DataFrame:
-    t = target.runs(tables.courses(spark, d), 96)
+    t = target.runs(tables.courses(spark, d))
     return round_all(t.select("run_id", "axis", "polarity", F.posexplode("centres").alias("i", "centre")))
 
 
 def keystone(spark: SparkSession, d: str) -> DataFrame:
-    k = target.keystones(target.runs(tables.courses(spark, d), 96))
+    k = target.keystones(target.runs(tables.courses(spark, d)))
     return round_all(k.select("run_id", "axis", "contrast", F.size("centres").alias("marks"), "keystone", F.coalesce("blocker", F.lit("")).alias("blocker")))
 
 
 def target_qa_frame(spark: SparkSession, d: str) -> DataFrame:
-    return round_all(target.decide(target.keystones(target.runs(tables.courses(spark, d), 96))))
+    return round_all(target.decide(target.keystones(target.runs(tables.courses(spark, d)))))
 
 
 # decoded files
 
 
-def painted(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of painted TIFF frames, beside what they are."""
-    files = tables.painted_frames(spark, d)
+def analyse_frames(spark: SparkSession, d: str) -> DataFrame:
+    """What was found in each painted frame of what it was painted for: its falloff, shift and bow at the accuracy that the painting allows, and its keystone."""
+    files = kept(tables.painted_frames(spark, d), "painted")
     none = F.lit(None)
     lens = (F.lit("lens").alias("lens_model"), F.lit(50.0).alias("focal_length_mm"), F.lit(8.0).alias("f_number"), none.cast("boolean").alias("corrections_present"))
-    return frames.analyse(files, files.select("path", "run_id", "input_index", *lens)).join(files.select("path", "kind", "sign"), "path")
-
-
-def analyse_frames(spark: SparkSession, d: str) -> DataFrame:
-    """What was found in each painted frame of what it was painted for: its falloff, shift, bow (within 0.8 % of the sagitta) and keystone."""
-    df = painted(spark, d)
+    df = frames.analyse(files, files.select("path", "run_id", "input_index", *lens)).join(files.select("path", "kind", "sign"), "path")
     is_ = lambda kind, value: F.when(F.col("kind") == kind, value)
     near = F.abs(F.col("bow") - F.col("sign") * F.lit(5 / 70 * 100)) <= 0.8
     return df.select(
@@ -204,9 +199,11 @@ def analyse_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analyse_runs(spark: SparkSession, d: str) -> DataFrame:
-    """From TIFF files to verdicts."""
-    g = evidence.target_quality(evidence.groups(painted(spark, d)))
-    return round_all(series.copy_assessment(series.copy_candidates(g), series.field_curvature(g)))
+    """From files to verdicts: painted runs of every state, with all that is known of a frame read from its file."""
+    files = tables.painted_runs(spark, d)
+    g = evidence.target_quality(evidence.groups(frames.analyse_files(files)))
+    verdict = series.copy_assessment(series.copy_candidates(g), series.field_curvature(g))
+    return verdict.select("run_id", "state", "blockers", "lens_model", "focal_length_mm", "included", *[c for c in verdict.columns if c.startswith("gate_")], "reshoot")
 
 
 # frames and groups

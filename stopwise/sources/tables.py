@@ -211,6 +211,49 @@ def painted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(work, "path string, run_id long, input_index long, kind string, sign int, content binary")
 
 
+#: Apertures of a painted run (in tenths), and the fine texture of its frames at each.
+LADDER = ((40, 10), (56, 10), (80, 10), (110, 10))
+TEXTURE = (3000, 5000, 6500, 4000)
+
+
+def painted_run_frame(kind: int, step: int, repeat: int):
+    """A linear colour plane of dark courses under a fine texture, strongest at the third aperture.
+
+    ``kind`` 0 and 2: both sides alike; 1: a third of the texture on the right side; 3: courses that widen downwards.
+    """
+    import numpy as np
+
+    y, x = np.indices((192, 192))
+    courses = np.where(y % np.where((y >= 96) & (kind == 3), 16, 12) < 3, 20000, 40000) + 200 * repeat
+    texture = np.where((x >= 128) & (kind == 1), TEXTURE[step] // 3, TEXTURE[step])
+    return np.repeat((courses + texture * (np.minimum(x, 191 - x) % 2 * 2 - 1)).astype(np.uint16)[:, :, None], 3, 2)
+
+
+def painted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight files a supplier, two repeats of four apertures: path, content, run_id, input_index.
+
+    By supplier mod 4: a centred lens, one whose right side is soft, a centred one as TIFF, which says nothing of its lens, and a target that is not square.
+    """
+    from stopwise.sources import dng, tiff
+
+    def work(batches):
+        made = {}
+        for pdf in batches:
+            out = []
+            for run, i in zip(pdf["run_id"], pdf["input_index"]):
+                kind, step, repeat = run % 4, i // 2, i % 2
+                if (kind, step, repeat) not in made:
+                    plane = painted_run_frame(kind, step, repeat)
+                    made[kind, step, repeat] = tiff.encode(plane) if kind == 2 else dng.encode(plane, lens="bench lens", f_number=LADDER[step], focal=50)
+                out.append(made[kind, step, repeat])
+            yield pdf.assign(content=out)
+
+    runs = table(spark, sf_dir, "supplier").select(s_key().alias("run_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("input_index"))
+    end = F.when(F.col("run_id") % 4 == 2, ".tif").otherwise(".dng")
+    rows = runs.withColumn("path", F.concat(F.lit("/shots/"), F.col("run_id").cast("string"), F.lit("/"), F.col("input_index").cast("string"), end))
+    return rows.select("path", "run_id", "input_index").mapInPandas(work, "path string, run_id long, input_index long, content binary")
+
+
 def written_frames(spark: SparkSession, sf_dir: str) -> str:
     """A file of each document, in a new shared folder, which is returned: a mosaic, a gray or a colour picture whose samples are the text's bytes.
 

@@ -139,10 +139,10 @@ def preflight(paths: list[str]) -> None:
             raise ValueError(f"not a regular file: {p}")
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
+def files(spark: SparkSession, folder: str, names: str = "*.{tif,tiff,TIF,TIFF}") -> DataFrame:
     """A flat folder's TIFF files: path, content, length."""
     ship(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(folder).select("path", "content", "length")
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "content", "length")
 
 
 def inspect(spark: SparkSession, folder: str) -> DataFrame:

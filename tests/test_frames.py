@@ -43,13 +43,45 @@ def test_files_of_a_folder(spark, tmp_path):
     assert all(got["1"][f"cx_{c}"] == pytest.approx(1, abs=0.25) and got["1"][f"cy_{c}"] == pytest.approx(0, abs=0.25) for c in ("tl", "tr", "bl", "br"))
     assert got["2"].bow == pytest.approx(7.14, abs=0.8) and got["2"].bow_measured and got["2"].side == "top"
     assert got["3"].target_status == "gated" and got["3"].keystone_pct == pytest.approx(20)
-    assert got["4"].bow == pytest.approx(-7.14, abs=0.8) and got["4"].ca_blocker == "unsupported_colour_channels"
+    assert got["4"].bow == pytest.approx(-7.14, abs=0.8) and got["4"].cb_br == "unsupported_colour_channels"
     assert frames.frame_evidence(tiff.files(spark, str(tmp_path)).where("false")).count() == 0
 
 
-def test_unknown_corrections_leave_runs_inconclusive(spark, sf_dir):
-    rows = queries.analyse_runs(spark, sf_dir).collect()
-    assert rows and all(r.state == "inconclusive" and "unknown_corrections" in r.blockers.split(",") for r in rows)
+def test_runs_from_files_reach_every_state(spark, sf_dir):
+    states = {r.run_id: r.state for r in queries.analyse_runs(spark, sf_dir).collect()}
+    assert states and all(s == ("supports_centred", "supports_decentred", "inconclusive", "inconclusive")[k % 4] for k, s in states.items())
+
+
+def test_linear_colour_files(spark, tmp_path):
+    """A DNG of linear colour is normalised by its levels, and its own metadata decides what becomes of it."""
+    from stopwise.sources import dng
+
+    image = tables.painted("vignetting", 1) // 2 + 1000
+    (tmp_path / "0.dng").write_bytes(dng.encode(image, black=1000, white=40000, lens="a lens", f_number=(56, 10)))
+    (tmp_path / "1.dng").write_bytes(dng.encode(image, black=1000, white=40000, opcodes=2))
+    files = tiff.files(spark, str(tmp_path), "*.dng").select("path", "content")
+    got = {r.path[-5]: r for r in frames.frame_evidence(files).collect()}
+    assert all(got["0"][f"fa_{c}"] == pytest.approx(-1, abs=1e-3) for c in ("tl", "tr", "bl", "br"))
+    assert (got["0"].lens_model, got["0"].f_number, got["0"].corrections_present, got["1"].corrections) == ("a lens", 5.6, False, "OpcodeList1,OpcodeList2")
+    named = files.selectExpr("path", "content", "1L AS run_id", "0L AS input_index")
+    assert frames.analyse_files(named.where("path LIKE '%0.dng'")).first().eligible
+    with pytest.raises(Exception, match="already corrected"):
+        frames.analyse_files(named).collect()
+
+
+def test_every_file_is_decoded_once(spark, tmp_path):
+    """However many sizes there are: the plan of the evidence reads the written table of measures, and decodes nothing."""
+    for i, n in enumerate((96, 100, 130)):
+        (tmp_path / f"{i}.tif").write_bytes(tiff.encode(np.indices((n, n)).sum(0) % 9 * 5000 + 100))
+    found = frames.frame_evidence(tiff.files(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 3 and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_small_planes_are_too_short(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(tiff.encode(np.indices((20, 40)).sum(0) * 900 + 100))
+    r = frames.frame_evidence(tiff.files(spark, str(tmp_path))).first()
+    assert (r.target_status, r.target_blockers) == ("blocked", "profile_too_short")
 
 
 def test_folders_are_numbered_apart(spark):

@@ -29,8 +29,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert got == rows([d[0] for d in want.description], want.fetchall())
 
 
-def test_every_query_but_two_has_sql():
-    assert set(registry.NAMES) - set(registry.ORACLES) == {"run_report_json", "analyse_runs"}
+def test_every_query_but_one_has_sql():
+    assert set(registry.NAMES) - set(registry.ORACLES) == {"run_report_json"}
 
 
 def test_report_documents(spark, sf_dir):

@@ -101,7 +101,7 @@ def line(w, h, place, sag, vertical=False, dark=True, span=None):
     ],
 )
 def test_bow(spark, plane, side, value, method):
-    r = bow.plane_bows(plane_rows(spark, [plane]), plane.shape[1], plane.shape[0]).first()
+    r = bow.plane_bows(plane_rows(spark, [plane])).first()
     assert (r.side, r.method) == (side, method)
     assert r.bow == pytest.approx(value, abs=0.01)
 
@@ -111,11 +111,11 @@ def test_bow_blockers(spark):
     broken = line(80, 50, 8, 0)
     broken[:, 20:50] = 0.85
     short = line(80, 50, 8, 0, span=(30, 44))
-    got = {r.run_id: r for r in bow.plane_bows(plane_rows(spark, [flat, broken, short]), 80, 50).collect()}
+    got = {r.run_id: r for r in bow.plane_bows(plane_rows(spark, [flat, broken, short])).collect()}
     assert got[0].blockers == "no_straight_reference" and got[0].bow is None
     assert "line_discontinuous" in got[1].blockers.split(",")
     assert "profile_too_short" in got[2].blockers.split(",")
-    assert bow.plane_bows(plane_rows(spark, [np.zeros((8, 8))]), 8, 8).first().blockers == "profile_too_short"
+    assert bow.plane_bows(plane_rows(spark, [np.zeros((8, 8))])).first().blockers == "profile_too_short"
 
 
 def courses(p1, p2):
@@ -125,7 +125,7 @@ def courses(p1, p2):
 
 def test_target(spark):
     planes = [courses(12, 16), courses(12, 12), np.full((96, 96), 0.5)]
-    got = {r.run_id: r for r in target.decide(target.keystones(target.runs(plane_rows(spark, planes), 96))).collect()}
+    got = {r.run_id: r for r in target.decide(target.keystones(target.runs(plane_rows(spark, planes)))).collect()}
     assert (got[0].status, got[0].axis) == ("gated", "vertical") and got[0].keystone == pytest.approx(20.0, abs=1e-6)
     assert got[1].status == "passed" and got[1].keystone == pytest.approx(0, abs=1e-9)
     assert (got[2].status, got[2].blockers) == ("blocked", "low_contrast")

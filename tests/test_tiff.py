@@ -79,3 +79,22 @@ def test_compressed(packed, pack, differences, bits):
 def test_unsupported_compression_is_rejected():
     with pytest.raises(ValueError, match="unsupported"):
         tiff.decode(tiff.encode(np.zeros((4, 4), int), packed=7))
+
+
+@pytest.mark.parametrize("planar", [False, True])
+@pytest.mark.parametrize("tile", [None, (16, 16), (4, 32)])
+@pytest.mark.parametrize(("packed", "pack"), [(1, bytes), (8, zlib.compress), (5, lzw)])
+def test_tiles_and_planes(planar, tile, packed, pack):
+    rng = np.random.default_rng(8)
+    for image in (rng.integers(0, 256, (21, 37, 3)), rng.integers(0, 256, (21, 37))):
+        for bits, differences in ((8, False), (16, False), (16, True)):
+            i, got = tiff.decode(tiff.encode(image, bits, packed, pack, differences, tile, planar))
+            assert (i["width"], i["height"]) == (37, 21) and np.allclose(got * (255 if bits == 8 else 65535), image.ravel())
+
+
+def test_blocks_that_do_not_fit_are_rejected():
+    whole = tiff.encode(np.zeros((40, 40), int), tile=(16, 16))
+    with pytest.raises(ValueError, match="fit"):
+        tiff.decode(whole.replace((16).to_bytes(4, "little") + b"\x43\x01", (8).to_bytes(4, "little") + b"\x43\x01", 1))
+    with pytest.raises(Exception):
+        tiff.decode(whole[:300])
