@@ -41,7 +41,7 @@ def groups(frames: DataFrame) -> DataFrame:
     i = F.col("input_index")
 
     def strongest(which: str) -> Column:
-        return F.max(F.when(ok & (status == which), F.struct(key.alias("k"), (-i).alias("i"))))["k"]
+        return F.max(F.when(ok & (status == which), F.struct(key.alias("k"), (-i).alias("i"), F.col("target_axis").alias("axis"))))
 
     df = frames.groupBy(*KEYS).agg(
         F.min(i).alias("group_ord"),
@@ -70,13 +70,26 @@ def groups(frames: DataFrame) -> DataFrame:
         count_if((status == "blocked") | (status.isin("passed", "gated") & ~ok)).alias("t_blocked"),
         strongest("gated").alias("t_gated"),
         strongest("passed").alias("t_passed"),
-        F.min(F.when(~ok & status.isin("passed", "gated", "blocked"), i)).alias("t_at_unknown"),
-        F.min(F.when(ok & (status == "gated"), i)).alias("t_at_gate"),
-        F.min(F.when(status == "blocked", i)).alias("t_at_reference"),
+        *[first.alias(f"t_at_{n}") for n, first in target_marks(ok, status, i)],
     )
     return df.withColumn("drift", F.log2(F.col("lum_max") / F.col("lum_min")))
 
 
+#: What a blocked target frame may say, beside the two that come from its group.
+TARGET_BLOCKERS = ("profile_too_short", "low_contrast", "no_suitable_target_reference", "weak_target_geometry", "line_discontinuous", "ambiguous_tilt_axis")
+
+
+def target_marks(ok: Column, status: Column, i: Column) -> list[tuple[str, Column]]:
+    """For each blocker of a group's target the least (frame, place in the frame) that has it."""
+    listed = F.split(F.coalesce("target_blockers", F.lit("no_suitable_target_reference")), ",")
+    at = lambda cond, place: F.min(F.when(cond, F.struct(i.alias("i"), place.alias("k"))))
+    marks = [("unknown_corrections", at(~ok & status.isin("passed", "gated", "blocked"), F.lit(0))), ("keystone_above_threshold", at(ok & (status == "gated"), F.lit(1)))]
+    for name in TARGET_BLOCKERS:
+        place = F.array_position(listed, name)
+        marks.append((name, at((status == "blocked") & (place > 0), (place + 1).cast("int"))))
+    return marks
+
+
 def pair_blockers(name: str) -> Column:
     return names((F.col(f"{name}_n") < 2, "insufficient_samples"))
 
@@ -101,15 +114,9 @@ def decentring(g: DataFrame) -> DataFrame:
 
 
 def target_quality(g: DataFrame) -> DataFrame:
-    """Adds t_status, t_keystone and t_blockers (in order of first appearance)."""
-    seen = F.filter(
-        F.array(
-            F.struct(F.col("t_at_unknown").alias("at"), F.lit(0).alias("k"), F.lit("unknown_corrections").alias("name")),
-            F.struct(F.col("t_at_gate").alias("at"), F.lit(1).alias("k"), F.lit("keystone_above_threshold").alias("name")),
-            F.struct(F.col("t_at_reference").alias("at"), F.lit(2).alias("k"), F.lit("no_suitable_target_reference").alias("name")),
-        ),
-        lambda x: x["at"].isNotNull(),
-    )
+    """Adds t_status, t_keystone, t_axis and t_blockers (in order of first appearance, then by the place in the frame's own list)."""
+    every = ("unknown_corrections", "keystone_above_threshold", *TARGET_BLOCKERS)
+    seen = F.filter(F.array(*[F.struct(F.col(f"t_at_{n}").alias("at"), F.lit(n).alias("name")) for n in every]), lambda x: x["at"].isNotNull())
     listed = F.concat_ws(",", F.transform(F.array_sort(seen), lambda x: x["name"]))
     status = (
         F.when(F.col("t_gated").isNotNull(), "gated")
@@ -117,7 +124,7 @@ def target_quality(g: DataFrame) -> DataFrame:
         .when(F.col("t_blocked") > 0, "blocked")
         .otherwise("not_assessed")
     )
-    return g.withColumn("t_status", status).withColumn("t_keystone", F.coalesce("t_gated", "t_passed")).withColumn("t_blockers", listed)
+    return g.withColumn("t_status", status).withColumn("t_keystone", F.coalesce("t_gated.k", "t_passed.k")).withColumn("t_axis", F.coalesce("t_gated.axis", "t_passed.axis")).withColumn("t_blockers", listed)
 
 
 #: What can stand against a corner's colour shift, in the order in which it is listed.
@@ -151,6 +158,8 @@ def colour_shift(frames: DataFrame) -> DataFrame:
             F.col(f"mx_{c}").alias("mean_x"),
             F.col(f"my_{c}").alias("mean_y"),
             F.hypot(f"mx_{c}", f"my_{c}").alias("magnitude"),
+            F.col(f"sx_{c}").alias("scatter_x"),
+            F.col(f"sy_{c}").alias("scatter_y"),
             F.hypot(f"sx_{c}", f"sy_{c}").alias("scatter"),
             names((F.col(f"n_{c}") < 2, "insufficient_samples"), *shown).alias("blockers"),
             counts(*found).alias("reasons"),

@@ -119,10 +119,10 @@ def opened(path: str, content: bytes) -> Picture | Mosaic:
 
 
 #: Metadata of a frame that go with its evidence.
-KNOWN = ("source_kind", "lens_model", "focal_length_mm", "f_number", "corrections_present", "corrections")
+KNOWN = ("source_kind", "camera_make", "camera_model", "lens_model", "focal_length_mm", "f_number", "corrections_present", "corrections")
 SHORTS = ("centre", *SHORT)
 MEASURED = (
-    "path string, source_kind string, lens_model string, focal_length_mm double, f_number double, corrections_present boolean, corrections string, width int, height int, "
+    "path string, source_kind string, camera_make string, camera_model string, lens_model string, focal_length_mm double, f_number double, corrections_present boolean, corrections string, width int, height int, "
     + ", ".join(f"{v}_{c} double" for v in ("ac", "co", "lum") for c in SHORTS)
     + ", " + ", ".join(f"{v}_{c} {'string' if v == 'cb' else 'double'}" for v in ("cx", "cy", "cb") for c in SHORT)
     + f", points array<{planes.POINT_DDL}>, row_means array<double>, column_means array<double>"
@@ -159,7 +159,7 @@ def measured(files: DataFrame) -> DataFrame:
 def frame_evidence(files: DataFrame) -> DataFrame:
     """One row a frame: path, its metadata (KNOWN) and what group evidence needs of it.
 
-    ac_, co_ (centre and corners), lum_centre, fa_, cx_, cy_ and cb_ (corners), bow, bow_measured, bow_blocker, side, orientation, target_status, keystone_pct, target_axis, target_blockers.
+    ac_, co_ (centre and corners), lum_centre, fa_, cx_, cy_ and cb_ (corners), bow, bow_measured, bow_blocker, side, orientation, sagitta, span, residual, target_status, keystone_pct, target_axis, target_blockers.
     """
     m = kept(measured(files), "frames")
     whole = [c for c in m.columns if c not in ("width", "height", "points", "row_means", "column_means") and not c.startswith("lum_")]
@@ -167,7 +167,7 @@ def frame_evidence(files: DataFrame) -> DataFrame:
     bent = bow.point_bows(m.select(F.col("path").alias("run_id"), "width", "height", "points"))
     broken = F.array_contains(F.split("blockers", ","), "line_discontinuous")
     bent = bent.select(
-        F.col("run_id").alias("path"), "bow", (F.col("method") == "measured_straight_line_bow").alias("bow_measured"), "side", "orientation",
+        F.col("run_id").alias("path"), "bow", (F.col("method") == "measured_straight_line_bow").alias("bow_measured"), "side", "orientation", "sagitta", "span", "residual",
         F.when(F.col("method").isNull(), F.when(broken, "line_discontinuous").otherwise("no_straight_reference")).alias("bow_blocker"),
     )
     square = target.decide(target.keystones(target.profile_runs(target.profiles(m.select(F.col("path").alias("run_id"), "width", "height", "row_means", "column_means")))))

@@ -84,14 +84,16 @@ GROUPS = (
   min(lum) FILTER (ok) AS lum_min, max(lum) FILTER (ok) AS lum_max, avg(fall) FILTER (ok) AS fall, max(fall) FILTER (ok) - min(fall) FILTER (ok) AS rng, max(bias) AS bias,
   count(*) FILTER (tq IN ('passed', 'gated')) AS t_assessed, count(*) FILTER (tq = 'blocked' OR NOT ok) AS t_blocked,
   max(ks) FILTER (ok AND tq = 'gated') AS t_gated, max(ks) FILTER (ok AND tq = 'passed') AS t_passed,
-  min(input_index) FILTER (NOT ok) AS at_unknown, min(input_index) FILTER (ok AND tq = 'gated') AS at_gate, min(input_index) FILTER (tq = 'blocked') AS at_ref
+  min(input_index) FILTER (NOT ok) AS at_unknown, min(input_index) FILTER (ok AND tq = 'gated') AS at_gate,
+  min((input_index, CASE p % 3 WHEN 0 THEN 2 ELSE 3 END)) FILTER (tq = 'blocked' AND p % 3 <> 1) AS at_contrast, min(input_index) FILTER (tq = 'blocked' AND p % 3 = 1) AS at_ref, min(input_index) FILTER (tq = 'blocked' AND p % 3 = 0) AS at_weak, min(input_index) FILTER (tq = 'blocked' AND p % 3 = 2) AS at_line
 FROM fz GROUP BY {KEYS})"""
 )
 TARGETS = (
     GROUPS
     + """, tb AS (SELECT run_id, group_ord, string_agg(name, ',' ORDER BY seen, k) AS t_blockers FROM (
   SELECT run_id, group_ord, at_unknown AS seen, 0 AS k, 'unknown_corrections' AS name FROM g UNION ALL SELECT run_id, group_ord, at_gate, 1, 'keystone_above_threshold' FROM g
-  UNION ALL SELECT run_id, group_ord, at_ref, 2, 'no_suitable_target_reference' FROM g) WHERE seen IS NOT NULL GROUP BY ALL),
+  UNION ALL SELECT run_id, group_ord, at_contrast[1], at_contrast[2], 'low_contrast' FROM g UNION ALL SELECT run_id, group_ord, at_ref, 2, 'no_suitable_target_reference' FROM g
+  UNION ALL SELECT run_id, group_ord, at_weak, 3, 'weak_target_geometry' FROM g UNION ALL SELECT run_id, group_ord, at_line, 2, 'line_discontinuous' FROM g) WHERE seen IS NOT NULL GROUP BY ALL),
 t AS (SELECT g.*, coalesce(t_blockers, '') AS t_blockers, CASE WHEN t_gated IS NOT NULL THEN 'gated' WHEN t_passed IS NOT NULL THEN 'passed' WHEN t_blocked > 0 THEN 'blocked' ELSE 'not_assessed' END AS t_status FROM g LEFT JOIN tb USING (run_id, group_ord))"""
 )
 # The corners of a frame move together here, so the search is over boxes of falloff and luminance: each box
@@ -307,7 +309,7 @@ UNION ALL SELECT run_id, group_ord, f_number, 'bottom_pair', bottom_n, n_unknown
   FROM fz, (VALUES (0, 'top_left'), (1, 'top_right'), (2, 'bottom_left'), (3, 'bottom_right')) c(k, corner)),
 s AS (SELECT {KEYS}, corner, min(input_index) AS group_ord, count(*) FILTER (ok AND b IS NULL) AS n, avg(cx) FILTER (ok AND b IS NULL) AS mx, avg(cy) FILTER (ok AND b IS NULL) AS my, stddev_samp(cx) FILTER (ok AND b IS NULL) AS sx, stddev_samp(cy) FILTER (ok AND b IS NULL) AS sy, count(*) FILTER (NOT ok) AS nu,
   {", ".join(f"count(*) FILTER (ok AND list_contains(b, '{x}')) AS n{i}" for i, x in enumerate(SHIFT_BLOCKERS))}, count(*) FILTER (list_contains(b, 'unsupported_colour_channels')) AS na FROM z GROUP BY ALL)
-SELECT run_id, group_ord, f_number, corner, n AS included, nu + n0 + n1 + n2 + n3 + n4 AS excluded, round(mx, 6) + 0 AS mean_x, round(my, 6) + 0 AS mean_y, round(sqrt(mx * mx + my * my), 6) AS magnitude, round(sqrt(sx * sx + sy * sy), 6) AS scatter,
+SELECT run_id, group_ord, f_number, corner, n AS included, nu + n0 + n1 + n2 + n3 + n4 AS excluded, round(mx, 6) + 0 AS mean_x, round(my, 6) + 0 AS mean_y, round(sqrt(mx * mx + my * my), 6) AS magnitude, round(sx, 6) AS scatter_x, round(sy, 6) AS scatter_y, round(sqrt(sx * sx + sy * sy), 6) AS scatter,
   {names(("n < 2", "insufficient_samples"), ("nu > 0", "unknown_corrections"), *[(f"n{i} > 0", x) for i, x in enumerate(SHIFT_BLOCKERS[:4])], ("na > 0", SHIFT_BLOCKERS[4]))} AS blockers, {counts(("nu", "unknown_corrections"), *[(f"n{i}", x) for i, x in enumerate(SHIFT_BLOCKERS)])} AS reasons FROM s""",
     "distortion_group": f"""WITH {FRAMES}, q AS (SELECT *, CASE WHEN p % 12 = 3 THEN 'n' WHEN p % 4 = 2 THEN 'l' WHEN p % 4 = 1 THEN 'w' ELSE 'm' END AS k, ((p + o) % 21 - 10) / 10e0 AS bow FROM fz),
 s AS (SELECT {KEYS}, min(input_index) AS group_ord, count(*) FILTER (ok AND k = 'm') AS included, avg(bow) FILTER (ok AND k = 'm') AS mean_bow, stddev_samp(bow) FILTER (ok AND k = 'm') AS scatter, count(*) FILTER (NOT ok) AS nu, count(*) FILTER (ok AND k = 'n') AS nn, count(*) FILTER (ok AND k = 'w') AS nw, count(*) FILTER (ok AND k = 'l') AS nl FROM q GROUP BY ALL)

@@ -76,6 +76,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORNER_NAMES = ("tl", "tr", "bl", "br")
 
 
+def target_blockers(p: Column) -> Column:
+    return F.when(p % 3 == 0, "low_contrast,weak_target_geometry").when(p % 3 == 1, "no_suitable_target_reference").otherwise("line_discontinuous,low_contrast")
+
+
 def corner_blockers(p: Column, o: Column, k: int) -> Column:
     """What stands against a corner's colour shift, comma-separated; null where nothing does."""
     return (
@@ -105,6 +109,8 @@ def zone_values(frames: DataFrame) -> DataFrame:
         F.when(p % 12 == 3, "no_straight_reference").when(p % 4 == 2, "line_discontinuous").alias("bow_blocker"),
         (p % 4 != 1).alias("bow_measured"),
         (((p + o) % 21 - 10) / 10.0).alias("bow"),
+        F.when(F.col("target_status") == "blocked", target_blockers(p)).alias("target_blockers"),
+        F.when(p % 2 == 0, "vertical").otherwise("horizontal").alias("target_axis"),
     )
     return df
 
