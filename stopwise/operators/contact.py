@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ THUMB_W, THUMB_H, LABEL_H, PAD, MOST_COLUMNS = 96, 72, 12, 6, 4
 TILE_W, TILE_H = THUMB_W + 2 * PAD, THUMB_H + LABEL_H + 2 * PAD
 GLYPHS = THUMB_W // 4  # glyphs are 3 wide, with a gap of 1
 LABEL_DROP = 3
+#: Rows of tiles that a task draws at once.
+BAND_ROWS = 64
 BACKGROUND, TILE_BACKGROUND, TEXT = (18, 20, 22), (34, 37, 40), (226, 230, 232)
 
 
@@ -64,9 +70,9 @@ def display(samples: Column, width: int, height: int, components: Column) -> Col
     return F.when(components == 3, F.flatten(zipped)).otherwise(thumbnail(samples, width, height))
 
 
-def draw(tiles: list[tuple[np.ndarray, str]]) -> np.ndarray:
-    """The sheet of thumbnails (gray or colour bytes) and their labels, in order."""
-    columns = min(len(tiles), MOST_COLUMNS)
+def draw(tiles: list[tuple[np.ndarray, str]], columns: int | None = None) -> np.ndarray:
+    """Rows of tiles: thumbnails (gray or colour bytes) and their labels, in order."""
+    columns = columns or min(len(tiles), MOST_COLUMNS)
     image = np.empty((-(-len(tiles) // columns) * TILE_H, columns * TILE_W, 3), np.uint8)
     image[:] = BACKGROUND
     for i, (thumb, text) in enumerate(tiles):
@@ -79,30 +85,148 @@ def draw(tiles: list[tuple[np.ndarray, str]]) -> np.ndarray:
     return image
 
 
-def sheets(tiles: DataFrame) -> DataFrame:
-    """``tiles``: run_id, input_index, thumb (bytes as ints, gray or colour), label. One row a run: run_id, png.
+# A sheet is drawn in bands of tile rows. Each band is compressed by itself, up to a byte; one after another they are the picture's data, and
+# the checksum of the whole follows from those of the bands.
 
-    A run's tiles are drawn in one task, as its sheet is one picture.
+
+def packed(image: np.ndarray, last: bool) -> tuple[bytes, int, int]:
+    """Compressed rows of a band, its Adler checksum and its length before compression."""
+    rows = np.zeros((len(image), image[0].size + 1), np.uint8)  # each row begins with its filter, none
+    rows[:, 1:] = image.reshape(len(image), -1)
+    raw = rows.tobytes()
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return pack.compress(raw) + pack.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH), zlib.adler32(raw), len(raw)
+
+
+def joined_adler(first: int, second: int, n: int) -> int:
+    """Of two texts one after another; ``n``: length of the second."""
+    base = 65521
+    a = ((first & 0xFFFF) + (second & 0xFFFF) - 1) % base
+    b = ((first >> 16) + (second >> 16) + n * ((first & 0xFFFF) - 1)) % base
+    return b << 16 | a
+
+
+def chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+class Sheet:
+    """A PNG file from its bands in order."""
+
+    def __init__(self, out, width: int, height: int):
+        self.out, self.adler, self.size = out, 1, 0
+        self._write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", b"\x78\x9c"))
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def add(self, data: bytes, adler: int, n: int) -> None:
+        self._write(chunk(b"IDAT", data))
+        self.adler = joined_adler(self.adler, adler, n)
+
+    def close(self) -> None:
+        self._write(chunk(b"IDAT", struct.pack(">I", self.adler)) + chunk(b"IEND", b""))
+
+
+BAND = "run_id {0}, band int, width int, height int, data binary, adler long, size long"
+
+
+def bands(tiles: DataFrame, rows: int = BAND_ROWS) -> DataFrame:
+    """run_id, band, width and height of its sheet, and the compressed data of ``rows`` rows of tiles.
+
+    ``tiles``: run_id, input_index (0, 1, ... in each run), thumb (bytes as ints or binary, gray or colour), label. A task draws a band and no more.
     """
+    n = tiles.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    band = F.floor(F.col("input_index") / F.least(F.col("n"), F.lit(MOST_COLUMNS)) / rows).cast("int")
+    placed = tiles.select("run_id", "input_index", "thumb", "label").join(n, "run_id").withColumn("band", band)
+
+    def work(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by("input_index")
+        n = group.column("n")[0].as_py()
+        columns = min(n, MOST_COLUMNS)
+        pixels = lambda t: np.frombuffer(t, np.uint8) if isinstance(t, bytes) else np.asarray(t, np.uint8)
+        found = [(pixels(t), text or "") for t, text in zip(group.column("thumb").to_pylist(), group.column("label").to_pylist())]
+        tall = -(-n // columns)
+        data, adler, size = packed(draw(found, columns), (key[1].as_py() + 1) * rows >= tall)
+        made = [key[0].as_py(), key[1].as_py(), columns * TILE_W, tall * TILE_H, data, adler, size]
+        return pa.table({c: pa.array([v], t or key[0].type) for c, v, t in zip(NAMES, made, KINDS)})
 
-    def work(key, pdf):
-        import pandas as pd
+    kind = tiles.schema["run_id"].dataType.simpleString()
+    return placed.groupBy("run_id", "band").applyInArrow(work, BAND.format(kind))
 
-        pdf = pdf.sort_values("input_index")
-        rows = [(np.asarray(t, np.uint8), text or "") for t, text in zip(pdf["thumb"], pdf["label"])]
-        return pd.DataFrame({"run_id": [key[0]], "png": [png(draw(rows))]})
 
-    return tiles.groupBy("run_id").applyInPandas(work, "run_id long, png binary")
+NAMES = ("run_id", "band", "width", "height", "data", "adler", "size")
+KINDS = (None, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
 
-def png(image: np.ndarray) -> bytes:
-    """8 bits, gray (h, w) or colour (h, w, 3)."""
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    h, w = image.shape[:2]
-    rows = np.zeros((h, image[0].size + 1), np.uint8)
-    rows[:, 1:] = image.reshape(h, -1)
-    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+def sheets(tiles: DataFrame, folder: str, rows: int = BAND_ROWS) -> DataFrame:
+    """Write every run's sheet as a PNG file: run_id, uri, width, height, bands, bytes.
+
+    Bands come to a run's task in order and go to the file one by one. Files have fresh names, so a retried task leaves an unused one behind. A run without tiles
+    has no sheet.
+    """
+    made = bands(tiles, rows)
+    kind = tiles.schema["run_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = sheet = stream = uri = of = None
+        done, count = [], 0
+
+        def finish() -> None:
+            sheet.close()
+            stream.close()
+            done.append((run, uri, *size, count, sheet.size))
+
+        for batch in batches:
+            of = batch.schema.field("run_id").type
+            for row in batch.to_pylist():
+                if sheet is None or row["run_id"] != run:
+                    if sheet is not None:
+                        finish()
+                    run, size, count = row["run_id"], (row["width"], row["height"]), 0
+                    uri = f"{folder}/{uuid.uuid4().hex}.png"
+                    fs, path = FileSystem.from_uri(uri)
+                    fs.create_dir(path.rpartition("/")[0], recursive=True)
+                    stream = fs.open_output_stream(path)
+                    sheet = Sheet(stream, *size)
+                sheet.add(row["data"], row["adler"], row["size"])
+                count += 1
+        if sheet is not None:
+            finish()
+        names = ("run_id", "uri", "width", "height", "bands", "bytes")
+        if done:
+            kinds = (of, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], list(names))
+
+    dealt = made.repartition("run_id").sortWithinPartitions("run_id", "band")
+    return dealt.mapInArrow(work, f"run_id {kind}, uri string, width int, height int, bands int, bytes long")
+
+
+def read_rows(uri: str) -> Iterator[np.ndarray]:
+    """A written sheet's rows of tiles, (96, width, 3) each; all checksums are verified."""
+    fs, path = FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as file:
+        if file.read(8) != b"\x89PNG\r\n\x1a\n":
+            raise ValueError("not a PNG")
+        unpack, held, width = zlib.decompressobj(), b"", 0
+        while True:
+            n, kind = struct.unpack(">I4s", file.read(8))
+            data, (crc,) = file.read(n), struct.unpack(">I", file.read(4))
+            if zlib.crc32(kind + data) != crc:
+                raise ValueError("damaged chunk")
+            if kind == b"IHDR":
+                width = struct.unpack_from(">I", data)[0]
+            elif kind == b"IDAT":
+                held += unpack.decompress(data)
+                step = (1 + 3 * width) * TILE_H
+                for a in range(0, len(held) - step + 1, step):
+                    yield np.frombuffer(held[a : a + step], np.uint8).reshape(TILE_H, -1)[:, 1:].reshape(TILE_H, width, 3)
+                held = held[len(held) // step * step :]
+            elif kind == b"IEND":
+                break
+        if held or not unpack.eof:
+            raise ValueError("a sheet ends amidst its rows")
 
 
 def check_output(out: str, inputs: list[str]) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.functions.arrays import upto
+from stopwise.functions.arrays import let, upto
 
 # Sensor patterns, their phases, and luma weights.
 PATTERNS = ("RGGB", "BGGR", "GBRG", "GRBG")
@@ -101,3 +101,58 @@ def luma(samples: Column, components: int) -> Column:
 
 def channel(samples: Column, which: int) -> Column:
     return F.transform(upto(F.floor(F.size(samples) / 3).cast("int")), lambda i: F.get(samples, i * 3 + which))
+
+
+#: Below this the two green phases of a decoded mosaic don't show one picture.
+LEAST_GREEN = 0.9
+
+
+def green_correlation(samples: Column, width: int, height: int, pattern: Column) -> Column:
+    """Pearson correlation of the two green samples of each whole cell; null where either doesn't vary."""
+    px, py = phase(pattern, GREEN)
+    cells = F.sequence(F.lit(0), F.lit((width // 2) * (height // 2) - 1))
+
+    def pair(k: Column) -> Column:
+        x, y = (k % (width // 2)) * 2, F.floor(k / (width // 2)).cast("int") * 2
+        return F.struct(F.get(samples, (y + py) * width + x + px).alias("a"), F.get(samples, (y + 1 - py) * width + x + 1 - px).alias("b"))
+
+    def correlated(p: Column) -> Column:
+        total = lambda f: F.aggregate(p, F.lit(0.0), lambda s, v: s + f(v))
+        n = F.size(p)
+
+        def about(m: Column) -> Column:
+            a, b = (lambda v: v["a"] - m["a"]), (lambda v: v["b"] - m["b"])
+            energy = total(lambda v: a(v) * a(v)) * total(lambda v: b(v) * b(v))
+            return total(lambda v: a(v) * b(v)) / F.sqrt(F.when(energy > 0, energy))
+
+        return let(F.struct((total(lambda v: v["a"]) / n).alias("a"), (total(lambda v: v["b"]) / n).alias("b")), about)
+
+    return let(F.transform(cells, pair), correlated)
+
+
+def checked_green(samples: Column, width: int, height: int, pattern: Column, least: float = LEAST_GREEN) -> Column:
+    """``green_correlation`` as a self-test of a decoder: raises below ``least``, and where there is nothing to correlate."""
+
+    def test(c: Column) -> Column:
+        return F.when(c >= least, c).otherwise(F.raise_error(F.format_string("the green phases of a mosaic correlate by %s only", c.cast("string"))).cast("double"))
+
+    return let(green_correlation(samples, width, height, pattern), test)
+
+
+def top_centre_falloff(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """run_id, top_left, top_right in stops against the middle of the top, of planes as rows (run_id, y, samples): sky that darkens downwards doesn't count.
+
+    Patches of a tenth of the sides, a 25th away from the edges. A median that is not positive raises.
+    """
+    from stopwise.operators.sharpness import median
+
+    w, h, left, top = width // 10, height // 10, width // 25, height // 25
+    starts = {"left": left, "middle": width // 2 - w // 2, "right": width - left - w}
+    sizes = {"left": w, "middle": w // 2 * 2, "right": w}
+    inside = rows.where((F.col("y") >= top) & (F.col("y") < top + h))
+    patch = lambda n: F.flatten(F.collect_list(F.slice("samples", starts[n] + 1, sizes[n]))).alias(n)
+    found = inside.groupBy("run_id").agg(*[patch(n) for n in starts])
+    found = found.select("run_id", *[median(F.array_sort(n)).alias(n) for n in starts])
+    least = F.least(*starts)
+    stops = lambda n: F.when(least > 0, F.log2(F.col(n) / F.col("middle"))).otherwise(F.raise_error(F.lit("median luminance is not positive")).cast("double"))
+    return found.select("run_id", stops("left").alias("top_left"), stops("right").alias("top_right"))

@@ -349,6 +349,16 @@ CASE input_index WHEN 0 THEN -1::DOUBLE END AS falloff_tl, CASE input_index WHEN
 CASE input_index WHEN 1 THEN true END AS shift_tl, CASE input_index WHEN 1 THEN true END AS shift_tr, CASE input_index WHEN 1 THEN true END AS shift_bl, CASE input_index WHEN 1 THEN true END AS shift_br,
 CASE input_index WHEN 2 THEN true END AS bow_near, CASE input_index WHEN 2 THEN 'top' END AS bow_side,
 CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 'gated' ELSE 'passed' END END AS target, CASE input_index WHEN 3 THEN CASE sign WHEN 1 THEN 20::DOUBLE ELSE 0::DOUBLE END END AS keystone FROM s""",
+    "green_correlation": f"""WITH {PX}, q AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, v, CASE WHEN vec_id % 4 < 2 THEN 1 ELSE 0 END AS ph FROM px),
+p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.x // 2 = a.x // 2 AND b.y = a.y + 1 WHERE a.y % 2 = 0 AND a.x % 2 = a.ph AND b.x % 2 = 1 - a.ph)
+SELECT vec_id, round(corr(a, b), 6) + 0 AS correlation, coalesce(round(corr(a, b), 9) >= 0.9, false) AS plausible FROM p GROUP BY vec_id""",
+    "top_centre_falloff": """WITH p AS (SELECT s_suppkey::BIGINT AS run_id, x, 1e0 - ((x - (s_suppkey % 11 + 35)) * (x - (s_suppkey % 11 + 35)) + (y - 25) * (y - 25)) * (s_suppkey % 5 + 1) / 20000e0 + (x % 3) * 0.001e0 AS v FROM supplier, range(80) a(x), range(50) b(y) WHERE y BETWEEN 2 AND 6),
+m AS (SELECT run_id, median(v) FILTER (x BETWEEN 3 AND 10) AS l, median(v) FILTER (x BETWEEN 36 AND 43) AS c, median(v) FILTER (x BETWEEN 69 AND 76) AS r FROM p GROUP BY run_id)
+SELECT run_id, round(log2(l / c), 6) + 0 AS top_left, round(log2(r / c), 6) + 0 AS top_right FROM m""",
+    "vignetting_uncontrolled": f"""WITH {STABLE} SELECT run_id, group_ord, f_number, {names(("v_n = 0", "insufficient_aperture_series"), ("n_unknown > 0", "unknown_corrections"), ("true", "symmetry_not_assessed"), ("true", "controlled_aperture_series_not_assessed"))} AS blockers, {names(("v_out > 0", "unstable_repeat_outlier_excluded"))} AS warnings FROM v""",
+    "batch_records": f"""WITH {FRAMES} SELECT run_id, input_index, to_json({{'file': 'frame_' || input_index, 'F': f_number, 'zones': {{'TL': [round(ac_corner + d_top / 2 + 3.7e-10, 3), round(CASE WHEN textured THEN 0.2e0 ELSE 0.1e0 END + 3.7e-10, 3)], 'TR': [round(ac_corner - d_top / 2 + 3.7e-10, 3), 0.2e0], 'C': [round(ac_centre + 3.7e-10, 3), 0.2e0], 'BL': [round(ac_corner + d_bot / 2 + 3.7e-10, 3), 0.2e0], 'BR': [round(ac_corner - d_bot / 2 + 3.7e-10, 3), 0.2e0]}}}})::VARCHAR AS record FROM fz""",
+    "contact_sheets": f"""WITH {PX}, t AS (SELECT vec_id, 3 * sum(floor(least(greatest(v - 0.5, 0), 1) * 255 + 0.5)::BIGINT * 12 * 9)::BIGINT AS s FROM px GROUP BY vec_id), n AS (SELECT label::BIGINT AS run_id, count(*) AS n, sum(s)::BIGINT AS thumb_sum FROM embeddings JOIN t USING (vec_id) GROUP BY label)
+SELECT run_id, (least(n, 4) * 108)::BIGINT AS width, (ceil(n / least(n, 4))::BIGINT * 96)::BIGINT AS height, ceil(ceil(n / least(n, 4)) / 64)::INT AS bands, thumb_sum FROM n""",
     "analyse_runs": """WITH k AS (SELECT s_suppkey::BIGINT AS run_id, s_suppkey % 4 AS kind FROM supplier)
 SELECT run_id, CASE kind WHEN 0 THEN 'supports_centred' WHEN 1 THEN 'supports_decentred' ELSE 'inconclusive' END AS state, CASE kind WHEN 2 THEN 'missing_lens_focal_identity' WHEN 3 THEN 'target_quality_not_passed,insufficient_aperture_series' ELSE '' END AS blockers,
 CASE WHEN kind <> 2 THEN 'bench lens' END AS lens_model, CASE WHEN kind <> 2 THEN 50::DOUBLE END AS focal_length_mm, CASE WHEN kind < 2 THEN '4.0,5.6,8.0,11.0' ELSE '' END AS included,

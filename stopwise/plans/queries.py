@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopwise.deploy import kept
+from stopwise.deploy import kept, shared_dir
 from stopwise.functions.arrays import let, mean, r6, variance
 from stopwise.operators import bow, capture, colour_shift, contact, evidence, frames, mosaic, report, series, sharpness, target
 from stopwise.sources import frame_source, tables
@@ -107,6 +107,16 @@ def bayer_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return round_all(grid(df.select("vec_id", "i", "z.red", "z.blue"), N))
 
 
+def green_correlation(spark: SparkSession, d: str) -> DataFrame:
+    c = mosaic.green_correlation(F.col("samples"), N, N, F.col("pattern"))
+    df = mosaics(spark, d).select("vec_id", c.alias("correlation"))
+    return round_all(df.withColumn("plausible", F.coalesce(F.round("correlation", 9) >= mosaic.LEAST_GREEN, F.lit(False))))
+
+
+def top_centre_falloff(spark: SparkSession, d: str) -> DataFrame:
+    return round_all(mosaic.top_centre_falloff(tables.dimmed(spark, d), 80, 50))
+
+
 def level_normalise(spark: SparkSession, d: str) -> DataFrame:
     black, white = F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3)), F.array(F.lit(1.9), F.lit(1.8), F.lit(1.7))
     df = tables.patches(spark, d).select("vec_id", let(pixels(), lambda s: mosaic.normalise(s, black, white)).alias("v"))
@@ -312,6 +322,10 @@ def vignetting_symmetry(spark: SparkSession, d: str) -> DataFrame:
     return round_all(v.select("run_id", "group_ord", "symmetry", "mean_delta", "max_deviation", "left_right", "top_bottom", "raw_bias", "symmetry_blockers"))
 
 
+def vignetting_uncontrolled(spark: SparkSession, d: str) -> DataFrame:
+    return series.vignetting_uncontrolled(stable_groups(spark, d))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     return series.copy_candidates(evidence.target_quality(grouped(spark, d)))
 
@@ -349,9 +363,37 @@ def run_report_json(spark: SparkSession, d: str) -> DataFrame:
     return report.documents(verdict, fc, series.vignetting_series(v), evidence.decentring(g), evidence.colour_shift(z), evidence.bows(z), t, z)
 
 
+def batch_records(spark: SparkSession, d: str) -> DataFrame:
+    return report.batch_records(zoned(spark, d))
+
+
 # files and sheets
 
 
+def contact_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets of the embeddings' planes, one for each label, written and read back: their size and the sum of all bytes of all thumbnails."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    labels = tables.table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("run_id"), rank.alias("input_index"))
+    thumb = contact.thumbnail(F.transform("samples", lambda v: v - 0.5), N, N)
+    tiles = labels.join(tables.patches(spark, d), "vec_id").select("run_id", "input_index", thumb.alias("thumb"), F.concat(F.lit("plane "), F.col("vec_id").cast("string")).alias("label"))
+    made = kept(contact.sheets(tiles, f"{shared_dir(spark)}/sheets"), "sheets")
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for run, uri in zip(batch.column("run_id").to_pylist(), batch.column("uri").to_pylist()):
+                total = 0
+                for band in contact.read_rows(uri):
+                    cells = band.reshape(contact.TILE_H, -1, contact.TILE_W, 3)[contact.PAD : contact.PAD + contact.THUMB_H, :, contact.PAD : contact.PAD + contact.THUMB_W]
+                    used = (cells != contact.BACKGROUND).any((0, 2, 3))  # places behind the last tile are all background
+                    total += int(cells[:, used].sum(dtype="int64"))
+                yield pa.RecordBatch.from_pydict({"run": [run], "thumb_sum": [total]})
+
+    sums = made.select("run_id", "uri").mapInArrow(work, "run long, thumb_sum long")
+    return made.join(sums, F.col("run_id") == F.col("run")).select("run_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "bands", "thumb_sum")
+
+
 def inspect_files(spark: SparkSession, d: str) -> DataFrame:
     """Metadata of a file of each document, by the scan; ``ranged``: of a large file less than its bytes were fetched."""
     f = frame_source.frames(spark, tables.written_frames(spark, d))

@@ -169,6 +169,18 @@ def bowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(s, "y", line.alias("samples"))
 
 
+def dimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 80 x 50 plane for each supplier that darkens from a place of its own outwards. Rows: run_id, y, samples."""
+    rows = table(spark, sf_dir, "supplier").select(s_key().alias("run_id")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    s, y = F.col("run_id"), F.col("y")
+
+    def value(x: Column) -> Column:
+        away = (x - (s % 11 + 35)) * (x - (s % 11 + 35)) + (y - 25) * (y - 25)
+        return F.lit(1.0) - away * (s % 5 + 1) / F.lit(20000.0) + (x % 3) * 0.001
+
+    return rows.select("run_id", "y", F.transform(F.sequence(F.lit(0), F.lit(79)), value).alias("samples"))
+
+
 def s_key() -> Column:
     return F.col("s_suppkey").cast("long")
 

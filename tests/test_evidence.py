@@ -110,12 +110,13 @@ def test_contact_labels_and_png(spark, tmp_path):
     made = spark.range(1).select(contact.label(F.lit("/a/Blüte 7.dng"), F.lit(5.6)).alias("a"), contact.label(F.lit("x.tif"), F.lit(float("inf"))).alias("b"), contact.to_byte(F.lit(0.5)).alias("c")).first()
     assert tuple(made) == ("bl?te 7 f/5.6", "x", 128)
     tiles = spark.createDataFrame([(1, i, [i * 40] * (96 * 72), f"f {i}") for i in range(4)] + [(1, 4, [9, 90, 200] * (96 * 72), None)], "run_id long, input_index int, thumb array<int>, label string")
-    png = contact.sheets(tiles).first().png
-    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[16:24] == (4 * 108).to_bytes(4, "big") + (2 * 96).to_bytes(4, "big")
+    made = contact.sheets(tiles, f"file://{tmp_path}/sheets").first()
+    png = (tmp_path / "sheets" / made.uri.rpartition("/")[2]).read_bytes()
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[16:24] == (4 * 108).to_bytes(4, "big") + (2 * 96).to_bytes(4, "big") and made.bytes == len(png)
     out = tmp_path / "s.png"
     contact.check_output(str(out), ["in.dng"])
     contact.write_atomic(str(out), png)
-    assert out.read_bytes() == bytes(png) and [p.name for p in tmp_path.iterdir()] == ["s.png"]
+    assert out.read_bytes() == png and {p.name for p in tmp_path.iterdir()} == {"s.png", "sheets"}
     with pytest.raises(ValueError):
         contact.check_output(str(out), [str(out)])
     with pytest.raises(ValueError):
