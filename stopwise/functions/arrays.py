@@ -73,6 +73,17 @@ def blur_rows(samples: Column, width: Column | int, sigma: float) -> Column:
     return F.transform(upto(F.size(samples)), at)
 
 
+def finite(value: Column, name: str) -> Column:
+    """``value``, or an error if it is NaN or infinite; null stays null."""
+    bad = F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"{name} is not finite")).cast("double")).otherwise(value)
+
+
+def positive(value: Column, name: str) -> Column:
+    """``finite``, and above 0."""
+    return F.when(value <= 0, F.raise_error(F.lit(f"{name} is not positive")).cast("double")).otherwise(finite(value, name))
+
+
 def names(*pairs: tuple[Column, str]) -> Column:
     """Names whose condition holds, in the given order, joined by commas."""
     return F.concat_ws(",", *[F.when(cond, F.lit(name)) for cond, name in pairs])

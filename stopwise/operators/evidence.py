@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.functions.arrays import counts, names
+from stopwise.functions.arrays import counts, names, positive
 from stopwise.operators.repeats import best_subset
 
 KEYS = ["run_id", "lens_model", "focal_length_mm", "f_number"]
@@ -29,6 +29,21 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+def validated(frames: DataFrame, *columns: str) -> DataFrame:
+    """``frames``, of which none may hold NaN or an infinite number in ``columns``, whether it is aggregated or not; luminances must be positive.
+
+    The check is a filter that raises: it runs before anything is left out, and no optimisation drops it.
+    """
+    wrong = {c: F.isnan(c) | (F.abs(F.col(c)) == float("inf")) | (F.lit(c.startswith("lum_")) & (F.col(c) <= 0)) for c in columns}
+    listed = F.concat_ws(", ", *[F.when(bad, c) for c, bad in wrong.items()])
+    return frames.where(F.when(listed != "", F.raise_error(F.concat(F.lit("not finite or not positive: "), listed)).cast("boolean")).otherwise(True))
+
+
+def falloff(corner: Column, centre: Column) -> Column:
+    """Stops by which a corner is darker than the centre; luminances that are not finite and positive raise."""
+    return F.log2(positive(corner, "corner luminance") / positive(centre, "centre luminance"))
+
+
 def groups(frames: DataFrame) -> DataFrame:
     """``frames``: evidence of frames (``frames.analyse``). One row a group with the sums every family needs."""
     ok = F.col("eligible")
@@ -43,7 +58,8 @@ def groups(frames: DataFrame) -> DataFrame:
     def strongest(which: str) -> Column:
         return F.max(F.when(ok & (status == which), F.struct(key.alias("k"), (-i).alias("i"), F.col("target_axis").alias("axis"))))
 
-    df = frames.groupBy(*KEYS).agg(
+    zones = [f"{v}_{c}" for v in ("ac", "co") for c in ("centre", *SHORT)]
+    df = validated(frames, *zones, *[f"fa_{c}" for c in SHORT], "lum_centre", "keystone_pct").groupBy(*KEYS).agg(
         F.min(i).alias("group_ord"),
         F.count(F.lit(1)).alias("frames"),
         count_if(ok).alias("n_ok"),
@@ -146,7 +162,7 @@ def colour_shift(frames: DataFrame) -> DataFrame:
             aggs += [F.avg(v).alias(f"m{a}_{c}"), F.stddev_samp(v).alias(f"s{a}_{c}")]
         aggs += [count_if(ok & ~blocked).alias(f"n_{c}"), count_if(F.array_contains(listed, SHIFT_BLOCKERS[-1])).alias(f"any_{c}")]
         aggs += [count_if(ok & F.array_contains(listed, b)).alias(f"{b}_{c}") for b in SHIFT_BLOCKERS]
-    g = frames.groupBy(*KEYS).agg(*aggs)
+    g = validated(frames, *[f"c{a}_{c}" for a in ("x", "y") for c in SHORT]).groupBy(*KEYS).agg(*aggs)
 
     def corner(name: str, c: str) -> Column:
         found = [(F.col("unknown"), "unknown_corrections"), *[(F.col(f"{b}_{c}"), b) for b in SHIFT_BLOCKERS]]
@@ -173,7 +189,7 @@ def bows(frames: DataFrame) -> DataFrame:
     ok, found = F.col("eligible"), F.col("bow_blocker").isNull()
     used = F.when(ok & found & F.col("bow_measured"), F.col("bow"))
     order = (("unknown", "unknown_corrections"), ("none", "no_straight_reference"), ("weak", "weak_reference_geometry"), ("broken", "line_discontinuous"))
-    g = frames.groupBy(*KEYS).agg(
+    g = validated(frames, "bow").groupBy(*KEYS).agg(
         F.min("input_index").alias("group_ord"),
         F.count(used).alias("included"),
         F.avg(used).alias("mean_bow"),

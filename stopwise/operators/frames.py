@@ -108,7 +108,7 @@ class Mosaic:
 
 
 def opened(path: str, content: bytes) -> Picture | Mosaic:
-    if not path.lower().endswith(".dng"):
+    if capture.decoder_of(path) == "tiff":
         info, samples = tiff.decode(content)
         return Picture(samples.reshape(info["height"], info["width"], info["components"]))
     info, raw = dng.decode(content)
@@ -180,13 +180,11 @@ def analyse(files: DataFrame, captures: DataFrame) -> DataFrame:
 
     ``captures``: path, run_id, input_index, lens_model, focal_length_mm, f_number, corrections_present (null where unknown; true raises).
     """
-    status = capture.status(F.col("corrections_present"))
-    known = captures.select("path", "run_id", "input_index", "lens_model", "focal_length_mm", "f_number", (status == "confirmed_uncorrected").alias("eligible"))
+    known = captures.select("path", "run_id", "input_index", "lens_model", "focal_length_mm", "f_number", capture.eligible(F.col("corrections_present")).alias("eligible"))
     return known.join(frame_evidence(files).drop(*KNOWN), "path")
 
 
 def analyse_files(files: DataFrame) -> DataFrame:
     """``analyse`` with what the files say of themselves; ``files``: path, content, run_id, input_index."""
     found = frame_evidence(files)
-    status = capture.status(F.col("corrections_present"))
-    return found.withColumn("eligible", status == "confirmed_uncorrected").join(files.select("path", "run_id", "input_index"), "path")
+    return found.withColumn("eligible", capture.eligible(F.col("corrections_present"))).join(files.select("path", "run_id", "input_index"), "path")

@@ -226,12 +226,8 @@ def zoned(spark: SparkSession, d: str) -> DataFrame:
 def falloff_stops(spark: SparkSession, d: str) -> DataFrame:
     df = zoned(spark, d)
     centre = F.col("lum_centre")
-    out = []
-    for c in evidence.SHORT:
-        corner = centre * F.pow(F.lit(2.0), F.col(f"fa_{c}"))
-        ok = (corner > 0) & (centre > 0)
-        out.append(F.when(ok, F.log2(corner / centre)).otherwise(F.raise_error(F.lit("luminance is not positive")).cast("double")).alias(f"stops_{c}"))
-    return round_all(df.select("run_id", "input_index", *out))
+    corner = lambda c: centre * F.pow(F.lit(2.0), F.col(f"fa_{c}"))
+    return round_all(df.select("run_id", "input_index", *[evidence.falloff(corner(c), centre).alias(f"stops_{c}") for c in evidence.SHORT]))
 
 
 def correction_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +235,7 @@ def correction_gate(spark: SparkSession, d: str) -> DataFrame:
     present = F.when(f == "N", F.lit(None).cast("boolean")).otherwise(F.lit(False))
     detail = F.when(F.col("l_linenumber") % 2 == 0, "OpcodeList1,OpcodeList3").otherwise("")
     s = capture.status(present)
-    return tables.table(spark, d, "lineitem").groupBy(s.alias("status"), (s == "confirmed_uncorrected").alias("eligible"), capture.provenance(present, detail).alias("provenance")).agg(F.count(F.lit(1)).alias("frames"))
+    return tables.table(spark, d, "lineitem").groupBy(s.alias("status"), capture.eligible(present).alias("eligible"), capture.provenance(present, detail).alias("provenance")).agg(F.count(F.lit(1)).alias("frames"))
 
 
 def group_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -428,7 +424,7 @@ def metadata_inspect(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", present.alias("corrections_present"), detail.alias("detail"),
         capture.lens(F.col("raw_lens"), F.col("exif_lens"), F.col("maker_lens_id")).alias("lens_model"),
         capture.finite(F.col("f_value")).alias("f_number"), F.coalesce("iso_speed", "iso_ratings").alias("iso"),
-        F.when(is_dng, F.when(present, "present").otherwise("absent")).otherwise("unknown").alias("provenance"),
+        capture.origin(is_dng, present).alias("provenance"),
     )
     return round_all(df)
 

@@ -124,7 +124,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("frame_"), d.cast("string"), F.get(ends, (d % 6).cast("int"))).alias("path"),
         F.when(d % 4 > 0, d % 4).cast("int").alias("opcodes"),
         F.when(d % 3 == 0, F.lit(" ")).when(d % 3 == 1, F.concat(F.lit(" lens "), (d % 5).cast("string"), F.lit(" "))).alias("exif_lens"),
-        F.when(d % 7 == 0, F.concat(F.lit("body lens "), (d % 2).cast("string"))).alias("raw_lens"),
+        F.when(d % 7 == 0, F.concat(F.lit(" body lens "), (d % 2).cast("string"), F.lit("\0rest"))).alias("raw_lens"),
         (d % 9).cast("int").alias("maker_lens_id"),
         F.when(d % 10 == 0, float("inf")).when(d % 10 == 1, float("nan")).otherwise((d % 10) * 1.4).alias("f_value"),
         F.when(d % 4 == 0, (d % 5 + 1) * 100).alias("iso_speed"),

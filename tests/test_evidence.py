@@ -138,3 +138,36 @@ def test_sheets_have_labels_and_colour(spark):
     gray, colour = (r.t for r in planes.select(contact.display(F.col("s"), 4, 3, F.col("components")).alias("t")).collect())
     assert len(gray) == 96 * 72 and len(colour) == 3 * 96 * 72
     assert colour[:3] == [0, 7, 14] and colour[-3:] == [234, 241, 248] and gray[-1] == 234
+
+
+def test_numbers_that_are_not_finite_raise_even_where_frames_are_left_out(spark, sf_dir):
+    from stopwise.operators import evidence
+    from stopwise.sources import tables
+
+    good = tables.zone_values(tables.frames(spark, sf_dir)).where("run_id = 1")
+    assert evidence.groups(good).count() > 0
+    for column, run in (("ac_tl", evidence.groups), ("lum_centre", evidence.groups), ("keystone_pct", evidence.groups), ("cx_br", evidence.colour_shift), ("bow", evidence.bows)):
+        for value in (float("nan"), float("-inf")):
+            bad = good.withColumn("eligible", F.lit(False)).withColumn(column, F.when(F.col("input_index") == 0, value).otherwise(F.col(column)))
+            with pytest.raises(Exception, match=f"not positive: {column}"):
+                run(bad).select("frames" if run is evidence.groups else "run_id").collect()
+    dark = spark.createDataFrame([(1.0, 0.0), (float("inf"), 1.0)], "a double, b double")
+    for r in (0, 1):
+        with pytest.raises(Exception, match="not positive|not finite"):
+            dark.where("b = 0" if r == 0 else "b = 1").select(evidence.falloff(F.col("a"), F.col("b"))).collect()
+
+
+def test_files_are_told_apart_and_cleaned(spark, tmp_path):
+    import os
+
+    from stopwise.sources import tiff
+
+    assert [capture.decoder_of(p) for p in ("/a.b/x.TIF", "y.Dng", "/shots/z.tiff")] == ["tiff", "raw", "tiff"]
+    for path in ("x.nef", "x.jpg", "/a.dng/plain", "x"):
+        with pytest.raises(ValueError, match="unsupported"):
+            capture.decoder_of(path)
+    texts = spark.createDataFrame([(" a lens \0rest",), ("\0",), ("   ",), (None,), ("b",)], "t string")
+    assert [r[0] for r in texts.select(capture.clean(F.col("t"))).collect()] == ["a lens", None, None, None, "b"]
+    os.mkfifo(tmp_path / "pipe.tif")
+    with pytest.raises(ValueError, match="not a regular file"):
+        tiff.preflight([str(tmp_path / "pipe.tif")])
