@@ -54,7 +54,7 @@ def test_hard_rows(spark):
     ])]
     docs = docs_of(spark, [*HARD, *more])
     assert check(docs, 2) > 0
-    check(docs, 2, shard_bytes=10)
+    check(docs, 2, shard_bytes=100)
     check(docs, 3, longest=2, top=3)
     check(docs, 1, longest=4)
 
