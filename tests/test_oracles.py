@@ -111,11 +111,12 @@ def test_report_of_files(spark, sf_dir):
     """What files say of themselves reaches the document."""
     import json
 
+    from stopwise.deploy import kept
     from stopwise.operators import evidence, frames, report, series
     from stopwise.sources import tables
 
-    z = frames.analyse_files(tables.painted_runs(spark, sf_dir).where("run_id = 4"))
-    g = evidence.groups(z)
+    z = kept(frames.analyse_files(tables.painted_runs(spark, sf_dir).where("run_id = 4")), "frames")
+    g = kept(evidence.groups(z), "groups")
     t, fc = evidence.target_quality(g), series.field_curvature(g)
     verdict = series.copy_assessment(series.copy_candidates(t), fc)
     docs = report.documents(verdict, fc, series.vignetting_series(evidence.vignetting(z, g)), evidence.decentring(g), evidence.colour_shift(z), evidence.bows(z), t, z)
