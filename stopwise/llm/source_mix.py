@@ -57,16 +57,15 @@ def targets(totals: DataFrame, share: float, weights: tuple[int, ...], cap: floa
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
     rows = rows.join(before, "part").withColumn("weight", w).withColumn("most", F.col("source_size") * F.lit(cap))
     rows = stash(rows.select("source_key", "source_size", "weight", "most"), "mix-weights")
-    total, level = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0
+    total, level, before = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0, -1
     while True:
         full = F.col("most") < F.col("weight") * F.lit(level)
-        filled, open_ = rows.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        filled, open_, n = rows.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
         if open_ is None:  # all are full, or there is none
             return rows.withColumn("target", F.col("most")).drop("most")
-        new = (share * total - (filled or 0.0)) / open_
-        if new == level:
+        if n == before:  # the level only rises, so that these are the sources that were full before
             return rows.withColumn("target", F.least("most", F.lit(level) * F.col("weight"))).drop("most")
-        level = new
+        level, before = (share * total - (filled or 0.0)) / open_, n
 
 
 def mix(
