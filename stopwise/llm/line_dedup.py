@@ -1,14 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``min_chars`` characters are linked if they are at most ``edits`` edits
-(insertions, deletions, substitutions of code points) apart. Linked lines, directly or through others, and equal
-lines form a class, of which the corpus's first line, by doc_id and place, stays. Shorter lines, unless blank, form
-classes with equal lines only.
+Two lines are linked if they are no more edits (insertions, deletions, substitutions of code points) apart than the shorter
+of them allows: one for every ``per_edit`` characters, at most ``edits``. Linked lines, directly or through others, and equal
+lines form a class, of which the corpus's first line, by doc_id and place, stays. Blank lines belong to none.
 
-A line of length n is cut into ``edits`` + 1 even segments. Of two lines within ``edits`` edits the
+A line that allows k edits is cut into k + 1 even segments. Of two lines within k edits the
 shorter has a segment that the longer holds unchanged, near its place. A line therefore has a key for
 each of its own segments and for each of its substrings that could be a segment of a line at most
-``edits`` characters shorter; which substrings is narrowed by the edits possible on either side of
+k characters shorter; which substrings is narrowed by the edits possible on either side of
 a segment (for two edits 12 keys in all). Lines that share a key are verified by a banded
 bit-parallel edit distance, after their common ends are cut off.
 
@@ -20,7 +19,7 @@ are cut into blocks. Removed line numbers go back to the texts as one row a docu
 together is compared as text.
 
 Edge cases: a null or empty text has no lines to remove and stays as it is; blank lines (of the bytes that
-part words) under ``min_chars`` are never removed; rows with a null doc_id come last in the order; repeated rows are one
+part words) are never removed, whatever their length; rows with a null doc_id come last in the order; repeated rows are one
 document and keep the same lines; an empty table gives an empty result; other columns are not read unless named in
 ``keep``, where names that the result has itself are left out.
 """
@@ -41,7 +40,8 @@ from stopwise.llm.common import checked_broadcast, discard, split_crowded, stash
 from stopwise.llm.graph import components
 
 EDITS = 2
-MIN_CHARS = 20
+#: Characters for each edit that a line allows.
+PER_EDIT = 10
 U = np.uint64
 SLICE = 1 << 19
 
@@ -83,9 +83,9 @@ def coefficients(points: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Lines of several texts as code points, with hashes of any stretch of them."""
+    """Lines of several texts, of ``least`` characters and more and not blank, as code points, with hashes of any stretch of them."""
 
-    def __init__(self, texts: list[str], min_chars: int):
+    def __init__(self, texts: list[str], least: int):
         self.whole = "\n".join([*texts, ""])
         points = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         stops = np.flatnonzero(points == 10)
@@ -93,7 +93,8 @@ class Lines:
         ends_text = np.cumsum([len(t) + 1 for t in texts])
         row = np.searchsorted(ends_text, begin, "right")
         number = np.arange(len(begin)) - np.searchsorted(begin, (ends_text - [len(t) + 1 for t in texts])[row]) if len(begin) else begin
-        keep = stops - begin >= min_chars
+        words = np.concatenate(([0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))))
+        keep = (stops - begin >= least) & (words[stops] > words[begin])
         self.points, self.row, self.number, self.place = points, row[keep], number[keep], np.flatnonzero(keep)
         self.begin, self.size = begin[keep], (stops - begin)[keep]
         power, self.back = (powers(x, len(points) + 1) for x in (BASE, INVERSE))
@@ -103,40 +104,48 @@ class Lines:
     def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (self.sums[at + n] - self.sums[at]) * self.back[at]
 
-    def blank(self) -> np.ndarray:
-        """Whether a line has no word."""
-        words = np.concatenate(([0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))))
-        return words[self.begin + self.size] == words[self.begin]
-
-    def encoded(self) -> tuple[list[bytes], pa.Array]:
-        """Digest of every line, and all lines as binary values, also those too short to be kept."""
-        data = np.frombuffer(self.whole.encode("utf-8", "surrogatepass"), np.uint8)
-        stops = np.flatnonzero(data == 10)
-        ends = stops - np.arange(len(stops))  # without the line feeds
-        offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
-        every = pa.Array.from_buffers(pa.binary(), len(stops), [None, offsets, pa.py_buffer(data[data != 10])])
+    def digests(self) -> list[bytes]:
+        """Of every line."""
+        data, stops = self._bytes()
         begin = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
         view = memoryview(data)
         spans = zip(begin[self.place].tolist(), stops[self.place].tolist())
-        return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans], every
+        return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans]
+
+    def every(self) -> pa.Array:
+        """All lines as binary values, also those left out."""
+        data, stops = self._bytes()
+        ends = stops - np.arange(len(stops))  # without the line feeds
+        offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(stops), [None, offsets, pa.py_buffer(data[data != 10])])
+
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(self.whole.encode("utf-8", "surrogatepass"), np.uint8)
+        return data, np.flatnonzero(data == 10)
+
+    def once(self) -> dict[bytes, int]:
+        """Digests of the lines, and of each the last line that has it."""
+        return {d: i for i, d in enumerate(self.digests())}
 
-    def keys(self, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, edits: int, per_edit: int) -> tuple[np.ndarray, np.ndarray]:
         """(key, index of the line): own segments come up as substrings of a line as long as itself."""
         keys, who = [], []
         for shorter in range(edits + 1):
-            of = np.flatnonzero(self.size - shorter >= min_chars)
-            n = self.size[of] - shorter
-            short, rest = np.divmod(n, edits + 1)
-            for i in range(edits + 1):  # the last ``rest`` segments are one longer
-                long_before = np.maximum(0, i - (edits + 1 - rest))
-                at = i * short + long_before
-                width = short + (i >= edits + 1 - rest)
-                for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                    start = at + shift
-                    ok = (start >= 0) & (start + width <= self.size[of])
-                    h = self.hash(self.begin[of[ok]] + start[ok], width[ok])
-                    keys.append(mix(h + mix(n[ok].astype(U) * U(64) + U(i))))
-                    who.append(of[ok])
+            allowed = np.minimum(edits, (self.size - shorter) // per_edit)
+            for most in range(max(1, shorter), edits + 1):
+                of = np.flatnonzero(allowed == most)
+                n = self.size[of] - shorter
+                short, rest = np.divmod(n, most + 1)
+                for i in range(most + 1):  # the last ``rest`` segments are one longer
+                    long_before = np.maximum(0, i - (most + 1 - rest))
+                    at = i * short + long_before
+                    width = short + (i >= most + 1 - rest)
+                    for shift in range(max(-i, shorter - (most - i)), min(i, shorter + (most - i)) + 1):
+                        start = at + shift
+                        ok = (start >= 0) & (start + width <= self.size[of])
+                        h = self.hash(self.begin[of[ok]] + start[ok], width[ok])
+                        keys.append(mix(h + mix(n[ok].astype(U) * U(64) + U(i))))
+                        who.append(of[ok])
         return np.concatenate(keys), np.concatenate(who)
 
 
@@ -151,7 +160,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
             held, size, first = [], 0, i + 1
 
 
-def keys_of(edits: int, min_chars: int, share: int = 0):
+def keys_of(edits: int, per_edit: int, share: int = 0):
     """Rows (key, line) of texts; with ``share``, (key, line, bytes) of one distinct line in so many, chosen by its CRC."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +168,10 @@ def keys_of(edits: int, min_chars: int, share: int = 0):
             for _, texts in _slices(batch):
                 if share:
                     texts = ["\n".join([x for x in t.split("\n") if zlib.crc32(x.encode()) % share == 0]) for t in texts]
-                lines = Lines(texts, min_chars)
-                first = np.unique(lines.line, return_index=True)[1]
+                lines = Lines(texts, per_edit)
+                first = np.fromiter(lines.once().values(), np.int64)
                 lines.begin, lines.size, lines.line = lines.begin[first], lines.size[first], lines.line[first]
-                key, who = lines.keys(edits, min_chars)
+                key, who = lines.keys(edits, per_edit)
                 got = [pa.array(key.view(np.int64)), pa.array(lines.line[who].view(np.int64))]
                 if share:
                     got.append(pa.array(lines.size[who]))
@@ -273,8 +282,8 @@ def sketch(text: str) -> int:
     return int(np.bitwise_xor.reduce(U(1) << (mix(p[1:] * U(0x110000) + p[:-1]) & U(63))))
 
 
-def spanning_links(texts: list[str], edits: int) -> list[tuple[int, int]]:
-    """Links that connect what links within ``edits`` edits connect; breadth first, at most len(texts) - 1."""
+def spanning_links(texts: list[str], edits: int, per_edit: int) -> list[tuple[int, int]]:
+    """Links that connect what links within the edits allowed connect; breadth first, at most len(texts) - 1."""
     size = np.array([len(t) for t in texts])
     marks = np.array([sketch(t) for t in texts], U)
     rest, out = np.arange(len(texts)), []
@@ -282,9 +291,10 @@ def spanning_links(texts: list[str], edits: int) -> list[tuple[int, int]]:
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             i = front.pop()
-            near = (np.abs(size[rest] - size[i]) <= edits) & (np.bitwise_count(marks[rest] ^ marks[i]) <= 4 * edits)
+            most = np.minimum(edits, np.minimum(size[rest], size[i]) // per_edit)
+            near = (np.abs(size[rest] - size[i]) <= most) & (np.bitwise_count(marks[rest] ^ marks[i]) <= 4 * most)
             for k in np.flatnonzero(near):
-                near[k] = within(texts[i], texts[rest[k]], edits)
+                near[k] = within(texts[i], texts[rest[k]], int(most[k]))
             hit = rest[near].tolist()
             out += [(i, k) for k in hit]
             front += hit
@@ -292,14 +302,14 @@ def spanning_links(texts: list[str], edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links_of(edits: int):
+def links_of(edits: int, per_edit: int):
     """Rows (set, digest, text) sorted by set to verified links (a, b) of digests."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lines, texts = None, [], []
 
         def settle() -> pa.RecordBatch:
-            found = spanning_links(texts, edits)
+            found = spanning_links(texts, edits, per_edit)
             return pa.RecordBatch.from_arrays([pa.array([lines[f[side]] for f in found], pa.binary()) for side in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -316,46 +326,39 @@ def links_of(edits: int):
     return links
 
 
-def places_of(min_chars: int):
-    """Every line but blank ones under ``min_chars``: its digest, doc_id, text_key and number in the document."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _slices(batch):
-                lines = Lines(texts, 1)
-                at = np.flatnonzero((lines.size >= min_chars) | ~lines.blank())
-                row = pa.array(first + lines.row[at])
-                lines.place = lines.place[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.encoded()[0], pa.binary()), batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number[at].astype(np.int32))],
-                    ["digest", "doc_id", "text_key", "number"],
-                )
-
-    return places
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line but blank ones: its digest, doc_id, text_key and number in the document."""
+    for batch in batches:
+        for first, texts in _slices(batch):
+            lines = Lines(texts, 1)
+            row = pa.array(first + lines.row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines.digests(), pa.binary()), batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number.astype(np.int32))],
+                ["digest", "doc_id", "text_key", "number"],
+            )
 
 
-def texts_of(min_chars: int):
+def texts_of(least: int):
     """(line, digest, text), once for each slice."""
 
     def texts_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch):
-                lines = Lines(texts, min_chars)
-                digests, every = lines.encoded()
-                once = {d: i for i, d in enumerate(digests)}
-                at = np.fromiter(once.values(), np.int64, len(once))
+                lines = Lines(texts, least)
+                once = lines.once()
+                at = np.fromiter(once.values(), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.line[at].view(np.int64)), pa.array(list(once), pa.binary()), every.take(pa.array(lines.place[at])).cast(pa.string())], ["line", "digest", "text"]
+                    [pa.array(lines.line[at].view(np.int64)), pa.array(list(once), pa.binary()), lines.every().take(pa.array(lines.place[at])).cast(pa.string())], ["line", "digest", "text"]
                 )
 
     return texts_
 
 
-def line_links(docs: DataFrame, edits: int, min_chars: int, block: int = 4096, share: int = 64) -> DataFrame:
-    """Links (a, b) of line digests that connect all lines within ``edits`` edits."""
+def line_links(docs: DataFrame, edits: int, per_edit: int, block: int = 4096, share: int = 64) -> DataFrame:
+    """Links (a, b) of line digests that connect all lines within the edits they allow."""
     text = docs.select("text")
-    keyed = text.mapInArrow(tidied(keys_of(edits, min_chars)), "key long, line long")
-    sample = text.mapInArrow(tidied(keys_of(edits, min_chars, share)), "key long, line long, bytes long").distinct()
+    keyed = text.mapInArrow(tidied(keys_of(edits, per_edit)), "key long, line long")
+    sample = text.mapInArrow(tidied(keys_of(edits, per_edit, share)), "key long, line long, bytes long").distinct()
     parts = split_crowded(keyed, sample, "line", block, share)
     sets = None
     for part in parts:
@@ -363,14 +366,14 @@ def line_links(docs: DataFrame, edits: int, min_chars: int, block: int = 4096, s
         sets = got if sets is None else sets.unionByName(got)
     sets = stash(sets.distinct(), "line-sets")
     wanted = checked_broadcast(stash(sets.select("line").distinct(), "lines-wanted"))
-    texts = text.mapInArrow(tidied(texts_of(min_chars)), "line long, digest binary, text string").join(wanted, "line", "left_semi")
+    texts = text.mapInArrow(tidied(texts_of(per_edit)), "line long, digest binary, text string").join(wanted, "line", "left_semi")
     texts = texts.groupBy("line", "digest").agg(F.min("text").alias("text"))
     links = (
         sets.join(texts, "line")
         .select("set", "digest", "text")
         .repartition("set")
         .sortWithinPartitions("set", "digest")
-        .mapInArrow(tidied(links_of(edits)), "a binary, b binary")
+        .mapInArrow(tidied(links_of(edits, per_edit)), "a binary, b binary")
         .distinct()
     )
     links = stash(links, "line-links")
@@ -378,14 +381,14 @@ def line_links(docs: DataFrame, edits: int, min_chars: int, block: int = 4096, s
     return links
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """``docs``: doc_id, text, text_key. Returns doc_id, text_key, removed (line numbers) where there are any; a table in files."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    links = line_links(docs, edits, min_chars)
+    links = line_links(docs, edits, per_edit)
     roots = components(links)
     discard(links)
-    places = stash(docs.mapInArrow(tidied(places_of(min_chars)), f"digest binary, doc_id {kind}, text_key long, number int"), "line-places")
-    classed = places.join(checked_broadcast(roots), places.digest == roots.node, "left").select(
+    placed = stash(docs.mapInArrow(tidied(places), f"digest binary, doc_id {kind}, text_key long, number int"), "line-places")
+    classed = placed.join(checked_broadcast(roots), placed.digest == roots.node, "left").select(
         F.coalesce("root", "digest").alias("class"),
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "number").alias("place"),
     )
@@ -395,7 +398,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     )
     gone = classed.join(first, "class").where("place <> first").select("place.*").distinct()
     gone = stash(gone.groupBy("doc_id", "text_key").agg(F.collect_list("number").alias("removed")), "lines-removed")
-    discard(roots, places, first)
+    discard(roots, placed, first)
     return gone
 
 
@@ -417,11 +420,11 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, the columns ``keep``, text (what stays), n_lines, n_removed."""
     names = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "n_lines", "n_removed")]
     rows = docs.select("doc_id", "text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.xxhash64("text").alias("text_key"))
-    gone = checked_broadcast(removed_lines(rows.select("doc_id", "text", "text_key"), edits, min_chars))
+    gone = checked_broadcast(removed_lines(rows.select("doc_id", "text", "text_key"), edits, per_edit))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "removed")
     # text_key decides with doc_id, which may be null
     wide = rows.join(gone, rows.doc_id.eqNullSafe(gone.d) & (rows.text_key == gone.t), "left").drop("d", "t", "text_key")

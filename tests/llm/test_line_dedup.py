@@ -31,7 +31,7 @@ def test_banded_distance(a, changes, k):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("ab", min_size=20, max_size=40), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("ab-+")), max_size=2))
+@given(st.text("ab", min_size=10, max_size=40), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("ab-+")), max_size=2))
 def test_close_lines_share_a_key(a, changes):
     b = list(a)
     for at, c in changes:
@@ -43,14 +43,13 @@ def test_close_lines_share_a_key(a, changes):
         else:
             b[at : at + 1] = [c]
     b = "".join(b)
-    if len(b) >= 20:
-        x, y = (set(op.Lines([t], 20).keys(2, 20)[0].tolist()) for t in (a, b))
-        assert x & y
+    x, y = (set(op.Lines([t], 10).keys(2, 10)[0].tolist()) for t in (a, b))
+    assert x & y or op._plain(a, b) > min(2, len(a) // 10, len(b) // 10)
 
 
 def brute(rows):
-    """Classes of lines of 20 characters and more by all pairs; shorter ones, unless blank, by equality."""
-    counts = lambda x: len(x) >= 20 or x.strip(" \t\v\f\r")
+    """Classes of lines that aren't blank, by all pairs: an edit for every ten characters of the shorter line, at most two."""
+    counts = lambda x: x.strip(" \t\v\f\r")
     lines = [(d is None, d or 0, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if counts(line)]
     distinct = sorted({x[-1] for x in lines}, key=len)
     root = list(range(len(distinct)))
@@ -62,9 +61,10 @@ def brute(rows):
 
     for i in range(len(distinct)):
         for j in range(i - 1, -1, -1):
-            if len(distinct[j]) < 20 or len(distinct[i]) - len(distinct[j]) > 2:
+            most = min(2, len(distinct[j]) // 10)
+            if not most or len(distinct[i]) - len(distinct[j]) > 2:
                 break
-            if op.sketch(distinct[i]).__xor__(op.sketch(distinct[j])).bit_count() <= 8 and op.within(distinct[i], distinct[j], 2):
+            if op.sketch(distinct[i]).__xor__(op.sketch(distinct[j])).bit_count() <= 8 and op.within(distinct[i], distinct[j], most):
                 root[find(i)] = find(j)
     of = {x: find(i) for i, x in enumerate(distinct)}
     first = {}
@@ -114,11 +114,32 @@ def test_lines_with_one_rolling_hash_stay_apart(spark):
     for k, n in enumerate((1024, 2048, 4096)):
         one = "".join("ab"[i.bit_count() & 1] for i in range(n))
         rows += [(3 * k, one), (3 * k + 1, one.translate(str.maketrans("ab", "ba"))), (3 * k + 2, one)]
-    lines = op.Lines([t for _, t in rows], 20).line.tolist()
+    lines = op.Lines([t for _, t in rows], 10).line.tolist()
     assert len(set(lines)) < 6
     assert [(d, gone) for d, _, gone, _ in sorted(found(docs_of(spark, rows)))] == [(d, int(d % 3 == 2)) for d, _ in rows]
 
 
+def test_lines_with_one_rolling_hash_keep_their_links(spark):
+    """Both of two such lines in one slice have near ones of their own."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert len(set(op.Lines([one, two], 10).line.tolist())) == 1
+    near = {5: one[:700] + "x" + one[700:], 6: two[:900] + "y" + two[901:]}
+    rows = [(1, f"{one}\n{two}"), *near.items()]
+    assert [(d, gone) for d, _, gone, _ in sorted(found(docs_of(spark, rows)))] == [(1, 0), (5, 1), (6, 1)]
+
+
+def test_edits_by_length(spark):
+    """One edit for every ten characters of the shorter line, at most two; blank lines stay whatever their length."""
+    pairs = [("nine char", "nine chax", 0), ("ten chars.", "ten chars!", 1), ("ten chars.", "ten charss.", 1), ("nine char", "nine chars", 0),
+             ("nineteen characters", "nineteen charakterz", 0), ("nineteen characters", "nineteen charakters", 1),
+             ("twenty characters ab", "twenty charakters aB", 1), ("nineteen characters", "nineteen charakters.", 0), (" " * 40, " " * 40, 0)]
+    for a, b, gone in pairs:
+        assert [r[2] for r in brute([(1, a), (2, b)])] == [0, gone]
+    for a, b, gone in pairs:
+        assert [r[2] for r in found(docs_of(spark, [(1, a), (2, b)]))] == [0, gone], (a, b)
+
+
 def test_clashing_names(spark):
     from pyspark.sql import functions as F
 
@@ -135,6 +156,6 @@ def test_crowded_keys(spark):
     rows = [(i, head + "".join(rng.choice(list("abcdefgh"), 24))) for i in range(300)]
     rows += [(1000 + i, rows[i][1][:-1] + "z") for i in range(0, 300, 3)]
     df = docs_of(spark, rows)
-    links = op.line_links(df.select("text"), 2, 20, block=20, share=1).count()
+    links = op.line_links(df.select("text"), 2, 10, block=20, share=1).count()
     assert links == 100
     assert sum(r[2] for r in found(df)) == 100
