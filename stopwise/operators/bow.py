@@ -27,7 +27,7 @@ def exploded(found: DataFrame) -> DataFrame:
 
 def trace_points(rows: DataFrame) -> DataFrame:
     """``exploded`` points of planes given as rows (run_id, y, samples): weighted centres of what a line crosses."""
-    return exploded(gathered(rows))
+    return exploded(gathered(rows, True))
 
 
 def fits(points: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def candidates(points: DataFrame) -> DataFrame:
 
 def plane_bows(rows: DataFrame) -> DataFrame:
     """One row a plane: run_id, method, orientation, side, bow, sagitta, span, residual, confidence, blockers; planes as rows (run_id, y, samples)."""
-    return point_bows(gathered(rows))
+    return point_bows(gathered(rows, True))
 
 
 def point_bows(found: DataFrame) -> DataFrame:

@@ -184,7 +184,11 @@ def analyse(files: DataFrame, captures: DataFrame) -> DataFrame:
     return known.join(frame_evidence(files).drop(*KNOWN), "path")
 
 
-def analyse_files(files: DataFrame) -> DataFrame:
-    """``analyse`` with what the files say of themselves; ``files``: path, content, run_id, input_index."""
+def analyse_files(files: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """``analyse`` with what the files say of themselves; ``files``: path, content, run_id, input_index.
+
+    ``captures`` (path, run_id, input_index), where they are known without the files, so that those are read or made once.
+    """
+    captures = files if captures is None else captures
     found = frame_evidence(files)
-    return found.withColumn("eligible", capture.eligible(F.col("corrections_present"))).join(files.select("path", "run_id", "input_index"), "path")
+    return found.withColumn("eligible", capture.eligible(F.col("corrections_present"))).join(captures.select("path", "run_id", "input_index"), "path")

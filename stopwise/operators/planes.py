@@ -60,24 +60,24 @@ def listed(values: list[pa.Array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.concat_arrays(values))
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """run_id, width, height, points, row_means, column_means of planes given as rows (run_id, y, samples)."""
+def gathered(rows: DataFrame, traced: bool) -> DataFrame:
+    """run_id, width, height and points (``traced``), or row_means and column_means, of planes given as rows (run_id, y, samples).
+
+    Rows that are dealt by run_id already are not dealt again.
+    """
+    made = {"points": f"array<{POINT_DDL}>"} if traced else {"row_means": "array<double>", "column_means": "array<double>"}
 
     def work(group: pa.Table) -> pa.Table:
         group = group.sort_by("y").combine_chunks()
         samples = group.column("samples").combine_chunks()
         plane = samples.flatten().to_numpy().reshape(len(samples), -1)
-        return pa.table(
-            {
-                "run_id": group.column("run_id").slice(0, 1),
-                "width": pa.array([plane.shape[1]], pa.int32()),
-                "height": pa.array([plane.shape[0]], pa.int32()),
-                "points": listed([points(plane)]),
-                "row_means": listed([pa.array(plane.mean(1))]),
-                "column_means": listed([pa.array(plane.mean(0))]),
-            }
-        )
+        if traced:
+            lists = [listed([points(plane)])]
+        else:
+            lists = [listed([pa.array(plane.mean(k))]) for k in (1, 0)]
+        size = [pa.array([n], pa.int32()) for n in plane.shape[::-1]]
+        return pa.table([group.column("run_id").slice(0, 1), *size, *lists], ["run_id", "width", "height", *made])
 
     kind = rows.schema["run_id"].dataType.simpleString()
-    schema = f"run_id {kind}, width int, height int, points array<{POINT_DDL}>, row_means array<double>, column_means array<double>"
+    schema = f"run_id {kind}, width int, height int, " + ", ".join(f"{n} {k}" for n, k in made.items())
     return rows.select("run_id", "y", "samples").groupBy("run_id").applyInArrow(work, schema)
