@@ -109,3 +109,15 @@ def test_stages_like_brute_force(spark, sf_dir, tmp_path):
     docs = docs_of(spark, [(r.doc_id, r.text, r.lang, r.source) for r in again])
     test_packing.check(spark, docs)
     assert pipe.packed(spark, docs, sf_dir).count() >= len(again)
+
+
+def test_near_copies_are_compared_before_their_lines_go(spark, sf_dir):
+    """Two long texts that differ in a line: the near-dup stage takes one, whatever stages run before it."""
+    lines = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(30)]
+    rows = [(1, "\n".join(lines), "en", "a"), (2, "\n".join([*lines[:-1], "a last line of its own with other words in it"]), "en", "a")]
+    docs = docs_of(spark, rows)
+    for name, stage in pipe.STAGES[1:]:
+        if stage is pipe.without_near_copies:
+            break
+        docs = stage(spark, docs, sf_dir)
+    assert [r.doc_id for r in pipe.without_near_copies(spark, docs, sf_dir).collect()] == [1]
