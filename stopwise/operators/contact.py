@@ -25,6 +25,8 @@ GLYPHS = THUMB_W // 4  # glyphs are 3 wide, with a gap of 1
 LABEL_DROP = 3
 #: Rows of tiles that a task draws at once.
 BAND_ROWS = 64
+#: Bands that a task draws, and reads back, about.
+BANDS_DRAWN, BANDS_READ = 16, 64
 BACKGROUND, TILE_BACKGROUND, TEXT = (18, 20, 22), (34, 37, 40), (226, 230, 232)
 
 
@@ -110,6 +112,10 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+#: A last block of compressed data that holds nothing.
+NO_ROWS = b"\x03\x00"
+
+
 class Sheet:
     """A PNG file from its bands in order."""
 
@@ -125,58 +131,84 @@ class Sheet:
         self._write(chunk(b"IDAT", data))
         self.adler = joined_adler(self.adler, adler, n)
 
-    def close(self) -> None:
-        self._write(chunk(b"IDAT", struct.pack(">I", self.adler)) + chunk(b"IEND", b""))
+    def close(self, ended: bool = True) -> None:
+        """``ended``: the last band was packed as the last one; else an empty block ends the picture's data."""
+        self._write(chunk(b"IDAT", (b"" if ended else NO_ROWS) + struct.pack(">I", self.adler)) + chunk(b"IEND", b""))
+
+
+def pixels_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Pictures as bytes; a column of lists or of binary values."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return [np.frombuffer(t.as_buffer(), np.uint8) for t in column]
+    if any(c.null_count or c.flatten().null_count for c in column.chunks):
+        raise ValueError("a picture or a sample of it is null")
+    out = []
+    for part in column.chunks:
+        values, offsets = part.flatten().to_numpy(), part.offsets.to_numpy() - part.offsets[0].as_py()
+        if len(values) and not (values.min() >= 0 and values.max() <= 255):
+            raise OverflowError("a sample is no byte")
+        out += np.split(values.astype(np.uint8), offsets[1:-1])
+    return out
+
 
+def enlarged(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """``thumbnail`` of samples that are bytes already."""
+    x, y = np.arange(THUMB_W) * width // THUMB_W, np.arange(THUMB_H) * height // THUMB_H
+    return pixels.reshape(height, width, -1)[y[:, None], x]
 
-BAND = "run_id {0}, band int, width int, height int, data binary, adler long, size long"
 
+BAND = "run_id {0}, band int, data binary, adler long, size long"
 
-def bands(tiles: DataFrame, rows: int = BAND_ROWS) -> DataFrame:
+
+def bands(tiles: DataFrame, rows: int = BAND_ROWS, side: tuple[int, int] | None = None) -> DataFrame:
     """run_id, band, width and height of its sheet, and the compressed data of ``rows`` rows of tiles.
 
     ``tiles``: run_id, input_index (0, 1, ... in each run), thumb (bytes as ints or binary, gray or colour), label. A task draws a band and no more.
+    ``side``: width and height of thumb where it isn't a thumbnail yet; small pictures travel as they are and become thumbnails where they are drawn.
     """
-    n = tiles.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    band = F.floor(F.col("input_index") / F.least(F.col("n"), F.lit(MOST_COLUMNS)) / rows).cast("int")
-    placed = tiles.select("run_id", "input_index", "thumb", "label").join(n, "run_id").withColumn("band", band)
+    # a run of fewer tiles than a row takes has one band, so that bands need not know the run's size
+    placed = tiles.select("run_id", "input_index", "thumb", "label").withColumn("band", F.floor(F.col("input_index") / MOST_COLUMNS / rows).cast("int"))
 
     def work(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by("input_index")
-        n = group.column("n")[0].as_py()
-        columns = min(n, MOST_COLUMNS)
-        pixels = lambda t: np.frombuffer(t, np.uint8) if isinstance(t, bytes) else np.asarray(t, np.uint8)
-        found = [(pixels(t), text or "") for t, text in zip(group.column("thumb").to_pylist(), group.column("label").to_pylist())]
-        tall = -(-n // columns)
-        data, adler, size = packed(draw(found, columns), (key[1].as_py() + 1) * rows >= tall)
-        made = [key[0].as_py(), key[1].as_py(), columns * TILE_W, tall * TILE_H, data, adler, size]
+        columns = MOST_COLUMNS if key[1].as_py() else min(len(group), MOST_COLUMNS)
+        thumbs = pixels_of(group.column("thumb"))
+        if side:
+            thumbs = [enlarged(t, *side) for t in thumbs]
+        data, adler, size = packed(draw([(t, text or "") for t, text in zip(thumbs, group.column("label").to_pylist())], columns), False)
+        made = [key[0].as_py(), key[1].as_py(), data, adler, size]
         return pa.table({c: pa.array([v], t or key[0].type) for c, v, t in zip(NAMES, made, KINDS)})
 
     kind = tiles.schema["run_id"].dataType.simpleString()
-    return placed.groupBy("run_id", "band").applyInArrow(work, BAND.format(kind))
+    parts = max(tiles.sparkSession.sparkContext.defaultParallelism, -(-tiles.count() // (rows * MOST_COLUMNS * BANDS_DRAWN)))  # the work goes by tiles and not by bytes of the rows
+    made = placed.repartition(parts, "run_id", "band").groupBy("run_id", "band").applyInArrow(work, BAND.format(kind))
+    n = tiles.groupBy(F.col("run_id").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    columns, tall, _, _ = places(F.col("n"), F.lit(0))
+    sized = made.join(n, F.col("run_id").eqNullSafe(F.col("of")))
+    return sized.select("run_id", "band", (columns * TILE_W).cast("int").alias("width"), (tall * TILE_H).cast("int").alias("height"), "data", "adler", "size")
 
 
-NAMES = ("run_id", "band", "width", "height", "data", "adler", "size")
-KINDS = (None, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+NAMES = ("run_id", "band", "data", "adler", "size")
+KINDS = (None, pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
 
-def sheets(tiles: DataFrame, folder: str, rows: int = BAND_ROWS) -> DataFrame:
-    """Write every run's sheet as a PNG file: run_id, uri, width, height, bands, bytes.
+def sheets(tiles: DataFrame, folder: str, rows: int = BAND_ROWS, side: tuple[int, int] | None = None) -> DataFrame:
+    """Write every run's sheet as a PNG file: run_id, uri, width, height, bands, bytes, starts (where in the file each band is).
 
     Bands come to a run's task in order and go to the file one by one. Files have fresh names, so a retried task leaves an unused one behind. A run without tiles
     has no sheet.
     """
-    made = bands(tiles, rows)
+    made = bands(tiles, rows, side)
     kind = tiles.schema["run_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = sheet = stream = uri = of = None
-        done, count = [], 0
+        done, starts = [], []
 
         def finish() -> None:
-            sheet.close()
+            sheet.close(ended=False)
             stream.close()
-            done.append((run, uri, *size, count, sheet.size))
+            done.append((run, uri, *size, len(starts), sheet.size, starts))
 
         for batch in batches:
             of = batch.schema.field("run_id").type
@@ -184,23 +216,78 @@ def sheets(tiles: DataFrame, folder: str, rows: int = BAND_ROWS) -> DataFrame:
                 if sheet is None or row["run_id"] != run:
                     if sheet is not None:
                         finish()
-                    run, size, count = row["run_id"], (row["width"], row["height"]), 0
+                    run, size, starts = row["run_id"], (row["width"], row["height"]), []
                     uri = f"{folder}/{uuid.uuid4().hex}.png"
                     fs, path = FileSystem.from_uri(uri)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     stream = fs.open_output_stream(path)
                     sheet = Sheet(stream, *size)
+                starts.append(sheet.size)
                 sheet.add(row["data"], row["adler"], row["size"])
-                count += 1
         if sheet is not None:
             finish()
-        names = ("run_id", "uri", "width", "height", "bands", "bytes")
+        names = ("run_id", "uri", "width", "height", "bands", "bytes", "starts")
         if done:
-            kinds = (of, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            kinds = (of, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], list(names))
 
     dealt = made.repartition("run_id").sortWithinPartitions("run_id", "band")
-    return dealt.mapInArrow(work, f"run_id {kind}, uri string, width int, height int, bands int, bytes long")
+    return dealt.mapInArrow(work, f"run_id {kind}, uri string, width int, height int, bands int, bytes long, starts array<long>")
+
+
+def _chunk_at(file, at: int) -> tuple[bytes, bytes]:
+    n, kind = struct.unpack(">I4s", file.read_at(8, at))
+    data = file.read_at(n + 4, at + 8)
+    if zlib.crc32(kind + data[:n]) != int.from_bytes(data[n:]):
+        raise ValueError("damaged chunk")
+    return kind, data[:n]
+
+
+def read_band(file, start: int, width: int) -> tuple[np.ndarray, int, int]:
+    """Of an open sheet the rows of tiles, (n, 96, width, 3), of the band at ``start``, without reading the others; its Adler checksum and length before compression."""
+    kind, data = _chunk_at(file, start)
+    raw = zlib.decompressobj(-15).decompress(data)
+    if kind != b"IDAT" or len(raw) % ((1 + 3 * width) * TILE_H):
+        raise ValueError("a band ends amidst its rows")
+    return np.frombuffer(raw, np.uint8).reshape(-1, 1 + 3 * width)[:, 1:].reshape(-1, TILE_H, width, 3), zlib.adler32(raw), len(raw)
+
+
+def band_sums(made: DataFrame) -> DataFrame:
+    """Sheets of ``sheets`` read back, band by band in tasks of their own: uri, and the sum of all bytes of all thumbnails. Checksums of chunks and of whole sheets are verified."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                fs, path = FileSystem.from_uri(row["uri"])
+                with fs.open_input_file(path) as file:
+                    rows, adler, size = read_band(file, row["start"], row["width"])
+                grid = rows.reshape(-1, TILE_H, row["width"] // TILE_W, TILE_W, 3)
+                used = (grid[:, 0, :, 0] != BACKGROUND).any(-1)  # a place behind the last tile has no tile's background
+                total = grid[:, PAD : PAD + THUMB_H, :, PAD : PAD + THUMB_W].sum((1, 3, 4), dtype=np.int64)[used].sum()
+                out.append((row["uri"], row["band"], int(total), adler, size))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), *[pa.int64()] * 4))], ["uri", "band", "total", "adler", "size"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                adler = 1
+                for part in row["parts"]:
+                    adler = joined_adler(adler, part["adler"], part["size"])
+                fs, path = FileSystem.from_uri(row["uri"])
+                with fs.open_input_file(path) as file:
+                    end = _chunk_at(file, row["bytes"] - 12)
+                    kind, last = _chunk_at(file, row["bytes"] - 12 - 12 - len(NO_ROWS) - 4)
+                if end != (b"IEND", b"") or (kind, last) != (b"IDAT", NO_ROWS + struct.pack(">I", adler)):
+                    raise ValueError("a sheet isn't what was read of it")
+            yield batch.select(["uri", "thumb_sum"])
+
+    n = made.agg(F.coalesce(F.sum("bands"), F.lit(0))).first()[0]
+    dealt = made.select("uri", "width", F.posexplode("starts").alias("band", "start")).repartition(max(made.sparkSession.sparkContext.defaultParallelism, -(-n // BANDS_READ)), "uri", "band")
+    found = dealt.mapInArrow(read, "uri string, band long, total long, adler long, size long")
+    sums = found.groupBy("uri").agg(F.sum("total").alias("thumb_sum"), F.array_sort(F.collect_list(F.struct("band", "adler", "size"))).alias("parts"))
+    return sums.join(made.select("uri", "bytes"), "uri").select("uri", "bytes", "thumb_sum", "parts").mapInArrow(whole, "uri string, thumb_sum long")
 
 
 def read_rows(uri: str) -> Iterator[np.ndarray]:

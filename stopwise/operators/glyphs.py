@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 # The five rows of each glyph, leftmost pixel first; what has none is drawn as "?".
@@ -52,10 +54,14 @@ GLYPHS = {
 WIDTH, HEIGHT, GAP = 3, 5, 1
 
 
+@cache
+def glyph(c: str) -> np.ndarray:
+    return np.array(GLYPHS[c])[:, None] >> np.arange(WIDTH)[::-1] & 1 == 1
+
+
 def raster(text: str) -> np.ndarray:
     """Which pixels of a line of text are set: 5 rows, 4 columns a glyph."""
     out = np.zeros((HEIGHT, (WIDTH + GAP) * len(text)), bool)
     for i, c in enumerate(text):
-        rows = np.array(GLYPHS.get(c, GLYPHS["?"]))
-        out[:, i * (WIDTH + GAP) : i * (WIDTH + GAP) + WIDTH] = rows[:, None] >> np.arange(WIDTH)[::-1] & 1
+        out[:, i * (WIDTH + GAP) : i * (WIDTH + GAP) + WIDTH] = glyph(c if c in GLYPHS else "?")
     return out

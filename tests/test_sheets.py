@@ -72,3 +72,44 @@ def test_top_centre_needs_light(spark):
     rows = spark.createDataFrame([(1, y, [0.0] * 80) for y in range(50)], "run_id int, y int, samples array<double>")
     with pytest.raises(Exception, match="not positive"):
         mosaic.top_centre_falloff(rows, 80, 50).collect()
+
+
+def test_small_pictures_are_enlarged_where_they_are_drawn(spark, tmp_path):
+    """Runs of 1 to 1100 tiles; what is read back by bands is what whole files hold."""
+    sizes = {None: 5, 1: 1, 2: 3, 3: 4, 4: 1100}
+    rows = [(run, i, [(i * 7 + k) % 256 for k in range(6)], f"t {i}") for run, n in sizes.items() for i in range(n)]
+    tiles = spark.createDataFrame(rows, "run_id long, input_index int, thumb array<int>, label string").repartition(5)
+    full = tiles.withColumn("thumb", F.transform(F.sequence(F.lit(0), F.lit(96 * 72 - 1)), lambda i: F.get("thumb", (F.floor(F.floor(i / 96) * 2 / 72) * 3 + F.floor((i % 96) * 3 / 96)).cast("int"))))
+    small, whole = (spark.createDataFrame(contact.sheets(t, f"file://{tmp_path}", rows=8, side=side).collect(), "run_id long, uri string, width int, height int, bands int, bytes long, starts array<long>") for t, side in ((tiles, (3, 2)), (full, None)))
+    bands = {n: -(-(-(-n // min(n, 4))) // 8) for n in sizes.values()}
+    assert {r.run_id: r.bands for r in small.collect()} == {run: bands[n] for run, n in sizes.items()}
+    uris = {r.run_id: r.uri for r in whole.collect()}
+    for r in small.collect():
+        assert all(np.array_equal(a, b) for a, b in zip(contact.read_rows(r.uri), contact.read_rows(uris[r.run_id]), strict=True))
+    want = {run: sum(3 * 1152 * sum(t) for q, _, t, _ in rows if q == run) for run in sizes}
+    found = small.join(contact.band_sums(small), "uri").collect()
+    assert {r.run_id: r.thumb_sum for r in found} == want
+    path = found[0].uri.removeprefix("file://")
+    with open(path, "r+b") as file:
+        file.seek(found[0].starts[-1] + 9)
+        byte = file.read(1)
+        file.seek(-1, 1)
+        file.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="damaged"):
+        contact.band_sums(small).collect()
+
+
+def test_contact_sheets_number_rows_in_ranges(spark, tmp_path):
+    """A plane travels as its 64 samples, labels of null and of one row have sheets, and a row without a plane has no tile."""
+    from stopwise.plans import queries
+
+    spark.createDataFrame([(i, None if i == 7 else [i / 5000] * 64, (None, 3)[i % 3 > 0] if i < 2999 else 9) for i in range(3000)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges a label
+    try:
+        placed = queries.in_labels(spark.range(1000).select((F.col("id") % 3).alias("run_id"), F.col("id").alias("vec_id"))).collect()
+        assert all(r.input_index == r.vec_id // 3 for r in placed)
+        made = {r.run_id: (r.width, r.height, r.bands) for r in queries.contact_sheets(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert made == {None: (432, 250 * 96, 4), 3: (432, 500 * 96, 8), 9: (108, 96, 1)}
