@@ -43,3 +43,22 @@ def test_painted_files_come_in_small_batches(spark, sf_dir):
     runs, known = tables.painted_runs(spark, sf_dir), tables.painted_captures(spark, sf_dir)
     assert "MapInPandas" not in plan(known)
     assert sorted(known.select("path", "run_id", "input_index").collect()) == sorted(runs.select("path", "run_id", "input_index").collect())
+
+
+def test_only_searched_runs_are_dealt_again(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stopwise.deploy import kept
+    from stopwise.operators import evidence
+    from stopwise.plans import queries
+
+    rows = kept(tables.numbered(spark, sf_dir), "frames")
+    g = kept(evidence.groups(tables.zone_values(tables.framed(rows))).select(*queries.FOR_VIGNETTING), "groups")
+    runs = {r.run_id for r in g.where(evidence.unstable()).select("run_id").collect()}
+    dealt = queries.searched_frames(rows, g)
+    assert {r.run_id for r in dealt.select("run_id").distinct().collect()} == runs and 0 < len(runs) < rows.select("l_suppkey").distinct().count()
+    found = sorted(map(str, evidence.vignetting(dealt, g).collect()))
+    monkeypatch.setattr(queries, "RUNS_SENT", 0)
+    every = queries.searched_frames(rows, g)
+    assert every.count() == rows.count() and sorted(map(str, evidence.vignetting(every, g).collect())) == found
+    assert g.where(F.col("n_ok") > 0).count() > 0
