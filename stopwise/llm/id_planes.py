@@ -187,7 +187,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(n)), column.cast(pa.binary())], ["doc_id", "ids"])
                     held, size, first = [], 0, i + 1
                     release()
-        tokens(path).clear()
+        tokens(path).rest()
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(tidied(work), f"doc_id {key}, ids binary")

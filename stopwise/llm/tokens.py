@@ -59,6 +59,11 @@ class Tokens:
             self._add(words, ids, size)
             self.hits[: len(hits)] = hits // 2
 
+    def rest(self) -> None:
+        """Between tasks, for the worker's next one: half a full cache's words stay, those that most slices had, and no more."""
+        if self.known:
+            self._shrink()
+
     def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         end = int(self.start[self.known])
         if end + len(ids) > len(self.ids):

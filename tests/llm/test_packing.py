@@ -96,3 +96,27 @@ def test_clashing_names(spark):
 
     df = docs_of(spark, [(1, "one two"), (1, "one two")]).select("*", *[F.lit(1).alias(c) for c in ("piece", "used", "items", "open", "sequence_id", "offset", "length", "start")])
     assert sorted((r.doc_id, r.piece, r.length) for r in op.pack_documents(df).collect()) == [(1, 0, 3)] * 2
+
+
+def test_common_words_stay_for_the_next_task():
+    """At most half a cache, those that most slices had; ids are those of the whole text whatever is held."""
+    import numpy as np
+
+    from stopwise.llm import tokens as op
+
+    held, path = op.Tokens(op.default_vocabulary(), most=40), op.default_vocabulary()
+    texts = [[f"the word {k} and café number {k + 1}, <b> Été {k}x".encode()] for k in range(12)]
+    for text in texts:
+        words, index, _ = op.words_of(text)
+        held.encode(words, index)
+    held.rest()
+    assert 0 < held.known <= 20 and {b"the", b"word", b"and", "café".encode()} <= held.number.keys()
+    learned = []
+    learn = held._learn
+    held._learn = lambda words: (learned.extend(words), learn(words))
+    for text in texts:
+        words, index, _ = op.words_of(text)
+        want = held.encoder.encode(text[0].decode(), add_special_tokens=False).ids
+        assert np.array_equal(held.encode(words, index)[0], want)
+    assert learned and not {b"the", b"word", b"and"} & set(learned)
+    assert op.tokens(path).rest() is None
