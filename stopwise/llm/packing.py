@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                     )
                     held, size, first = [], 0, i + 1
                     release()
-        tokens(path).clear()
+        tokens(path).rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
