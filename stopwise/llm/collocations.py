@@ -8,7 +8,8 @@ the left need no second index: a step that does not end inside a known phrase ex
 
 Rounds go by length. Words are counted first; each shard gets those that are frequent over all shards, and all others are gaps to it. Then every round
 extends what is frequent, so that a shard names only phrases whose first and last words but one are frequent both, sums
-over shards decide which of those are, and each shard gets its own back. No list of frequent phrases goes to every task, and
+over shards decide which of those are, and each shard gets its own back: rows of one phrase lie side by side, so that their sum and the phrase's
+number are told to them where they are, without a join. No list of frequent phrases goes to any task, and
 a shard's index is read from the shared folder by the task that holds its phrases.
 
 Counts of a phrase's parts come along with it: of its beginnings from what it extends, of its ends from the phrase that its left extension started from.
@@ -192,40 +193,54 @@ class Index:
         return found[first], np.diff(np.append(first, len(found))), parent[first], here[first]
 
 
-STEP = "shard long, at int, n int, p long, w long, uri string"
+#: ``place`` is an interval of the index: where it begins, times 2^32, and its length. One field of it and rows by length
+#: take less of a shuffle than two fields do.
+STEP = "shard long, place long, p long, w long, uri string"
 
 
 def _answer(shard: int, at: np.ndarray, n: np.ndarray, p: np.ndarray, w: np.ndarray, uri: str) -> pa.Table:
     """Extensions of a shard, and a row that names its index."""
-    rows = len(at)
+    order = np.argsort(n, kind="stable")
     release()
     return pa.table(
         {
-            "shard": pa.array(np.full(rows + 1, shard)),
-            "at": pa.array(np.append(at, -1).astype(np.int32)),
-            "n": pa.array(np.append(n, 0).astype(np.int32)),
-            "p": pa.array(np.append(p, -1).astype(np.int64)),
-            "w": pa.array(np.append(w, -1).astype(np.int64)),
-            "uri": pa.array([None] * rows + [uri], pa.string()),
+            "shard": pa.array(np.full(len(at) + 1, shard)),
+            "place": pa.array(np.append((at.astype(np.int64) << 32 | n)[order], -1)),
+            "p": pa.array(np.append(p[order], -1).astype(np.int64)),
+            "w": pa.array(np.append(w[order], -1 - shard).astype(np.int64)),  # each of these rows goes its own way
+            "uri": pa.array([None] * len(at) + [uri], pa.string()),
         }
     )
 
 
 def _sorted(group: pa.Table) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, file, and the columns at, n, id of a group's other rows in order of ``at``."""
+    """Shard, file, and begin, length and id of a group's other rows in order of ``place``."""
     shard, uri = group.column("shard")[0].as_py(), next(iter(group.column("uri").drop_null())).as_py()
-    at, n, ident = (group.column(c).to_numpy() for c in ("at", "n", "id"))
-    order = np.argsort(at, kind="stable")
-    order = order[at[order] >= 0]
-    return shard, uri, at[order], n[order], ident[order]
+    place, ident = (group.column(c).to_numpy() for c in ("place", "id"))
+    order = np.argsort(place, kind="stable")
+    order = order[place[order] >= 0]
+    return shard, uri, place[order] >> 32, place[order] & 0xFFFFFFFF, ident[order]
 
 
-def _steps(known: DataFrame, files: DataFrame, work) -> DataFrame:
-    """``work`` on each shard with its phrases (shard, at, n, id) and its file (shard, uri); written."""
-    heads = files.select("shard", F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(-1).cast("long").alias("id"), "uri")
-    rows = known.select("shard", "at", "n", "id", F.lit(None).cast("string").alias("uri")).unionByName(heads)
+def _by_shard(known: DataFrame, files: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on each shard with its words or phrases (shard, place, id) and its file (shard, uri)."""
+    heads = files.select("shard", F.lit(-1).cast("long").alias("place"), F.lit(-1).cast("long").alias("id"), "uri")
+    rows = known.select("shard", "place", "id", F.lit(None).cast("string").alias("uri")).unionByName(heads)
     parts = max(1, files.count())  # the work goes by words of the shard and not by bytes of the rows
-    return stash(rows.repartition(parts, "shard").groupBy("shard").applyInArrow(work, STEP), "phrase-steps", "zstd")
+    return rows.repartition(parts, "shard").groupBy("shard").applyInArrow(work, schema)
+
+
+def _counted(steps: DataFrame, min_count: int) -> DataFrame:
+    """Those extensions whose phrase is frequent over all shards, and the rows that name files; written.
+
+    Adds id and a of the phrase, and ``first``, true for one of its rows. An id is that row's number among all.
+    """
+    same = Window.partitionBy("p", "w")
+    rows = steps.repartition("p", "w").sortWithinPartitions("p", "w").withColumn("row", F.monotonically_increasing_id())
+    n = F.col("place").bitwiseAND(0xFFFFFFFF)
+    summed = rows.withColumn("id", F.min("row").over(same)).withColumn("a", F.sum(n).over(same))
+    frequent = summed.where(F.col("uri").isNotNull() | (F.col("a") >= min_count))
+    return stash(frequent.withColumn("first", F.col("uri").isNull() & (F.col("row") == F.col("id"))).drop("row"), "phrase-steps", "zstd")
 
 
 def numbered(df: DataFrame, tag: str) -> DataFrame:
@@ -250,7 +265,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
         raise ValueError(f"phrases have 2 to {DEPTH - 1} words")
     folder = f"{shared_dir(docs.sparkSession)}/phrases-{uuid.uuid4().hex}"
     parts = stash(shards(docs, f"{folder}/words", shard_bytes), "phrase-shards")
-    words = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    words = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", F.shiftleft(F.col("at").cast("long"), 32).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     totals = stash(parts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v)).alias("n")), "phrase-totals")
     frequent = numbered(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-words")
     none = F.array().cast("array<bigint>")
@@ -268,11 +283,16 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
         gap = found == 0
         gap[1:] &= gap[:-1]  # of gaps side by side one is kept
         gap[0] = False
-        found = np.append(found[~gap], 0)
-        index = Index.of(found)
-        n = np.bincount(found, minlength=len(word) + 1)
-        at, count, parent, symbol = index.extended(np.cumsum(n)[:-1], n[1:])
-        return _answer(shard, at, count, ident[parent], ident[symbol - 1], put(f"{folder}/indexes", index.bwt, ident))
+        bwt = Index.of(np.append(found[~gap], 0)).bwt
+        release()
+        return pa.table({"shard": pa.array([shard]), "uri": pa.array([put(f"{folder}/indexes", bwt, ident)])})
+
+    def begin(group: pa.Table) -> pa.Table:
+        shard, uri, *_ = _sorted(group)
+        bwt, words = get(uri, 2)
+        n = np.bincount(bwt, minlength=len(words) + 1)
+        at, count, parent, symbol = Index(bwt).extended(np.cumsum(n)[:-1], n[1:])
+        return _answer(shard, at, count, words[parent], words[symbol.astype(np.int64) - 1], uri)
 
     def extend(group: pa.Table) -> pa.Table:
         shard, uri, at, count, ident = _sorted(group)
@@ -280,20 +300,20 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
         at, count, parent, symbol = Index(bwt).extended(at, count)
         return _answer(shard, at, count, ident[parent], words[symbol.astype(np.int64) - 1], uri)
 
-    steps = _steps(known, parts, build)
+    indexes = stash(_by_shard(known, parts, build, "shard long, uri string"), "phrase-indexes")
     discard(parts)
     fs, path = hadoop_path(docs.sparkSession, folder)
     fs.delete(hadoop_path(docs.sparkSession, f"{folder}/words")[1], True)
+    nothing = docs.sparkSession.createDataFrame([], "shard long, place long, id long")
+    steps = _counted(_by_shard(nothing, indexes, begin, STEP), min_count)
+    discard(indexes)
     for k in range(2, longest + 1):
-        made = steps.where(F.col("uri").isNull())
-        counted = numbered(made.groupBy("p", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), "phrase-counts")
-        levels.append(_named(counted, levels[-1]))
+        levels.append(_named(steps.where("first").select("id", "p", "w", "a"), levels[-1]))
         if k < longest:
-            known = made.join(checked_broadcast(counted).select("p", "w", "id"), ["p", "w"])
-            more = _steps(known, steps.where(F.col("uri").isNotNull()), extend)
+            known, files = steps.where(F.col("uri").isNull()), steps.where(F.col("uri").isNotNull())
+            more = _counted(_by_shard(known, files, extend, STEP), min_count)
             discard(steps)
             steps = more
-        discard(counted)
     discard(steps)
     fs.delete(path, True)
     return levels, totals

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from stopwise.llm import collocations as op
-from stopwise.llm.common import table
+from stopwise.llm.common import stash, table
 
 from .helpers import HARD, docs_of, duck, spark_rows
 
@@ -68,6 +68,33 @@ def test_empty_table_and_clashing_names(spark):
     check(df, 3)
 
 
+def test_shards_get_frequent_phrases_back_without_a_join(spark, monkeypatch):
+    plans = []
+
+    def noted(df, tag, *how):
+        if tag == "phrase-steps":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stash(df, tag, *how)
+
+    monkeypatch.setattr(op, "stash", noted)
+    check(docs_of(spark, [(i, f"a b c d e {i % 3}. b c d", None if i % 2 else "en") for i in range(40)]), 5, shard_bytes=100)
+    assert len(plans) == 4 and not any("Join" in p for p in plans)
+
+
+def test_counts_of_phrases_over_shards(spark):
+    most = (1 << 31) - 1
+    rows = [(shard, at << 32 | n, p, w, None) for shard, at, n, p, w in [
+        (0, 0, 3, 7, 1), (1, most, 3, 7, 1), (2, 5, 4, 7, 1), (0, 3, 9, 7, 2), (1, 0, most, 8, 1), (2, 9, most, 8, 1), (2, 4, 10, 1, 7),
+    ]]
+    files = [(s, -1, -1, -1 - s, f"file{s}") for s in range(3)]
+    got = op._counted(spark.createDataFrame(rows + files, op.STEP).repartition(4), 10).collect()
+    assert sorted((r.shard, r.uri) for r in got if r.uri) == [(s, f"file{s}") for s in range(3)]
+    got = [r for r in got if not r.uri]
+    assert sorted((r.p, r.w, r.shard, r.place, r.a) for r in got) == sorted((p, w, s, x, {(7, 1): 10, (8, 1): 2 * most, (1, 7): 10}[p, w]) for s, x, p, w, _ in rows if (p, w) != (7, 2))
+    assert len({(r.p, r.w, r.id) for r in got}) == len({r.id for r in got}) == 3
+    assert sorted((r.p, r.w) for r in got if r.first) == [(1, 7), (7, 1), (8, 1)]
+
+
 def test_lengths_are_bounded(spark):
     for longest in (1, 6):
         with pytest.raises(ValueError):
