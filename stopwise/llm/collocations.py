@@ -6,11 +6,12 @@ the words that follow the phrase (its extensions to the right), and LF steps fro
 phrases; all phrases of a shard take their step at once. The interval of a phrase lies inside that of the phrase without its first word, so extensions to
 the left need no second index: a step that does not end inside a known phrase extends one to the left that is too rare, and is left out.
 
-Rounds go by length. Words are counted first; each shard gets those that are frequent over all shards, and all others are gaps to it. Then every round
-extends what is frequent, so that a shard names only phrases whose first and last words but one are frequent both, sums
-over shards decide which of those are, and each shard gets its own back: rows of one phrase lie side by side, so that their sum and the phrase's
-number are told to them where they are, without a join. No list of frequent phrases goes to any task, and
-a shard's index is read from the shared folder by the task that holds its phrases.
+Words are counted first; each shard gets those that are frequent over all shards, and all others are gaps to it. A shard then extends all
+its phrases up to the longest, whatever their counts, and names each window once: the longest phrase that begins at a word, with how often it
+does. There is at most one for each word of the text, so that these rows follow the input and not the number of
+frequent phrases. Windows are sorted over all shards, by ranges. There a phrase is a run of windows that begin with it; a
+task tells those that are frequent from one pass over its range. Of the runs that a range's ends may have cut it passes on parts, at most two for each length,
+which are summed afterwards; no word or phrase has to fit into one task.
 
 Counts of a phrase's parts come along with it: of its beginnings from what it extends, of its ends from the phrase that its left extension started from.
 Scores are whole numbers, computed in decimals of 38 digits.
@@ -36,7 +37,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopwise.deploy import hadoop_path, release, shared_dir, tidied
+from stopwise.deploy import free_heaps, hadoop_path, release, shared_dir, tidied
 from stopwise.llm.common import checked_broadcast, discard, stash, table
 from stopwise.llm.tokens import ranges
 
@@ -193,24 +194,83 @@ class Index:
         return found[first], np.diff(np.append(first, len(found))), parent[first], here[first]
 
 
-#: ``place`` is an interval of the index: where it begins, times 2^32, and its length. One field of it and rows by length
-#: take less of a shuffle than two fields do.
+#: Parts of a phrase: its last word, the phrase before that, and in the lower half of ``place`` its number. Rows with a uri name files and are passed on.
 STEP = "shard long, place long, p long, w long, uri string"
-
-
-def _answer(shard: int, at: np.ndarray, n: np.ndarray, p: np.ndarray, w: np.ndarray, uri: str) -> pa.Table:
-    """Extensions of a shard, and a row that names its index."""
-    order = np.argsort(n, kind="stable")
-    release()
-    return pa.table(
-        {
-            "shard": pa.array(np.full(len(at) + 1, shard)),
-            "place": pa.array(np.append((at.astype(np.int64) << 32 | n)[order], -1)),
-            "p": pa.array(np.append(p[order], -1).astype(np.int64)),
-            "w": pa.array(np.append(w[order], -1 - shard).astype(np.int64)),  # each of these rows goes its own way
-            "uri": pa.array([None] * len(at) + [uri], pa.string()),
-        }
-    )
+#: Of a part; a larger number is given by several.
+MOST = (1 << 32) - 1
+#: Windows that a task sorts, about.
+RANGE_ROWS = 1 << 20
+#: Windows that a shard gives at a time.
+BATCH_ROWS = 1 << 16
+
+
+class Keys:
+    """Phrases as numbers that sort like their words: ``bits`` for each word's id + 1, 0 where there is none, as many words as fit into 63 bits."""
+
+    def __init__(self, words: int, longest: int):
+        self.bits = max(1, int(words).bit_length())
+        self.per = 63 // self.bits
+        self.longest = longest
+        self.columns = [f"k{i}" for i in range(-(-longest // self.per))]
+
+    def put(self, ident: np.ndarray, k: int) -> tuple[int, np.ndarray]:
+        """The column that has word ``k`` (from 0), and what the word adds to it."""
+        return k // self.per, (ident.astype(np.int64) + 1) << self.bits * (self.per - 1 - k % self.per)
+
+    def words(self, columns: list[np.ndarray]) -> np.ndarray:
+        """A row of ids + 1 for each place of a word."""
+        return np.stack([columns[k // self.per] >> self.bits * (self.per - 1 - k % self.per) & (1 << self.bits) - 1 for k in range(self.longest)])
+
+
+def windows(index: Index, ident: np.ndarray, keys: Keys) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The longest phrases that begin at words of a shard, those of two words or more, and how often they are the longest."""
+    n = np.bincount(index.bwt, minlength=len(ident) + 1)
+    at, count = np.cumsum(n)[:-1], n[1:]
+    columns = [np.zeros(len(at), np.int64) for _ in keys.columns]
+    columns[0] += keys.put(ident, 0)[1]
+    for k in range(1, keys.longest):
+        longer, number, parent, symbol = index.extended(at, count)
+        if k > 1:
+            rest = count - np.bincount(parent, number, len(at)).astype(np.int64)
+            some = rest > 0
+            yield [c[some] for c in columns], rest[some]
+        columns = [c[parent] for c in columns]
+        where, more = keys.put(ident[symbol.astype(np.int64) - 1], k)
+        columns[where] += more
+        at, count = longer, number
+    yield columns, count
+
+
+def runs(batches: Iterator[tuple[list[np.ndarray], np.ndarray]], keys: Keys, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases (ids, a row each) and their numbers, from windows in order: those that are frequent, and of each length the first and the last."""
+    lengths = range(2, keys.longest + 1)
+    last, open_, inner = None, dict.fromkeys(lengths, 0), dict.fromkeys(lengths, False)
+    for columns, n in batches:
+        if not len(n):
+            continue
+        words = keys.words(columns)
+        new = words != np.concatenate((words[:, :1] if last is None else last, words[:, :-1]), axis=1)
+        new = np.logical_or.accumulate(new)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        for k in lengths:
+            starts = np.flatnonzero(new[k - 1])
+            if not len(starts):
+                open_[k] += int(upto[-1])
+                continue
+            ends = open_[k] + int(upto[starts[0]])
+            before = words[:k, starts[0] - 1] if starts[0] else last[:k, 0]
+            if before[-1] and (ends >= least or not inner[k]):
+                yield before[None] - 1, np.array([ends])
+            inner[k], open_[k] = True, int(upto[-1] - upto[starts[-1]])
+            number, starts = np.diff(upto[starts]), starts[:-1]
+            found = (number >= least) & (words[k - 1, starts] > 0)
+            if found.any():
+                yield words[:k, starts[found]].T - 1, number[found]
+        last = words[:, -1:].copy()
+    if last is not None:
+        for k in lengths:
+            if last[k - 1, 0]:
+                yield last[:k].T - 1, np.array([open_[k]])
 
 
 def _sorted(group: pa.Table) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray]:
@@ -287,35 +347,52 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
         release()
         return pa.table({"shard": pa.array([shard]), "uri": pa.array([put(f"{folder}/indexes", bwt, ident)])})
 
-    def begin(group: pa.Table) -> pa.Table:
-        shard, uri, *_ = _sorted(group)
-        bwt, words = get(uri, 2)
-        n = np.bincount(bwt, minlength=len(words) + 1)
-        at, count, parent, symbol = Index(bwt).extended(np.cumsum(n)[:-1], n[1:])
-        return _answer(shard, at, count, words[parent], words[symbol.astype(np.int64) - 1], uri)
+    keys = Keys(frequent.count(), longest)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                bwt, ident = get(uri, 2)
+                for columns, n in windows(Index(bwt), ident, keys):
+                    for i in range(0, len(n), BATCH_ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + BATCH_ROWS]) for c in (*columns, n.astype(np.int64))], [*keys.columns, "n"])
+                release()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def extend(group: pa.Table) -> pa.Table:
-        shard, uri, at, count, ident = _sorted(group)
-        bwt, words = get(uri, 2)
-        at, count, parent, symbol = Index(bwt).extended(at, count)
-        return _answer(shard, at, count, ident[parent], words[symbol.astype(np.int64) - 1], uri)
+        shard = TaskContext.get().partitionId()
+        given = (([b.column(c).to_numpy() for c in keys.columns], b.column("n").to_numpy()) for b in batches)
+        for ids, n in runs(given, keys, min_count):
+            while len(n):
+                lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * ids.shape[1], pa.array(ids.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard)), lists, pa.array(np.minimum(n, MOST))], ["shard", "words", "place"])
+                ids, n = ids[n > MOST], n[n > MOST] - MOST
 
     indexes = stash(_by_shard(known, parts, build, "shard long, uri string"), "phrase-indexes")
     discard(parts)
+    free_heaps(docs.sparkSession)  # shards are Python's
     fs, path = hadoop_path(docs.sparkSession, folder)
     fs.delete(hadoop_path(docs.sparkSession, f"{folder}/words")[1], True)
-    nothing = docs.sparkSession.createDataFrame([], "shard long, place long, id long")
-    steps = _counted(_by_shard(nothing, indexes, begin, STEP), min_count)
+    dealt = indexes.repartition(max(1, indexes.count()), "shard")
+    seen = stash(dealt.mapInArrow(tidied(opened), ", ".join(f"{c} long" for c in (*keys.columns, "n"))), "phrase-windows", "zstd")  # ranges are found by a pass of their own
     discard(indexes)
-    for k in range(2, longest + 1):
-        levels.append(_named(steps.where("first").select("id", "p", "w", "a"), levels[-1]))
-        if k < longest:
-            known, files = steps.where(F.col("uri").isNull()), steps.where(F.col("uri").isNotNull())
-            more = _counted(_by_shard(known, files, extend, STEP), min_count)
-            discard(steps)
-            steps = more
-    discard(steps)
     fs.delete(path, True)
+    sorted_ = seen.repartitionByRange(seen.count() // RANGE_ROWS + 1, *keys.columns).sortWithinPartitions(*keys.columns)
+    parts = stash(sorted_.mapInArrow(tidied(counted), "shard long, words array<long>, place long").withColumn("p", F.col("words")[0]), "phrase-parts")
+    discard(seen)
+    free_heaps(docs.sparkSession)
+    for k in range(2, longest + 1):
+        steps = _counted(parts.where(F.size("words") == k).select("shard", "place", "p", F.col("words")[k - 1].alias("w"), F.lit(None).cast("string").alias("uri")), min_count)
+        found = steps.where("first").select("id", "p", "w", "a")
+        levels.append(_named(found, levels[-1]))
+        if k < longest:  # longer ones begin with one of these, or are not frequent
+            longer = parts.where(F.size("words") > k).withColumn("w", F.col("words")[k - 1]).join(found, ["p", "w"])
+            more = stash(longer.select("shard", "words", "place", F.col("id").alias("p")), "phrase-parts")
+            discard(parts)
+            parts = more
+        discard(steps)
+    discard(parts)
     return levels, totals
 
 

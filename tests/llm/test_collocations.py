@@ -95,6 +95,73 @@ def test_counts_of_phrases_over_shards(spark):
     assert sorted((r.p, r.w) for r in got if r.first) == [(1, 7), (7, 1), (8, 1)]
 
 
+def rows_of_python_nodes(spark, work):
+    """Rows that each Python node made, in order, as ``work`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    drained = lambda: spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    drained()
+    before = store.executionsCount()
+    work()
+    drained()
+    made = []
+    for run in listed(store.executionsList())[before:]:
+        metrics = store.executionMetrics(run.executionId())
+        for node in listed(store.planGraph(run.executionId()).allNodes().toSeq()):
+            if "InArrow" in node.name():
+                found = [metrics.get(m.accumulatorId()) for m in listed(node.metrics()) if m.name() == "number of output rows"]
+                made += [int(x.get().replace(",", "")) for x in found if x.isDefined()]
+    return made
+
+
+def test_rows_follow_the_input_when_phrases_become_frequent(spark):
+    """Of 20 words two stand side by side some 5 times in 2000 words, which is rare, and 25 times in 10000, which is not."""
+    rng = np.random.default_rng(5)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 20, 500)) for _ in range(20)]
+    small, large = (
+        rows_of_python_nodes(spark, lambda n=n: check(docs_of(spark, list(enumerate(text[:n]))).coalesce(1), 15, shard_bytes=4000)) for n in (4, 20)
+    )
+    assert len(small) == len(large) and max(large) >= 9000
+    assert all(b <= 6 * a + 1000 for a, b in zip(small, large)), (small, large)
+
+
+@pytest.mark.parametrize("symbols, ids, columns", [(3, 3, 1), (300, 1 << 20, 2), (30, 1 << 29, 3), (30, 1 << 39, 5)])
+def test_windows_hold_every_phrase(symbols, ids, columns):
+    """A window for each word at most; sorted and cut anywhere, their runs give every frequent phrase its number."""
+    rng = np.random.default_rng(symbols)
+    words = np.append(rng.integers(0, symbols, 3000) * (rng.random(3000) < 0.9), 0).astype(np.int32)
+    ident = rng.choice(ids, int(words.max()), replace=False) if ids <= 1 << 20 else ids - 1 - np.arange(int(words.max()))
+    keys = op.Keys(ids, 5)
+    assert len(keys.columns) == columns
+    found = list(op.windows(op.Index.of(words), ident, keys))
+    held = [np.concatenate(c) for c in zip(*(c for c, _ in found))]
+    n = np.concatenate([n for _, n in found])
+    assert len(n) <= np.count_nonzero(words) and n.min() > 0
+    order = np.lexsort(held[::-1])
+    held, n = [c[order] for c in held], n[order]
+    want = Counter(tuple(int(ident[x - 1]) for x in words[i : i + k]) for k in range(2, 6) for i in range(len(words) - k + 1) if words[i : i + k].all())
+    for least in (1, 4):
+        got, given = Counter(), 0
+        cuts = [0, *sorted(rng.integers(0, len(n), 5).tolist()), len(n)]
+        for a, b in zip(cuts, cuts[1:]):  # a task's range, in batches
+            batches = (([c[i : min(i + 7, b)] for c in held], n[i : min(i + 7, b)]) for i in range(a, b, 7))
+            for ids, number in op.runs(batches, keys, least):
+                given += int((number < least).sum())
+                for p, x in zip(ids.tolist(), number.tolist()):
+                    got[tuple(p)] += x
+        assert {p: a for p, a in got.items() if a >= least} == {p: a for p, a in want.items() if a >= least}
+        assert given <= 8 * len(cuts)
+
+
+def test_numbers_beyond_one_part():
+    keys = op.Keys(3, 5)
+    column = np.zeros(2, np.int64)
+    for k, word in enumerate((2, 0)):
+        column += keys.put(np.array([word, word]), k)[1]
+    got = list(op.runs(iter([([column], np.array([1 << 40, 1 << 41]))]), keys, 100))
+    assert [(ids.tolist(), n.tolist()) for ids, n in got] == [([[2, 0]], [3 << 40])]
+
+
 def test_lengths_are_bounded(spark):
     for longest in (1, 6):
         with pytest.raises(ValueError):
