@@ -97,16 +97,18 @@ TARGETS = (
 t AS (SELECT g.*, coalesce(t_blockers, '') AS t_blockers, CASE WHEN t_gated IS NOT NULL THEN 'gated' WHEN t_passed IS NOT NULL THEN 'passed' WHEN t_blocked > 0 THEN 'blocked' ELSE 'not_assessed' END AS t_status FROM g LEFT JOIN tb USING (run_id, group_ord))"""
 )
 # The corners of a frame move together here, so the search is over boxes of falloff and luminance: each box
-# begins at some repeat's values; the largest wins, then the least scatter, then the lowest mask.
+# begins at some repeat's values; the largest wins, then the least scatter, then the lowest mask (bits from the top, as sets are equally large).
 STABLE = (
     GROUPS
-    + f""", un AS (SELECT {KEYS}, group_ord FROM g WHERE n_ok BETWEEN 3 AND 63 AND (round(rng, 9) > 0.10 OR round(log2(lum_max / lum_min), 9) > 0.25)),
+    + f""", un AS (SELECT {KEYS}, group_ord FROM g WHERE n_ok >= 3 AND (round(rng, 9) > 0.10 OR round(log2(lum_max / lum_min), 9) > 0.25)),
 sa AS (SELECT un.run_id, group_ord, fall, lum, row_number() OVER (PARTITION BY un.run_id, group_ord ORDER BY input_index) - 1 AS bit FROM fz JOIN un ON fz.run_id = un.run_id AND fz.lens_model IS NOT DISTINCT FROM un.lens_model
   AND fz.focal_length_mm IS NOT DISTINCT FROM un.focal_length_mm AND fz.f_number IS NOT DISTINCT FROM un.f_number WHERE ok),
-bx AS (SELECT a.run_id, a.group_ord, a.fall AS lo, b.lum AS ll, max(c.fall) - min(c.fall) AS sc, count(*) AS n, avg(c.fall) AS m, sum((1::HUGEINT << c.bit::INT)) AS mask
+bx AS (SELECT a.run_id, a.group_ord, a.fall AS lo, b.lum AS ll, max(c.fall) - min(c.fall) AS sc, count(*) AS n, avg(c.fall) AS m
   FROM (SELECT DISTINCT run_id, group_ord, fall FROM sa) a JOIN (SELECT DISTINCT run_id, group_ord, lum FROM sa) b USING (run_id, group_ord)
   JOIN sa c ON c.run_id = a.run_id AND c.group_ord = a.group_ord AND c.fall >= a.fall AND round(c.fall - a.fall, 9) <= 0.10 AND c.lum >= b.lum AND round(log2(c.lum / b.lum), 9) <= 0.25 GROUP BY ALL HAVING count(*) >= 2),
-be AS (SELECT * FROM bx QUALIFY row_number() OVER (PARTITION BY run_id, group_ord ORDER BY n DESC, round(sc, 9), mask) = 1),
+bt AS (SELECT * FROM bx QUALIFY rank() OVER (PARTITION BY run_id, group_ord ORDER BY n DESC, round(sc, 9)) = 1),
+bm AS (SELECT bt.*, list(c.bit ORDER BY c.bit DESC) AS mask FROM bt JOIN sa c ON c.run_id = bt.run_id AND c.group_ord = bt.group_ord AND c.fall >= lo AND round(c.fall - lo, 9) <= 0.10 AND c.lum >= ll AND round(log2(c.lum / ll), 9) <= 0.25 GROUP BY ALL),
+be AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY run_id, group_ord ORDER BY mask) = 1),
 v AS (SELECT g.*, coalesce(be.n, n_ok) AS v_n, coalesce(be.sc, CASE WHEN n_ok >= 2 THEN rng END, 0) AS v_scatter, n_ok - coalesce(be.n, n_ok) AS v_out, coalesce(m, fall) AS raw_tl, coalesce(m, fall) + bias AS raw_tr, coalesce(m, fall) AS raw_bl, coalesce(m, fall) AS raw_br
   FROM g LEFT JOIN be USING (run_id, group_ord))"""
 )
