@@ -121,3 +121,16 @@ def test_near_copies_are_compared_before_their_lines_go(spark, sf_dir):
             break
         docs = stage(spark, docs, sf_dir)
     assert [r.doc_id for r in pipe.without_near_copies(spark, docs, sf_dir).collect()] == [1]
+
+
+def test_copies_that_only_show_once_their_lines_are_gone(spark, sf_dir):
+    """Two texts under different long lines that a third one holds: no near copies as they are, and near copies without these lines."""
+    one, two, core = ([f"{c}{i}" for i in range(100)] for c in "abc")
+    text = lambda *lines: "\n".join(" ".join(words) for words in lines)
+    rows = [(1, text(one, two), "en", "a"), (2, text(one, core), "en", "a"), (3, text(two, [*core[:-1], "elsewhere"]), "en", "a")]
+    docs = docs_of(spark, rows)
+    assert pipe.without_near_copies(spark, docs, sf_dir).count() == 3
+    for name, stage in pipe.STAGES[1 : [stage for _, stage in pipe.STAGES].index(pipe.mixed)]:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(1, rows[0][1]), (2, text(core))]
+    assert pipe.without_near_copies(spark, docs, sf_dir).count() == pipe.without_repeated_lines(spark, docs, sf_dir).count() == 2

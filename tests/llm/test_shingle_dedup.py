@@ -93,3 +93,14 @@ def test_clashing_names(spark):
     df = docs_of(spark, [(2, text), (1, text), (3, None)]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
     out = keep_one(df, op.classes)
     assert out.columns == df.columns and sorted((r.doc_id, r._d, r.name) for r in out.collect()) == [(1, 1, 10), (3, 1, 10)]
+
+
+def test_without_simhash_the_same_stay(spark, sf_dir):
+    from functools import partial
+
+    from stopwise.llm.simhash_dedup import keep_one
+
+    docs = table(spark, sf_dir, "documents").where("length(text) between 200 and 3000").orderBy("doc_id").limit(40)
+    rows = edited([(r.doc_id, r.text) for r in docs.collect()], random.Random(4), 6) + [(900_000 + i, r[1]) for i, r in enumerate(HARD)]
+    got = keep_one(docs_of(spark, rows), partial(op.classes, simhash=False)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == brute(rows)
