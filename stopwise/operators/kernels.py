@@ -23,11 +23,13 @@ def blur(plane: np.ndarray, sigma: float) -> np.ndarray:
     taps = gaussian(sigma)
     reach = len(taps) // 2
     for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (reach, reach)
-        wide = np.pad(plane, pad)
         n = plane.shape[axis]
-        plane = sum(t * np.take(wide, range(k, k + n), axis) for k, t in enumerate(taps))
+        wide = np.zeros([size + 2 * reach * (k == axis) for k, size in enumerate(plane.shape)])
+        wide[(slice(None),) * axis + (slice(reach, reach + n),)] = plane
+        part = lambda k: wide[(slice(None),) * axis + (slice(k, k + n),)]  # noqa: E731, B023
+        plane = taps[0] * part(0)
+        for k, t in enumerate(taps[1:], 1):
+            plane += t * part(k)
     return plane
 
 
@@ -35,21 +37,26 @@ def measure(plane: np.ndarray) -> tuple[float, float, float]:
     """Acutance, contrast, median."""
     fine, coarse = blur(plane, FINE), blur(plane, COARSE)
     middle = (fine - coarse).std()
-    acutance = 0.0 if plane.std() <= LEAST_SIGNAL or middle <= LEAST_SIGNAL else (plane - fine).std() / middle
+    spread, mean = plane.std(), plane.mean()
+    acutance = 0.0 if spread <= LEAST_SIGNAL or middle <= LEAST_SIGNAL else (plane - fine).std() / middle
     median = float(np.median(plane))
     if not median > 0:
         raise ValueError("median luminance is not positive")
-    return float(acutance), float(plane.std() / plane.mean()) if plane.mean() > 0 else 0.0, median
+    return float(acutance), float(spread / mean) if mean > 0 else 0.0, median
 
 
-def correlation(red: np.ndarray, blue: np.ndarray, lag: int) -> float | None:
-    """Of red[i] with blue[i - lag], at 9 decimals; None for too few pairs or too little energy."""
-    a, b = red[max(0, lag) : len(red) + min(0, lag)], blue[max(0, -lag) : len(blue) + min(0, -lag)]
-    if len(a) < LEAST_LENGTH:
-        return None
-    a, b = a - a.mean(), b - b.mean()
-    xx, yy = (a * a).sum(), (b * b).sum()
-    return round(float((a * b).sum() / np.sqrt(xx * yy)), 9) if xx > LEAST_ENERGY and yy > LEAST_ENERGY else None
+def correlations(red: np.ndarray, blue: np.ndarray, most: int) -> dict[int, float | None]:
+    """Of red[i] with blue[i - lag] for each lag of up to ``most``, at 9 decimals; None for too few pairs or too little energy."""
+    lags, n = np.arange(-most, most + 1), len(red)
+    at = np.arange(n) - lags[:, None]
+    met = (at >= 0) & (at < n)
+    pairs = met.sum(1)
+    a, b = (np.where(met, v, 0.0) for v in (red, blue[np.clip(at, 0, n - 1)]))
+    a, b = (np.where(met, v - v.sum(1, keepdims=True) / np.maximum(pairs, 1)[:, None], 0.0) for v in (a, b))
+    xx, yy, xy = (a * a).sum(1), (b * b).sum(1), (a * b).sum(1)
+    known = (pairs >= LEAST_LENGTH) & (xx > LEAST_ENERGY) & (yy > LEAST_ENERGY)
+    score = xy / np.sqrt(np.where(known, xx * yy, 1.0))
+    return {lag: round(v, 9) if ok else None for lag, v, ok in zip(lags.tolist(), score.tolist(), known.tolist())}
 
 
 def axis_shift(red: np.ndarray, blue: np.ndarray) -> tuple[float | None, str | None]:
@@ -59,7 +66,7 @@ def axis_shift(red: np.ndarray, blue: np.ndarray) -> tuple[float | None, str | N
     if red.var() < LEAST_ENERGY or blue.var() < LEAST_ENERGY:
         return None, "flat_profile"
     most = window_of(len(red))
-    score = {lag: correlation(red, blue, lag) for lag in range(-most - 1, most + 2)}
+    score = correlations(red, blue, most + 1)
     known = [lag for lag in range(-most, most + 1) if score[lag] is not None]
     if not known:
         return None, "correlation_peak_not_found"

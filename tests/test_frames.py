@@ -87,3 +87,38 @@ def test_small_planes_are_too_short(spark, tmp_path):
 def test_folders_are_numbered_apart(spark):
     df = spark.createDataFrame([(p,) for p in ("/a/2.DNG", "/a/1.tif", "/b/0.tiff", "/a/x.jpg", "bare.dng")], "path string")
     assert sorted((r.path, r.input_index) for r in capture.folder_members(df).collect()) == [("/a/1.tif", 0), ("/a/2.DNG", 1), ("/b/0.tiff", 0), ("bare.dng", 0)]
+
+
+def test_lags_of_a_profile_are_scored_at_once():
+    import numpy as np
+
+    from stopwise.operators import colour_shift, kernels
+
+    rng = np.random.default_rng(3)
+    for n in (2, 8, 11, 25, 90):
+        red, blue = rng.uniform(0, 1, n), rng.uniform(0, 1, n)
+        blue[n // 2 :] = 0.5
+        found = kernels.correlations(red, blue, 13)
+        assert sorted(found) == list(range(-13, 14))
+        for lag, score in found.items():
+            a, b = red[max(0, lag) : n + min(0, lag)], blue[max(0, -lag) : n + min(0, -lag)]
+            if n - abs(lag) < colour_shift.LEAST_LENGTH or min(((v - v.mean()) ** 2).sum() for v in (a, b)) <= colour_shift.LEAST_ENERGY:
+                assert score is None
+            else:
+                assert abs(score - np.corrcoef(a, b)[0, 1]) < 2e-9
+
+
+def test_blur_of_patches_narrower_than_its_reach():
+    import numpy as np
+
+    from stopwise.functions.arrays import gaussian
+    from stopwise.operators import kernels
+
+    for shape in ((1, 1), (3, 20), (20, 2), (17, 31)):
+        plane = np.random.default_rng(1).uniform(0, 1, shape)
+        for sigma in (1.0, 2.5):
+            taps, want = np.array(gaussian(sigma)), plane
+            for axis in (0, 1):
+                reach = len(taps) // 2
+                want = np.apply_along_axis(lambda v: np.convolve(v, taps, "full")[reach : reach + len(v)], axis, want)
+            assert np.allclose(kernels.blur(plane, sigma), want, atol=1e-12)
