@@ -126,3 +126,11 @@ def test_report_of_files(spark, sf_dir):
     assert [g["f_number"] for g in doc["groups"]] == [4.0, 5.6, 8.0, 11.0] and all(len(g["frames"]) == 2 for g in doc["groups"])
     frame = doc["groups"][0]["frames"][0]
     assert frame["qa"]["target"]["status"] == "passed" and frame["qa"]["target"]["tilt_axis"] in ("vertical", "horizontal") and frame["path"] == "/shots/4/0.dng"
+
+
+def test_all_frames_of_a_run_are_not_sorted_for_the_report(spark, sf_dir):
+    """They are one row, which passes by the tables it is joined with."""
+    import re
+
+    plan = registry.QUERIES["run_report_json"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[run_id", plan)[:3] == ["ShuffledHashJoin"] * 3
